@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import chat, oracles, quality, topk, urlfilter
+from corpusward.llm import bytepairs, chat, oracles, packing, quality, topk, urlfilter
 from corpusward.sources.tables import table
 
 #: Fixed values: (host, path, verdict).
@@ -28,17 +29,33 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bytepairs.encode(table(spark, sf_dir, "documents"), ranks).select("doc_id", "ids")
+    return bytepairs.decode(coded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality.quality_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, end_id=1)
+    return packing.pack(pieces, 2048)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.format_digests(rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string")))
 
 
-_QUERIES = [op1_top_k, op5_url_filters, op7_quality_rules, op9_chat_format]
+_QUERIES = [op1_top_k, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
