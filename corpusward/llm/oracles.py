@@ -86,3 +86,20 @@ SELECT conv_id, count(*) AS n_turns,
        (3 + sum(n))::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
 """
+
+op10_substring_dedup = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT k, doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50
+), g AS (
+  SELECT k, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS s FROM p
+), again AS (
+  SELECT k, i FROM (SELECT k, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM g) WHERE m < doc_id
+), gone AS (
+  SELECT k, list(DISTINCT j) AS g FROM (SELECT k, unnest(range(i, i + 50)) AS j FROM again) GROUP BY k
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([x FOR x, j IN w IF NOT list_contains(g, j)], ' ') END) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.k = d.k
+"""

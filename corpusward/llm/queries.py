@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import bytepairs, chat, oracles, packing, quality, topk, urlfilter
+from corpusward.llm import bytepairs, chat, oracles, packing, quality, substrings, topk, urlfilter
 from corpusward.sources.tables import table
 
 #: Fixed values: (host, path, verdict).
@@ -55,7 +55,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string")))
 
 
-_QUERIES = [op1_top_k, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format]
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+_QUERIES = [op1_top_k, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
