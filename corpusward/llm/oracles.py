@@ -103,3 +103,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_remov
        sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([x FOR x, j IN w IF NOT list_contains(g, j)], ' ') END) AS kept_sha256
 FROM d LEFT JOIN gone ON gone.k = d.k
 """
+
+op4_minhash_near_dedup = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT k, doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT k, doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (
+  SELECT k, doc_id, count(*) AS n FROM s GROUP BY k, doc_id
+), common AS (
+  SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.k < b.k GROUP BY a.k, b.k
+), link AS MATERIALIZED (
+  SELECT nx.doc_id AS a, ny.doc_id AS b FROM common JOIN n nx ON nx.k = x JOIN n ny ON ny.k = y
+  WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+), edge AS MATERIALIZED (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.b, d.doc_id) AS component_id, coalesce(least.b, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.k = d.k LEFT JOIN least ON least.a = d.doc_id AND n.k IS NOT NULL
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import bytepairs, chat, oracles, packing, quality, substrings, topk, urlfilter
+from corpusward.llm import bytepairs, chat, neardup, oracles, packing, quality, substrings, topk, urlfilter
 from corpusward.sources.tables import table
 
 #: Fixed values: (host, path, verdict).
@@ -24,6 +24,10 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlfilter.url_verdicts(table(spark, sf_dir, "pages"), rules)
@@ -59,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-_QUERIES = [op1_top_k, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup]
+_QUERIES = [op1_top_k, op4_minhash_near_dedup, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
