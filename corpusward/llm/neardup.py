@@ -4,9 +4,9 @@ A signature has 32 indexed symbols of 16 bits in 8 chunks.  By the pigeonhole
 principle two signatures that differ in at most 15 symbols have a chunk with at most
 one error; so each chunk is indexed under its four patterns with one symbol left out,
 and every pair within that distance shares an index key.  At a similarity of 0.85 a
-chunk has at most one error with probability 0.89, and all eight fail with 2e-8; 64
-symbols in all then drop pairs that differ in over 24 (4e-6 at 0.85, less above).
-What is left is confirmed on the full shingle sets.
+chunk has at most one error with probability 0.89, and all eight fail with 2e-8 (1e-6 at
+0.8); 64 symbols in all then drop pairs that differ in more symbols than pairs at the
+threshold do but once in a million.  What is left is confirmed on the full shingle sets.
 
 Only links that can change the components are looked for.  Documents of equal sets are
 one node.  Each key's documents first meet its centre, the one that shares most keys
@@ -16,6 +16,8 @@ a common key is spread over tasks and no list of all pairs is made.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,12 +27,23 @@ from corpusward.functions.lineage import cut
 from corpusward.llm import words as W
 from corpusward.llm.graph import components
 
-SYMBOLS, CHUNK, INDEXED, MOST_APART = 64, 4, 32, 24
+SYMBOLS, CHUNK, INDEXED = 64, 4, 32
 #: Documents of one key that one task compares with each other.
 TILE = 512
 #: Ids up to this many (about 30 MB as a hash table) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
+
+def most_apart(percent: int) -> int:
+    """The symbols, of SYMBOLS, in which a pair at the threshold differs at most, but once in a million."""
+    p, tail = 1 - percent / 100, 1.0
+    for k in range(SYMBOLS + 1):
+        tail -= comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k)
+        if tail < 1e-6:
+            return k
+    return SYMBOLS
+
+
 _FACTORS = W.numbers(SYMBOLS, 101) | W.U(1)
 _TERMS = W.numbers(SYMBOLS, 202)
 
@@ -108,13 +121,13 @@ def index_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(task, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, apart: int) -> DataFrame:
     """Pairs (a, b) of ``pairs`` (a, b, sa, sb) whose signatures differ in few enough symbols."""
 
     def task(batches):
         for batch in batches:
             if batch.num_rows:
-                near = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(1) <= MOST_APART
+                near = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(1) <= apart
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in range(2)], ["a", "b"])
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
@@ -161,7 +174,7 @@ def _star_pairs(live: DataFrame) -> DataFrame:
     return live.join(centres, "key").select("key", F.col("node").alias("a"), F.col("centre").alias("b"))
 
 
-def _tile_pairs(rows: DataFrame) -> DataFrame:
+def _tile_pairs(rows: DataFrame, apart: int) -> DataFrame:
     """Near pairs within each key of ``rows`` (key, n, node, component, signature) across components.
 
     The documents of a key are dealt over tiles and each pair of tiles meets in one
@@ -185,7 +198,7 @@ def _tile_pairs(rows: DataFrame) -> DataFrame:
             end = table.num_rows if batch is None else int(change[-1]) if len(change) else 0
             held = table.slice(end)
             if end:
-                yield _pairs_of(table.slice(0, end))
+                yield _pairs_of(table.slice(0, end), apart)
 
     return dealt.mapInArrow(task, "a long, b long").distinct()
 
@@ -195,7 +208,7 @@ def _with_end(batches):
     yield None
 
 
-def _pairs_of(table: pa.RecordBatch) -> pa.RecordBatch:
+def _pairs_of(table: pa.RecordBatch, apart: int) -> pa.RecordBatch:
     group = np.stack([table.column(i).to_numpy() for i in range(3)])
     node, component, s = table.column(3).to_numpy(), table.column(4).to_numpy(), _symbols(table.column(5))
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -206,7 +219,7 @@ def _pairs_of(table: pa.RecordBatch) -> pa.RecordBatch:
         if not len(live):
             break
         i = live[component[live] != component[live + d]]
-        i = i[(s[i] != s[i + d]).sum(1) <= MOST_APART]
+        i = i[(s[i] != s[i + d]).sum(1) <= apart]
         a.append(np.minimum(node[i], node[i + d]))
         b.append(np.maximum(node[i], node[i + d]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -235,16 +248,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     stars = cut(_star_pairs(live))
     marks = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     pairs = stars.where("a <> b").select("a", "b").distinct().join(marks, "a").join(marks.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
-    links = cut(confirmed(_near(pairs), rows, size, percent))
+    links = cut(confirmed(_near(pairs, most_apart(percent)), rows, size, percent))
     labels = components(links)
     # Keys whose documents are in one component are done; a centre has met all others.
     labelled = stars.join(labels, stars["a"] == labels["node"], "left").select("key", F.col("a").alias("node"), "b", F.coalesce("component", "a").alias("component"))
     apart = labelled.where("node <> b").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
     rest = labelled.where("node <> b").join(apart, "key").join(marks.select(F.col("a").alias("node"), F.col("sa").alias("signature")), "node").select("key", "n", "node", "component", "signature")
-    more = confirmed(_tile_pairs(rest), rows, size, percent)
+    more = confirmed(_tile_pairs(rest, most_apart(percent)), rows, size, percent)
     labels = components(links.union(more))
     named = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     # The smallest doc_id is that of a class, so a component's label is the answer for its rows.
     out = seen.join(named, ["d1", "d2"], "left")
     component = F.when(F.col("signature").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, unchanged.
+
+    Only the ids that go are joined; texts are shuffled only if those are too many to
+    be broadcast.
+    """
+    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusward.functions.lineage import cut
 from corpusward.llm import words as W
@@ -152,8 +153,10 @@ def covered(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, depth: in
     return starts, flagged.select("doc_id", "n_words", "d1", "copy")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_removed, kept (the words left, joined by one space).
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, n_removed, kept (the words left, joined by one space), rest.
+
+    ``rest`` is a struct of the columns named in ``carry`` (of the doc_id, if none).
 
     Every word covered by a window whose words also start in a document with a smaller
     doc_id goes; windows are judged on the input.  Null and empty texts have no words.
@@ -161,14 +164,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document and do not remove each other.  Only texts with repeated windows move, to
     meet their windows; ids are broadcast if they are few, after a count.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    starts, seen = covered(rows, window)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*(carry or (doc_id,))).alias("rest"))
+    starts, seen = covered(rows.select("doc_id", "text"), window)
     starts = cut(starts)
     copies = seen.where("copy").select("doc_id", F.col("d1").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"), F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")).distinct()
     changes = cut(starts.withColumn("copy", F.lit(False)).unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts", "copy")).alias("changes")))
     ids = _few(changes.select("doc_id"))
-    same = rows.join(ids, "doc_id", "left_anti").withColumn("changes", F.lit(None).cast(changes.schema["changes"].dataType))
-    changed = rows.join(ids, "doc_id", "left_semi").join(changes, "doc_id").select("doc_id", "text", "changes")
+    same = rows.join(ids, "doc_id", "left_anti").select("doc_id", "text", "rest").withColumn("changes", F.lit(None).cast(changes.schema["changes"].dataType))
+    changed = rows.join(ids, "doc_id", "left_semi").join(changes, "doc_id").select("doc_id", "text", "changes", "rest")
 
     def task(batches):
         for batch in batches:
@@ -184,9 +187,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     counts.append(len(words))
                     removed.append(0 if gone is None else int(gone.sum()))
                     kept.append(b" ".join(words if gone is None else [words[j] for j in np.flatnonzero(~gone)]))
-                yield pa.RecordBatch.from_arrays([names.slice(first, len(block)), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([names.slice(first, len(block)), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(3).slice(first, len(block))], ["doc_id", "n_words", "n_removed", "kept", "rest"])
 
-    return same.unionByName(changed).mapInArrow(task, "doc_id long, n_words long, n_removed long, kept string")
+    schema = T.StructType([*(T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()))), T.StructField("rest", rows.schema["rest"].dataType)])
+    return same.unionByName(changed).select("doc_id", "text", "changes", "rest").mapInArrow(task, schema)
 
 
 def _gone(changes: pa.Scalar, tag: int, n: int, window: int) -> np.ndarray:
@@ -205,3 +209,14 @@ def _gone(changes: pa.Scalar, tag: int, n: int, window: int) -> np.ndarray:
 def digest(report: DataFrame) -> DataFrame:
     """``remove_repeats`` with the kept words as a digest."""
     return report.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the repeated words taken from ``text``; n_chars, if there, follows.
+
+    A text that loses nothing stays as it is, white space included.
+    """
+    out = remove_repeats(docs, window=window, carry=tuple(docs.columns))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))

@@ -66,12 +66,15 @@ _BYTES = numbers(256, 11)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
+#: All but ASCII letters and digits, and bytes of other characters.
+PUNCTUATION = np.array([not (0x30 <= i <= 0x39 or 0x41 <= i <= 0x5A or 0x61 <= i <= 0x7A or i >= 0x80) for i in range(256)])
 
-def split(texts: list[bytes]) -> Words:
-    """The runs of bytes outside U+0020 and U+0009 to U+000D."""
+
+def split(texts: list[bytes], between: np.ndarray = _BLANK) -> Words:
+    """The runs of bytes that ``between`` does not mark: those outside U+0020 and U+0009 to U+000D."""
     data = b"\n".join([*texts, b""])
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_BLANK[np.frombuffer(data, np.uint8)]
+    inside[1:-1] = ~between[np.frombuffer(data, np.uint8)]
     change = np.diff(inside)
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
