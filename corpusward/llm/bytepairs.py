@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-import itertools
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -56,11 +56,13 @@ def _step(state: int, symbol: int) -> tuple[int, bool]:
 
 
 @cache
-def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each code point; function of each symbol; the composition table; starts by (function, symbol).
+def _machine() -> tuple[np.ndarray, bytes, bytes, bytes, bytes]:
+    """Class of each code point, and four byte tables.
 
-    Functions are numbered; symbol + 8 stands for the symbol at the start of a text,
-    where the state is _OVER whatever was before.
+    The tables give the symbol of class | 8 * (text follows); the function of symbol | 8 *
+    (a text starts), where the state before is _OVER; the composition of functions
+    f << 4 | g; and whether a token starts at f << 3 | symbol.  There are few enough
+    functions for every argument to be one byte, so a look-up is bytes.translate.
     """
     kinds = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
     for c in range(sys.maxunicode + 1):
@@ -81,27 +83,34 @@ def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             if (h := tuple(g[s] for s in f)) not in known:
                 known[h] = len(known)
                 todo.append(h)
-    names = list(known)
-    compose = np.zeros((len(names), len(names)), np.uint8)
-    for i, f in enumerate(names):
-        for j, g in enumerate(names):
-            h = tuple(g[s] for s in f)
-            if h not in known:
-                raise AssertionError("the functions are not closed under composition")
-            compose[i, j] = known[h]
-    starts = np.array([[_step(f[_OVER], x)[1] for x in range(8)] for f in names])
-    return kinds, np.array([known[f] for f in basic], np.uint8), compose, starts
-
-
-def _prefixes(f: np.ndarray, compose: np.ndarray) -> np.ndarray:
+    if len(known) > 16:
+        raise AssertionError("more functions than four bits can name")
+    symbols, functions, compose, starts = (bytearray(256) for _ in range(4))
+    for k in range(5):
+        symbols[k], symbols[k | 8] = (5, k) if k >= _SPACE else (k, k)
+    functions[:16] = bytes(known[f] for f in basic)
+    for f, i in known.items():
+        for g, j in known.items():
+            compose[i << 4 | j] = known[tuple(g[s] for s in f)]
+        for x in range(8):
+            starts[i << 3 | x] = _step(f[_OVER], x)[1]
+    return kinds, bytes(symbols), bytes(functions), bytes(compose), bytes(starts)
+
+
+def _look(table: bytes, at: np.ndarray) -> np.ndarray:
+    return np.frombuffer(at.tobytes().translate(table), np.uint8)
+
+
+def _prefixes(f: np.ndarray, compose: bytes) -> np.ndarray:
     """The composition of the first 1, 2, ... functions, by an associative scan in linear work."""
     if len(f) < 2:
         return f
-    half = _prefixes(compose[f[0:-1:2], f[1::2]], compose)
+    half = _prefixes(_look(compose, f[0:-1:2] << 4 | f[1::2]), compose)
     out = np.empty_like(f)
     out[1::2] = half
     out[0] = f[0]
-    out[2::2] = compose[half[: len(out[2::2])], f[2::2]]
+    rest = f[2::2]
+    out[2::2] = _look(compose, half[: len(rest)] << 4 | rest)
     return out
 
 
@@ -109,19 +118,15 @@ def token_starts(text: str, text_starts: np.ndarray) -> np.ndarray:
     """Where slices start in ``text``, the concatenation of texts that start at ``text_starts``."""
     if not text:
         return np.empty(0, np.int64)
-    kinds, functions, compose, starts = _machine()
+    kinds, symbol_of, function_of, compose, starts = _machine()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = kinds[points]
-    first = np.zeros(len(points) + 1, bool)
-    first[text_starts[text_starts < len(points)]] = True
-    first[-1] = True
-    white = kind >= _SPACE
-    text_next = np.empty(len(points), bool)  # the next character is of the same text and not white
-    text_next[:-1] = ~white[1:]
-    text_next[-1] = False
-    text_next &= ~first[1:]
-    symbols = kind.copy()
-    symbols[white] = np.where(text_next[white], kind[white], 5)
+    first = np.zeros(len(points) + 1, np.uint8)
+    first[text_starts[text_starts < len(points)]] = 1
+    first[-1] = 1
+    text_next = np.zeros(len(points), np.uint8)  # the next character is of the same text and not white
+    text_next[:-1] = (kind[1:] < _SPACE) & (first[1:-1] == 0)
+    symbols = _look(symbol_of, kind | text_next << 3).copy()
     for i in np.flatnonzero(points == 0x27):
         pair = text[i + 1 : i + 3]
         if pair and not first[i + 1]:
@@ -129,10 +134,9 @@ def token_starts(text: str, text_starts: np.ndarray) -> np.ndarray:
                 symbols[i] = 6
             elif pair in ("re", "ve", "ll") and not first[i + 2]:
                 symbols[i] = 7
-    whole = symbols + 8 * first[:-1].astype(np.uint8)
-    scanned = _prefixes(functions[whole], compose)
+    scanned = _prefixes(_look(function_of, symbols | first[:-1] << 3), compose)
     out = first[:-1].copy()
-    out[1:] |= starts[scanned[:-1], symbols[1:]]
+    out[1:] |= _look(starts, scanned[:-1] << 3 | symbols[1:])
     return np.flatnonzero(out)
 
 
@@ -144,20 +148,20 @@ class Vocabulary:
     """
 
     #: Slices kept in the cache; beyond it the cache starts anew.
-    CACHED = 1_000_000
+    CACHED = 400_000
     #: Slices of more bytes than this are merged one by one with a heap.
     LONG = 64
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(ranks[b[:i]] << 32 | ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         # Open addressing: a look-up is a few gathers, cheaper than a binary search.
         self.bits = int(4 * max(1, len(table)) - 1).bit_length()
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.full(1 << self.bits, _NO_PAIR, np.int64)
+        self.values = np.full(1 << self.bits, _NO_PAIR, np.int32)
         rest, shift = np.arange(len(table)), 0
         at = self._slot(table[:, 0])
         while len(rest):
@@ -170,16 +174,16 @@ class Vocabulary:
             rest, at = rest[left], (at[left] + 1) & ((1 << self.bits) - 1)
             shift += 1
         self.probes = shift + 1
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[bytes, bytes] = {}  # ids as native 32-bit numbers
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id of each merged pair, or _NO_PAIR."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = self._slot(key)
-        out = np.full(len(key), _NO_PAIR, np.int64)
+        out = np.full(len(key), _NO_PAIR, np.int32)
         open_ = np.arange(len(key))
         for _ in range(self.probes):
             found = self.keys[at]
@@ -191,60 +195,57 @@ class Vocabulary:
             open_, at = open_[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def learn(self, slices: list[str]) -> None:
+    def learn(self, slices: list[bytes]) -> None:
         """Merge slices that are not cached yet."""
-        short, long_ = [], []
-        for s in slices:
-            b = s.encode("utf-8", "surrogatepass")
+        short = []
+        for b in slices:
             if b in self.ranks:
-                self.cache[s] = (self.ranks[b],)
+                self.cache[b] = array("i", (self.ranks[b],)).tobytes()
+            elif len(b) > self.LONG:
+                self.cache[b] = array("i", self._merge_long(b)).tobytes()
             else:
-                (long_ if len(b) > self.LONG else short).append((s, b))
-        for s, b in long_:
-            self.cache[s] = self._merge_long(b)
-        short.sort(key=lambda x: len(x[1]))
+                short.append(b)
+        short.sort(key=len)
         for i in range(0, len(short), 20_000):
             part = short[i : i + 20_000]
-            for (s, _), ids in zip(part, self._merge([b for _, b in part]), strict=True):
-                self.cache[s] = ids
+            self.cache.update(zip(part, self._merge(part), strict=True))
 
-    def _merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
         """All pieces side by side: each round makes the best merge of every piece that has one."""
         sizes = np.array([len(b) for b in pieces])
         width = int(sizes.max())
-        ids = np.full((len(pieces), width), -1, np.int64)
-        ids[np.arange(width)[None, :] < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        rank = np.full((len(pieces), width), _NO_PAIR, np.int64)
+        columns = np.arange(width)
+        ids = np.full((len(pieces), width + 1), -1, np.int32)
+        ids[:, :-1][columns[None, :] < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = np.full((len(pieces), width), _NO_PAIR, np.int32)
         rows, cols = np.nonzero(ids[:, 1:] >= 0)
         rank[rows, cols] = self._rank(ids[rows, cols], ids[rows, cols + 1])
-        active = np.arange(len(pieces))
-        left = np.arange(width)
-        while len(active):
-            at = rank[active].argmin(1)
-            best = rank[active, at]
+        out: list[bytes] = [b""] * len(pieces)
+        names = np.arange(len(pieces))
+        while True:
+            at = rank.argmin(1)
+            best = rank[np.arange(len(rank)), at]
             go = best < _NO_PAIR
-            active, at, best = active[go], at[go], best[go]
-            if not len(active):
-                break
-            # Drop the right half of the pair and close the gap.
-            source = np.minimum(left[None, :] + (left[None, :] > at[:, None]), width - 1)
-            part = np.take_along_axis(ids[active], source, 1)
-            part[:, -1] = -1
-            part[np.arange(len(active)), at] = best
-            ids[active] = part
-            moved = np.take_along_axis(rank[active], source, 1)
-            moved[:, -1] = _NO_PAIR
-            for k in (at - 1, at):
-                ok = (k >= 0) & (k + 1 < width)
-                r, c = np.flatnonzero(ok), k[ok]
-                a, b = part[r, c], part[r, c + 1]
-                value = np.full(len(r), _NO_PAIR, np.int64)
-                both = b >= 0
-                value[both] = self._rank(a[both], b[both])
-                moved[r, c] = value
-            rank[active] = moved
-        kept = (ids >= 0).sum(1)
-        return [tuple(x[:n]) for x, n in zip(ids.tolist(), kept.tolist(), strict=True)]
+            if not go.all():
+                over = ~go
+                sizes = (ids[over] >= 0).sum(1).tolist()
+                flat, wide = ids[over].tobytes(), 4 * ids.shape[1]
+                for k, (name, n) in enumerate(zip(names[over].tolist(), sizes, strict=True)):
+                    out[name] = flat[k * wide : k * wide + 4 * n]
+                ids, rank, names, at, best = ids[go], rank[go], names[go], at[go], best[go]
+            if not len(names):
+                return out
+            # Drop the right half of the pair and close the gap; then two pairs are new.
+            late = columns[None, :] > at[:, None]
+            ids[:, :-1] = np.where(late, ids[:, 1:], ids[:, :-1])
+            rank[:, :-1] = np.where(late[:, :-1], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = _NO_PAIR
+            row = np.arange(len(names))
+            ids[row, at] = best
+            right = ids[row, at + 1]
+            rank[row, at] = np.where(right >= 0, self._rank(best, right), _NO_PAIR)
+            inner = np.flatnonzero(at > 0)
+            rank[inner, at[inner] - 1] = self._rank(ids[inner, at[inner] - 1], best[inner])
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """One long piece: a heap of pairs over a linked list, n log n."""
@@ -267,13 +268,15 @@ class Vocabulary:
                     heapq.heappush(heap, (r, x, len(part[x]), len(part[y])))
         return tuple(self.ranks[x] for x in part if x is not None)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[tuple[int, ...]], np.ndarray]]:
-        """For each text, the ids of its slices and the slices' starts (code points)."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """For each text, the ids of its slices (native 32-bit numbers) and the slices' starts (code points)."""
         firsts = np.cumsum([0, *map(len, texts)])
         whole = "".join(texts)
         at = token_starts(whole, firsts[:-1])
-        edges = [*at.tolist(), len(whole)]
-        slices = [whole[i:j] for i, j in zip(edges, edges[1:])]  # noqa: B905
+        data = whole.encode("utf-8", "surrogatepass")
+        leads = at if len(data) == len(whole) else np.flatnonzero((np.frombuffer(data, np.int8) >= -64))[at]  # other bytes continue a character
+        edges = [*leads.tolist(), len(data)]
+        slices = [data[i:j] for i, j in zip(edges, edges[1:])]  # noqa: B905
         if len(self.cache) > self.CACHED:
             self.cache.clear()
         coded = list(map(self.cache.get, slices))
@@ -288,7 +291,7 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_NO_PAIR = 1 << 40
+_NO_PAIR = 1 << 30
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -342,7 +345,7 @@ def coded_texts(texts: list[str], path: str) -> Iterator[tuple[np.ndarray, np.nd
     v = vocabulary(path)
     for _, block in blocks(texts):
         for coded, starts in v.encode(block):
-            yield np.fromiter(itertools.chain.from_iterable(coded), np.int32), np.fromiter(map(len, coded), np.int32, len(coded)), starts
+            yield np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int32, len(coded)) // 4, starts
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
