@@ -129,3 +129,43 @@ WITH RECURSIVE d AS MATERIALIZED (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.b, d.doc_id) AS component_id, coalesce(least.b, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.k = d.k LEFT JOIN least ON least.a = d.doc_id AND n.k IS NOT NULL
 """
+
+op3_license_scan = r"""
+WITH t(name, label, notice) AS (
+  VALUES ('gpl short', 'gpl', 'This work is licensed under the GNU General Public License, version 3.'),
+  ('gpl notice', 'gpl', 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation'),
+  ('apache short', 'apache', 'Licensed under the Apache License, Version 2.0.'),
+  ('apache notice', 'apache', 'Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License'),
+  ('mit short', 'mit', 'Released under the MIT License.'),
+  ('mit grant', 'mit', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files'),
+  ('cc-by notice', 'cc-by', 'This work is licensed under a Creative Commons Attribution 4.0 International License'),
+  ('cc-by-nc short', 'cc-by-nc', 'Licensed under CC BY-NC 4.0.'),
+  ('bsd conditions', 'bsd', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met')
+), tw AS (
+  SELECT name, label, list_distinct(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS w FROM t
+), ph(phrase, label) AS (
+  VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')
+), d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), p AS (
+  SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), places AS (
+  SELECT k, i - 1 AS place, label FROM p JOIN ph ON w[i:i + len(phrase) - 1] = phrase
+), base AS (
+  SELECT k, count(*) AS n, min(place) AS a, max(place) AS b, list(DISTINCT label) AS l FROM places GROUP BY k
+), blocks AS (
+  SELECT k, w[i:i + 63] AS w FROM p WHERE i % 32 = 1
+), met AS (
+  SELECT k, label, len(list_intersect(tw.w, blocks.w)) / len(tw.w) AS c FROM blocks, tw
+  WHERE len(list_intersect(tw.w, blocks.w)) >= ceil(0.9 * len(tw.w) - 1e-9)
+), more AS (
+  SELECT k, list(DISTINCT label) AS l, max(c) AS c FROM met GROUP BY k
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a::BIGINT AS first_word, base.b::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(base.l, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(more.l, [])))), ',') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(more.c, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base ON base.k = d.k LEFT JOIN more ON more.k = d.k
+"""
