@@ -94,7 +94,8 @@ def ranked(pieces: DataFrame, by: str = "length") -> DataFrame:
     """
     names = pieces.columns
     order = [by, *(c for c in names if c != by)]
-    rows = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Dealing by range reads its input twice, the first time for a sample of the keys.
+    rows = cut(pieces).repartitionByRange(*order).sortWithinPartitions(*order)
     at = names.index(by)
 
     def number(batches):
