@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import bytepairs, chat, licenses, neardup, oracles, packing, quality, substrings, topk, urlfilter
+from corpusward.llm import bytepairs, chat, licenses, maxent, neardup, oracles, packing, quality, substrings, topk, urlfilter
 from corpusward.sources.tables import table
 
 #: Fixed values: (host, path, verdict).
@@ -24,6 +24,11 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return maxent.score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-_QUERIES = [op1_top_k, op3_license_scan, op4_minhash_near_dedup, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup]
+_QUERIES = [op1_top_k, op2_lm_scoring, op3_license_scan, op4_minhash_near_dedup, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
