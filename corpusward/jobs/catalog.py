@@ -4,14 +4,234 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-FLAGSHIP = ""
+from corpusward.functions.lineage import cut
+from corpusward.jobs import corpora, oracles
+from corpusward.operators import hygiene, references, registry, report
+from corpusward.sources import documents
+from corpusward.sources.tables import table
+
+FLAGSHIP = "missing_contracts_gate"
+ODCS = hygiene.Facts(version="3.1.0")
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in vars(oracles).items() if k in _QUERIES}
+
+
+# Report algebra.
+
+
+@query
+def r1_at_or_above(spark, sf_dir):
+    return report.at_or_above(corpora.event_findings(spark, sf_dir), "warning").select("doc_id", "severity", "code", "seq")
+
+
+@query
+def r2_severity_counts(spark, sf_dir):
+    return report.severity_counts(corpora.event_findings(spark, sf_dir))
+
+
+@query
+def r3_worst_severity(spark, sf_dir):
+    return report.worst_severity(corpora.event_findings(spark, sf_dir), ["doc_id", "spec_id"])
+
+
+@query
+def r4_gate(spark, sf_dir):
+    return report.gate(corpora.event_findings(spark, sf_dir), "error", ["doc_id"])
+
+
+@query
+def r5_merge_reports(spark, sf_dir):
+    f = corpora.event_findings(spark, sf_dir)
+    return report.merge_reports(report.by_severity(f, "error"), f.where("spec_id = 'odcs'")).select("doc_id", "spec_id", "code", "seq")
+
+
+@query
+def r6_sort_findings(spark, sf_dir):
+    order = Window.partitionBy("doc_id").orderBy(F.desc("severity_rank"), "seq")
+    return report.sort_findings(corpora.event_findings(spark, sf_dir)).select("doc_id", "seq", F.row_number().over(order).alias("position"))
+
+
+def _enveloped(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select(F.concat(F.lit("u-"), F.col("o_custkey").cast("string")).alias("doc_id"))
+    return docs, corpora.event_findings(spark, sf_dir)
+
+
+@query
+def r7_run_envelope(spark, sf_dir):
+    return report.run_envelope(*_enveloped(spark, sf_dir), "error")
+
+
+@query
+def r7_run_summary(spark, sf_dir):
+    return report.run_summary(*_enveloped(spark, sf_dir), "error")
+
+
+@query
+def r8_findings_for_pointer(spark, sf_dir):
+    return report.findings_for_pointer(corpora.event_findings(spark, sf_dir), "/spec/3/").select("doc_id", "code", "seq")
+
+
+@query
+def r10_render_finding(spark, sf_dir):
+    return corpora.event_findings(spark, sf_dir).select("seq", report.render_finding().alias("text"), report.render_spec().alias("spec"))
+
+
+# Documents, routing and references between them.
+
+
+def _corpus(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = corpora.contracts(spark, sf_dir).unionByName(corpora.products(spark, sf_dir))
+    nodes = cut(documents.to_nodes(docs))
+    return documents.route_documents(docs.select("doc_id"), nodes), nodes
+
+
+def _contract_nodes(spark, sf_dir) -> DataFrame:
+    return documents.to_nodes(corpora.contracts(spark, sf_dir))
+
+
+@query
+def s2_route_documents(spark, sf_dir):
+    return _corpus(spark, sf_dir)[0].select("doc_id", "standard")
+
+
+@query
+def s2_routing_problems(spark, sf_dir):
+    return documents.routing_problems(_corpus(spark, sf_dir)[0]).select("doc_id", "code", "severity")
+
+
+@query
+def v1_parse_findings(spark, sf_dir):
+    return documents.parse_findings(_contract_nodes(spark, sf_dir), "odcs").select("doc_id", "code", "severity")
+
+
+@query
+def x3_contract_references(spark, sf_dir):
+    return references.contract_references(documents.to_nodes(corpora.products(spark, sf_dir))).select("doc_id", "pointer", "contract_id")
+
+
+def _resolved(spark, sf_dir, keep) -> DataFrame:
+    routed, nodes = _corpus(spark, sf_dir)
+    contracts = keep(references.declared_contracts(routed, nodes))
+    out = references.resolve_contracts(references.contract_references(nodes), contracts)
+    return out
+
+
+def _listed(resolved: DataFrame) -> DataFrame:
+    return resolved.select("doc_id", "pointer", "contract_id", "state", "reason", F.array_join("target", ",").alias("targets"))
+
+
+@query
+def x4_resolve_contracts(spark, sf_dir):
+    return _listed(_resolved(spark, sf_dir, lambda c: c.where("contract_id is not null")))
+
+
+@query
+def x4_incomplete_corpus(spark, sf_dir):
+    return _listed(_resolved(spark, sf_dir, lambda c: c))
+
+
+@query
+def x4_products_only(spark, sf_dir):
+    return _listed(_resolved(spark, sf_dir, lambda c: c.where("false")))
+
+
+@query
+def x5_contract_id_collisions(spark, sf_dir):
+    return references.contract_id_collisions(references.declared_contracts(*_corpus(spark, sf_dir))).select("doc_id", "code", "message")
+
+
+@query
+def missing_contracts_gate(spark, sf_dir):
+    """Which products name contracts that do not exist, and whether warnings gate them."""
+    found = references.contract_findings(_resolved(spark, sf_dir, lambda c: c.where("contract_id is not null"))).where("severity_rank >= 1")
+    gated = report.gate(found, "warning", ["doc_id"])
+    return gated.join(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("missing")), "doc_id").select("doc_id", "worst", "missing", "gated")
+
+
+# Hygiene.
+
+
+@query
+def h1_version_behind(spark, sf_dir):
+    return hygiene.version_behind(_contract_nodes(spark, sf_dir), ODCS, "odcs").select("doc_id", "code", "pointer")
+
+
+@query
+def h2_absent_sections(spark, sf_dir):
+    return hygiene.absent_sections(_contract_nodes(spark, sf_dir), ODCS, "odcs").select("doc_id", "code", "pointer")
+
+
+@query
+def h3_unconventional_status(spark, sf_dir):
+    return hygiene.unconventional_status(_contract_nodes(spark, sf_dir), ODCS, "odcs").select("doc_id", "code", "pointer")
+
+
+@query
+def h4_duplicate_stable_ids(spark, sf_dir):
+    return hygiene.duplicate_stable_ids(_contract_nodes(spark, sf_dir)).select("doc_id", "code", "pointer", "message")
+
+
+# Provenance.
+
+
+@query
+def p1_registry_field_rules(spark, sf_dir):
+    return registry.registry_field_rules(corpora.registry(spark, sf_dir)[0]).select("doc_id", "code", "pointer")
+
+
+@query
+def p2_pin_rules(spark, sf_dir):
+    return registry.pin_rules(corpora.registry(spark, sf_dir)[0]).select("doc_id", "code", "pointer")
+
+
+@query
+def p3_provenance_gaps(spark, sf_dir):
+    return registry.provenance_gaps(corpora.registry(spark, sf_dir)[0]).select("doc_id", "code", "pointer")
+
+
+@query
+def p3_gap_totals(spark, sf_dir):
+    return registry.gap_totals(corpora.registry(spark, sf_dir)[0])
+
+
+@query
+def p4_duplicate_entry_ids(spark, sf_dir):
+    return registry.duplicate_entry_ids(corpora.registry(spark, sf_dir)[0]).select("doc_id", "code", "pointer", "message")
+
+
+@query
+def p5_verify_digests(spark, sf_dir):
+    return registry.verify_digests(*corpora.registry(spark, sf_dir)).select("id", "path", "status", "bytes")
+
+
+@query
+def p5_digest_findings(spark, sf_dir):
+    return registry.digest_findings(registry.verify_digests(*corpora.registry(spark, sf_dir))).select("doc_id", "code", "pointer")
+
+
+@query
+def p6_reconcile_manifest(spark, sf_dir):
+    entries, artefacts = corpora.registry(spark, sf_dir)
+    return registry.reconcile_manifest(entries.where("idx % 3 <> 0").select(F.col("vendored_path").alias("path"), "sha256"), artefacts)
+
+
+@query
+def p8_catalogue(spark, sf_dir):
+    entries, artefacts = corpora.registry(spark, sf_dir)
+    return registry.catalogue(entries, registry.verify_digests(entries, artefacts)).select("idx", "id", "gaps", "status", "has_validator", "version", "licence", "upstream")
