@@ -166,7 +166,7 @@ UNION ALL SELECT id, 'REG004', place || 'notes' FROM gap WHERE len(gaps) > 0 AND
 
 p3_gap_totals = f"WITH {REGISTRY} SELECT count(*) FILTER (WHERE len(gaps) > 0) AS entries_with_gaps, sum(len(gaps))::BIGINT AS total_gaps, count(*) FILTER (WHERE k % 8 = 0) AS pollable FROM gap"
 
-p4_duplicate_entry_ids = f"WITH {REGISTRY} SELECT id AS doc_id, 'REG005' AS code, place || 'id' AS pointer, 'the id is that of entry ' || (k - 1) AS message FROM g WHERE k % 50 = 0"
+p4_duplicate_entry_ids = f"WITH {REGISTRY} SELECT id AS doc_id, 'REG005' AS code, place || 'id' AS pointer, 'the id is that of entry ' || (k - 1) AS message FROM g WHERE k % 50 = 0 AND k > 0"
 
 _STATUS = "CASE WHEN actual IS NULL OR k % 23 = 0 OR k % 29 = 0 THEN 'missing' WHEN k % 11 = 0 OR k % 37 = 0 THEN 'drifted' ELSE 'matched' END"
 p5_verify_digests = f"WITH {REGISTRY} SELECT id, path, {_STATUS} AS status, CASE WHEN k % 23 <> 0 AND k % 29 <> 0 THEN bytes END AS bytes FROM g"
