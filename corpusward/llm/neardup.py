@@ -10,8 +10,10 @@ threshold do but once in a million.  What is left is confirmed on the full shing
 
 Only links that can change the components are looked for.  Documents of equal sets are
 one node.  Each key's documents first meet its centre, the one that shares most keys
-with others; documents of a key that are still apart meet each other in tiles, so that
-a common key is spread over tasks and no list of all pairs is made.
+with others.  Documents with a common centre that are still apart meet each other in
+tiles, so that a large group is spread over tasks: first by signature, which leaves the
+documents with a near one, then with their sets, which gives links.  Pairs are made and
+judged inside a task and never listed.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from corpusward.llm import words as W
 from corpusward.llm.graph import components
 
 SYMBOLS, CHUNK, INDEXED = 64, 4, 32
-#: Documents of one key that one task compares with each other.
-TILE = 512
+#: Documents, and shingles, of one centre in a tile; a task compares two tiles with each other.
+TILE, TILE_SHINGLES = 512, 1_000_000
 #: Ids up to this many (about 30 MB as a hash table) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -139,19 +141,24 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs.distinct())
-    ids = _few(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """A checkpoint of (doc_id, shingles), sorted hashes, for the documents in ``ids``."""
 
-    def sets(batches):
+    def task(batches):
         for batch in batches:
             names = batch.column(0)
             for first, block in W.blocks(batch.column(1).to_pylist()):
                 x, _, edges = _shingles(block, size)
-                yield pa.RecordBatch.from_arrays([names.slice(first, len(block)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.view(np.int64)))], ["doc_id", "shingles"])
+                x = (x ^ W.U(1 << 63)).view(np.int64)  # signed numbers in the order of the unsigned ones
+                yield pa.RecordBatch.from_arrays([names.slice(first, len(block)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x))], ["doc_id", "shingles"])
 
-    full = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>"))
+    return cut(docs.join(_few(ids), "doc_id", "left_semi").mapInArrow(task, "doc_id long, shingles array<long>"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    pairs = cut(pairs.distinct())
+    full = shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), size)
     met = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def compare(batches):
@@ -167,62 +174,138 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def _star_pairs(live: DataFrame) -> DataFrame:
-    """Every document of a key with the key's centre: (key, a, b) where b is the centre."""
+    """Each document with the centres of its keys: (a, b) where b is a centre; a centre is with itself."""
     shared = live.groupBy("node").agg(F.sum("n").alias("shared"))
     ranked = live.join(shared, "node")
     centres = ranked.groupBy("key").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("centre"))
-    return live.join(centres, "key").select("key", F.col("node").alias("a"), F.col("centre").alias("b"))
+    return live.join(centres, "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def _tile_pairs(rows: DataFrame, apart: int) -> DataFrame:
-    """Near pairs within each key of ``rows`` (key, n, node, component, signature) across components.
+def _dealt(rows: DataFrame, tiles) -> DataFrame:
+    """``rows`` (centre, node, ...) with (low, high): pairs of tiles, each next to its like and in one task.
 
-    The documents of a key are dealt over tiles and each pair of tiles meets in one
-    group of at most about 2 * TILE rows, whatever the key's size.
+    The documents of a centre are dealt over tiles by hash and each pair of tiles meets
+    once, in a group that does not grow with the number of documents.
     """
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "component", "signature")
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-
-    def task(batches):
-        held = None
-        for batch in _with_end(batches):
-            table = batch if held is None else held if batch is None else pa.concat_batches([held, batch])
-            if table is None or not table.num_rows:
-                continue
-            group = np.stack([table.column(i).to_numpy() for i in range(3)])
-            change = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
-            # The last group may go on in the next batch.
-            end = table.num_rows if batch is None else int(change[-1]) if len(change) else 0
-            held = table.slice(end)
-            if end:
-                yield _pairs_of(table.slice(0, end), apart)
-
-    return dealt.mapInArrow(task, "a long, b long").distinct()
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
-def _pairs_of(table: pa.RecordBatch, apart: int) -> pa.RecordBatch:
-    group = np.stack([table.column(i).to_numpy() for i in range(3)])
-    node, component, s = table.column(3).to_numpy(), table.column(4).to_numpy(), _symbols(table.column(5))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    live = np.arange(len(node))
-    for d in range(1, len(node)):
-        live = live[live + d < len(node)]
+    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int"))))
+    out = out.select("centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *(c for c in rows.columns if c not in ("centre", "tiles")))
+    return out.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high")
+
+
+def _whole_groups(batches):
+    """Batches that hold whole groups: rows of the last group wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        group = _group(batch)
+        change = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
+        before = held[-2] if len(held) > 1 else None
+        if before is not None and (_group(before.slice(before.num_rows - 1))[:, 0] != group[:, 0]).any():
+            yield pa.concat_batches(held[:-1])
+            held = held[-1:]
+        if len(change):
+            end = int(change[-1])
+            yield pa.concat_batches([*held[:-1], batch.slice(0, end)])
+            held = [batch.slice(end)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _group(table: pa.RecordBatch) -> np.ndarray:
+    return np.stack([table.column(i).to_numpy() for i in range(3)])
+
+
+def _near_in_groups(table: pa.RecordBatch, apart: int):
+    """Pairs of rows of one group and different components whose signatures are near, a few at a time."""
+    group, component, s = _group(table), table.column(4).to_numpy(), _symbols(table.column(5))
+    live = np.arange(len(component))
+    for d in range(1, len(component)):
+        live = live[live + d < len(component)]
         live = live[(group[:, live] == group[:, live + d]).all(0)]
         if not len(live):
-            break
+            return
         i = live[component[live] != component[live + d]]
         i = i[(s[i] != s[i + d]).sum(1) <= apart]
-        a.append(np.minimum(node[i], node[i + d]))
-        b.append(np.maximum(node[i], node[i + d]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        if len(i):
+            yield i, i + d
+
+
+def _with_near_partner(rows: DataFrame, apart: int) -> DataFrame:
+    """(centre, node) of the ``rows`` (centre, n, node, component, signature) with a near one in another component.
+
+    Only documents come out, one row for each pair of tiles at most, never pairs.
+    """
+
+    def task(batches):
+        for table in _whole_groups(batches):
+            flag = np.zeros(table.num_rows, bool)
+            for i, j in _near_in_groups(table, apart):
+                flag[i] = flag[j] = True
+            yield pa.RecordBatch.from_arrays([table.column(i).filter(pa.array(flag)) for i in (0, 3)], ["centre", "node"])
+
+    tiles = F.ceil(F.col("n") / TILE)
+    return _dealt(rows.withColumn("tiles", tiles).drop("n"), F.col("tiles")).mapInArrow(task, "centre long, node long").distinct()
+
+
+def _links_in_tiles(rows: DataFrame, apart: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components, among ``rows`` (centre, tiles, node, component, signature, shingles).
+
+    Near pairs are confirmed where they meet, on the full sets; a pair that links found
+    so far have joined is left out, so a group gives fewer links than it has documents.
+    """
+
+    def task(batches):
+        for table in _whole_groups(batches):
+            node, component, sets = table.column(3).to_numpy(), table.column(4).to_numpy(), table.column(6)
+            values, at = sets.flatten().to_numpy(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+            up: dict[int, int] = {}
+
+            def root(c, up=up):
+                while c in up:
+                    c = up[c]
+                return c
+
+            a, b = [], []
+            for left, right in _near_in_groups(table, apart):
+                for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                    p, q = root(component[i]), root(component[j])
+                    if p == q:
+                        continue
+                    x, y = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
+                    if len(x) > len(y):
+                        x, y = y, x
+                    if 100 * len(x) < percent * len(y):
+                        continue
+                    place = np.searchsorted(y, x)
+                    both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        up[max(p, q)] = min(p, q)
+                        a.append(node[i])
+                        b.append(node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _dealt(rows, F.col("tiles")).mapInArrow(task, "a long, b long")
+
+
+def _residual_links(stars: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between documents that share a centre and are still in different components.
+
+    Documents that share a key share its centre, so groups by centre miss no candidate.
+    """
+    apart = most_apart(percent)
+    marks = classes.select("node", "signature")
+    labelled = stars.where("a <> b").join(labels, stars["a"] == labels["node"], "left").select(F.col("b").alias("centre"), F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
+    several = labelled.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("centre", "n")
+    rest = cut(labelled.join(several, "centre").join(marks, "node").select("centre", "n", "node", "component", "signature"))
+    hot = cut(_with_near_partner(rest, apart))
+    sets = shingle_sets(docs, hot.select(F.col("node").alias("doc_id")).distinct(), size)
+    # Tiles hold a bounded number of documents and of shingles.
+    weight = hot.join(sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("k")), "node").groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("k") / TILE_SHINGLES)).alias("tiles"))
+    full = hot.join(weight, "centre").join(rest.select("centre", "node", "component", "signature"), ["centre", "node"]).join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    return _links_in_tiles(full.select("centre", "tiles", "node", "component", "signature", "shingles"), apart, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,14 +330,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     live = cut(index.join(sizes, "key").select("key", "n", "node"))
     stars = cut(_star_pairs(live))
     marks = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    pairs = stars.where("a <> b").select("a", "b").distinct().join(marks, "a").join(marks.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
+    pairs = stars.where("a <> b").join(marks, "a").join(marks.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
     links = cut(confirmed(_near(pairs, most_apart(percent)), rows, size, percent))
-    labels = components(links)
-    # Keys whose documents are in one component are done; a centre has met all others.
-    labelled = stars.join(labels, stars["a"] == labels["node"], "left").select("key", F.col("a").alias("node"), "b", F.coalesce("component", "a").alias("component"))
-    apart = labelled.where("node <> b").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    rest = labelled.where("node <> b").join(apart, "key").join(marks.select(F.col("a").alias("node"), F.col("sa").alias("signature")), "node").select("key", "n", "node", "component", "signature")
-    more = confirmed(_tile_pairs(rest, most_apart(percent)), rows, size, percent)
+    more = cut(_residual_links(stars, components(links), classes, rows, size, percent))
     labels = components(links.union(more))
     named = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     # The smallest doc_id is that of a class, so a component's label is the answer for its rows.

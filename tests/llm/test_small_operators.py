@@ -140,11 +140,15 @@ def test_near_duplicates_chain_through_other_than_the_centre(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
 
 
-def test_tile_pairs_of_a_large_key(spark, monkeypatch):
+def test_tiles_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 4)
-    same = np.zeros(neardup.SYMBOLS, "<u2").tobytes()
-    rows = spark.createDataFrame([(1, 21, i, i, same) for i in range(21)], "key long, n long, node long, component long, signature binary")
-    assert neardup._tile_pairs(rows, 3).count() == 21 * 20 // 2
+    same, other = np.zeros(neardup.SYMBOLS, "<u2").tobytes(), np.ones(neardup.SYMBOLS, "<u2").tobytes()
+    rows = [(1, i, i, same, [1, 2, 3, 4]) for i in range(21)] + [(1, 50, 50, other, [1, 2, 3, 4]), (2, 60, 60, same, [7]), (2, 61, 61, same, [8])]
+    rows = spark.createDataFrame(rows, "centre long, node long, component long, signature binary, shingles array<long>").withColumn("n", F.lit(22)).withColumn("tiles", F.lit(6))
+    near = neardup._with_near_partner(rows.select("centre", "n", "node", "component", "signature"), 3)
+    assert {r.node for r in near.collect()} == {*range(21), 60, 61}
+    links = neardup._links_in_tiles(rows.drop("n").select("centre", "tiles", "node", "component", "signature", "shingles"), 3, 85)
+    assert {r.component for r in neardup.components(links).collect()} == {0}
 
 
 def test_near_duplicates_edges(spark):
