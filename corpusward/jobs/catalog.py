@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusward.functions.lineage import cut
-from corpusward.jobs import corpora, oracles
-from corpusward.operators import hygiene, references, registry, report
+from corpusward.jobs import corpora, oracles, published
+from corpusward.operators import conformance, hygiene, models, references, registry, report
 from corpusward.sources import documents
 from corpusward.sources.tables import table
 
@@ -235,3 +235,162 @@ def p6_reconcile_manifest(spark, sf_dir):
 def p8_catalogue(spark, sf_dir):
     entries, artefacts = corpora.registry(spark, sf_dir)
     return registry.catalogue(entries, registry.verify_digests(entries, artefacts)).select("idx", "id", "gaps", "status", "has_validator", "version", "licence", "upstream")
+
+
+# Schema conformance of data products.
+
+
+def _product_rules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return cut(documents.to_nodes(corpora.products(spark, sf_dir))), conformance.rule_table(spark, published.ODPS)
+
+
+@query
+def v2_required_missing(spark, sf_dir):
+    return conformance.required_missing(*_product_rules(spark, sf_dir)).select("doc_id", "pointer", "code", "message")
+
+
+@query
+def v3_unknown_property(spark, sf_dir):
+    return conformance.unknown_property(*_product_rules(spark, sf_dir)).select("doc_id", "pointer", "code", "message")
+
+
+@query
+def v4_value_not_permitted(spark, sf_dir):
+    return conformance.value_not_permitted(*_product_rules(spark, sf_dir)).select("doc_id", "pointer", "code", "message")
+
+
+@query
+def v5_wrong_type(spark, sf_dir):
+    return conformance.wrong_type(*_product_rules(spark, sf_dir)).select("doc_id", "pointer", "code", "message")
+
+
+@query
+def v6_malformed_value(spark, sf_dir):
+    return conformance.malformed_value(*_product_rules(spark, sf_dir)).select("doc_id", "pointer", "code", "message")
+
+
+def _port_rules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A stricter schema of our own for the cardinality, range and alternative keywords."""
+    schema = {"properties": {"inputPorts": {"maxItems": 12, "minItems": 1}, "id": {"oneOf": [{"type": "string", "maxLength": 4}, {"type": "integer", "minimum": 100}], "minLength": 4, "maximum": 700}, "outputPorts": {"items": {"properties": {"inputContracts": {"uniqueItems": True, "minItems": 2}}}}}}
+    return cut(documents.to_nodes(corpora.products(spark, sf_dir))), conformance.rule_table(spark, schema)
+
+
+@query
+def v7_bad_cardinality(spark, sf_dir):
+    return conformance.bad_cardinality(*_port_rules(spark, sf_dir)).select("doc_id", "pointer", "code", "message")
+
+
+@query
+def v8_out_of_range(spark, sf_dir):
+    nodes, rules = _port_rules(spark, sf_dir)
+    return conformance.out_of_range(nodes, rules.where("branch is null")).select("doc_id", "pointer", "code", "message")
+
+
+@query
+def v9_no_matching_alternative(spark, sf_dir):
+    return conformance.no_matching_alternative(*_port_rules(spark, sf_dir)).select("doc_id", "pointer", "code", "message")
+
+
+@query
+def v_schema_findings(spark, sf_dir):
+    """All schema findings of all products, counted for each code."""
+    found = conformance.schema_findings(*_product_rules(spark, sf_dir), "odps")
+    return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Older contracts: references inside a document, and their hygiene.
+
+ODCL = hygiene.Facts(version="1.2.1", root_keys=("dataContractSpecification", "id", "info", "servers", "models", "definitions"), deprecations=(("pii", "use classification"),), server_types=("kafka",), inert_dispatch=True)
+
+
+def _lexicon(spark, sf_dir) -> DataFrame:
+    return cut(documents.to_nodes(corpora.lexicon(spark, sf_dir)))
+
+
+@query
+def x1_resolve_field_references(spark, sf_dir):
+    return references.resolve_field_references(_lexicon(spark, sf_dir)).select("doc_id", "pointer", "raw", "state", "reason", "target")
+
+
+@query
+def x2_resolve_refs(spark, sf_dir):
+    return references.resolve_refs(_lexicon(spark, sf_dir)).select("doc_id", "pointer", "raw", "state", "reason", "target")
+
+
+@query
+def x_reference_findings(spark, sf_dir):
+    nodes = _lexicon(spark, sf_dir)
+    found = report.merge_reports(references.reference_findings(references.resolve_field_references(nodes)), references.reference_findings(references.resolve_refs(nodes)))
+    return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def h5_unknown_root_keys(spark, sf_dir):
+    return hygiene.unknown_root_keys(_lexicon(spark, sf_dir), ODCL).select("doc_id", "code", "pointer")
+
+
+@query
+def h6_untyped_fields(spark, sf_dir):
+    return hygiene.untyped_fields(_lexicon(spark, sf_dir)).select("doc_id", "code", "pointer")
+
+
+@query
+def h7_deprecated_keywords(spark, sf_dir):
+    return hygiene.deprecated_keywords(_lexicon(spark, sf_dir), ODCL).select("doc_id", "code", "pointer", "message")
+
+
+@query
+def h8_uninspected_servers(spark, sf_dir):
+    return hygiene.uninspected_servers(_lexicon(spark, sf_dir), ODCL).select("doc_id", "code", "pointer")
+
+
+@query
+def h_hygiene_counts(spark, sf_dir):
+    return hygiene.hygiene(_lexicon(spark, sf_dir), ODCL, "odcl").groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def r11_checked_against(spark, sf_dir):
+    routed, _ = _corpus(spark, sf_dir)
+    status = spark.createDataFrame([("odps", "1.0.0", [("ODPS900", "schema is missing"), ("ODPS901", "digest differs")]), ("odcs", "3.1.0", [])], "standard string, version string, causes array<struct<code:string,message:string>>")
+    return report.checked_against(routed, status).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def r9_documents_by_spec(spark, sf_dir):
+    routed, _ = _corpus(spark, sf_dir)
+    return report.documents_by_spec(routed, "odps").select("doc_id").union(report.unattributed(routed).select("doc_id"))
+
+
+# Typed models.
+
+
+@query
+def m1_contract_catalogue(spark, sf_dir):
+    rows = models.contract_catalogue(documents.parsed(_contract_nodes(spark, sf_dir)))
+    return rows.select("doc_id", "id", "status", "schema_count", "property_count", F.array_join("schema_names", ",").alias("names"), "is_multi_table", F.size("extra").alias("extra_keys"))
+
+
+@query
+def m2_flatten_properties(spark, sf_dir):
+    return models.flatten_properties(cut(_contract_nodes(spark, sf_dir))).select("doc_id", "pointer", "path", "is_object", "is_array", "has_nested")
+
+
+@query
+def m3_primary_keys(spark, sf_dir):
+    return models.primary_keys(_contract_nodes(spark, sf_dir)).select("doc_id", "schema", F.array_join("keys", ",").alias("keys"))
+
+
+@query
+def m4_metric_view_sources(spark, sf_dir):
+    return models.metric_view_sources(documents.to_nodes(corpora.views(spark, sf_dir)))
+
+
+@query
+def m5_high_risk(spark, sf_dir):
+    return models.high_risk(documents.to_nodes(corpora.assets(spark, sf_dir)))
+
+
+@query
+def m5_compliance_by_framework(spark, sf_dir):
+    return models.compliance_by_framework(documents.to_nodes(corpora.assets(spark, sf_dir)))

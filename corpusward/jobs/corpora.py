@@ -114,3 +114,42 @@ def registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     artefacts = docs.groupBy("doc_id").agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text")).select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     return entry, artefacts
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of an older contract for each customer; references of all kinds by the customer's key."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    reference = _choice(k % 6, "orders.id", "orders.missing", "orders.tags.x", "orders", "orders.nested.x", "other.id")
+    ref = _choice(k % 5, "#/definitions/d", "#/definitions/p/q", "other.yaml#/x", "#", "#/definitions/no")
+    fields = F.concat(
+        F.lit('{"id":{"type":"text"},"tags":{"type":"array","items":{"type":"string"}},"nested":{"fields":{"x":{"type":"int"}}},"f1":{"type":"text","references":'), _text(reference), F.when(k % 8 == 0, ',"pii":true').otherwise(""), F.lit('},"f2":{"$ref":'), _text(ref), F.lit("}"), F.when(k % 3 == 0, ',"f3":{"description":"d"}').otherwise(""), F.lit("}"),
+    )
+    body = _json(
+        dataContractSpecification=F.when(k % 4 == 0, _text("0.9.3")).otherwise(_text("1.2.1")),
+        id=_text(F.concat(F.lit("l-"), k.cast("string"))),
+        info=F.concat(F.lit('{"title":"t"'), F.when(k % 10 == 0, ',"status":"odd"').otherwise(',"status":"active"'), F.when(k % 9 == 0, "").otherwise(',"owner":"o"'), F.lit(',"description":"d"}')),
+        servers=F.concat(F.lit('{"s":{"type":'), F.when(k % 2 == 0, _text("kafka")).otherwise(_text("files")), F.lit("}}")),
+        models=F.concat(F.lit('{"orders":{"type":"table","fields":'), fields, F.lit("}}")),
+        definitions=F.lit('{"d":{"type":"x"},"p/q":{"type":"y"}}'),
+        zzz=F.when(k % 7 == 0, F.lit("1")),
+    )
+    return c.select(F.concat(F.lit("lexicon/"), k.cast("string")).alias("doc_id"), F.concat(F.lit("{"), body, F.lit("}")).alias("text"))
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of a compute asset for each supplier."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    frameworks = F.concat(F.lit('[{"name":"gdpr","status":"'), _choice(k % 3, "compliant", "non_compliant", "assessed"), F.lit('"},{"name":"sox","status":"'), _choice(k % 4, "non_compliant", "assessed", "compliant", "compliant"), F.lit('"}]'))
+    body = _json(id=_text(F.concat(F.lit("a-"), k.cast("string"))), kind=_text("Application"), risk=F.concat(F.lit('{"classification":"'), _choice(k % 4, "high", "low", "medium", "minimal"), F.lit('"}')), compliance=F.concat(F.lit('{"frameworks":'), frameworks, F.lit("}")))
+    return s.select(F.concat(F.lit("assets/"), k.cast("string")).alias("doc_id"), F.concat(F.lit("{"), body, F.lit("}")).alias("text"))
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of a metric-view document for each nation: views with nested joins."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    inner = F.when(k % 2 == 0, ',"joins":[{"name":"j2","source":"region"}]').otherwise("")
+    body = F.concat(F.lit('{"apiVersion":"v1","metricViews":[{"name":"v","source":"orders","joins":[{"name":"j1","source":"customer"'), inner, F.lit('},{"name":"j3","source":"part"}]},{"name":"w","source":"orders"}]}'))
+    return n.select(F.concat(F.lit("views/"), k.cast("string")).alias("doc_id"), body.alias("text"))

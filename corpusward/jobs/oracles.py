@@ -187,3 +187,105 @@ SELECT k::INTEGER AS idx, id, array_to_string(gaps, ',') AS gaps, {_STATUS} AS s
        CASE WHEN k % 7 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'http://h.org' ELSE 'https://h.org' END WHEN k % 3 <> 0 THEN 'https://r.org/' || k END AS upstream
 FROM gap
 """
+
+PRODUCTS = """
+p AS (
+  SELECT c_custkey AS k, 'products/' || c_custkey AS doc_id, count(o_orderkey) AS n, 'p-' || c_custkey AS id
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+)"""
+
+v2_required_missing = f"WITH {PRODUCTS} SELECT doc_id, '/outputPorts/0' AS pointer, '101' AS code, 'lacks version' AS message FROM p WHERE k % 6 = 0"
+v3_unknown_property = f"WITH {PRODUCTS} SELECT doc_id, '' AS pointer, '102' AS code, 'unknown keys: colour' AS message FROM p WHERE k % 7 = 0"
+v4_value_not_permitted = f"WITH {PRODUCTS} SELECT doc_id, '/apiVersion' AS pointer, '103' AS code, 'v9.9.9 is not permitted' AS message FROM p WHERE k % 11 = 0"
+v5_wrong_type = f"WITH {PRODUCTS} SELECT doc_id, '/id' AS pointer, '104' AS code, 'is integer, not string' AS message FROM p WHERE k % 13 = 0"
+v6_malformed_value = f"WITH {PRODUCTS} SELECT doc_id, '/team/members/0/dateIn' AS pointer, '105' AS code, '2024-13-45 does not match date' AS message FROM p WHERE k % 17 = 0"
+v7_bad_cardinality = f"""
+WITH {PRODUCTS}
+SELECT doc_id, '/inputPorts' AS pointer, '106' AS code, CASE WHEN n > 12 THEN 'maxItems' ELSE 'minItems' END || ' is not met' AS message FROM p WHERE n > 12 OR n < 1
+UNION ALL SELECT doc_id, '/outputPorts/0/inputContracts', '106', 'minItems is not met' FROM p WHERE n < 2
+"""
+v8_out_of_range = f"""
+WITH {PRODUCTS}
+SELECT doc_id, '/id' AS pointer, '107' AS code, 'minLength is not met' AS message FROM p WHERE k % 13 <> 0 AND length(id) < 4
+UNION ALL SELECT doc_id, '/id', '107', 'maximum is not met' FROM p WHERE k % 13 = 0 AND k > 700
+"""
+v9_no_matching_alternative = f"WITH {PRODUCTS} SELECT doc_id, '/id' AS pointer, '108' AS code, 'oneOf: branches that match: 0' AS message FROM p WHERE CASE WHEN k % 13 = 0 THEN k < 100 ELSE length(id) > 4 END"
+v_schema_findings = f"""
+WITH {PRODUCTS}
+SELECT 'ODPS' || code AS code, 'error' AS severity, n FROM (
+  SELECT '101' AS code, count(*) FILTER (WHERE k % 6 = 0) AS n FROM p UNION ALL SELECT '102', count(*) FILTER (WHERE k % 7 = 0) FROM p UNION ALL SELECT '103', count(*) FILTER (WHERE k % 11 = 0) FROM p
+  UNION ALL SELECT '104', count(*) FILTER (WHERE k % 13 = 0) FROM p UNION ALL SELECT '105', count(*) FILTER (WHERE k % 17 = 0) FROM p
+)
+"""
+
+LEXICON = """
+x AS (SELECT c_custkey AS k, 'lexicon/' || c_custkey AS doc_id FROM customer)"""
+
+x1_resolve_field_references = f"""
+WITH {LEXICON}, t(m, raw, state, reason, target) AS (
+  VALUES (0, 'orders.id', 'resolved', NULL, '/models/orders/fields/id'), (1, 'orders.missing', 'does-not-exist', NULL, NULL), (2, 'orders.tags.x', 'not-inspected', 'unsupported', NULL),
+         (3, 'orders', 'not-inspected', 'unsupported', NULL), (4, 'orders.nested.x', 'resolved', NULL, '/models/orders/fields/nested/fields/x'), (5, 'other.id', 'does-not-exist', NULL, NULL)
+)
+SELECT doc_id, '/models/orders/fields/f1/references' AS pointer, raw, state, reason, target FROM x JOIN t ON m = k % 6
+"""
+
+x2_resolve_refs = f"""
+WITH {LEXICON}, t(m, raw, state, reason, target) AS (
+  VALUES (0, '#/definitions/d', 'resolved', NULL, '/definitions/d'), (1, '#/definitions/p/q', 'resolved', NULL, '/definitions/p~1q'), (2, 'other.yaml#/x', 'not-inspected', 'outside-document-set', NULL),
+         (3, '#', 'not-inspected', 'unsupported', NULL), (4, '#/definitions/no', 'does-not-exist', NULL, NULL)
+)
+SELECT doc_id, '/models/orders/fields/f2/$ref' AS pointer, raw, state, reason, target FROM x JOIN t ON m = k % 5
+"""
+
+x_reference_findings = f"""
+WITH {LEXICON}
+SELECT code, severity, count(*) AS n FROM (
+  SELECT ['ODCL303', 'ODCL300', 'ODCL302', 'ODCL302', 'ODCL303', 'ODCL300'][k % 6 + 1] AS code, ['info', 'warning', 'info', 'info', 'info', 'warning'][k % 6 + 1] AS severity FROM x
+  UNION ALL SELECT ['ODCL303', 'ODCL303', 'ODCL302', 'ODCL302', 'ODCL301'][k % 5 + 1], ['info', 'info', 'info', 'info', 'warning'][k % 5 + 1] FROM x
+) GROUP BY code, severity
+"""
+
+h5_unknown_root_keys = f"WITH {LEXICON} SELECT doc_id, 'ODCL206' AS code, '/zzz' AS pointer FROM x WHERE k % 7 = 0"
+h6_untyped_fields = f"WITH {LEXICON} SELECT doc_id, 'ODCL207' AS code, '/models/orders/fields/f3' AS pointer FROM x WHERE k % 3 = 0"
+h7_deprecated_keywords = f"WITH {LEXICON} SELECT doc_id, 'ODCL208' AS code, '/models/orders/fields/f1/pii' AS pointer, 'use classification' AS message FROM x WHERE k % 8 = 0"
+h8_uninspected_servers = f"WITH {LEXICON} SELECT doc_id, 'ODCL304' AS code, '/servers/s' AS pointer FROM x WHERE k % 2 = 0"
+h_hygiene_counts = f"""
+WITH {LEXICON}
+SELECT code, CASE code WHEN 'ODCL304' THEN 'info' ELSE 'warning' END AS severity, n FROM (
+  SELECT 'ODCL200' AS code, count(*) FILTER (WHERE k % 4 = 0) AS n FROM x UNION ALL SELECT 'ODCL203', count(*) FILTER (WHERE k % 9 = 0) FROM x UNION ALL SELECT 'ODCL205', count(*) FILTER (WHERE k % 10 = 0) FROM x
+  UNION ALL SELECT 'ODCL206', count(*) FILTER (WHERE k % 7 = 0) FROM x UNION ALL SELECT 'ODCL207', count(*) FILTER (WHERE k % 3 = 0) FROM x UNION ALL SELECT 'ODCL208', count(*) FILTER (WHERE k % 8 = 0) FROM x
+  UNION ALL SELECT 'ODCL304', count(*) FILTER (WHERE k % 2 = 0) FROM x
+)
+"""
+
+r11_checked_against = f"""
+WITH {CONTRACTS}, n AS (SELECT count(*) AS products, (SELECT count(*) FROM c WHERE NOT broken) AS contracts FROM customer)
+SELECT 'CLI006' AS code, 'error' AS severity, products AS n FROM n UNION ALL SELECT 'ODPS900', 'error', products FROM n UNION ALL SELECT 'ODPS901', 'error', products FROM n UNION ALL SELECT 'ODCS904', 'info', contracts FROM n
+"""
+
+r9_documents_by_spec = f"WITH {CONTRACTS} SELECT 'products/' || c_custkey AS doc_id FROM customer UNION ALL SELECT doc_id FROM c WHERE broken"
+
+m1_contract_catalogue = f"""
+WITH {CONTRACTS}
+SELECT doc_id, contract_id AS id, CASE o_orderstatus WHEN 'F' THEN 'retired' WHEN 'O' THEN 'active' ELSE 'in-review' END AS status, 1::BIGINT AS schema_count,
+       (SELECT count(*) FROM item WHERE item.doc_id = c.doc_id) AS property_count, 't' AS names, false AS is_multi_table, 0 AS extra_keys
+FROM c WHERE NOT broken
+"""
+
+m2_flatten_properties = f"WITH {CONTRACTS} SELECT doc_id, '/schema/0/properties/' || i AS pointer, 't.c' || l_linenumber AS path, false AS is_object, false AS is_array, false AS has_nested FROM item WHERE k % 97 <> 0"
+
+m3_primary_keys = f"""
+WITH {CONTRACTS}
+SELECT doc_id, '/schema/0' AS schema, string_agg('c' || l_linenumber, ',' ORDER BY l_partkey % 3, i) AS keys FROM item WHERE k % 97 <> 0 AND l_suppkey % 3 = 0 GROUP BY doc_id
+"""
+
+m4_metric_view_sources = """
+SELECT 'views/' || n_nationkey AS doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS position, unnest(l) AS source
+FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN ['orders', 'customer', 'region', 'part', 'orders'] ELSE ['orders', 'customer', 'part', 'orders'] END AS l FROM nation)
+"""
+
+m5_high_risk = "SELECT 'assets/' || s_suppkey AS doc_id FROM supplier WHERE s_suppkey % 4 = 0"
+m5_compliance_by_framework = """
+SELECT 'gdpr' AS framework, count(*) AS assets, count(*) FILTER (WHERE s_suppkey % 3 = 1) AS non_compliant FROM supplier
+UNION ALL SELECT 'sox', count(*), count(*) FILTER (WHERE s_suppkey % 4 = 0) FROM supplier
+"""
