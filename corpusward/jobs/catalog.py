@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusward.functions import pointers, text
 from corpusward.functions.lineage import cut
 from corpusward.jobs import corpora, oracles, published
-from corpusward.operators import conformance, hygiene, models, references, registry, report
+from corpusward.operators import conformance, execution, hygiene, models, references, registry, report
 from corpusward.sources import documents
 from corpusward.sources.tables import table
 
@@ -394,3 +395,111 @@ def m5_high_risk(spark, sf_dir):
 @query
 def m5_compliance_by_framework(spark, sf_dir):
     return models.compliance_by_framework(documents.to_nodes(corpora.assets(spark, sf_dir)))
+
+
+# Executing declarations over the star schema.
+
+VIEW = {
+    "source": "orders",
+    "filter": "o_orderstatus <> 'P'",
+    "joins": [{"name": "c", "source": "customer", "on": "o_custkey = c.c_custkey", "joins": [{"name": "n", "source": "nation", "on": "c.c_nationkey = n.n_nationkey"}]}],
+    "dimensions": [{"name": "nation", "expr": "n_name"}, {"name": "segment", "expr": "c_mktsegment"}, {"name": "month", "expr": "date_format(o_orderdate, 'yyyy-MM')"}],
+    "measures": [
+        {"name": "revenue", "expr": "round(sum(o_totalprice), 2)"},
+        {"name": "orders", "expr": "count(1)"},
+        {"name": "running", "expr": "count(1)", "window": [{"order": "month", "range": "cumulative", "semiadditive": "last"}]},
+    ],
+    "materialization": {"materialized_views": [{"name": "by_segment", "type": "aggregated", "dimensions": ["segment"], "measures": ["orders"]}, {"name": "rows", "type": "unaggregated"}]},
+}
+
+
+def _star(spark, sf_dir) -> dict[str, DataFrame]:
+    return {t: table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "lineitem", "part")}
+
+
+@query
+def e1_evaluate_metric_view(spark, sf_dir):
+    return execution.evaluate_metric_view(_star(spark, sf_dir), VIEW, ["nation", "segment"], ["revenue", "orders"])
+
+
+@query
+def e2_windowed_measures(spark, sf_dir):
+    return execution.windowed_measures(_star(spark, sf_dir), VIEW, ["segment", "month"], ["running", "orders"])
+
+
+@query
+def e2_semiadditive_measures(spark, sf_dir):
+    return execution.windowed_measures(_star(spark, sf_dir), VIEW, ["segment"], ["running"])
+
+
+@query
+def e3_materialize_views(spark, sf_dir):
+    views = execution.materialize_views(_star(spark, sf_dir), VIEW)
+    return views["by_segment"].unionByName(views["rows"].agg(F.lit("all rows").alias("segment"), F.count(F.lit(1)).alias("orders")))
+
+
+PROPERTIES = [
+    {"name": "l_orderkey", "required": True, "primaryKey": True, "primaryKeyPosition": 1},
+    {"name": "l_linenumber", "primaryKey": True, "primaryKeyPosition": 2},
+    {"name": "l_partkey", "unique": True},
+    {"name": "l_quantity", "logicalTypeOptions": {"minimum": 2, "exclusiveMaximum": 50}},
+    {"name": "l_discount", "logicalTypeOptions": {"maximum": 0.05}},
+    {"name": "l_returnflag", "logicalTypeOptions": {"minLength": 1, "pattern": "^[A-N]$"}},
+]
+
+
+@query
+def e4_check_constraints(spark, sf_dir):
+    return execution.check_constraints(table(spark, sf_dir, "lineitem"), PROPERTIES, "lineitem")
+
+
+QUALITY = [
+    {"name": "rows", "metric": "rowCount", "mustBeGreaterThan": 100, "mustBeLessOrEqualTo": 10_000_000},
+    {"name": "nulls", "metric": "nullValues", "column": "o_custkey", "mustBe": 0},
+    {"name": "repeats", "metric": "duplicateValues", "column": "o_custkey", "mustBeBetween": [0, 10]},
+    {"name": "price", "metric": "sql", "query": "max(o_orderkey) - min(o_orderkey)", "mustNotBeIn": [1, 2], "mustBeGreaterThanOrEqualTo": 3},
+]
+
+
+@query
+def e5_check_quality_rules(spark, sf_dir):
+    return execution.check_quality_rules(table(spark, sf_dir, "orders"), QUALITY)
+
+
+@query
+def e6_check_relationships(spark, sf_dir):
+    t = _star(spark, sf_dir)
+    t["closed"] = t["orders"].where("o_orderstatus <> 'P'")
+    relationships = [{"from": "orders.o_custkey", "to": "customer.c_custkey"}, {"from": ["lineitem.l_orderkey"], "to": ["closed.o_orderkey"]}]
+    return execution.check_relationships(t, relationships).select("relationship", "orphans")
+
+
+# Scalar functions.
+
+
+@query
+def t1_pointer_escape(spark, sf_dir):
+    raw = F.concat(F.substring("text", 1, 5), F.lit("~1/"), F.col("source"))
+    escaped = pointers.pointer_escape(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", escaped.alias("escaped"), (pointers.pointer_unescape(escaped) == raw).alias("round_trip"))
+
+
+def _hostile():
+    n = F.col("conv_id") % 4
+    return F.concat(F.substring("text", 1, 10), F.when(n == 0, "\u202e").when(n == 1, "\u200b").when(n == 2, "\x1b\t").otherwise("<&>"), F.substring("text", 11, 20))
+
+
+@query
+def t2_neutralise_for_terminal(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.neutralise_for_terminal(_hostile()).alias("shown"))
+
+
+@query
+def t3_neutralise_for_html(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.neutralise_for_html(_hostile()).alias("shown"))
+
+
+@query
+def t6_bundle_relative(spark, sf_dir):
+    path = F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("a/../"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", text.bundle_relative(path).alias("path"))

@@ -289,3 +289,53 @@ m5_compliance_by_framework = """
 SELECT 'gdpr' AS framework, count(*) AS assets, count(*) FILTER (WHERE s_suppkey % 3 = 1) AS non_compliant FROM supplier
 UNION ALL SELECT 'sox', count(*), count(*) FILTER (WHERE s_suppkey % 4 = 0) FROM supplier
 """
+
+STAR = "v AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS month FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'P')"
+
+e1_evaluate_metric_view = f"WITH {STAR} SELECT n_name AS nation, c_mktsegment AS segment, round(sum(o_totalprice), 2) AS revenue, count(*) AS orders FROM v GROUP BY 1, 2"
+e2_windowed_measures = f"""
+WITH {STAR}, g AS (SELECT c_mktsegment AS segment, month, count(*) AS orders FROM v GROUP BY 1, 2)
+SELECT segment, month, (sum(orders) OVER (PARTITION BY segment ORDER BY month))::BIGINT AS running, orders FROM g
+"""
+e2_semiadditive_measures = f"WITH {STAR} SELECT c_mktsegment AS segment, count(*) AS running FROM v GROUP BY 1"
+e3_materialize_views = f"WITH {STAR} SELECT c_mktsegment AS segment, count(*) AS orders FROM v GROUP BY 1 UNION ALL SELECT 'all rows', count(*) FROM v"
+
+e4_check_constraints = """
+SELECT 'lineitem' AS object, property, rule, violations FROM (
+  SELECT 'l_orderkey' AS property, 'required' AS rule, count(*) FILTER (WHERE l_orderkey IS NULL) AS violations FROM lineitem
+  UNION ALL SELECT 'l_quantity', 'minimum', count(*) FILTER (WHERE l_quantity < 2) FROM lineitem
+  UNION ALL SELECT 'l_quantity', 'exclusiveMaximum', count(*) FILTER (WHERE l_quantity >= 50) FROM lineitem
+  UNION ALL SELECT 'l_discount', 'maximum', count(*) FILTER (WHERE l_discount > 0.05) FROM lineitem
+  UNION ALL SELECT 'l_returnflag', 'minLength', count(*) FILTER (WHERE length(l_returnflag) < 1) FROM lineitem
+  UNION ALL SELECT 'l_returnflag', 'pattern', count(*) FILTER (WHERE NOT regexp_full_match(l_returnflag, '[A-N]')) FROM lineitem
+  UNION ALL SELECT 'l_partkey', 'unique', count(l_partkey) - count(DISTINCT l_partkey) FROM lineitem
+  UNION ALL SELECT 'l_orderkey,l_linenumber', 'primaryKey', count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) FROM lineitem
+)
+"""
+
+e5_check_quality_rules = """
+SELECT 'rows' AS name, 'rowCount' AS metric, count(*)::DOUBLE AS value, count(*) > 100 AND count(*) <= 10000000 AS passed FROM orders
+UNION ALL SELECT 'nulls', 'nullValues', count(*) FILTER (WHERE o_custkey IS NULL)::DOUBLE, count(*) FILTER (WHERE o_custkey IS NULL) = 0 FROM orders
+UNION ALL SELECT 'repeats', 'duplicateValues', (count(o_custkey) - count(DISTINCT o_custkey))::DOUBLE, count(o_custkey) - count(DISTINCT o_custkey) BETWEEN 0 AND 10 FROM orders
+UNION ALL SELECT 'price', 'sql', (max(o_orderkey) - min(o_orderkey))::DOUBLE, max(o_orderkey) - min(o_orderkey) NOT IN (1, 2) AND max(o_orderkey) - min(o_orderkey) >= 3 FROM orders
+"""
+
+e6_check_relationships = """
+SELECT 'orders.o_custkey -> customer.c_custkey' AS relationship, count(*) AS orphans FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'lineitem.l_orderkey -> closed.o_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+"""
+
+t1_pointer_escape = "SELECT doc_id, replace(replace(substr(text, 1, 5) || '~1/' || source, '~', '~0'), '/', '~1') AS escaped, true AS round_trip FROM documents"
+
+_MARKS = "CASE conv_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
+t2_neutralise_for_terminal = f"""
+SELECT conv_id, turn, replace(substr(text, 1, 10), chr(10), '<U+000A>') || {_MARKS.format("'<U+202E>'", "'<U+200B>'", "'<U+001B><U+0009>'", "'<&>'")} || replace(substr(text, 11, 20), chr(10), '<U+000A>') AS shown FROM conversations
+"""
+_HTML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+t3_neutralise_for_html = f"""
+SELECT conv_id, turn, {_HTML.format("substr(text, 1, 10)")} || {_MARKS.format("'&lt;U+202E&gt;'", "'&lt;U+200B&gt;'", "'&lt;U+001B&gt;' || chr(9)", "'&lt;&amp;&gt;'")} || {_HTML.format("substr(text, 11, 20)")} AS shown FROM conversations
+"""
+t6_bundle_relative = r"""
+SELECT page_id, CASE WHEN page_id % 3 = 0 AND ltrim(p, '/') <> '' AND NOT regexp_matches(ltrim(p, '/'), '(^|/)(|\.|\.\.)(/|$)') THEN ltrim(p, '/') END AS path
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS p FROM pages)
+"""
