@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusward.functions import pointers, text
+from corpusward.functions import markdown, pointers, text
 from corpusward.functions.lineage import cut
 from corpusward.jobs import corpora, oracles, published
-from corpusward.operators import conformance, execution, hygiene, models, references, registry, report
+from corpusward.operators import bundle_hygiene, bundles, conformance, execution, hygiene, models, references, registry, report
 from corpusward.sources import documents
+from corpusward.sources.bundles import read_bundles
 from corpusward.sources.tables import table
 
 FLAGSHIP = "missing_contracts_gate"
@@ -503,3 +504,147 @@ def t3_neutralise_for_html(spark, sf_dir):
 def t6_bundle_relative(spark, sf_dir):
     path = F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("a/../"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", text.bundle_relative(path).alias("path"))
+
+
+# Knowledge bundles.
+
+
+def _bundles(spark, sf_dir):
+    """Concepts, index files, all files, fenced blocks, lines outside code, prose."""
+    docs = corpora.bundles(spark, sf_dir)
+    concepts, index = read_bundles(docs)
+    concepts = cut(concepts)
+    files = concepts.select("bundle", "path").unionByName(index.select("bundle", "path"))
+    blocks = markdown.fenced_code_blocks(concepts.select("bundle", "concept_id", "body"))
+    return {"concepts": concepts, "index": index, "files": files, "blocks": blocks, "lines": markdown.text_lines(concepts, blocks), "prose": markdown.body_without_code(concepts, blocks)}
+
+
+def _found(f: DataFrame) -> DataFrame:
+    return f.select("doc_id", "code", "severity")
+
+
+@query
+def s4_read_bundles(spark, sf_dir):
+    return _bundles(spark, sf_dir)["concepts"].select("bundle", "concept_id", "path", F.size("keys").alias("n_keys"))
+
+
+@query
+def k1_concept_type(spark, sf_dir):
+    return _found(bundles.concept_type(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def k2_recommended_keys(spark, sf_dir):
+    return _found(bundles.recommended_keys(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def k3_empty_bodies(spark, sf_dir):
+    return _found(bundles.empty_bodies(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def k4_tags_shape(spark, sf_dir):
+    return _found(bundles.tags_shape(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def k5_trust_events(spark, sf_dir):
+    return _found(bundles.trust_events(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def k6_lifecycle(spark, sf_dir):
+    return _found(bundles.lifecycle(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def k7_usage_window(spark, sf_dir):
+    return _found(bundles.usage_window(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def k8_footnote_attribution(spark, sf_dir):
+    b = _bundles(spark, sf_dir)
+    return _found(bundles.footnote_attribution(bundles.sources(b["concepts"]), bundles.footnotes(b["prose"])))
+
+
+@query
+def k9_legacy_keys(spark, sf_dir):
+    b = _bundles(spark, sf_dir)
+    return _found(bundles.legacy_keys(b["concepts"], b["lines"]))
+
+
+@query
+def k11_resolve_resources(spark, sf_dir):
+    b = _bundles(spark, sf_dir)
+    return _found(bundles.resolve_resources(b["concepts"], b["files"]))
+
+
+@query
+def k12_link_targets(spark, sf_dir):
+    b = _bundles(spark, sf_dir)
+    return _found(bundles.link_targets_findings(bundles.links(b["prose"]), b["concepts"], b["files"]))
+
+
+@query
+def k14_declared_versions(spark, sf_dir):
+    return _found(bundles.declared_versions(_bundles(spark, sf_dir)["index"]))
+
+
+@query
+def k15_duplicate_titles(spark, sf_dir):
+    return bundles.duplicate_titles(_bundles(spark, sf_dir)["concepts"]).select("doc_id", "code", "message")
+
+
+@query
+def k16_circular_derivation(spark, sf_dir):
+    return bundles.circular_derivation(_bundles(spark, sf_dir)["concepts"]).select("doc_id", "code", "message")
+
+
+@query
+def k17_index_listings(spark, sf_dir):
+    b = _bundles(spark, sf_dir)
+    return _found(bundles.index_listings(b["index"], b["concepts"], b["files"]))
+
+
+@query
+def l1_heading_structure(spark, sf_dir):
+    b = _bundles(spark, sf_dir)
+    return _found(bundle_hygiene.heading_structure(b["concepts"], b["lines"]))
+
+
+@query
+def l2_key_order(spark, sf_dir):
+    return _found(bundle_hygiene.key_order(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def l3_actor_convention(spark, sf_dir):
+    return _found(bundle_hygiene.actor_convention(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def l5_trailing_whitespace(spark, sf_dir):
+    return bundle_hygiene.trailing_whitespace(_bundles(spark, sf_dir)["concepts"]).select("doc_id", "code", F.regexp_extract("message", "^[0-9]+", 0).alias("n"))
+
+
+@query
+def l6_portable_ids(spark, sf_dir):
+    return _found(bundle_hygiene.portable_ids(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def l7_unverified_and_draft(spark, sf_dir):
+    return _found(bundle_hygiene.unverified_and_draft(_bundles(spark, sf_dir)["concepts"]))
+
+
+@query
+def l8_code_block_syntax(spark, sf_dir):
+    b = _bundles(spark, sf_dir)
+    return _found(bundle_hygiene.code_block_syntax(b["concepts"], b["blocks"]))
+
+
+@query
+def l9_language_coverage(spark, sf_dir):
+    return bundle_hygiene.language_coverage(_bundles(spark, sf_dir)["blocks"])

@@ -153,3 +153,32 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.when(k % 2 == 0, ',"joins":[{"name":"j2","source":"region"}]').otherwise("")
     body = F.concat(F.lit('{"apiVersion":"v1","metricViews":[{"name":"v","source":"orders","joins":[{"name":"j1","source":"customer"'), inner, F.lit('},{"name":"j3","source":"part"}]},{"name":"w","source":"orders"}]}'))
     return n.select(F.concat(F.lit("views/"), k.cast("string")).alias("doc_id"), body.alias("text"))
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id (path) and text of twenty knowledge bundles, a concept for each document, and their index files.
+
+    Bundle b{doc_id % 20}, concept n/{k} with k = doc_id div 20; faults by k.
+    """
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id").distinct().withColumn("k", F.expr("doc_id div 20"))
+    k = F.col("k")
+    s = lambda c: c.cast("string")
+    line = lambda test, text: F.when(test, text if isinstance(text, Column) else F.lit(text))
+    derived = F.when((F.expr("k div 3") % 4 == 0) & (k % 3 == 2), k - 2).otherwise(k + 1)
+    source = F.concat(F.lit('sources: [{"id": "s1", "resource": "n/'), s(derived), F.lit('.md", "author": "'), F.when(k % 6 == 0, "team:x").otherwise("human:a"), F.lit('"}]\n'))
+    generated = _choice(k % 4, 'generated: {"by": "x"}\n', 'generated: {"by": "x", "at": "bad"}\n', 'generated: {"at": "2024-01-01T00:00:00Z"}\n', 'generated: {"by": "x", "at": "2024-01-01"}\n')
+    head = F.concat_ws(
+        "", F.lit("---\n"), line(k % 29 == 0, "status: stable\n"), F.when(k % 11 == 0, "").when(k % 13 == 0, 'type: " Note "\n').otherwise("type: Note\n"), F.concat(F.lit("title: t"), s(k % 30), F.lit("\n")), line(k % 7 != 0, "description: d\n"), F.concat(F.lit("tags: "), _choice(k % 5, "x", "[a, 1]", "{a: 1}", "[a, b]", "[a]"), F.lit("\n")),
+        line(k % 29 != 0, F.concat(F.lit("status: "), F.when(k % 12 == 5, "deprecated").when(k % 12 == 6, "draft").when(k % 12 == 7, "odd").otherwise("stable"), F.lit("\n"))), F.concat(F.lit("stale_after: "), F.when(k % 17 == 0, "soon").otherwise("2024-01-01"), F.lit("\n")), generated, line(k % 14 == 0, "verified: []\n"), line(k % 14 == 1, 'verified: [{"by": "y"}, {"by": "z", "at": "2024-02-30"}]\n'),
+        line(k % 10 != 9, source), line(k % 20 == 9, "usage_window: w\n"), line(k % 23 == 0, "timestamp: now\n"), F.lit("---\n"),
+    )
+    body = F.concat_ws(
+        "", F.when(k % 8 == 3, "text\n").otherwise("# Top\ntext\n"), line(k % 16 == 4, "# Again\nmore\n"), line(k % 9 == 4, "### Deep\nx\n"), line(k % 10 == 6, "## Empty\n\n"), F.lit("see [next](/n/"), s(k + 1), F.lit(".md#a)"), line(k % 10 == 0, F.concat(F.lit(" [me]("), s(k), F.lit(".md)"))), line(k % 9 == 0, " [no](missing.md) [web](https://x.org/a.md)"),
+        F.lit("\n"), line(k % 4 != 1, "cited[^s1]\n"), line(k % 15 == 2, "note[^zz]\n"), line(k % 6 == 1, "tail  \nok\ntail\t\n"), line(k % 5 == 2, "```json\n{\"a\": 1}\n```\n"), line(k % 5 == 3, "```json title\n{\"a\": }\n```\n"), line(k % 5 == 4, "~~~\n# not a heading [x](/nowhere.md)\n~~~\n"), line(k % 24 == 7, "# Citations\nc\n"),
+    )
+    body = F.when(k % 40 == 39, " \n").otherwise(body)
+    folder = F.concat(F.lit("b"), s(F.col("doc_id") % 20))
+    concepts = docs.select(F.concat(folder, F.lit("/n/"), s(k), F.when(k % 25 == 24, " x").otherwise(""), F.lit(".md")).alias("doc_id"), F.concat(head, body).alias("text"))
+    entries = docs.where("k % 8 <> 0 and k % 25 <> 24").groupBy(folder.alias("b")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("k")), lambda x: F.concat(F.lit("- [c](n/"), x.cast("string"), F.lit(".md)"))), "\n").alias("t"))
+    index = entries.select(F.concat("b", F.lit("/index.md")).alias("doc_id"), F.concat(F.when(F.col("b").endswith("3"), "okf_version: 0.1\n").otherwise("okf_version: \"0.2\"\n"), "t", F.lit("\n- [gone](/gone.md)\n")).alias("text"))
+    return concepts.unionByName(index)

@@ -339,3 +339,83 @@ t6_bundle_relative = r"""
 SELECT page_id, CASE WHEN page_id % 3 = 0 AND ltrim(p, '/') <> '' AND NOT regexp_matches(ltrim(p, '/'), '(^|/)(|\.|\.\.)(/|$)') THEN ltrim(p, '/') END AS path
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS p FROM pages)
 """
+
+BUNDLE = """
+b AS (
+  SELECT DISTINCT doc_id // 20 AS k, 'b' || (doc_id % 20) AS bundle, doc_id % 20 AS m FROM documents WHERE doc_id IS NOT NULL
+), n AS (
+  SELECT *, 'n/' || k || CASE WHEN k % 25 = 24 THEN ' x' ELSE '' END AS id, bundle || '/n/' || k || CASE WHEN k % 25 = 24 THEN ' x' ELSE '' END || '.md' AS doc_id, k % 40 = 39 AS blank,
+         CASE WHEN k % 12 = 5 AND k % 29 <> 0 THEN 'deprecated' WHEN k % 12 = 6 AND k % 29 <> 0 THEN 'draft' WHEN k % 12 = 7 AND k % 29 <> 0 THEN 'odd' ELSE 'stable' END AS status,
+         CASE WHEN (k // 3) % 4 = 0 AND k % 3 = 2 THEN k - 2 ELSE k + 1 END AS derived
+  FROM b
+), there AS (SELECT bundle, k AS target FROM n WHERE k % 25 <> 24)"""
+
+s4_read_bundles = f"""
+WITH {BUNDLE}
+SELECT bundle, id AS concept_id, id || '.md' AS path,
+       (5 + (k % 11 <> 0)::INT + (k % 7 <> 0)::INT + (k % 14 < 2)::INT + (k % 10 <> 9)::INT + (k % 20 = 9)::INT + (k % 23 = 0)::INT)::INTEGER AS n_keys
+FROM n
+"""
+k1_concept_type = f"WITH {BUNDLE} SELECT doc_id, CASE WHEN k % 11 = 0 THEN 'OKF002' ELSE 'OKF003' END AS code, CASE WHEN k % 11 = 0 THEN 'error' ELSE 'info' END AS severity FROM n WHERE k % 11 = 0 OR k % 13 = 0"
+k2_recommended_keys = f"WITH {BUNDLE} SELECT doc_id, 'OKF004' AS code, 'warning' AS severity FROM n WHERE k % 7 = 0"
+k3_empty_bodies = f"WITH {BUNDLE} SELECT doc_id, 'OKF005' AS code, 'warning' AS severity FROM n WHERE blank"
+k4_tags_shape = f"WITH {BUNDLE} SELECT doc_id, 'OKF006' AS code, 'warning' AS severity FROM n WHERE k % 5 < 3"
+k5_trust_events = f"""
+WITH {BUNDLE}
+SELECT doc_id, ['OKF102', 'OKF103', 'OKF101'][k % 4 + 1] AS code, 'warning' AS severity FROM n WHERE k % 4 < 3
+UNION ALL SELECT doc_id, 'OKF104', 'warning' FROM n WHERE k % 14 = 0
+UNION ALL SELECT doc_id, unnest(['OKF106', 'OKF107']), 'warning' FROM n WHERE k % 14 = 1
+"""
+k6_lifecycle = f"WITH {BUNDLE} SELECT doc_id, 'OKF108' AS code, 'info' AS severity FROM n WHERE status = 'odd' UNION ALL SELECT doc_id, 'OKF109', 'warning' FROM n WHERE k % 17 = 0"
+k7_usage_window = f"WITH {BUNDLE} SELECT doc_id, 'OKF110' AS code, 'warning' AS severity FROM n WHERE k % 20 = 9"
+k8_footnote_attribution = f"""
+WITH {BUNDLE}
+SELECT doc_id, 'OKF111' AS code, 'warning' AS severity FROM n WHERE NOT blank AND k % 15 = 2
+UNION ALL SELECT doc_id, 'OKF111', 'warning' FROM n WHERE NOT blank AND k % 4 <> 1 AND k % 10 = 9
+UNION ALL SELECT doc_id, 'OKFL05', 'warning' FROM n WHERE k % 10 <> 9 AND (blank OR k % 4 = 1)
+"""
+k9_legacy_keys = f"WITH {BUNDLE} SELECT doc_id, 'OKF201' AS code, 'warning' AS severity FROM n WHERE k % 23 = 0 UNION ALL SELECT doc_id, 'OKF202', 'warning' FROM n WHERE k % 24 = 7 AND NOT blank"
+k11_resolve_resources = f"WITH {BUNDLE} SELECT doc_id, 'OKF401' AS code, 'warning' AS severity FROM n WHERE k % 10 <> 9 AND NOT EXISTS (SELECT 1 FROM there t WHERE t.bundle = n.bundle AND t.target = derived)"
+k12_link_targets = f"""
+WITH {BUNDLE}
+SELECT doc_id, 'OKF402' AS code, 'info' AS severity FROM n WHERE NOT blank AND NOT EXISTS (SELECT 1 FROM there t WHERE t.bundle = n.bundle AND t.target = k + 1)
+UNION ALL SELECT doc_id, 'OKF402', 'info' FROM n WHERE NOT blank AND k % 9 = 0
+UNION ALL SELECT doc_id, 'OKF402', 'info' FROM n WHERE NOT blank AND k % 10 = 0 AND k % 25 = 24
+UNION ALL SELECT n.doc_id, 'OKF403', 'warning' FROM n JOIN n o ON o.bundle = n.bundle AND o.k = n.k + 1 AND o.status = 'deprecated' AND o.k % 25 <> 24 WHERE NOT n.blank
+UNION ALL SELECT doc_id, 'OKF403', 'warning' FROM n WHERE NOT blank AND k % 10 = 0 AND status = 'deprecated' AND k % 25 <> 24
+UNION ALL SELECT doc_id, 'OKFL10', 'warning' FROM n WHERE NOT blank AND k % 10 = 0 AND k % 25 <> 24
+"""
+k14_declared_versions = f"WITH {BUNDLE} SELECT DISTINCT bundle || '/index.md' AS doc_id, 'OKF405' AS code, 'info' AS severity FROM n WHERE m % 10 = 3"
+k15_duplicate_titles = f"""
+WITH {BUNDLE}, g AS (SELECT bundle, k % 30 AS t, list_sort(list(id)) AS l FROM n GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT doc_id, 'OKF406' AS code, 'shares its title with ' || array_to_string(list_filter(l, lambda x: x <> id), ', ') AS message FROM n JOIN g ON g.bundle = n.bundle AND g.t = k % 30
+"""
+k16_circular_derivation = f"""
+WITH RECURSIVE {BUNDLE}, e AS (SELECT bundle, k AS a, derived AS b FROM n WHERE k % 10 <> 9 AND k % 25 <> 24 AND EXISTS (SELECT 1 FROM there t WHERE t.bundle = n.bundle AND t.target = derived)),
+r(bundle, a, b) AS (SELECT bundle, a, b FROM e UNION SELECT r.bundle, r.a, e.b FROM r JOIN e ON e.bundle = r.bundle AND e.a = r.b),
+s AS (SELECT r.bundle, r.a, list_sort(list('n/' || r.b)) AS l FROM r JOIN r q ON q.bundle = r.bundle AND q.a = r.b AND q.b = r.a GROUP BY r.bundle, r.a)
+SELECT bundle || '/n/' || a || '.md' AS doc_id, 'OKF112' AS code, 'derives from itself: ' || array_to_string(l, ' -> ') AS message FROM s WHERE l[1] = 'n/' || a
+"""
+k17_index_listings = f"""
+WITH {BUNDLE}
+SELECT DISTINCT bundle || '/index.md' AS doc_id, 'OKF407' AS code, 'warning' AS severity FROM n
+UNION ALL SELECT doc_id, 'OKFL09', 'warning' FROM n WHERE k % 8 = 0 OR k % 25 = 24
+"""
+l1_heading_structure = f"""
+WITH {BUNDLE}
+SELECT doc_id, 'OKFL01' AS code, 'warning' AS severity FROM n WHERE blank OR (k % 8 = 3 AND k % 16 <> 4 AND k % 24 <> 7)
+UNION ALL SELECT doc_id, 'OKFL03', 'warning' FROM n WHERE NOT blank AND k % 8 <> 3 AND k % 16 = 4
+UNION ALL SELECT doc_id, 'OKFL03', 'warning' FROM n WHERE NOT blank AND k % 8 <> 3 AND k % 24 = 7
+UNION ALL SELECT doc_id, 'OKFL03', 'warning' FROM n WHERE NOT blank AND k % 8 <> 3 AND k % 9 = 4
+"""
+l2_key_order = f"WITH {BUNDLE} SELECT doc_id, 'OKFL02' AS code, 'info' AS severity FROM n WHERE k % 29 = 0"
+l3_actor_convention = f"WITH {BUNDLE} SELECT doc_id, 'OKFL06' AS code, 'info' AS severity FROM n WHERE k % 6 = 0 AND k % 10 <> 9"
+l5_trailing_whitespace = f"WITH {BUNDLE} SELECT doc_id, 'OKFL08' AS code, '2' AS n FROM n WHERE NOT blank AND k % 6 = 1"
+l6_portable_ids = f"WITH {BUNDLE} SELECT doc_id, 'OKFR01' AS code, 'warning' AS severity FROM n WHERE k % 25 = 24"
+l7_unverified_and_draft = f"WITH {BUNDLE} SELECT doc_id, 'OKFL11' AS code, 'info' AS severity FROM n WHERE k % 14 <> 1 UNION ALL SELECT doc_id, 'OKFL12', 'warning' FROM n WHERE status = 'draft'"
+l8_code_block_syntax = f"WITH {BUNDLE} SELECT doc_id, 'OKF007' AS code, 'info' AS severity FROM n WHERE NOT blank AND k % 5 = 3"
+l9_language_coverage = f"""
+WITH {BUNDLE}
+SELECT 'json' AS language, count(*) AS blocks, count(*) AS concepts, true AS checkable FROM n WHERE NOT blank AND k % 5 IN (2, 3)
+UNION ALL SELECT '', count(*), count(*), false FROM n WHERE NOT blank AND k % 5 = 4
+"""
