@@ -12,6 +12,7 @@ from corpusward.functions.lineage import cut
 from corpusward.jobs import corpora, oracles, published
 from corpusward.operators import bundle_hygiene, bundles, conformance, execution, hygiene, models, references, registry, report
 from corpusward.sources import documents
+from corpusward.sources import findings as findings_files
 from corpusward.sources.bundles import read_bundles
 from corpusward.sources.tables import table
 
@@ -648,3 +649,45 @@ def l8_code_block_syntax(spark, sf_dir):
 @query
 def l9_language_coverage(spark, sf_dir):
     return bundle_hygiene.language_coverage(_bundles(spark, sf_dir)["blocks"])
+
+
+def _verdicts(spark, sf_dir):
+    """Recorded and computed verdicts on documents, and the listed divergences, by the document's id."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    k = F.col("doc_id")
+    recorded = d.where(k % 3 != 0).select("doc_id", F.when(k % 7 == 0, "old").otherwise(F.col("digest")).alias("sha256"), F.when(k % 2 == 0, "ok").otherwise("err").alias("verdict"))
+    computed = d.where(k % 5 != 0).select("doc_id", "digest", F.when(k % 8 < 5, "ok").otherwise("err").alias("verdict"))
+    return recorded, computed, d.where(k % 4 == 0).select("doc_id")
+
+
+@query
+def p7_verdict_agreement(spark, sf_dir):
+    return registry.verdict_agreement(*_verdicts(spark, sf_dir))
+
+
+@query
+def s6_findings_json(spark, sf_dir):
+    f = corpora.event_findings(spark, sf_dir).select("doc_id", "spec_id", "severity", "code", "line", "seq")
+    return findings_files.findings_json(f)
+
+
+@query
+def t5_extract_links(spark, sf_dir):
+    return bundles.links(_bundles(spark, sf_dir)["prose"]).select("bundle", "concept_id", "at", "raw", "target")
+
+
+@query
+def t4_fenced_code_blocks(spark, sf_dir):
+    return _bundles(spark, sf_dir)["blocks"].select("bundle", "concept_id", "language", "code", F.col("end_line") - F.col("start_line") - 1).toDF("bundle", "concept_id", "language", "code", "n_lines")
+
+
+@query
+def k10_attested_computations(spark, sf_dir):
+    """Product documents seen as concepts: every third an attested computation with parts missing."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    k = F.col("k")
+    front = F.concat(F.lit('{"type":"Attested Computation"'), F.when(k % 2 == 0, ',"runtime":"r"').otherwise(""), F.when(k % 3 == 0, ',"executor":{"resource":"x"}').when(k % 3 == 1, ',"executor":{}').otherwise(""), F.when(k % 5 != 0, ',"attester":{"resource":"x"}').otherwise(""), F.when(k % 7 == 0, ',"computation":"c.sql"').otherwise(""), F.when(k % 4 == 0, ',"parameters":[{"name":"a"},{"type":"t"}]').otherwise(""), F.lit("}"))
+    keys = F.json_object_keys("frontmatter_json")
+    concepts = c.select(F.lit("b").alias("bundle"), F.concat(F.lit("c"), k.cast("string")).alias("concept_id"), F.concat(F.lit("c"), k.cast("string"), F.lit(".md")).alias("path"), front.alias("frontmatter_json"), F.when(k % 6 == 0, "# Computation\n").otherwise("x").alias("body")).withColumn("keys", keys)
+    blocks = markdown.fenced_code_blocks(concepts.select("bundle", "concept_id", "body"))
+    return bundles.attested_computations(concepts, markdown.text_lines(concepts, blocks)).select("doc_id", "code")

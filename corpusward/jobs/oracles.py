@@ -419,3 +419,32 @@ WITH {BUNDLE}
 SELECT 'json' AS language, count(*) AS blocks, count(*) AS concepts, true AS checkable FROM n WHERE NOT blank AND k % 5 IN (2, 3)
 UNION ALL SELECT '', count(*), count(*), false FROM n WHERE NOT blank AND k % 5 = 4
 """
+
+p7_verdict_agreement = """
+WITH d AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id IS NOT NULL)
+SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 'uncovered' WHEN k % 5 = 0 THEN 'orphan' WHEN k % 7 = 0 THEN 'stale'
+       WHEN (k % 2 = 0) = (k % 8 < 5) AND k % 4 = 0 THEN 'converged-but-listed' WHEN (k % 2 = 0) = (k % 8 < 5) THEN 'agree' WHEN k % 4 = 0 THEN 'known-divergence' ELSE 'unexpected-divergence' END AS status
+FROM d WHERE k % 3 <> 0 OR k % 5 <> 0
+"""
+s6_findings_json = f"""
+WITH {FINDINGS}
+SELECT doc_id, seq, '{{"doc_id":"' || doc_id || '","spec_id":"' || spec_id || '","severity":"' || severity || '","code":"' || code || '","line":' || coalesce(line::VARCHAR, 'null') || ',"seq":' || seq || '}}' AS json FROM f
+"""
+t5_extract_links = f"""
+WITH {BUNDLE}, l AS (
+  SELECT bundle, id, k, 0 AS o, '/n/' || (k + 1) || '.md#a' AS raw, 'n/' || (k + 1) || '.md' AS target FROM n WHERE NOT blank
+  UNION ALL SELECT bundle, id, k, 1, k || '.md', 'n/' || k || '.md' FROM n WHERE NOT blank AND k % 10 = 0
+  UNION ALL SELECT bundle, id, k, 2, 'missing.md', 'n/missing.md' FROM n WHERE NOT blank AND k % 9 = 0
+  UNION ALL SELECT bundle, id, k, 3, 'https://x.org/a.md', NULL FROM n WHERE NOT blank AND k % 9 = 0
+)
+SELECT bundle, id AS concept_id, (row_number() OVER (PARTITION BY bundle, id ORDER BY o) - 1)::INTEGER AS at, raw, target FROM l
+"""
+t4_fenced_code_blocks = f"""
+WITH {BUNDLE}
+SELECT bundle, id AS concept_id, CASE WHEN k % 5 = 4 THEN '' ELSE 'json' END AS language, ['{{"a": 1}}', '{{"a": }}', '# not a heading [x](/nowhere.md)'][k % 5 - 1] AS code, 1 AS n_lines FROM n WHERE NOT blank AND k % 5 > 1
+"""
+k10_attested_computations = """
+WITH c AS (SELECT 'b/c' || c_custkey || '.md' AS doc_id, c_custkey AS k FROM customer)
+SELECT doc_id, 'OKF301' AS code FROM c WHERE k % 2 = 1 UNION ALL SELECT doc_id, 'OKF304' FROM c WHERE k % 3 = 2 UNION ALL SELECT doc_id, 'OKF305' FROM c WHERE k % 3 = 1 UNION ALL SELECT doc_id, 'OKF306' FROM c WHERE k % 5 = 0
+UNION ALL SELECT doc_id, 'OKF308' FROM c WHERE k % 6 <> 0 AND k % 7 <> 0 UNION ALL SELECT doc_id, 'OKF309' FROM c WHERE k % 42 = 0 UNION ALL SELECT doc_id, 'OKF303' FROM c WHERE k % 4 = 0 UNION ALL SELECT doc_id, 'OKF302' FROM c WHERE k % 4 = 0
+"""

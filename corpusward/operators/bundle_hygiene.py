@@ -9,6 +9,7 @@ import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusward.operators.bundles import found, sources
 from corpusward.operators.report import merge_reports
@@ -82,7 +83,7 @@ def unverified_and_draft(concepts: DataFrame) -> DataFrame:
     return merge_reports(found(concepts.where(none), "OKFL11", "info", "never verified"), found(concepts.where(front("status") == "draft"), "OKFL12", "warning", "is a draft"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _parses(language: pd.Series, code: pd.Series) -> pd.Series:
     checks = {"json": json.loads, "yaml": lambda c: list(yaml.load_all(c, Loader=yaml.CSafeLoader)), "shell": lambda c: shlex.split(c, comments=True)}
 
