@@ -74,6 +74,13 @@ def test_lm_one_step_distribution_sums_to_one(spark):
     assert 0 < sum(10**got[200 + k] for k in range(7)) < 1
 
 
+def test_lm_tables_do_not_depend_on_partitions(spark):
+    rows = [(np.array([i % 7, 1024 + i % 5, 3], "<u2").tobytes(),) for i in range(200)]
+    encoded = spark.createDataFrame(rows, "symbols binary")
+    few, many = (maxent._tables(encoded.repartition(n), None)[0] for n in (2, 96))
+    assert all((a == b).all() for a, b in zip(few, many, strict=True)) and few[0].sum() == 4 * 600 and few[1].sum() == 400
+
+
 # ---------------------------------------------------------------- licenses
 
 
