@@ -137,4 +137,6 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     The counts are made twice, once for the hosts and once for the rows, so that no
     text has to be stored or moved.
     """
-    return with_verdicts(judged(docs, text), host).where("_kept").select(*docs.columns)
+    # The row as a struct: its columns may have any names.
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_host"))
+    return with_verdicts(judged(rows, "_text"), "_host").where("_kept").select("_row.*")

@@ -222,7 +222,7 @@ def test_quality_counts_and_host_verdicts(spark):
     assert quality.quality_report(docs(spark, [])).count() == 0
     kept = quality.keep_good(docs(spark, rows))
     assert kept.columns == docs(spark, []).columns
-    assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
+    assert {(r.doc_id, r["_q"]) for r in kept.collect()} == {(k, 4) for k, r in got.items() if r.kept}
 
 
 # ---------------------------------------------------------------- packing
