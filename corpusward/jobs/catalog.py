@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusward.functions import markdown, pointers, text
-from corpusward.functions.lineage import cut
+from corpusward.functions.lineage import cut, stored
 from corpusward.jobs import corpora, oracles, published
 from corpusward.operators import bundle_hygiene, bundles, conformance, execution, hygiene, models, references, registry, report
 from corpusward.sources import documents
@@ -98,14 +98,19 @@ def r10_render_finding(spark, sf_dir):
 # Documents, routing and references between them.
 
 
+def _nodes(docs: DataFrame) -> DataFrame:
+    """Parsed once and written: every rule then reads the columns and rows that it needs."""
+    return stored(documents.to_nodes(docs))
+
+
 def _corpus(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = corpora.contracts(spark, sf_dir).unionByName(corpora.products(spark, sf_dir))
-    nodes = cut(documents.to_nodes(docs))
+    nodes = _nodes(docs)
     return documents.route_documents(docs.select("doc_id"), nodes), nodes
 
 
 def _contract_nodes(spark, sf_dir) -> DataFrame:
-    return documents.to_nodes(corpora.contracts(spark, sf_dir))
+    return _nodes(corpora.contracts(spark, sf_dir))
 
 
 @query
@@ -244,7 +249,7 @@ def p8_catalogue(spark, sf_dir):
 
 
 def _product_rules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return cut(documents.to_nodes(corpora.products(spark, sf_dir))), conformance.rule_table(spark, published.ODPS)
+    return _nodes(corpora.products(spark, sf_dir)), conformance.rule_table(spark, published.ODPS)
 
 
 @query
@@ -275,7 +280,7 @@ def v6_malformed_value(spark, sf_dir):
 def _port_rules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A stricter schema of our own for the cardinality, range and alternative keywords."""
     schema = {"properties": {"inputPorts": {"maxItems": 12, "minItems": 1}, "id": {"oneOf": [{"type": "string", "maxLength": 4}, {"type": "integer", "minimum": 100}], "minLength": 4, "maximum": 700}, "outputPorts": {"items": {"properties": {"inputContracts": {"uniqueItems": True, "minItems": 2}}}}}}
-    return cut(documents.to_nodes(corpora.products(spark, sf_dir))), conformance.rule_table(spark, schema)
+    return _nodes(corpora.products(spark, sf_dir)), conformance.rule_table(spark, schema)
 
 
 @query
@@ -307,7 +312,7 @@ ODCL = hygiene.Facts(version="1.2.1", root_keys=("dataContractSpecification", "i
 
 
 def _lexicon(spark, sf_dir) -> DataFrame:
-    return cut(documents.to_nodes(corpora.lexicon(spark, sf_dir)))
+    return _nodes(corpora.lexicon(spark, sf_dir))
 
 
 @query
@@ -376,7 +381,7 @@ def m1_contract_catalogue(spark, sf_dir):
 
 @query
 def m2_flatten_properties(spark, sf_dir):
-    return models.flatten_properties(cut(_contract_nodes(spark, sf_dir))).select("doc_id", "pointer", "path", "is_object", "is_array", "has_nested")
+    return models.flatten_properties(_contract_nodes(spark, sf_dir)).select("doc_id", "pointer", "path", "is_object", "is_array", "has_nested")
 
 
 @query
