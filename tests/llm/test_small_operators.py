@@ -74,6 +74,15 @@ def test_lm_one_step_distribution_sums_to_one(spark):
     assert 0 < sum(10**got[200 + k] for k in range(7)) < 1
 
 
+def test_lm_without_sent_counts(spark, monkeypatch):
+    """Words whose counts are joined are scored as those whose counts are sent."""
+    rows = [(i, " ".join(f"w{(i * j) % 9}" for j in range(1, 8)), "s") for i in range(30)]
+    score = lambda: {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in maxent.score_texts(docs(spark, rows), F.col("doc_id") % 5 == 1).collect()}
+    sent = score()
+    monkeypatch.setattr(maxent, "SENT", 0)
+    assert score() == sent
+
+
 def test_lm_tables_do_not_depend_on_partitions(spark):
     rows = [(np.array([i % 7, 1024 + i % 5, 3], "<u2").tobytes(),) for i in range(200)]
     encoded = spark.createDataFrame(rows, "symbols binary")
