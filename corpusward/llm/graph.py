@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusward.functions.lineage import cut
 
+#: Up to this many links (16 bytes each) a round is one task without shuffles; more are dealt over tasks.
+ONE_TASK = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node it reaches) for every node of ``links`` (a, b).
@@ -15,7 +18,9 @@ def components(links: DataFrame) -> DataFrame:
     label, so paths shrink by doubling.  Minima are combined before the shuffle: a node
     with very many neighbours is a few rows.  The driver sees one count a round.
     """
-    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct())
+    both = cut(links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("l")).select("l.*").where("u <> v").distinct())
+    if both.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        both = both.coalesce(1)
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("component")))
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
