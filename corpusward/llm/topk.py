@@ -74,14 +74,15 @@ class _Block:
                         yield at[i : i + 2048], ids[j : j + step], (q @ rows[j : j + step].astype(kind).T).astype(np.int64)
 
 
-def _histograms(vectors: DataFrame, block, low, width) -> DataFrame:
+def _histograms(vectors: DataFrame, block, low, high, width) -> DataFrame:
     """Counts of (query, bin) over all rows but a query's own; bin 0 is below the range, BINS + 1 above it."""
 
     def task(batches):
-        b, lo, w = block.value, low, width
+        b, lo, hi, w = block.value, low, high, width
         total = np.zeros((len(b.ids), BINS + 2), np.int64)
         for at, ids, scores in b.tiles(batches):
             bins = np.clip((scores - lo[at][:, None]) // w[at][:, None] + 1, 0, BINS + 1)
+            bins[scores > hi[at][:, None]] = BINS + 1  # the last bins may reach beyond the range
             bins[b.ids[at][:, None] == ids[None, :]] = -1
             flat = bins + np.arange(len(at))[:, None] * (BINS + 2)
             total[at] += np.bincount(flat[bins >= 0], minlength=len(at) * (BINS + 2)).reshape(len(at), BINS + 2)
@@ -180,7 +181,7 @@ def _block_top(vectors: DataFrame, rows: list, k: int) -> DataFrame:
         # Python integers: the span of two longs may not fit one.
         width = np.array([max(1, -(-(int(h) - int(lo) + 1) // BINS)) for lo, h in zip(low, high, strict=True)], np.int64)
         seen = np.zeros((len(rows), BINS + 2), np.int64)
-        for q, b, c in _histograms(vectors, block, low, width).where(F.col("bin").between(1, BINS)).collect():  # BINS rows a query of one block
+        for q, b, c in _histograms(vectors, block, low, high, width).where(F.col("bin").between(1, BINS)).collect():  # BINS rows a query of one block
             seen[q, b] = c
         for q in np.flatnonzero(open_):
             above = np.cumsum(seen[q, ::-1])[::-1]  # scores in this bin or a higher one

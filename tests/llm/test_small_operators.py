@@ -45,6 +45,22 @@ def test_top_k_equals_brute_force_in_several_blocks(spark):
         assert [got[q, k + 1] for k in range(5)] == [(i, s[i]) for i in best]
 
 
+def test_top_k_of_many_queries(spark):
+    """Ranges end inside a bin for some of these queries in every pass."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 24))
+    v = vectors(spark, [(i, r.tolist(), 0, 0) for i, r in enumerate(x)])
+    got = {}
+    for r in topk.top_k(v, v.where("vec_id % 5 = 0"), 7).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    m = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 1500, 5):
+        s = m @ m[q]
+        order = np.lexsort((np.arange(1500), -s))
+        best = [int(i) for i in order if i != q][:7]
+        assert [got[q][k + 1] for k in range(7)] == [(i, s[i]) for i in best]
+
+
 def test_top_k_empty(spark):
     v = vectors(spark, [])
     assert topk.top_k(v, v, 5).columns == ["query_id", "rank", "vec_id", "score"]
