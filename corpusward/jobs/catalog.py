@@ -506,6 +506,29 @@ def t3_neutralise_for_html(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.neutralise_for_html(_hostile()).alias("shown"))
 
 
+def _hostile_whole():
+    """A planted character and the whole turn."""
+    n = F.col("conv_id") % 4
+    return F.concat(F.when(n == 0, "\u202e").when(n == 1, "\u200b").when(n == 2, "\x1b\t").otherwise("<&>"), F.col("text"))
+
+
+@query
+def t1_pointer_escape_whole(spark, sf_dir):
+    raw = F.concat(F.lit("~1/"), F.col("text"))
+    escaped = pointers.pointer_escape(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", escaped.alias("escaped"), (pointers.pointer_unescape(escaped) == raw).alias("round_trip"))
+
+
+@query
+def t2_neutralise_whole_for_terminal(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.neutralise_for_terminal(_hostile_whole()).alias("shown"))
+
+
+@query
+def t3_neutralise_whole_for_html(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.neutralise_for_html(_hostile_whole()).alias("shown"))
+
+
 @query
 def t6_bundle_relative(spark, sf_dir):
     path = F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("a/../"), F.col("page_id").cast("string"))).otherwise(F.col("url"))

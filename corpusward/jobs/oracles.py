@@ -335,6 +335,14 @@ _HTML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'
 t3_neutralise_for_html = f"""
 SELECT conv_id, turn, {_HTML.format("substr(text, 1, 10)")} || {_MARKS.format("'&lt;U+202E&gt;'", "'&lt;U+200B&gt;'", "'&lt;U+001B&gt;' || chr(9)", "'&lt;&amp;&gt;'")} || {_HTML.format("substr(text, 11, 20)")} AS shown FROM conversations
 """
+t1_pointer_escape_whole = "SELECT doc_id, replace(replace('~1/' || text, '~', '~0'), '/', '~1') AS escaped, CASE WHEN text IS NOT NULL THEN true END AS round_trip FROM documents"
+
+# Whole texts, character by character; {1} and {2} are put around the code point.
+_EACH = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN {3} THEN '{1}' || printf('%04X', unicode(c)) || '{2}' ELSE c END), '')"
+_CODES = "unicode(c) < 32 OR unicode(c) BETWEEN 127 AND 159 OR unicode(c) IN (173, 1564, 65279) OR unicode(c) BETWEEN 8203 AND 8207 OR unicode(c) BETWEEN 8232 AND 8238 OR unicode(c) BETWEEN 8288 AND 8292 OR unicode(c) BETWEEN 8294 AND 8303"
+_PLANTED = _MARKS.format("chr(8238)", "chr(8203)", "chr(27) || chr(9)", "'<&>'") + " || text"
+t2_neutralise_whole_for_terminal = f"SELECT conv_id, turn, {_EACH.format('x', '<U+', '>', _CODES)} AS shown FROM (SELECT conv_id, turn, {_PLANTED} AS x FROM conversations)"
+t3_neutralise_whole_for_html = f"SELECT conv_id, turn, {_EACH.format('x', '&lt;U+', '&gt;', f'unicode(c) NOT IN (9, 10, 13) AND ({_CODES})')} AS shown FROM (SELECT conv_id, turn, {_HTML.format(_PLANTED)} AS x FROM conversations)"
 t6_bundle_relative = r"""
 SELECT page_id, CASE WHEN page_id % 3 = 0 AND ltrim(p, '/') <> '' AND NOT regexp_matches(ltrim(p, '/'), '(^|/)(|\.|\.\.)(/|$)') THEN ltrim(p, '/') END AS path
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS p FROM pages)

@@ -27,3 +27,19 @@ def test_query_equals_its_sql(spark, name):
 def test_every_query_has_sql():
     assert set(catalog.oracle_sql()) == set(catalog.queries())
     assert catalog.FLAGSHIP in catalog.queries()
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables are not here")
+@pytest.mark.parametrize("name", ["t1_pointer_escape_whole", "t2_neutralise_whole_for_terminal", "t3_neutralise_whole_for_html"])
+def test_text_queries_take_whole_texts(spark, name):
+    test_query_equals_its_sql(spark, name)
+
+
+def test_hostile_characters_are_found_after_any_prefix(spark, tmp_path):
+    turn = "a" * 500 + "‮/~\n\U0001f600<" + "b" * 500
+    spark.createDataFrame([(3, 0, turn)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, turn)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [catalog.queries()[name](spark, str(tmp_path)).first() for name in ("t1_pointer_escape_whole", "t2_neutralise_whole_for_terminal", "t3_neutralise_whole_for_html")]
+    assert (got[0].escaped, got[0].round_trip) == ("~01~1" + turn.replace("~", "~0").replace("/", "~1"), True)
+    assert got[1].shown == "<&>" + turn.replace("‮", "<U+202E>").replace("\n", "<U+000A>")
+    assert got[2].shown == "&lt;&amp;&gt;" + turn.replace("<", "&lt;").replace("‮", "&lt;U+202E&gt;")
