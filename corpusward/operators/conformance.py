@@ -8,7 +8,7 @@ document are reported, not the first alone.
 from __future__ import annotations
 
 import json
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,25 +55,33 @@ def _typed(value) -> tuple[str, str]:
     return "string", str(value)
 
 
-def flatten_schema(schema: dict) -> list[tuple]:
-    """Rows of RULES for a schema; local ``$ref`` are followed, recursion is cut after eight levels.
+def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> list[tuple]:
+    """Rows of RULES for a schema; local ``$ref`` are followed.
 
-    Branches of oneOf, anyOf and not are rules of their own, told apart by ``branch``.
+    Where a ``$ref`` recurs below itself, a row ``again`` holds it and the schema;
+    ``unrolled`` puts rules in its place.  Branches of oneOf, anyOf and not are rules of
+    their own, told apart by ``branch``.  ``starts`` has (path, ref, branch) to begin at.
     """
     out: list[tuple] = []
 
-    def resolve(s: dict) -> dict:
-        while "$ref" in s:
-            target = schema
-            for t in s["$ref"].removeprefix("#/").split("/"):
-                target = target[t.replace("~1", "/").replace("~0", "~")]
-            s = target
+    def target(ref: str) -> dict:
+        s = schema
+        for t in ref.removeprefix("#").split("/")[1:]:
+            s = s[int(t)] if isinstance(s, list) else s[t.replace("~1", "/").replace("~0", "~")]
         return s
 
-    def walk(s: dict, path: str, branch: str | None, depth: int) -> None:
-        if not isinstance(s, dict) or depth > 8:
+    def walk(s: dict, path: str, branch: str | None, refs: dict[str, str]) -> None:
+        if not isinstance(s, dict):
             return
-        s = resolve(s)
+        while "$ref" in s:
+            ref = s["$ref"]
+            if ref in refs:
+                if refs[ref] != path:  # at the same path it says nothing more
+                    out.append((path, "again", json.dumps([ref, schema]), None, None, branch))
+                return
+            refs, s = refs | {ref: path}, target(ref)
+            if not isinstance(s, dict):
+                return
         add = lambda keyword, text=None, num=None, kinds=None: out.append((path, keyword, text, num, kinds, branch))
         for key in s.get("required", ()):
             add("required", key)
@@ -101,13 +109,14 @@ def flatten_schema(schema: dict) -> list[tuple]:
                 parts = s[k] if isinstance(s[k], list) else [s[k]]
                 add(k, f"{path} {k} ", float(len(parts)))
                 for i, part in enumerate(parts):
-                    walk(part, path, f"{path} {k} {i}", depth + 1)
+                    walk(part, path, f"{path} {k} {i}", refs)
         for key, child in s.get("properties", {}).items():
-            walk(child, f"{path}/{key.replace('~', '~0').replace('/', '~1')}", branch, depth + 1)
+            walk(child, f"{path}/{key.replace('~', '~0').replace('/', '~1')}", branch, refs)
         if "items" in s:
-            walk(s["items"], f"{path}/*", branch, depth + 1)
+            walk(s["items"], f"{path}/*", branch, refs)
 
-    walk(schema, "", None, 0)
+    for path, ref, branch in starts:
+        walk(schema if ref is None else {"$ref": ref}, path, branch, {"#": path} if ref is None else {})
     return out
 
 
@@ -115,6 +124,36 @@ def rule_table(spark: SparkSession, schema: dict) -> DataFrame:
     return spark.createDataFrame(flatten_schema(schema), RULES)
 
 
+def unrolled(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rules`` of a recursive schema as deep as ``nodes`` go; others as they are.
+
+    Rules meet nodes of their path only, so recursion ends at paths without a node.
+    Rules are chosen by branch after this, since recursion can add branches.
+    """
+    todo = rules.where("keyword = 'again'").collect()
+    if not todo:
+        return rules
+    spark, more = nodes.sparkSession, []
+    todo = [(r["rule_path"], *json.loads(r["text"]), r["branch"]) for r in todo]
+    while todo:
+        asked = spark.createDataFrame(sorted({(path,) for path, *_ in todo}), "rule_path string")
+        there = {r[0] for r in nodes.select("rule_path").join(F.broadcast(asked), "rule_path", "left_semi").distinct().collect()}
+        rows = [row for path, ref, schema, branch in todo if path in there for row in flatten_schema(schema, [(path, ref, branch)])]
+        more += [row for row in rows if row[1] != "again"]
+        todo = [(row[0], *json.loads(row[2]), row[5]) for row in rows if row[1] == "again"]
+    return rules.where("keyword <> 'again'").unionByName(spark.createDataFrame(more, RULES))
+
+
+def _unrolling(op):
+    """``op`` on rules that go as deep as its nodes."""
+
+    @wraps(op)
+    def whole(nodes: DataFrame, rules: DataFrame, *more) -> DataFrame:
+        return op(nodes, unrolled(nodes, rules), *more)
+
+    return whole
+
+
 def _met(nodes: DataFrame, rules: DataFrame, *keywords: str) -> DataFrame:
     """Nodes with each rule of their path: broadcast, a schema has few rules."""
     return nodes.join(F.broadcast(rules.where(F.col("keyword").isin(list(keywords)))), "rule_path")
@@ -125,6 +164,7 @@ def _violation(rows: DataFrame, pointer: str, code, message) -> DataFrame:
     return rows.select("doc_id", F.col(pointer).alias("pointer"), "seq", code.alias("code"), message.alias("message"), "branch")
 
 
+@_unrolling
 def required_missing(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """An object lacks a required key: one row for each key, at the object."""
     asked = _met(nodes.where("kind = 'object'").select("doc_id", "pointer", "seq", "rule_path"), rules, "required")
@@ -132,6 +172,7 @@ def required_missing(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return _violation(asked.join(there, ["doc_id", "pointer", "text"], "left_anti"), "pointer", "101", F.concat(F.lit("lacks "), "text"))
 
 
+@_unrolling
 def unknown_property(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """A closed object has keys that are not listed: one row for each object, naming them in order."""
     parents = nodes.where("kind = 'object'").select("doc_id", F.col("pointer").alias("parent"), "rule_path", F.col("seq").alias("object_seq"))
@@ -145,6 +186,7 @@ def unknown_property(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return _violation(grouped, "parent", "102", F.concat(F.lit("unknown keys: "), "keys"))
 
 
+@_unrolling
 def value_not_permitted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """A value is none of an enum's or not the constant; values are compared as JSON, not as text."""
     kind = F.when(F.col("kind").isin("integer", "number"), "number").when(F.col("kind").isin("null", "boolean"), "literal").otherwise(F.col("kind"))
@@ -156,6 +198,7 @@ def value_not_permitted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return _violation(asked.join(F.broadcast(allowed), same, "left_anti"), "pointer", "103", F.concat(F.coalesce("value", F.col("class")), F.lit(" is not permitted")))
 
 
+@_unrolling
 def wrong_type(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """A node is of none of the types; integers are numbers, whole numbers are integers."""
     rows = _met(nodes, rules, "type")
@@ -174,6 +217,7 @@ FORMATS = {
 }
 
 
+@_unrolling
 def malformed_value(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """A string misses its pattern or format; dates must be days of the calendar."""
     rows = _met(nodes.where("kind = 'string'"), rules, "pattern", "format")
@@ -183,6 +227,7 @@ def malformed_value(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return _violation(rows.where(~ok), "pointer", "105", F.concat("sval", F.lit(" does not match "), "text"))
 
 
+@_unrolling
 def bad_cardinality(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Too few or too many members, or members of an array that are equal as JSON values."""
     n, k = F.col("n_children"), F.col("keyword")
@@ -202,6 +247,7 @@ def bad_cardinality(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return counted.unionByName(_violation(twice, "array", "106", F.lit("members are equal")))
 
 
+@_unrolling
 def out_of_range(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """A number beyond its bounds or no multiple, or a string too short or too long (code points)."""
     rows = _met(nodes.where("kind in ('integer', 'number', 'string')"), rules, "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength")
@@ -220,9 +266,10 @@ def out_of_range(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _simple(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [op(nodes, rules) for op in (required_missing, unknown_property, value_not_permitted, wrong_type, malformed_value, bad_cardinality, out_of_range)])
+    return reduce(DataFrame.unionByName, [op.__wrapped__(nodes, rules) for op in (required_missing, unknown_property, value_not_permitted, wrong_type, malformed_value, bad_cardinality, out_of_range)])
 
 
+@_unrolling
 def no_matching_alternative(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """oneOf without exactly one, anyOf without one, not with a branch that has no violation.
 
@@ -241,7 +288,8 @@ def no_matching_alternative(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return _violation(rows, "pointer", "108", F.concat("keyword", F.lit(": branches that match: "), F.col("held").cast("string")))
 
 
+@_unrolling
 def schema_findings(nodes: DataFrame, rules: DataFrame, standard: str) -> DataFrame:
     """All schema violations of one standard's documents, as errors."""
-    found = _simple(nodes, rules.where("branch is null")).unionByName(no_matching_alternative(nodes, rules))
+    found = _simple(nodes, rules.where("branch is null")).unionByName(no_matching_alternative.__wrapped__(nodes, rules))
     return findings(found, spec_id=standard, severity="error", code=F.concat(F.lit(standard.upper()), "code"), message=F.col("message"), pointer=F.col("pointer"), seq=F.col("seq"))

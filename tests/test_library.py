@@ -138,6 +138,28 @@ def test_schema_violations(spark):
     assert found.where("code = 'CADS102'").first().message == "unknown keys: zz, yy"
 
 
+def _at(n, inner):
+    """``inner`` below ``n`` keys."""
+    return inner if n == 0 else {"a": _at(n - 1, inner)}
+
+
+def test_rules_below_the_eighth_level(spark):
+    schema = {"type": "string"}
+    for _ in range(14):
+        schema = {"properties": {"a": schema}}
+    n = nodes_of(spark, {"bad": json.dumps(_at(14, 1)), "clean": json.dumps(_at(14, "s"))})
+    assert codes(conformance.schema_findings(n, conformance.rule_table(spark, schema), "cads")) == [("bad", "CADS104", "/a" * 14)]
+
+
+def test_recursive_schemas_go_as_deep_as_documents(spark):
+    node = {"type": "object", "properties": {"a": {"$ref": "#/$defs/N"}, "v": {"type": "integer"}, "w": {"oneOf": [{"type": "string"}, {"$ref": "#/$defs/N"}]}}}
+    rules = conformance.rule_table(spark, {"$ref": "#/$defs/N", "$defs": {"N": node}})
+    n = nodes_of(spark, {"bad": json.dumps(_at(13, {"v": "s", "w": 1})), "clean": json.dumps(_at(13, {"v": 1, "w": {"v": 2}})), "branch": json.dumps(_at(6, {"w": _at(6, {"v": "s"})}))})
+    found = conformance.schema_findings(n, rules, "cads")
+    assert codes(found) == [("bad", "CADS104", "/a" * 13 + "/v"), ("bad", "CADS108", "/a" * 13 + "/w"), ("branch", "CADS108", "/a" * 6 + "/w")]
+    assert [r.pointer for r in conformance.wrong_type(n, conformance.unrolled(n, rules).where("branch is null")).collect()] == ["/a" * 13 + "/v"]
+
+
 # ---------------------------------------------------------------- hygiene and references
 
 
