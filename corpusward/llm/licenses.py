@@ -1,7 +1,9 @@
 """License notices in texts: exact phrases, and an exact containment join with templates.
 
-A block is a window of 64 words that starts at a multiple of 32.  It matches a
-template that has ``threshold`` of its distinct words in it.  Words are put in order
+Templates of up to 32 words are looked for in blocks of 64 words that start at
+multiples of 32; both numbers double until the step is no less than a longer template's
+words, so that every passage of a template's length lies in one of its blocks.  A block
+matches a template that has ``threshold`` of its distinct words in it.  Words are put in order
 of their global frequency, rarest first; then a match shares a word within the first
 t - need + 1 of the template and the first b - need + 1 of the block (prefix filter),
 has at least ``need`` words (length filter) and leaves enough words behind the first
@@ -12,6 +14,7 @@ common ones, so blocks keep only the others.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,8 @@ TEMPLATES = [
     ("bsd conditions", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 ]
 
-BLOCK, STEP = 64, 32
+#: A block is two steps; templates of more words than STEP have steps of 2, 4, 8, ... times as many.
+STEP = 32
 
 
 def _tokens(text: str) -> np.ndarray:
@@ -48,10 +52,12 @@ class _Plan:
     """What the tasks need of templates and phrases: word hashes, numbered."""
 
     def __init__(self, templates, phrases: dict[str, str], threshold: float):
-        sets = [np.unique(_tokens(t)) for _, _, t in templates]
+        words = [_tokens(t) for _, _, t in templates]
+        sets = [np.unique(w) for w in words]
         self.vocabulary = np.unique(np.concatenate([*sets, np.empty(0, W.U)]))
         self.templates = [np.searchsorted(self.vocabulary, s) for s in sets]
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in sets]
+        self.steps = [STEP << max(0, (len(w) - 1).bit_length() - STEP.bit_length() + 1) for w in words]
         self.phrases = [(_tokens(p), label) for p, label in phrases.items()]
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +69,22 @@ class _Plan:
         found = np.flatnonzero(self.vocabulary[at] == h)
         return found, at[found]
 
-    def in_blocks(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, block, word) for each distinct vocabulary word of each block, sorted."""
+    def in_blocks(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each step, (step, text, block, word): each distinct word of its templates in each block, sorted."""
         at, word = self.hits(h)
         text = np.searchsorted(bounds, at, "right") - 1
-        own = (at - bounds[text]) // STEP
-        # A word lies in the block that starts at its step and in the one before.
-        text, block, word = np.r_[text, text], np.r_[own, own - 1], np.r_[word, word]
-        keep = block >= 0
-        code = np.unique((text[keep] << 42) | (block[keep] << 12) | word[keep])
-        return code >> 42, (code >> 12) & ((1 << 30) - 1), code & 0xFFF
+        for step in sorted(set(self.steps)):
+            own = np.zeros(len(self.vocabulary), bool)
+            own[np.concatenate([t for t, s in zip(self.templates, self.steps, strict=True) if s == step])] = True
+            i = np.flatnonzero(own[word])
+            block = (at[i] - bounds[text[i]]) // step
+            # A word lies in the block that starts at its step and in the one before.
+            rows = np.stack([np.r_[text[i], text[i]], np.r_[block, block - 1], np.r_[word[i], word[i]]])
+            rows = rows[:, rows[1] >= 0]
+            rows = rows[:, np.lexsort(rows[::-1])]
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+            yield step, *rows[:, new]
 
 
 def word_frequencies(rows: DataFrame, plan: _Plan) -> dict[int, int]:
@@ -83,7 +95,8 @@ def word_frequencies(rows: DataFrame, plan: _Plan) -> dict[int, int]:
         for batch in batches:
             for _, block in W.blocks(batch.column(0).to_pylist()):
                 found = W.split([W.lower(b) for b in block], W.PUNCTUATION)
-                total += np.bincount(plan.in_blocks(found.hashes(), found.bounds)[2], minlength=len(total))
+                for *_, word in plan.in_blocks(found.hashes(), found.bounds):
+                    total += np.bincount(word, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["word", "n"])
 
     return {r["word"]: r["n"] for r in rows.select("text").mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -94,10 +107,11 @@ def _scan(rows: DataFrame, plan: _Plan, rank: np.ndarray) -> DataFrame:
 
     A block's words are ranks in the global order, ascending.
     """
-    prefix = np.zeros(len(plan.vocabulary), bool)
-    for t, need in zip(plan.templates, plan.need, strict=True):
-        prefix[np.sort(rank[t])[: len(t) - need + 1]] = True
-    least = min(plan.need, default=1)
+    prefix = {step: np.zeros(len(plan.vocabulary), bool) for step in plan.steps}
+    least: dict[int, int] = {}
+    for t, need, step in zip(plan.templates, plan.need, plan.steps, strict=True):
+        prefix[step][np.sort(rank[t])[: len(t) - need + 1]] = True
+        least[step] = min(need, least.get(step, need))
 
     def task(batches):
         for batch in batches:
@@ -118,24 +132,22 @@ def _scan(rows: DataFrame, plan: _Plan, rank: np.ndarray) -> DataFrame:
                         low[t] = start[0] if low[t] < 0 else min(low[t], start[0])
                         high[t] = max(high[t], start[-1])
                         labels[t].append(label)
-                text, number, word = plan.in_blocks(h, bounds)
-                code = (text << 30) | number
-                order = np.lexsort((rank[word], code))
-                code, word = code[order], rank[word[order]]
-                edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
-                size = np.diff(np.r_[edge, len(code)])
-                some = np.add.reduceat(prefix[word].astype(np.int64), edge) > 0 if len(edge) else np.empty(0, bool)
                 blocks = [[] for _ in range(n)]
-                for i in np.flatnonzero(some & (size >= least)):
-                    c = int(code[edge[i]])
-                    blocks[c >> 30].append({"block": c & ((1 << 30) - 1), "words": word[edge[i] : edge[i] + size[i]].tolist()})
-                kind = pa.list_(pa.struct([("block", pa.int32()), ("words", pa.list_(pa.int32()))]))
+                for step, text, number, word in plan.in_blocks(h, bounds):
+                    order = np.lexsort((rank[word], number, text))
+                    text, number, word = text[order], number[order], rank[word[order]]
+                    edge = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (number[1:] != number[:-1])]) if len(text) else np.empty(0, np.int64)
+                    size = np.diff(np.r_[edge, len(text)])
+                    some = np.add.reduceat(prefix[step][word].astype(np.int64), edge) > 0 if len(edge) else np.empty(0, bool)
+                    for i in np.flatnonzero(some & (size >= least[step])):
+                        blocks[text[edge[i]]].append({"step": step, "block": number[edge[i]], "words": word[edge[i] : edge[i] + size[i]].tolist()})
+                kind = pa.list_(pa.struct([("step", pa.int64()), ("block", pa.int64()), ("words", pa.list_(pa.int32()))]))
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(first, n), pa.array(_digests(h, bounds)), pa.array(np.diff(bounds)), pa.array(count), pa.array(low), pa.array(high), pa.array(labels, pa.list_(pa.string())), pa.array(blocks, kind)],
                     ["doc_id", "digest", "n_words", "n_base", "first_word", "last_word", "base", "blocks"],
                 )
 
-    return rows.mapInArrow(task, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<block:int,words:array<int>>>")
+    return rows.mapInArrow(task, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<step:bigint,block:bigint,words:array<int>>>")
 
 
 def _digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -147,15 +159,15 @@ def template_matches(scanned: DataFrame, plan: _Plan, rank: np.ndarray, template
     """doc_id, digest, block, name, label and containment of every block that meets a template."""
     spark = scanned.sparkSession
     rows = []
-    for (name, label, _), words, need in zip(templates, plan.templates, plan.need, strict=True):
+    for (name, label, _), words, need, step in zip(templates, plan.templates, plan.need, plan.steps, strict=True):
         ordered = np.sort(rank[words]).tolist()
-        rows += [(w, i, len(ordered), need, name, label, ordered) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "word int, i int, t int, need int, name string, label string, template array<int>")
-    blocks = scanned.select("doc_id", "digest", F.explode("blocks").alias("b")).select("doc_id", "digest", F.col("b.block").alias("block"), F.col("b.words").alias("words"), F.size("b.words").alias("size"))
+        rows += [(step, w, i, len(ordered), need, name, label, ordered) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+    prefixes = spark.createDataFrame(rows, "step long, word int, i int, t int, need int, name string, label string, template array<int>")
+    blocks = scanned.select("doc_id", "digest", F.explode("blocks").alias("b")).select("doc_id", "digest", F.col("b.step").alias("step"), F.col("b.block").alias("block"), F.col("b.words").alias("words"), F.size("b.words").alias("size"))
     probes = blocks.select("*", F.posexplode("words").alias("j", "word"))
     # The templates are the caller's own list: a row for each of their words at most.
-    met = probes.join(F.broadcast(prefixes), "word").where((F.col("size") >= F.col("need")) & (F.col("t") - F.col("i") >= F.col("need")) & (F.col("size") - F.col("j") >= F.col("need")))
-    pairs = met.groupBy("doc_id", "digest", "block", "name").agg(F.any_value("label").alias("label"), F.any_value("words").alias("words"), F.any_value("template").alias("template"), F.any_value("need").alias("need"), F.any_value("t").alias("t"))
+    met = probes.join(F.broadcast(prefixes), ["step", "word"]).where((F.col("size") >= F.col("need")) & (F.col("t") - F.col("i") >= F.col("need")) & (F.col("size") - F.col("j") >= F.col("need")))
+    pairs = met.groupBy("doc_id", "digest", "step", "block", "name").agg(F.any_value("label").alias("label"), F.any_value("words").alias("words"), F.any_value("template").alias("template"), F.any_value("need").alias("need"), F.any_value("t").alias("t"))
     both = F.size(F.array_intersect("words", "template"))
     return pairs.where(both >= F.col("need")).select("doc_id", "digest", "block", "name", "label", (both / F.col("t")).alias("containment"))
 

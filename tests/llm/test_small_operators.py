@@ -123,6 +123,15 @@ def test_license_labels_places_and_edges(spark):
     assert licenses.license_report(docs(spark, [])).count() == 0
 
 
+def test_license_templates_of_any_length_at_any_place(spark):
+    long = [(f"t{n}", f"l{n}", " ".join(f"w{n}x{i}" for i in range(n))) for n in (32, 33, 64, 65, 700, 5000)]
+    rows = [(1000 * n + shift, "pad " * shift + notice, "s") for (_, _, notice), n in zip(long, (32, 33, 64, 65, 700, 5000)) for shift in (0, 1, 31, 33, 63, 700)]
+    rows.append((7, " ".join(long[4][2].split()[:600]), "s"))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_report(docs(spark, rows), long, {}).collect()}
+    assert got.pop(7) == ("", 0.0)
+    assert got == {i: (f"l{i // 1000}", 1.0) for i in got} and len(got) == len(rows) - 1
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
