@@ -18,7 +18,6 @@ from corpusward.schemas import NODES
 
 #: Fixed values.
 EXTENSIONS = r"(?i)\.(ya?ml|json)$"
-MAX_DEPTH = 32
 #: Keys whose object values are maps: their children's keys are names, not keywords.
 MAPS = frozenset(("models", "fields", "definitions", "servers"))
 
@@ -27,15 +26,15 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     """doc_id (path), text, bytes of every .yaml, .yml and .json file under ``paths``.
 
     Hidden names and ``target`` folders are skipped, as is what lies below a folder with
-    an ``index.md`` (a bundle) or deeper than 32 levels.  A path to one file is read
-    whatever its extension.
+    an ``index.md`` (a bundle).  Folders may be nested to any depth.  A path to one file
+    is read whatever its extension.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content", F.col("length").alias("bytes"))
     given = [p.rstrip("/") for p in paths]
     root = F.coalesce(*(F.when((F.col("path") == p) | F.col("path").startswith(p + "/"), F.lit(p)) for p in given), F.lit(""))
     files = files.withColumn("root", root).withColumn("below", F.col("path").substr(F.char_length("root") + 2, F.lit(1 << 20)))
     parts = F.split("below", "/")
-    seen = files.where((F.size(parts) <= MAX_DEPTH) & ~F.exists(parts, lambda x: x.startswith(".") | (x == "target")))
+    seen = files.where(~F.exists(parts, lambda x: x.startswith(".") | (x == "target")))
     roots = seen.where(F.regexp_extract("path", r"[^/]+$", 0) == "index.md").select(F.regexp_replace("path", r"/index\.md$", "").alias("bundle")).distinct()
     folders = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
     inside = seen.select("path", F.explode(folders).alias("bundle")).join(roots, "bundle", "left_semi").select("path").distinct()

@@ -58,6 +58,14 @@ def test_discovery(spark, tmp_path):
     assert documents.read_documents(spark, [f"{tmp_path}/c.txt"]).count() == 1
 
 
+def test_discovery_at_any_depth(spark, tmp_path):
+    for levels in (31, 32, 60):
+        path = tmp_path / "/".join("d" * levels) / f"{levels}.yaml"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("a: 1")
+    assert {r.doc_id.rsplit("/", 1)[1] for r in documents.read_documents(spark, [str(tmp_path)]).collect()} == {"31.yaml", "32.yaml", "60.yaml"}
+
+
 def test_routing(spark):
     texts = {"c": "kind: DataContract", "p": "kind: DataProduct\ndataContractSpecification: 1", "l": "dataContractSpecification: 1.1.0", "x": "kind: Other", "n": "kind: 3\ndataContractSpecification: 1", "u": "a: 1"}
     docs = spark.createDataFrame([(k,) for k in texts], "doc_id string")
