@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusward.functions.markdown import text_lines
 from corpusward.operators.bundles import found, sources
 from corpusward.operators.report import merge_reports
 from corpusward.sources.bundles import front
@@ -19,6 +20,7 @@ from corpusward.sources.bundles import front
 KEY_ORDER = ("type", "resource", "title", "description", "tags", "status", "stale_after", "generated", "verified", "sources", "usage_window")
 ACTOR = r"^(human:\S+|process:\S+|[^\s/:]+/[^\s/]+)$"
 PORTABLE = r"^(?!(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$))[A-Za-z0-9][A-Za-z0-9._-]*$"
+COMPUTATION = r"^ {0,3}#+\s+Computation\s*$"
 #: Names of languages that can be checked here.
 LANGUAGES = {"json": "json", "yaml": "yaml", "yml": "yaml", "sh": "shell", "bash": "shell", "shell": "shell", "zsh": "shell"}
 
@@ -60,7 +62,7 @@ def actor_convention(concepts: DataFrame) -> DataFrame:
 
 def untagged_computation(concepts: DataFrame, blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """OKFL07: a fenced block without a language under the ``Computation`` heading."""
-    heads = lines.where("level > 0").select("bundle", "concept_id", F.col("line").alias("head_line"), F.col("text").rlike(r"^ {0,3}#+\s+Computation\s*$").alias("own"))
+    heads = lines.where("level > 0").select("bundle", "concept_id", F.col("line").alias("head_line"), F.col("text").rlike(COMPUTATION).alias("own"))
     under = blocks.join(heads, ["bundle", "concept_id"]).where("head_line < start_line").groupBy("bundle", "concept_id", "start_line", "language").agg(F.max_by("own", "head_line").alias("own"))
     return found(under.where("own and language = ''").join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"]), "OKFL07", "warning", "the computation names no language", F.col("start_line"))
 
@@ -97,12 +99,31 @@ def _parses(language: pd.Series, code: pd.Series) -> pd.Series:
     return pd.Series([ok(k, c) for k, c in zip(language, code, strict=True)], dtype=bool)
 
 
+def computation_blocks(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """bundle, concept_id, start_line, code: the first block under a concept's ``Computation`` heading, if it names a language."""
+    own = F.col("text").rlike(COMPUTATION)
+    some = concepts.where(F.col("body").rlike(f"(?m){COMPUTATION}"))
+    heads = text_lines(some, blocks).where("level > 0").select("bundle", "concept_id", F.col("line").alias("head_line"), own.alias("own"))
+    under = blocks.join(heads, ["bundle", "concept_id"]).where("head_line < start_line").groupBy("bundle", "concept_id", "start_line").agg(F.max_by("own", "head_line").alias("own"), F.any_value("language").alias("language"), F.any_value("code").alias("code"))
+    first = under.where("own").groupBy("bundle", "concept_id").agg(F.min(F.struct("start_line", "language", "code")).alias("b"))
+    return first.select("bundle", "concept_id", "b.*").where("language <> ''").drop("language")
+
+
 def code_block_syntax(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """OKF007 [info]: a block in a checkable language (JSON, YAML, shell) that does not parse."""
+    """Blocks in a checkable language (JSON, YAML, shell) that do not parse.
+
+    The ``Computation`` block is OKF310 [warning], and blocks with its code are not
+    reported again; all others are OKF007 [info].
+    """
     kind = F.coalesce(*(F.when(F.lower("language") == k, F.lit(v)) for k, v in LANGUAGES.items()))
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    computed = computation_blocks(concepts, blocks).select("bundle", "concept_id", F.col("start_line").alias("own_line"), trimmed("code").alias("own_code"))
     rows = blocks.withColumn("kind", kind).where(F.col("kind").isNotNull() & F.col("code").rlike(r"\S"))
-    rows = rows.where(~_parses("kind", "code"))
-    return found(rows.join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"]), "OKF007", "info", F.concat("kind", F.lit(" does not parse")), F.col("start_line"))
+    rows = rows.join(computed, ["bundle", "concept_id"], "left").withColumn("own", F.coalesce(F.col("start_line") == F.col("own_line"), F.lit(False)))
+    rows = rows.where(F.col("own") | F.col("own_code").isNull() | (trimmed("code") != F.col("own_code")))
+    rows = rows.where(~_parses("kind", "code")).join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"])
+    each = lambda rows, code, severity: found(rows, code, severity, F.concat("kind", F.lit(" does not parse")), F.col("start_line"))
+    return merge_reports(each(rows.where("own"), "OKF310", "warning"), each(rows.where("not own"), "OKF007", "info"))
 
 
 def language_coverage(blocks: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ CODES = {
     "minProperties": "106",
     "maxProperties": "106",
     "uniqueItems": "106",
+    "contains": "106",
     "minimum": "107",
     "maximum": "107",
     "exclusiveMinimum": "107",
@@ -43,7 +44,7 @@ CODES = {
     "anyOf": "108",
     "not": "108",
 }
-_NUMBERS = [k for k, c in CODES.items() if c in ("106", "107") and k != "uniqueItems"]
+_NUMBERS = [k for k, c in CODES.items() if c in ("106", "107") and k not in ("uniqueItems", "contains")]
 
 
 def _typed(value) -> tuple[str, str]:
@@ -59,8 +60,8 @@ def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> l
     """Rows of RULES for a schema; local ``$ref`` are followed.
 
     Where a ``$ref`` recurs below itself, a row ``again`` holds it and the schema;
-    ``unrolled`` puts rules in its place.  Branches of oneOf, anyOf and not are rules of
-    their own, told apart by ``branch``.  ``starts`` has (path, ref, branch) to begin at.
+    ``unrolled`` puts rules in its place.  Branches of oneOf, anyOf and not, and contains,
+    are rules of their own, told apart by ``branch``.  ``starts`` has (path, ref, branch) to begin at.
     """
     out: list[tuple] = []
 
@@ -110,6 +111,12 @@ def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> l
                 add(k, f"{path} {k} ", float(len(parts)))
                 for i, part in enumerate(parts):
                     walk(part, path, f"{path} {k} {i}", refs)
+        if "contains" in s:
+            own = f"{path} contains" if branch is None else f"{branch} {path} contains"
+            add("contains", own, float(s.get("minContains", 1)), [str(s["maxContains"])] if "maxContains" in s else None)
+            if s["contains"] is False:
+                out.append((f"{path}/*", "type", None, None, [], own))
+            walk(s["contains"], f"{path}/*", own, refs)
         for key, child in s.get("properties", {}).items():
             walk(child, f"{path}/{key.replace('~', '~0').replace('/', '~1')}", branch, refs)
         if "items" in s:
@@ -229,7 +236,27 @@ def malformed_value(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 @_unrolling
 def bad_cardinality(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Too few or too many members, or members of an array that are equal as JSON values."""
+    """Too few or too many members, also of those that contains asks for, or members of an array that are equal as JSON values."""
+    return _counted(nodes, rules).unionByName(_contained(nodes, rules))
+
+
+def _contained(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Arrays with too few or too many members that meet ``contains``: those with no violation at them or below."""
+    asked = _met(nodes.where("kind = 'array'").select("doc_id", "pointer", "seq", "rule_path", "n_children"), rules, "contains")
+    if rules.where("keyword = 'contains'").isEmpty():
+        return _violation(asked, "pointer", "106", F.col("text"))
+    own = rules.where("keyword = 'contains'").select(F.col("text").alias("own"), F.size(F.split("rule_path", "/")).alias("level"))
+    broken = _simple(nodes, rules.join(F.broadcast(own.select(F.col("own").alias("branch"))), "branch", "left_semi")).join(F.broadcast(own), F.col("branch") == F.col("own"))
+    parts = F.split("pointer", "/")
+    upto = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+    others = broken.select("doc_id", F.col("own").alias("text"), upto(F.col("level")).alias("pointer"), upto(F.col("level") + 1).alias("member")).groupBy("doc_id", "text", "pointer").agg(F.count_distinct("member").alias("others"))
+    n = F.col("n_children") - F.coalesce("others", F.lit(0))
+    most = F.get("kinds", F.lit(0)).cast("double")
+    few, many = n < F.col("num"), F.coalesce(n > most, F.lit(False))
+    return _violation(asked.join(others, ["doc_id", "text", "pointer"], "left").where(few | many), "pointer", "106", F.when(few, "contains is not met").otherwise("maxContains is not met"))
+
+
+def _counted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     n, k = F.col("n_children"), F.col("keyword")
     rows = _met(nodes.where("kind in ('array', 'object')"), rules, "minItems", "maxItems", "minProperties", "maxProperties")
     fits = (F.col("kind") == "array") == k.endswith("Items")
@@ -266,7 +293,7 @@ def out_of_range(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _simple(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [op.__wrapped__(nodes, rules) for op in (required_missing, unknown_property, value_not_permitted, wrong_type, malformed_value, bad_cardinality, out_of_range)])
+    return reduce(DataFrame.unionByName, [op.__wrapped__(nodes, rules) for op in (required_missing, unknown_property, value_not_permitted, wrong_type, malformed_value, out_of_range)], _counted(nodes, rules))
 
 
 @_unrolling
@@ -278,7 +305,8 @@ def no_matching_alternative(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """
     places = _met(nodes.select("doc_id", "pointer", "seq", "rule_path", "depth"), rules.where("branch is null"), "oneOf", "anyOf", "not")
     each = places.select("doc_id", "pointer", "seq", "keyword", "num", "depth", F.explode(F.transform(F.sequence(F.lit(0), F.col("num").cast("int") - 1), lambda i: F.concat("text", i.cast("string")))).alias("branch"))
-    broken = _simple(nodes, rules.where("branch is not null")).select("doc_id", "branch", F.split("pointer", "/").alias("parts")).distinct()
+    inside = _simple(nodes, rules.where("branch is not null")).unionByName(_contained(nodes, rules).where("branch is not null"))
+    broken = inside.select("doc_id", "branch", F.split("pointer", "/").alias("parts")).distinct()
     met = each.join(broken.withColumn("broken", F.lit(True)), ["doc_id", "branch"], "left")
     here = F.col("broken") & (F.array_join(F.slice("parts", F.lit(1), F.col("depth") + 1), "/") == F.col("pointer"))
     branches = met.groupBy("doc_id", "pointer", "seq", "keyword", "branch").agg(F.coalesce(F.max(here), F.lit(False)).alias("broken"))
@@ -291,5 +319,5 @@ def no_matching_alternative(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 @_unrolling
 def schema_findings(nodes: DataFrame, rules: DataFrame, standard: str) -> DataFrame:
     """All schema violations of one standard's documents, as errors."""
-    found = _simple(nodes, rules.where("branch is null")).unionByName(no_matching_alternative.__wrapped__(nodes, rules))
+    found = _simple(nodes, rules.where("branch is null")).unionByName(_contained(nodes, rules).where("branch is null")).unionByName(no_matching_alternative.__wrapped__(nodes, rules))
     return findings(found, spec_id=standard, severity="error", code=F.concat(F.lit(standard.upper()), "code"), message=F.col("message"), pointer=F.col("pointer"), seq=F.col("seq"))

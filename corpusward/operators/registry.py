@@ -136,6 +136,14 @@ def verdict_agreement(recorded: DataFrame, computed: DataFrame, known: DataFrame
     return rows.select("doc_id", status.alias("status"))
 
 
+def verdict_balance(recorded: DataFrame, computed: DataFrame, least: int = 2) -> DataFrame:
+    """side (recorded, computed), passes, fails and whether each is at least ``least``: agreement means little otherwise."""
+    verdicts = recorded.select(F.lit("recorded").alias("side"), "verdict").unionByName(computed.select(F.lit("computed").alias("side"), "verdict"))
+    sides = recorded.sparkSession.createDataFrame([("recorded",), ("computed",)], "side string")
+    counts = sides.join(verdicts, "side", "left").groupBy("side").agg(F.count_if(F.col("verdict") == "ok").alias("passes"), F.count_if(F.col("verdict") == "err").alias("fails"))
+    return counts.withColumn("discriminates", (F.col("passes") >= least) & (F.col("fails") >= least))
+
+
 def catalogue(registry: DataFrame, verified: DataFrame) -> DataFrame:
     """One row for each entry: trimmed optionals, gaps, digest status, has_validator, upstream link."""
     text = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)

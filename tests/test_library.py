@@ -168,6 +168,15 @@ def test_recursive_schemas_go_as_deep_as_documents(spark):
     assert [r.pointer for r in conformance.wrong_type(n, conformance.unrolled(n, rules).where("branch is null")).collect()] == ["/a" * 13 + "/v"]
 
 
+def test_members_that_arrays_must_contain(spark):
+    schema = {"properties": {"l": {"contains": {"type": "object", "required": ["x"]}, "maxContains": 2}, "never": {"contains": False}, "m": {"items": {"contains": {"const": 1}}}, "one": {"oneOf": [{"contains": {"type": "string"}}, {"type": "string"}]}}}
+    texts = {"clean": {"l": [{"x": 1}, 2], "m": [[1, 2], [1]], "one": ["s", 1]}, "bad": {"l": [{"y": 1}, {"y": {"x": 1}}], "m": [[1], [2, 3], []], "one": [1]}, "many": {"l": [{"x": 1}] * 3}, "empty": {"l": []}, "never": {"never": [1]}, "other": {"l": "s"}}
+    n = nodes_of(spark, {k: json.dumps(v) for k, v in texts.items()})
+    rules = conformance.rule_table(spark, schema)
+    assert codes(conformance.schema_findings(n, rules, "cads")) == [("bad", "CADS106", "/l"), ("bad", "CADS106", "/m/1"), ("bad", "CADS106", "/m/2"), ("bad", "CADS108", "/one"), ("empty", "CADS106", "/l"), ("many", "CADS106", "/l"), ("never", "CADS106", "/never")]
+    assert {r.message for r in conformance.bad_cardinality(n, rules).where("doc_id = 'many' and branch is null").collect()} == {"maxContains is not met"}
+
+
 # ---------------------------------------------------------------- hygiene and references
 
 
@@ -235,6 +244,21 @@ def test_headings_and_computation_blocks(spark):
     assert [r.code for r in bundle_hygiene.code_block_syntax(concepts, blocks).collect()] == ["OKF007"]
 
 
+def test_broken_computation_block_is_a_warning_once(spark):
+    broken = "```json\n{\n```\n"
+    files = {"k/index.md": "", "k/a.md": f"# Code\n{broken}# Computation\ntext\n{broken}```yaml\na: [\n```\n", "k/b.md": f"# Code\n{broken}", "k/c.md": "# Computation\n```json\n{}\n```\n" + broken}
+    concepts, _, blocks, _ = a_bundle(spark, files)
+    found = bundle_hygiene.code_block_syntax(concepts, blocks).collect()
+    assert sorted((r.pointer, r.code, r.severity, r.seq) for r in found) == [("a", "OKF007", "info", 10), ("a", "OKF310", "warning", 7), ("b", "OKF007", "info", 2), ("c", "OKF007", "info", 5)]
+
+
+def test_verdicts_have_both_outcomes(spark):
+    verdicts = lambda text: spark.createDataFrame([(str(i), {"o": "ok", "e": "err"}[x]) for i, x in enumerate(text)], "doc_id string, verdict string")
+    got = {r.side: (r.passes, r.fails, r.discriminates) for r in registry.verdict_balance(verdicts("ooee"), verdicts("oooe")).collect()}
+    assert got == {"recorded": (2, 2, True), "computed": (3, 1, False)}
+    assert [r.discriminates for r in registry.verdict_balance(verdicts(""), verdicts("")).collect()] == [False, False]
+
+
 def test_overlapping_rings_are_one_finding(spark):
     def concept(*targets):
         return "---\nsources: [" + ", ".join(f'{{"resource": "{t}.md"}}' for t in targets) + "]\n---\nb"
