@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def use_shared_folder(spark: SparkSession) -> None:
     """Point checkpoints at ``spark.checkpoint.dir``.
 
-    Only where the session names no folder at all (local runs, tests) is a
-    temporary one made.
+    A session that names no folder gets a temporary one if it runs in one process; on a
+    cluster, whose machines do not share that, it is refused.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,9 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     For wide tables that are read more than once: columns are pruned on the way back.
+    The files are deleted when the session's process ends.
     """
     spark = df.sparkSession
     use_shared_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(file)
     return spark.read.parquet(path)

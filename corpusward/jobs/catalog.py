@@ -98,19 +98,25 @@ def r10_render_finding(spark, sf_dir):
 # Documents, routing and references between them.
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """Parsed once and written: every rule then reads the columns and rows that it needs."""
-    return stored(documents.to_nodes(docs))
+_PARSED: dict[tuple, DataFrame] = {}
+
+
+def _nodes(spark, sf_dir, corpus) -> DataFrame:
+    """The nodes of a corpus, parsed and written once in a session: each rule reads the columns and rows that it needs."""
+    key = (spark.sparkContext.applicationId, sf_dir, corpus.__name__)
+    if key not in _PARSED:
+        _PARSED[key] = stored(documents.to_nodes(documents.dealt(corpus(spark, sf_dir))))
+    return _PARSED[key]
 
 
 def _corpus(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = corpora.contracts(spark, sf_dir).unionByName(corpora.products(spark, sf_dir))
-    nodes = _nodes(docs)
-    return documents.route_documents(docs.select("doc_id"), nodes), nodes
+    """Contracts and products, routed, and their nodes."""
+    nodes = _contract_nodes(spark, sf_dir).unionByName(_nodes(spark, sf_dir, corpora.products))
+    return documents.route_documents(nodes.where("depth = 0").select("doc_id"), nodes), nodes
 
 
 def _contract_nodes(spark, sf_dir) -> DataFrame:
-    return _nodes(corpora.contracts(spark, sf_dir))
+    return _nodes(spark, sf_dir, corpora.contracts)
 
 
 @query
@@ -130,7 +136,7 @@ def v1_parse_findings(spark, sf_dir):
 
 @query
 def x3_contract_references(spark, sf_dir):
-    return references.contract_references(documents.to_nodes(corpora.products(spark, sf_dir))).select("doc_id", "pointer", "contract_id")
+    return references.contract_references(_nodes(spark, sf_dir, corpora.products)).select("doc_id", "pointer", "contract_id")
 
 
 def _resolved(spark, sf_dir, keep) -> DataFrame:
@@ -249,7 +255,7 @@ def p8_catalogue(spark, sf_dir):
 
 
 def _product_rules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return _nodes(corpora.products(spark, sf_dir)), conformance.rule_table(spark, published.ODPS)
+    return _nodes(spark, sf_dir, corpora.products), conformance.rule_table(spark, published.ODPS)
 
 
 @query
@@ -280,7 +286,7 @@ def v6_malformed_value(spark, sf_dir):
 def _port_rules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A stricter schema of our own for the cardinality, range and alternative keywords."""
     schema = {"properties": {"inputPorts": {"maxItems": 12, "minItems": 1}, "id": {"oneOf": [{"type": "string", "maxLength": 4}, {"type": "integer", "minimum": 100}], "minLength": 4, "maximum": 700}, "outputPorts": {"items": {"properties": {"inputContracts": {"uniqueItems": True, "minItems": 2}}}}}}
-    return _nodes(corpora.products(spark, sf_dir)), conformance.rule_table(spark, schema)
+    return _nodes(spark, sf_dir, corpora.products), conformance.rule_table(spark, schema)
 
 
 @query
@@ -312,7 +318,7 @@ ODCL = hygiene.Facts(version="1.2.1", root_keys=("dataContractSpecification", "i
 
 
 def _lexicon(spark, sf_dir) -> DataFrame:
-    return _nodes(corpora.lexicon(spark, sf_dir))
+    return _nodes(spark, sf_dir, corpora.lexicon)
 
 
 @query
@@ -391,17 +397,17 @@ def m3_primary_keys(spark, sf_dir):
 
 @query
 def m4_metric_view_sources(spark, sf_dir):
-    return models.metric_view_sources(documents.to_nodes(corpora.views(spark, sf_dir)))
+    return models.metric_view_sources(_nodes(spark, sf_dir, corpora.views))
 
 
 @query
 def m5_high_risk(spark, sf_dir):
-    return models.high_risk(documents.to_nodes(corpora.assets(spark, sf_dir)))
+    return models.high_risk(_nodes(spark, sf_dir, corpora.assets))
 
 
 @query
 def m5_compliance_by_framework(spark, sf_dir):
-    return models.compliance_by_framework(documents.to_nodes(corpora.assets(spark, sf_dir)))
+    return models.compliance_by_framework(_nodes(spark, sf_dir, corpora.assets))
 
 
 # Executing declarations over the star schema.

@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -42,19 +43,26 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return wanted.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"), "bytes")
 
 
-class _Duplicate(ValueError):
-    pass
+class _Refused(ValueError):
+    """A text that has no one JSON value."""
 
 
 def _pairs(pairs: list[tuple]) -> dict:
     out = dict(pairs)
     if len(out) < len(pairs):
-        raise _Duplicate("a key occurs twice")
+        raise _Refused("a key occurs twice")
     return out
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise _Refused("a number is not finite")
+    return value
+
+
 class _Loader(yaml.CSafeLoader):
-    """YAML with plain scalars as in JSON: dates, yes and no, octal and base-60 numbers stay strings."""
+    """YAML with the values of JSON: dates, yes and no, octal and base-60 numbers stay strings, other tags are refused."""
 
 
 _Loader.yaml_implicit_resolvers = {}
@@ -65,89 +73,195 @@ _Loader.add_implicit_resolver("tag:yaml.org,2002:float", re.compile(r"^[-+]?(?:(
 
 
 def _mapping(loader, node):
+    if not isinstance(node, yaml.MappingNode):
+        raise _Refused("a mapping's tag on something else")
     pairs = [(loader.construct_object(k, deep=True), loader.construct_object(v, deep=True)) for k, v in node.value]
     return _pairs([(k if isinstance(k, str) else json.dumps(k), v) for k, v in pairs])
 
 
+_JSON_TAGS = ("null", "bool", "int", "str", "seq")
+_Loader.yaml_constructors = {t: f for t, f in yaml.CSafeLoader.yaml_constructors.items() if t is None or t.rpartition(":")[2] in _JSON_TAGS}
 _Loader.add_constructor("tag:yaml.org,2002:map", _mapping)
+_Loader.add_constructor("tag:yaml.org,2002:float", lambda loader, node: _finite(loader.construct_scalar(node).replace("_", "")))
+
+#: How deep YAML may nest: its reader in C has no guard of its own.
+DEEPEST = 1_000
+#: Nodes that aliases may make of a YAML text, for each of its characters; texts without aliases have at most one.
+MOST_NODES = 8
+
+
+def _depth(text: str) -> int:
+    """How deep the collections of a YAML text nest."""
+    depth = most = 0
+    for event in yaml.parse(text, Loader=yaml.CSafeLoader):
+        if isinstance(event, yaml.CollectionStartEvent):
+            depth += 1
+            most = max(most, depth)
+            if most > DEEPEST:
+                return most
+        elif isinstance(event, yaml.CollectionEndEvent):
+            depth -= 1
+    return most
+
+
+def _at_most(value, budget: int) -> bool:
+    """Whether a value, its shared parts counted wherever they stand, has no more nodes than ``budget``."""
+    todo, n = [value], 1
+    while todo:
+        v = todo.pop()
+        if isinstance(v, (dict, list)):
+            n += len(v)
+            todo += [x for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, (dict, list))]
+        if n > budget:
+            return False
+    return True
+
+
+#: What ``parse`` raises; the last three by tags on values that they do not fit.
+PROBLEMS = (ValueError, RecursionError, yaml.YAMLError, KeyError, TypeError, AttributeError)
 
 
 def parse(text: str):
-    """The value of a YAML or JSON text; raises ValueError or yaml.YAMLError."""
+    """The JSON value of a YAML or JSON text; raises one of ``PROBLEMS``.
+
+    Refused are keys that occur twice, numbers that are not finite, YAML tags that JSON
+    has no value for, lone surrogates, YAML that nests deeper than ``DEEPEST``, and
+    aliases that make more than ``MOST_NODES`` nodes of each character.
+    """
+    value, read = None, False
     if text.lstrip()[:1] in ("{", "["):
         try:
-            return json.loads(text, object_pairs_hook=_pairs)
+            value, read = json.loads(text, object_pairs_hook=_pairs, parse_float=_finite, parse_constant=_finite), True
         except json.JSONDecodeError:
             pass  # flow YAML starts alike
-    return yaml.load(text, Loader=_Loader)  # noqa: S506  a safe loader
-
-
-def _kind(value) -> str:
-    if value is None:
-        return "null"
-    return {bool: "boolean", int: "integer", float: "number", str: "string", list: "array"}.get(type(value), "object")
-
-
-def _walk(doc_id: str, value) -> Iterator[tuple]:
-    """Rows of NODES in document order, without recursion."""
-    todo = [("", None, None, None, 0, "", value, False)]
-    seq = 0
-    while todo:
-        pointer, parent, key, idx, depth, path, v, named = todo.pop()
-        kind = _kind(v)
-        sval = v if kind == "string" else None if kind in ("array", "object") else json.dumps(v)
-        nval = float(v) if kind in ("integer", "number") and abs(v) < 1e308 else None
-        yield doc_id, seq, pointer, parent, key, idx, depth, kind, sval, nval, len(v) if kind in ("array", "object") else 0, path
-        seq += 1
-        if kind == "object":
-            names = key in MAPS and not named
-            todo += [(f"{pointer}/{t}", pointer, k, None, depth + 1, f"{path}/{'*' if names else t}", x, names) for k, x in reversed(v.items()) for t in (k.replace("~", "~0").replace("/", "~1"),)]
-        elif kind == "array":
-            todo += [(f"{pointer}/{i}", pointer, None, i, depth + 1, f"{path}/*", x, False) for i, x in reversed(list(enumerate(v)))]
-
-
-_NAMES = [c.split()[0] for c in NODES.split(", ")]
-_KINDS = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in NODES.split(", ")]
+    if not read:
+        # A level takes a bracket, a line or an indicator before a blank.
+        if text.count("[") + text.count("{") + text.count("- ") + text.count("? ") + text.count("\n") > DEEPEST and _depth(text) > DEEPEST:
+            raise _Refused("nests too deep")
+        value = yaml.load(text, Loader=_Loader)  # noqa: S506  a safe loader
+        if "&" in text and "*" in text and not _at_most(value, MOST_NODES * len(text)):
+            raise _Refused("aliases make too much of it")
+    if "\\" in text:
+        json.dumps(value, ensure_ascii=False).encode()  # a lone surrogate is no character
+    return value
+
+
+_KINDS = {type(None): "null", bool: "boolean", int: "integer", float: "number", str: "string", list: "array", dict: "object"}
+_FIELDS = [pa.field(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in NODES.split(", ")]
+_BATCH = 50_000
+
+
+class _Columns:
+    """Rows of NODES as columns, document by document."""
+
+    def __init__(self):
+        self.start()
+
+    def start(self) -> None:
+        self.ids, self.counts = [], []
+        self.rows = [[] for _ in _FIELDS[1:]]
+
+    def __len__(self) -> int:
+        return len(self.rows[0])
+
+    def batch(self) -> pa.RecordBatch:
+        ids = pa.array(self.ids, pa.string()).take(pa.array(np.repeat(np.arange(len(self.ids)), self.counts)))
+        out = pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(self.rows, _FIELDS[1:], strict=True))], schema=pa.schema(_FIELDS))
+        self.start()
+        return out
+
+    def single(self, doc_id: str, kind: str, sval: str | None) -> None:
+        """A document of one row that is no JSON value."""
+        self.ids.append(doc_id)
+        self.counts.append(1)
+        for column, value in zip(self.rows, (0, "", None, None, None, 0, kind, sval, None, 0, ""), strict=True):
+            column.append(value)
+
+    def document(self, doc_id: str, value) -> Iterator[pa.RecordBatch]:
+        """All nodes in document order, without recursion; full batches are handed on."""
+        seqs, pointers, parents, keys, indexes, depths, kinds, svals, nvals, sizes, paths = (c.append for c in self.rows)
+        began, seq = len(self), 0
+        # Members still to come of each open collection: (key or index, value), the collection's pointer, its path, whether keys are names.
+        open_ = [(iter([(None, value)]), "", "", None)]
+        while open_:
+            members, pointer, path, names = open_[-1]
+            for at, v in members:
+                kind = _KINDS[type(v)]
+                if names is None:
+                    here, there, key = "", "", None
+                    parents(None), keys(None), indexes(None)
+                elif type(at) is int:
+                    here, there, key = f"{pointer}/{at}", f"{path}/*", None
+                    parents(pointer), keys(None), indexes(at)
+                else:
+                    token = at.replace("~", "~0").replace("/", "~1") if "~" in at or "/" in at else at
+                    here, there, key = f"{pointer}/{token}", f"{path}/*" if names else f"{path}/{token}", at
+                    parents(pointer), keys(at), indexes(None)
+                seqs(seq), pointers(here), depths(len(open_) - 1), kinds(kind), paths(there)
+                seq += 1
+                if kind == "string":
+                    svals(v), nvals(None), sizes(0)
+                elif kind == "object" or kind == "array":
+                    svals(None), nvals(None), sizes(len(v))
+                    if v:
+                        open_.append((iter(v.items()), here, there, key in MAPS and not names) if kind == "object" else (enumerate(v), here, there, False))
+                        break
+                else:
+                    svals(json.dumps(v)), nvals(float(v) if kind in ("integer", "number") and abs(v) < 1e308 else None), sizes(0)
+            else:
+                open_.pop()
+            if len(self) >= _BATCH:
+                self.ids.append(doc_id)
+                self.counts.append(len(self) - began)
+                yield self.batch()
+                seqs, pointers, parents, keys, indexes, depths, kinds, svals, nvals, sizes, paths = (c.append for c in self.rows)
+                began = 0
+        self.ids.append(doc_id)
+        self.counts.append(len(self) - began)
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) dealt evenly over tasks, for texts that come in few partitions.
+
+    As many as ``spark.sql.shuffle.partitions``, three for each core at least.  Texts that
+    are built from small rows, or lie in few files, would else be parsed by few tasks; a
+    scan of many files needs no dealing.
+    """
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return docs.repartition(n, F.xxhash64("doc_id", "text"))
 
 
 def to_nodes(docs: DataFrame) -> DataFrame:
     """One row for each JSON node of ``docs`` (doc_id, text), in document order.
 
-    A text that does not parse gives one row of kind ``error`` (sval ``line:column
-    message``), an empty one (null, blank or comments) one row of kind ``empty``.
+    A text that ``parse`` refuses gives one row of kind ``error`` (sval ``line:column
+    reason``), an empty one (null, blank or comments) one row of kind ``empty``; neither
+    keeps the other documents from being read.  Documents are parsed where they lie; see
+    ``dealt``.
     """
 
     def task(batches):
+        out = _Columns()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
                 try:
-                    value = parse(text or "")
-                    if isinstance(value, float) and not math.isfinite(value):
-                        raise ValueError("not a finite number")
-                    if value is None and not (text or "").strip().startswith(("null", "~")):
-                        out.append((doc_id, 0, "", None, None, None, 0, "empty", None, None, 0, ""))
-                        continue
-                except (ValueError, yaml.YAMLError, RecursionError) as e:
+                    value = parse(text)
+                except PROBLEMS as e:
                     mark = getattr(e, "problem_mark", None)
                     place = f"{mark.line + 1}:{mark.column + 1}" if mark else f"{getattr(e, 'lineno', 1)}:{getattr(e, 'colno', 1)}"
-                    out.append((doc_id, 0, "", None, None, None, 0, "error", f"{place} {type(e).__name__}", None, 0, ""))
+                    out.single(doc_id, "error", f"{place} {e if isinstance(e, _Refused) else type(e).__name__}")
                     continue
-                for row in _walk(doc_id, value):
-                    out.append(row)
-                    if len(out) >= 50_000:
-                        yield _rows(out)
-                        out = []
-            yield _rows(out)
+                if value is None and not text.strip().startswith(("null", "~")):
+                    out.single(doc_id, "empty", None)
+                else:
+                    yield from out.document(doc_id, value)
+            yield out.batch()
 
     return docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(task, NODES)
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True)) if out else [[]] * len(_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
-
-
 def parsed(nodes: DataFrame) -> DataFrame:
     """Nodes of documents that have content."""
     return nodes.where(~F.col("kind").isin("error", "empty"))

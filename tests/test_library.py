@@ -42,6 +42,32 @@ def test_unparseable_empty_and_duplicate_keys(spark):
     assert documents.parsed(n).where("doc_id in ('bad', 'none')").count() == 0
 
 
+def test_texts_without_a_json_value_are_error_rows(spark):
+    bomb = "a: &a [x,x,x,x,x,x,x,x,x]\n" + "".join(f"{y}: &{y} [{','.join(['*' + x] * 9)}]\n" for x, y in zip("abcdefg", "bcdefgh", strict=False))
+    texts = {
+        "binary": "a: !!binary aGVsbG8=", "time": "a: !!timestamp 2024-01-01", "set": "a: !!set {x, y}", "own": "a: !own 1", "bool": "a: !!bool z", "surrogate": '{"a": "\\ud800"}', "nan": '{"a": NaN}', "infinite": '{"a": 1e999}', "yaml infinite": "a: [1e999]",
+        "bomb": bomb, "ring": "&a [*a]", "deep": "- " * 100_000, "deep json": "[" * 100_000,
+    }
+    good = {"good": '{"a": "\\ud83d\\ude00", "n": -1.5}', "alias": "a: &x [1, 2]\nb: *x", "long": json.dumps([{"k": "v" * 50}] * 3000)}
+    got = nodes_of(spark, texts | good)
+    assert {r.doc_id for r in got.where("kind = 'error'").collect()} == set(texts)
+    assert {(r.doc_id, r.n) for r in got.where("kind <> 'error'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {("good", 3), ("alias", 7), ("long", 6001)}
+    assert len(documents.parse_findings(got, "odcs").where("code = 'ODCS001' and line is not null").collect()) == len(texts)
+
+
+def test_documents_longer_than_a_batch_keep_their_order(spark):
+    value = [{"k": [i, {}, []], "": None} for i in range(30_000)]
+    got = nodes_of(spark, {"a": "b: 1", "long": json.dumps(value), "z": "[]"}).where("doc_id = 'long'").orderBy("seq").toPandas()
+    assert got.seq.tolist() == list(range(1 + 30_000 * 6)) and got.pointer.is_unique
+    assert got.pointer[6:13].tolist() == ["/0/", "/1", "/1/k", "/1/k/0", "/1/k/1", "/1/k/2", "/1/"] and got.rule_path[9] == "/*/k/*"
+
+
+def test_few_partitions_are_dealt_over_tasks(spark):
+    docs = spark.range(500, numPartitions=1).selectExpr("'d' as doc_id", "concat('a: ', id) as text")
+    nodes = documents.to_nodes(documents.dealt(docs)).withColumn("task", F.spark_partition_id())
+    assert nodes.agg(F.count_distinct("task")).first()[0] > 8 and nodes.count() == 1000
+
+
 def test_rule_paths_generalise_indexes_and_names(spark):
     n = nodes_of(spark, {"a": json.dumps({"models": {"fields": {"fields": {"items": {"items": {"type": "x"}}}}}, "servers": [{"id": 1}]})})
     paths = {r.pointer: r.rule_path for r in n.collect()}
