@@ -36,12 +36,18 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     For wide tables that are read more than once: columns are pruned on the way back.
-    The files are deleted when the session's process ends.
     """
-    spark = df.sparkSession
+    path = f"{scratch(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one, deleted when the session's process ends."""
     use_shared_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(file)
-    return spark.read.parquet(path)
+    system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(file)
+    system.deleteOnExit(file)
+    return path

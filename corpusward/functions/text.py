@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Control, direction, zero-width and separator characters, byte order mark, soft hyphen.
-HOSTILE = r"[\x{0}-\x{1F}\x{7F}-\x{9F}\x{AD}\x{61C}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}]"
+HOSTILE = r"[\x{0}-\x{1F}\x{7F}-\x{9F}\x{AD}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}]"
 
 
 def _marked(text: Column, hostile: str, open_: str, close: str) -> Column:

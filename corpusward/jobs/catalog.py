@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusward.functions import markdown, pointers, text
-from corpusward.functions.lineage import cut, stored
+from corpusward.functions.lineage import cut, scratch, stored
 from corpusward.jobs import corpora, oracles, published
 from corpusward.operators import bundle_hygiene, bundles, conformance, execution, hygiene, models, references, registry, report
 from corpusward.sources import documents
 from corpusward.sources import findings as findings_files
-from corpusward.sources.bundles import read_bundles
+from corpusward.sources.bundles import read_bundles, unreadable_bundles
+from corpusward.sources.registries import read_registries
 from corpusward.sources.tables import table
 
 FLAGSHIP = "missing_contracts_gate"
@@ -242,7 +243,9 @@ def p5_digest_findings(spark, sf_dir):
 @query
 def p6_reconcile_manifest(spark, sf_dir):
     entries, artefacts = corpora.registry(spark, sf_dir)
-    return registry.reconcile_manifest(entries.where("idx % 3 <> 0").select(F.col("vendored_path").alias("path"), "sha256"), artefacts)
+    # Every third entry names a path that no file has.
+    path = F.concat(F.when(F.col("idx") % 3 == 0, "moved/").otherwise(""), "vendored_path")
+    return registry.reconcile_manifest(entries.select(path.alias("path"), "sha256"), artefacts)
 
 
 @query
@@ -314,7 +317,7 @@ def v_schema_findings(spark, sf_dir):
 
 # Older contracts: references inside a document, and their hygiene.
 
-ODCL = hygiene.Facts(version="1.2.1", root_keys=("dataContractSpecification", "id", "info", "servers", "models", "definitions"), deprecations=(("pii", "use classification"),), server_types=("kafka",), inert_dispatch=True)
+ODCL = hygiene.Facts(version="1.2.1", root_keys=("dataContractSpecification", "id", "info", "servers", "models", "definitions"), deprecations=(("pii", "use classification"),), server_types=("kafka",), inert_dispatch=True, statuses=hygiene.STATUSES)
 
 
 def _lexicon(spark, sf_dir) -> DataFrame:
@@ -445,6 +448,31 @@ def e2_semiadditive_measures(spark, sf_dir):
     return execution.windowed_measures(_star(spark, sf_dir), VIEW, ["segment"], ["running"])
 
 
+WINDOWED = VIEW | {
+    "measures": [
+        {"name": "largest", "expr": "max(o_totalprice)", "window": [{"order": "month", "range": "cumulative", "semiadditive": "last"}]},
+        {"name": "first_largest", "expr": "max(o_totalprice)", "window": [{"order": "month", "range": "cumulative", "semiadditive": "first"}]},
+        {"name": "smallest", "expr": "min(o_totalprice)", "window": [{"order": "month", "range": "unbounded"}]},
+        {"name": "mean", "expr": "round(avg(o_totalprice), 2)", "window": [{"order": "month"}]},
+        {"name": "buyers", "expr": "count(DISTINCT o_custkey)", "window": [{"order": "month", "range": "cumulative"}]},
+        {"name": "of_each_buyer", "expr": "round(sum(o_totalprice) / count(DISTINCT o_custkey), 2)", "window": [{"order": "month", "range": "cumulative"}]},
+        {"name": "own_mean", "expr": "round(avg(o_totalprice), 2)"},
+    ]
+}
+
+
+@query
+def e2_windowed_states(spark, sf_dir):
+    """Extremes, means and distinct counts that run over the months."""
+    return execution.windowed_measures(_star(spark, sf_dir), WINDOWED, ["segment", "month"], ["largest", "first_largest", "smallest", "mean", "buyers", "of_each_buyer", "own_mean"])
+
+
+@query
+def e2_semiadditive_states(spark, sf_dir):
+    """The same without the month: the last or first value, the group's own mean."""
+    return execution.windowed_measures(_star(spark, sf_dir), WINDOWED, ["segment"], ["largest", "first_largest", "mean", "buyers", "own_mean"])
+
+
 @query
 def e3_materialize_views(spark, sf_dir):
     views = execution.materialize_views(_star(spark, sf_dir), VIEW)
@@ -484,7 +512,7 @@ def e6_check_relationships(spark, sf_dir):
     t = _star(spark, sf_dir)
     t["closed"] = t["orders"].where("o_orderstatus <> 'P'")
     relationships = [{"from": "orders.o_custkey", "to": "customer.c_custkey"}, {"from": ["lineitem.l_orderkey"], "to": ["closed.o_orderkey"]}]
-    return execution.check_relationships(t, relationships).select("relationship", "orphans")
+    return execution.check_relationships(t, relationships)
 
 
 # Scalar functions.
@@ -492,14 +520,15 @@ def e6_check_relationships(spark, sf_dir):
 
 @query
 def t1_pointer_escape(spark, sf_dir):
-    raw = F.concat(F.substring("text", 1, 5), F.lit("~1/"), F.col("source"))
+    raw = F.concat(F.col("text"), F.lit("~1/"), F.col("source"))
     escaped = pointers.pointer_escape(raw)
     return table(spark, sf_dir, "documents").select("doc_id", escaped.alias("escaped"), (pointers.pointer_unescape(escaped) == raw).alias("round_trip"))
 
 
 def _hostile():
+    """The whole turn with a planted character after the tenth."""
     n = F.col("conv_id") % 4
-    return F.concat(F.substring("text", 1, 10), F.when(n == 0, "\u202e").when(n == 1, "\u200b").when(n == 2, "\x1b\t").otherwise("<&>"), F.substring("text", 11, 20))
+    return F.concat(F.substring("text", 1, 10), F.when(n == 0, "\u202e").when(n == 1, "\u200b").when(n == 2, "\x1b\t").otherwise("<&>"), F.substring("text", F.lit(11), F.char_length("text")))
 
 
 @query
@@ -563,6 +592,54 @@ def s4_read_bundles(spark, sf_dir):
     return _bundles(spark, sf_dir)["concepts"].select("bundle", "concept_id", "path", F.size("keys").alias("n_keys"))
 
 
+def _workshops(spark, sf_dir):
+    docs = corpora.workshops(spark, sf_dir)
+    concepts, index = read_bundles(docs)
+    concepts = cut(concepts)
+    blocks = markdown.fenced_code_blocks(concepts.select("bundle", "concept_id", "body"))
+    return {"docs": docs, "concepts": concepts, "index": index, "blocks": blocks, "lines": markdown.text_lines(concepts, blocks)}
+
+
+@query
+def s4_workshops(spark, sf_dir):
+    """Bundles with null texts, broken frontmatter, carriage returns and a log that is a concept."""
+    return _workshops(spark, sf_dir)["concepts"].select("bundle", "path", F.size("keys").alias("n_keys"), F.col("problem").isNotNull().alias("broken"))
+
+
+@query
+def k0_unreadable(spark, sf_dir):
+    w = _workshops(spark, sf_dir)
+    return _found(report.merge_reports(bundles.parse_problems(w["concepts"]), bundles.bundle_problems(unreadable_bundles(w["docs"]))))
+
+
+@query
+def k10_bundle_computations(spark, sf_dir):
+    w = _workshops(spark, sf_dir)
+    return _found(bundles.attested_computations(w["concepts"], w["lines"]))
+
+
+@query
+def k13_reserved_filenames(spark, sf_dir):
+    return _found(bundles.reserved_filenames(_workshops(spark, sf_dir)["concepts"]))
+
+
+@query
+def l4_untagged_computation(spark, sf_dir):
+    w = _workshops(spark, sf_dir)
+    return _found(bundle_hygiene.untagged_computation(w["concepts"], w["blocks"], w["lines"]))
+
+
+@query
+def l8_computation_syntax(spark, sf_dir):
+    w = _workshops(spark, sf_dir)
+    return _found(bundle_hygiene.code_block_syntax(w["concepts"], w["blocks"]))
+
+
+@query
+def l9_languages(spark, sf_dir):
+    return bundle_hygiene.language_coverage(_workshops(spark, sf_dir)["blocks"])
+
+
 @query
 def k1_concept_type(spark, sf_dir):
     return _found(bundles.concept_type(_bundles(spark, sf_dir)["concepts"]))
@@ -689,9 +766,9 @@ def _verdicts(spark, sf_dir):
     """Recorded and computed verdicts on documents, and the listed divergences, by the document's id."""
     d = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     k = F.col("doc_id")
-    recorded = d.where(k % 3 != 0).select("doc_id", F.when(k % 7 == 0, "old").otherwise(F.col("digest")).alias("sha256"), F.when(k % 2 == 0, "ok").otherwise("err").alias("verdict"))
-    computed = d.where(k % 5 != 0).select("doc_id", "digest", F.when(k % 8 < 5, "ok").otherwise("err").alias("verdict"))
-    return recorded, computed, d.where(k % 4 == 0).select("doc_id")
+    recorded = d.select("doc_id", F.when(k % 7 == 0, "old").otherwise(F.col("digest")).alias("sha256"), F.when(k % 3 == 0, F.lit(None)).when(k % 2 == 0, "ok").otherwise("err").alias("verdict"))
+    computed = d.select("doc_id", "digest", F.when(k % 5 == 0, F.lit(None)).when(k % 8 < 5, "ok").otherwise("err").alias("verdict"))
+    return recorded, computed, d.select(F.when(k % 4 == 0, k).alias("doc_id"))
 
 
 @query
@@ -699,6 +776,40 @@ def p7_verdict_agreement(spark, sf_dir):
     return registry.verdict_agreement(*_verdicts(spark, sf_dir))
 
 
+@query
+def p7_verdict_balance(spark, sf_dir):
+    recorded, computed, _ = _verdicts(spark, sf_dir)
+    return registry.verdict_balance(recorded, computed)
+
+
+@query
+def s1_read_documents(spark, sf_dir):
+    """Customers written as JSON files by Spark, suppliers below a ``target`` and parts below a hidden folder; the customers are found again."""
+    folder = scratch(spark)
+    for name, place in (("customer", "found/deep"), ("supplier", "target"), ("part", "found/.hidden")):
+        table(spark, sf_dir, name).write.json(f"{folder}/{place}")
+    table(spark, sf_dir, "nation").write.csv(f"{folder}/found/csv")
+    lines = documents.read_documents(spark, [folder]).select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.get_json_object("line", "$.c_custkey").cast("long").alias("c_custkey"), F.get_json_object("line", "$.c_name").alias("c_name"))
+
+
+@query
+def s5_read_registries(spark, sf_dir):
+    entries, found = read_registries(corpora.registries(spark, sf_dir))
+    counts = entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), F.count("poll").alias("polled"))
+    return counts.withColumn("code", F.lit(None).cast("string")).unionByName(found.select("doc_id", F.lit(0).cast("long").alias("entries"), F.lit(0).cast("long").alias("polled"), "code"))
+
+
+@query
+def s6_diagnostic_json(spark, sf_dir):
+    return report.diagnostic_json(corpora.event_findings(spark, sf_dir))
+
+
+@query
+def r7_run_json(spark, sf_dir):
+    return report.run_json(*_enveloped(spark, sf_dir), "warning", specs=[{"id": "odcs", "version": "3.1.0"}, {"id": "odps", "version": None}], tool={"name": "audit", "version": "2"})
+
+
 @query
 def s6_findings_json(spark, sf_dir):
     f = corpora.event_findings(spark, sf_dir).select("doc_id", "spec_id", "severity", "code", "line", "seq")

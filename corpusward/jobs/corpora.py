@@ -156,11 +156,13 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id (path) and text of twenty knowledge bundles, a concept for each document, and their index files.
+    """doc_id (path) and text of knowledge bundles of up to a hundred concepts, one for each document, and their index files.
 
-    Bundle b{doc_id % 20}, concept n/{k} with k = doc_id div 20; faults by k.
+    Bundle b{doc_id div 100}, concept n/{k} with k = doc_id % 100; faults by k.  The
+    documents' own words stand in the bodies as one line without markup.
     """
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id").distinct().withColumn("k", F.expr("doc_id div 20"))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("own")).withColumn("k", F.expr("doc_id % 100"))
+    words = F.trim(F.regexp_replace("own", "[^A-Za-z0-9]+", " "))
     k = F.col("k")
     s = lambda c: c.cast("string")
     line = lambda test, text: F.when(test, text if isinstance(text, Column) else F.lit(text))
@@ -175,10 +177,47 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat_ws(
         "", F.when(k % 8 == 3, "text\n").otherwise("# Top\ntext\n"), line(k % 16 == 4, "# Again\nmore\n"), line(k % 9 == 4, "### Deep\nx\n"), line(k % 10 == 6, "## Empty\n\n"), F.lit("see [next](/n/"), s(k + 1), F.lit(".md#a)"), line(k % 10 == 0, F.concat(F.lit(" [me]("), s(k), F.lit(".md)"))), line(k % 9 == 0, " [no](missing.md) [web](https://x.org/a.md)"),
         F.lit("\n"), line(k % 4 != 1, "cited[^s1]\n"), line(k % 15 == 2, "note[^zz]\n"), line(k % 6 == 1, "tail  \nok\ntail\t\n"), line(k % 5 == 2, "```json\n{\"a\": 1}\n```\n"), line(k % 5 == 3, "```json title\n{\"a\": }\n```\n"), line(k % 5 == 4, "~~~\n# not a heading [x](/nowhere.md)\n~~~\n"), line(k % 24 == 7, "# Citations\nc\n"),
+        F.when(words != "", F.concat(F.lit("> "), words, F.lit("\n"))),
     )
     body = F.when(k % 40 == 39, " \n").otherwise(body)
-    folder = F.concat(F.lit("b"), s(F.col("doc_id") % 20))
+    folder = F.concat(F.lit("b"), s(F.expr("doc_id div 100")))
     concepts = docs.select(F.concat(folder, F.lit("/n/"), s(k), F.when(k % 25 == 24, " x").otherwise(""), F.lit(".md")).alias("doc_id"), F.concat(head, body).alias("text"))
     entries = docs.where("k % 8 <> 0 and k % 25 <> 24").groupBy(folder.alias("b")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("k")), lambda x: F.concat(F.lit("- [c](n/"), x.cast("string"), F.lit(".md)"))), "\n").alias("t"))
-    index = entries.select(F.concat("b", F.lit("/index.md")).alias("doc_id"), F.concat(F.when(F.col("b").endswith("3"), "okf_version: 0.1\n").otherwise("okf_version: \"0.2\"\n"), "t", F.lit("\n- [gone](/gone.md)\n")).alias("text"))
+    index = entries.select(F.concat("b", F.lit("/index.md")).alias("doc_id"), F.concat(F.lit("---\n"), F.when(F.col("b").endswith("3"), "okf_version: 0.1\n").otherwise("okf_version: \"0.2\"\n"), F.lit("---\n"), "t", F.lit("\n- [gone](/gone.md)\n")).alias("text"))
     return concepts.unionByName(index)
+
+
+def workshops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id (path) and text of bundles of up to a hundred computations, one for each customer, an index and a log.
+
+    Bundle w{k div 100}, concept c{k}; faults by the customer's key k.  Some texts are
+    null, some have broken frontmatter, some lines end with a carriage return.
+    """
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k)
+    line = lambda test, text: F.when(test, F.lit(text)).otherwise("")
+    half = F.expr("c_custkey div 6 % 5")
+    block = F.concat(F.lit("# Computation\n```"), _choice(half, "", "JSON", "json", "py", "sh"), F.lit("\n"), _choice(half, "x", "{}", "{", "x = 1", 'echo "'), F.lit("\n```\n"))
+    other = F.expr("c_custkey div 4 % 4")
+    more = F.concat(F.lit("# Other\n~~~"), _choice(other, "node", "yaml", "bash", "mermaid"), F.lit("\n"), _choice(other, "x", "a: [", "ls", "x"), F.lit("\n~~~\n"))
+    text = F.concat(
+        F.lit("---\n"), line(k % 50 == 9, "x: [\n"), F.lit("type: Attested Computation\n"), line(k % 2 == 0, "runtime: r\n"), line(k % 3 == 0, "executor: {resource: x}\n"), line(k % 3 == 1, "executor: {}\n"), line(k % 5 != 0, "attester: {resource: x}\n"), line(k % 7 == 0, "computation: c.sql\n"),
+        line(k % 4 == 0, "parameters: [{name: a}, {type: t}]\n"), F.lit("---\n"), F.when(k % 6 == 0, block).otherwise("# Top\nplain\n"), F.when(k % 4 == 0, more).otherwise(""),
+    )
+    text = F.when(k % 100 == 57, F.lit(None)).when(k % 10 == 4, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    folder = F.concat(F.lit("w"), F.expr("c_custkey div 100").cast("string"))
+    concepts = rows.select(F.concat(folder, F.lit("/c"), k.cast("string"), F.lit(".md")).alias("doc_id"), text.alias("text"))
+    own = rows.select(folder.alias("w"), F.expr("c_custkey div 100").alias("m")).distinct()
+    index = own.select(F.concat("w", F.lit("/index.md")).alias("doc_id"), F.lit("# All\nokf_version: 9\n").alias("text"))
+    log = own.select(F.concat("w", F.lit("/log.md")).alias("doc_id"), F.when(F.col("m") % 2 == 0, "---\ntype: Note\n---\nas a concept\n").otherwise("a log\n").alias("text"))
+    return concepts.unionByName(index).unionByName(log)
+
+
+def registries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and TOML text of registries of up to a hundred entries, one for each part; some unreadable, malformed or of another version."""
+    k = F.col("p_partkey")
+    entry = F.concat(F.lit('[[spec]]\nid = "r-'), k.cast("string"), F.lit('"\nname = "n"\nvendored_path = "p"\nsha256 = "'), F.sha2(k.cast("string"), 256), F.lit('"\nfetched_at = "2024-01-01"\n'), F.when(k % 3 == 0, 'poll = {endpoint = "https://p"}\n').otherwise(""), F.when(k % 700 == 0, "colour = 1\n").otherwise(""))
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 100").alias("m"), F.struct(k.alias("k"), entry.alias("t")).alias("e")).groupBy("m").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    m = F.col("m")
+    text = F.concat(F.lit("schema_version = "), F.when(m % 5 == 3, "2").otherwise("1"), F.lit("\n"), F.when(m % 7 == 4, "name = \n").otherwise(""), F.array_join(F.transform("e", lambda x: x["t"]), ""))
+    return rows.select(F.concat(F.lit("registries/"), m.cast("string")).alias("doc_id"), F.when(m % 11 == 5, F.lit(None)).otherwise(text).alias("text"))

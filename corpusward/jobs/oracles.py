@@ -104,10 +104,12 @@ x4_resolve_contracts = f"WITH {CONTRACTS}, {REFS}, {_TARGETS}" + _RESOLVED.forma
 x4_incomplete_corpus = f"WITH {CONTRACTS}, {REFS}, {_TARGETS}" + _RESOLVED.format(examined="1", unreadable="(SELECT count(*) FROM c WHERE contract_id IS NULL AND NOT broken)")
 x4_products_only = f"WITH {CONTRACTS}, {REFS}, t AS (SELECT NULL::VARCHAR AS contract_id, NULL::VARCHAR[] AS target WHERE false)" + _RESOLVED.format(examined="0", unreadable="0")
 
+# Of the others, sorted, the first ten and how many more there are; {0} is the list, {1} stands before the last one.
+_NAMED = "CASE WHEN len({0}) > 10 THEN array_to_string({0}[1:10], ', ') || ' and ' || (len({0}) - 10) || ' more' WHEN len({0}) = 1 THEN {0}[1] ELSE array_to_string({0}[1:len({0}) - 1], ', ') || '{1}' || {0}[-1] END"
 x5_contract_id_collisions = f"""
 WITH {CONTRACTS}, g AS (SELECT contract_id, list_sort(list(doc_id)) AS l FROM c WHERE contract_id IS NOT NULL GROUP BY contract_id HAVING count(*) > 1),
 o AS (SELECT doc_id, contract_id, list_filter(l, lambda x: x <> doc_id) AS others FROM c JOIN g USING (contract_id))
-SELECT doc_id, 'CLI203' AS code, 'id ' || contract_id || ' is also declared by ' || CASE WHEN len(others) = 1 THEN others[1] ELSE array_to_string(others[1:len(others) - 1], ', ') || ' and ' || others[-1] END AS message FROM o
+SELECT doc_id, 'CLI203' AS code, 'id ' || contract_id || ' is also declared by ' || {_NAMED.format("others", " and ")} AS message FROM o
 """
 
 missing_contracts_gate = f"""
@@ -177,7 +179,7 @@ p6_reconcile_manifest = f"""
 WITH {REGISTRY}
 SELECT coalesce(m.path, 'docs/' || d.doc_id) AS path,
        CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'unlisted' WHEN k % 11 = 0 OR k % 37 = 0 THEN 'drifted' ELSE 'ok' END AS status
-FROM (SELECT * FROM g WHERE k % 3 <> 0) m FULL OUTER JOIN d ON m.path = 'docs/' || d.doc_id
+FROM (SELECT CASE WHEN k % 3 = 0 THEN 'moved/' ELSE '' END || path AS path, k FROM g) m FULL OUTER JOIN d ON m.path = 'docs/' || d.doc_id
 """
 
 p8_catalogue = f"""
@@ -298,6 +300,18 @@ WITH {STAR}, g AS (SELECT c_mktsegment AS segment, month, count(*) AS orders FRO
 SELECT segment, month, (sum(orders) OVER (PARTITION BY segment ORDER BY month))::BIGINT AS running, orders FROM g
 """
 e2_semiadditive_measures = f"WITH {STAR} SELECT c_mktsegment AS segment, count(*) AS running FROM v GROUP BY 1"
+_BUYERS = "d AS (SELECT segment, first AS month, count(*) AS new FROM (SELECT c_mktsegment AS segment, o_custkey, min(month) AS first FROM v GROUP BY 1, 2) GROUP BY 1, 2)"
+_MONTHS = f"g AS (SELECT c_mktsegment AS segment, month, max(o_totalprice) AS hi, min(o_totalprice) AS lo, sum(o_totalprice) AS s, count(o_totalprice) AS c FROM v GROUP BY 1, 2), {_BUYERS}, m AS (SELECT g.*, coalesce(new, 0) AS new FROM g LEFT JOIN d USING (segment, month))"
+e2_windowed_states = f"""
+WITH {STAR}, {_MONTHS}
+SELECT segment, month, max(hi) OVER w AS largest, max(hi) OVER w AS first_largest, min(lo) OVER (PARTITION BY segment) AS smallest, round(sum(s) OVER w / sum(c) OVER w, 2) AS mean, (sum(new) OVER w)::BIGINT AS buyers,
+       round(sum(s) OVER w / sum(new) OVER w, 2) AS of_each_buyer, round(s / c, 2) AS own_mean
+FROM m WINDOW w AS (PARTITION BY segment ORDER BY month)
+"""
+e2_semiadditive_states = f"""
+WITH {STAR}, {_MONTHS}
+SELECT segment, max(hi) AS largest, arg_min(hi, month) AS first_largest, round(sum(s) / sum(c), 2) AS mean, sum(new)::BIGINT AS buyers, round(sum(s) / sum(c), 2) AS own_mean FROM m GROUP BY segment
+"""
 e3_materialize_views = f"WITH {STAR} SELECT c_mktsegment AS segment, count(*) AS orders FROM v GROUP BY 1 UNION ALL SELECT 'all rows', count(*) FROM v"
 
 e4_check_constraints = """
@@ -320,27 +334,25 @@ UNION ALL SELECT 'repeats', 'duplicateValues', (count(o_custkey) - count(DISTINC
 UNION ALL SELECT 'price', 'sql', (max(o_orderkey) - min(o_orderkey))::DOUBLE, max(o_orderkey) - min(o_orderkey) NOT IN (1, 2) AND max(o_orderkey) - min(o_orderkey) >= 3 FROM orders
 """
 
-e6_check_relationships = """
-SELECT 'orders.o_custkey -> customer.c_custkey' AS relationship, count(*) AS orphans FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT 'lineitem.l_orderkey -> closed.o_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+_ORPHANS = "SELECT '{0}' AS relationship, count(*) AS orphans, coalesce((SELECT string_agg('{{' || k || '}}', ';' ORDER BY k) FROM (SELECT DISTINCT {1} AS k FROM {2} ORDER BY 1 LIMIT 3)), '') AS sample FROM {2}"
+e6_check_relationships = f"""
+WITH a AS (SELECT * FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)), b AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))
+{_ORPHANS.format("orders.o_custkey -> customer.c_custkey", "o_custkey", "a")} UNION ALL {_ORPHANS.format("lineitem.l_orderkey -> closed.o_orderkey", "l_orderkey", "b")}
 """
 
-t1_pointer_escape = "SELECT doc_id, replace(replace(substr(text, 1, 5) || '~1/' || source, '~', '~0'), '/', '~1') AS escaped, true AS round_trip FROM documents"
+t1_pointer_escape = "SELECT doc_id, replace(replace(text || '~1/' || source, '~', '~0'), '/', '~1') AS escaped, CASE WHEN text IS NOT NULL AND source IS NOT NULL THEN true END AS round_trip FROM documents"
 
 _MARKS = "CASE conv_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
-t2_neutralise_for_terminal = f"""
-SELECT conv_id, turn, replace(substr(text, 1, 10), chr(10), '<U+000A>') || {_MARKS.format("'<U+202E>'", "'<U+200B>'", "'<U+001B><U+0009>'", "'<&>'")} || replace(substr(text, 11, 20), chr(10), '<U+000A>') AS shown FROM conversations
-"""
 _HTML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
-t3_neutralise_for_html = f"""
-SELECT conv_id, turn, {_HTML.format("substr(text, 1, 10)")} || {_MARKS.format("'&lt;U+202E&gt;'", "'&lt;U+200B&gt;'", "'&lt;U+001B&gt;' || chr(9)", "'&lt;&amp;&gt;'")} || {_HTML.format("substr(text, 11, 20)")} AS shown FROM conversations
-"""
 t1_pointer_escape_whole = "SELECT doc_id, replace(replace('~1/' || text, '~', '~0'), '/', '~1') AS escaped, CASE WHEN text IS NOT NULL THEN true END AS round_trip FROM documents"
 
 # Whole texts, character by character; {1} and {2} are put around the code point.
 _EACH = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN {3} THEN '{1}' || printf('%04X', unicode(c)) || '{2}' ELSE c END), '')"
-_CODES = "unicode(c) < 32 OR unicode(c) BETWEEN 127 AND 159 OR unicode(c) IN (173, 1564, 65279) OR unicode(c) BETWEEN 8203 AND 8207 OR unicode(c) BETWEEN 8232 AND 8238 OR unicode(c) BETWEEN 8288 AND 8292 OR unicode(c) BETWEEN 8294 AND 8303"
+_CODES = "unicode(c) < 32 OR unicode(c) BETWEEN 127 AND 159 OR unicode(c) IN (173, 8288, 65279) OR unicode(c) BETWEEN 8203 AND 8207 OR unicode(c) BETWEEN 8232 AND 8238 OR unicode(c) BETWEEN 8294 AND 8297"
 _PLANTED = _MARKS.format("chr(8238)", "chr(8203)", "chr(27) || chr(9)", "'<&>'") + " || text"
+_INSERTED = "substr(text, 1, 10) || " + _MARKS.format("chr(8238)", "chr(8203)", "chr(27) || chr(9)", "'<&>'") + " || substr(text, 11)"
+t2_neutralise_for_terminal = f"SELECT conv_id, turn, {_EACH.format('x', '<U+', '>', _CODES)} AS shown FROM (SELECT conv_id, turn, {_INSERTED} AS x FROM conversations)"
+t3_neutralise_for_html = f"SELECT conv_id, turn, {_EACH.format('x', '&lt;U+', '&gt;', f'unicode(c) NOT IN (9, 10, 13) AND ({_CODES})')} AS shown FROM (SELECT conv_id, turn, {_HTML.format(_INSERTED)} AS x FROM conversations)"
 t2_neutralise_whole_for_terminal = f"SELECT conv_id, turn, {_EACH.format('x', '<U+', '>', _CODES)} AS shown FROM (SELECT conv_id, turn, {_PLANTED} AS x FROM conversations)"
 t3_neutralise_whole_for_html = f"SELECT conv_id, turn, {_EACH.format('x', '&lt;U+', '&gt;', f'unicode(c) NOT IN (9, 10, 13) AND ({_CODES})')} AS shown FROM (SELECT conv_id, turn, {_HTML.format(_PLANTED)} AS x FROM conversations)"
 t6_bundle_relative = r"""
@@ -350,7 +362,7 @@ FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS p FR
 
 BUNDLE = """
 b AS (
-  SELECT DISTINCT doc_id // 20 AS k, 'b' || (doc_id % 20) AS bundle, doc_id % 20 AS m FROM documents WHERE doc_id IS NOT NULL
+  SELECT DISTINCT doc_id % 100 AS k, 'b' || (doc_id // 100) AS bundle, doc_id // 100 AS m FROM documents WHERE doc_id IS NOT NULL
 ), n AS (
   SELECT *, 'n/' || k || CASE WHEN k % 25 = 24 THEN ' x' ELSE '' END AS id, bundle || '/n/' || k || CASE WHEN k % 25 = 24 THEN ' x' ELSE '' END || '.md' AS doc_id, k % 40 = 39 AS blank,
          CASE WHEN k % 12 = 5 AND k % 29 <> 0 THEN 'deprecated' WHEN k % 12 = 6 AND k % 29 <> 0 THEN 'draft' WHEN k % 12 = 7 AND k % 29 <> 0 THEN 'odd' ELSE 'stable' END AS status,
@@ -396,7 +408,7 @@ UNION ALL SELECT doc_id, 'OKFL10', 'warning' FROM n WHERE NOT blank AND k % 10 =
 k14_declared_versions = f"WITH {BUNDLE} SELECT DISTINCT bundle || '/index.md' AS doc_id, 'OKF405' AS code, 'info' AS severity FROM n WHERE m % 10 = 3"
 k15_duplicate_titles = f"""
 WITH {BUNDLE}, g AS (SELECT bundle, k % 30 AS t, list_sort(list(id)) AS l FROM n GROUP BY 1, 2 HAVING count(*) > 1)
-SELECT doc_id, 'OKF406' AS code, 'shares its title with ' || array_to_string(list_filter(l, lambda x: x <> id), ', ') AS message FROM n JOIN g ON g.bundle = n.bundle AND g.t = k % 30
+SELECT doc_id, 'OKF406' AS code, 'shares its title with ' || {_NAMED.format("list_filter(l, lambda x: x <> id)", ", ")} AS message FROM n JOIN g ON g.bundle = n.bundle AND g.t = k % 30
 """
 k16_circular_derivation = f"""
 WITH RECURSIVE {BUNDLE}, e AS (SELECT bundle, k AS a, derived AS b FROM n WHERE k % 10 <> 9 AND k % 25 <> 24 AND EXISTS (SELECT 1 FROM there t WHERE t.bundle = n.bundle AND t.target = derived)),
@@ -432,7 +444,30 @@ p7_verdict_agreement = """
 WITH d AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id IS NOT NULL)
 SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 'uncovered' WHEN k % 5 = 0 THEN 'orphan' WHEN k % 7 = 0 THEN 'stale'
        WHEN (k % 2 = 0) = (k % 8 < 5) AND k % 4 = 0 THEN 'converged-but-listed' WHEN (k % 2 = 0) = (k % 8 < 5) THEN 'agree' WHEN k % 4 = 0 THEN 'known-divergence' ELSE 'unexpected-divergence' END AS status
-FROM d WHERE k % 3 <> 0 OR k % 5 <> 0
+FROM d
+"""
+p7_verdict_balance = """
+WITH d AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id IS NOT NULL), v AS (
+  SELECT 'recorded' AS side, count(*) FILTER (WHERE k % 3 <> 0 AND k % 2 = 0) AS passes, count(*) FILTER (WHERE k % 3 <> 0 AND k % 2 = 1) AS fails FROM d
+  UNION ALL SELECT 'computed', count(*) FILTER (WHERE k % 5 <> 0 AND k % 8 < 5), count(*) FILTER (WHERE k % 5 <> 0 AND k % 8 >= 5) FROM d
+)
+SELECT *, passes >= 2 AND fails >= 2 AS discriminates FROM v
+"""
+s1_read_documents = "SELECT c_custkey, c_name FROM customer"
+s5_read_registries = """
+WITH m AS (SELECT p_partkey // 100 AS m, count(*) AS n, count(*) FILTER (WHERE p_partkey % 3 = 0) AS p, bool_or(p_partkey % 700 = 0) AS odd FROM part GROUP BY 1),
+c AS (SELECT *, CASE WHEN m % 11 = 5 THEN 'REG100' WHEN m % 7 = 4 OR odd THEN 'REG101' WHEN m % 5 = 3 THEN 'REG102' END AS code FROM m)
+SELECT 'registries/' || m AS doc_id, CASE WHEN code IS NULL THEN n ELSE 0 END AS entries, CASE WHEN code IS NULL THEN p ELSE 0 END AS polled, code FROM c
+"""
+s6_diagnostic_json = f"""
+WITH {FINDINGS}
+SELECT doc_id, seq, '{{"severity":"' || severity || '","code":"' || code || '","message":"' || message || '","help":null,"location":{{"document":"' || doc_id || '","line":' || coalesce(line::VARCHAR, 'null') || ',"column":' || coalesce(col::VARCHAR, 'null')
+       || ',"pointer":"' || pointer || '"}},"spec_ref":{{"id":"' || spec_id || '","version":' || CASE WHEN seq % 5 = 0 THEN '"1.0"' ELSE 'null' END || ',"section":' || CASE WHEN seq % 10 = 0 THEN '"s"' ELSE 'null' END || '}}}}' AS json FROM f
+"""
+r7_run_json = f"""
+WITH {FINDINGS}, n AS (SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS documents, {COUNTS}, ['info', 'warning', 'error'][max(severity_rank) + 1] AS worst FROM f)
+SELECT '{{"schema_version":1,"tool":{{"name": "audit", "version": "2"}},"command":"validate","summary":{{"outcome":"gated","specs":2,"documents":' || documents || ',"diagnostics":' || total || ',"error":' || errors || ',"warning":' || warnings || ',"info":' || infos
+       || '}},"gate":{{"policy":"at-or-above","threshold":"warning","gated":true,"worst_severity":"' || worst || '"}},"exit_code":1,"specs":[{{"id": "odcs", "version": "3.1.0"}}, {{"id": "odps", "version": null}}]}}' AS json FROM n
 """
 s6_findings_json = f"""
 WITH {FINDINGS}
@@ -451,6 +486,38 @@ t4_fenced_code_blocks = f"""
 WITH {BUNDLE}
 SELECT bundle, id AS concept_id, CASE WHEN k % 5 = 4 THEN '' ELSE 'json' END AS language, ['{{"a": 1}}', '{{"a": }}', '# not a heading [x](/nowhere.md)'][k % 5 - 1] AS code, 1 AS n_lines FROM n WHERE NOT blank AND k % 5 > 1
 """
+WORKSHOP = """
+w AS (
+  SELECT c_custkey AS k, 'w' || (c_custkey // 100) AS bundle, 'w' || (c_custkey // 100) || '/c' || c_custkey || '.md' AS doc_id, c_custkey // 6 % 5 AS half, c_custkey // 4 % 4 AS other,
+         c_custkey % 100 = 57 AS blank, c_custkey % 50 = 9 AS broken
+  FROM customer
+), logs AS (SELECT DISTINCT 'w' || (c_custkey // 100) AS bundle, c_custkey // 100 AS m FROM customer), a AS (SELECT * FROM w WHERE NOT blank AND NOT broken), filled AS (SELECT * FROM w WHERE NOT blank)"""
+s4_workshops = f"""
+WITH {WORKSHOP}
+SELECT bundle, 'c' || k || '.md' AS path, CASE WHEN blank OR broken THEN 0 ELSE 1 + (k % 2 = 0)::INT + (k % 3 < 2)::INT + (k % 5 <> 0)::INT + (k % 7 = 0)::INT + (k % 4 = 0)::INT END::INTEGER AS n_keys, broken AND NOT blank AS broken FROM w
+UNION ALL SELECT bundle, 'log.md', 1, false FROM logs WHERE m % 2 = 0
+"""
+k0_unreadable = f"WITH {WORKSHOP} SELECT doc_id, 'OKF001' AS code, 'error' AS severity FROM w WHERE broken AND NOT blank UNION ALL SELECT DISTINCT bundle, 'OKF900', 'error' FROM w WHERE blank"
+k10_bundle_computations = f"""
+WITH {WORKSHOP}
+SELECT doc_id, code, 'warning' AS severity FROM (
+  SELECT doc_id, 'OKF301' AS code FROM a WHERE k % 2 = 1 UNION ALL SELECT doc_id, 'OKF304' FROM a WHERE k % 3 = 2 UNION ALL SELECT doc_id, 'OKF305' FROM a WHERE k % 3 = 1 UNION ALL SELECT doc_id, 'OKF306' FROM a WHERE k % 5 = 0
+  UNION ALL SELECT doc_id, 'OKF308' FROM a WHERE k % 6 <> 0 AND k % 7 <> 0 UNION ALL SELECT doc_id, 'OKF309' FROM a WHERE k % 42 = 0 UNION ALL SELECT doc_id, 'OKF303' FROM a WHERE k % 4 = 0 UNION ALL SELECT doc_id, 'OKF302' FROM a WHERE k % 4 = 0
+)
+"""
+k13_reserved_filenames = f"WITH {WORKSHOP} SELECT bundle || '/log.md' AS doc_id, 'OKF404' AS code, 'error' AS severity FROM logs WHERE m % 2 = 0"
+l4_untagged_computation = f"WITH {WORKSHOP} SELECT doc_id, 'OKFL07' AS code, 'warning' AS severity FROM filled WHERE k % 6 = 0 AND half = 0"
+l8_computation_syntax = f"""
+WITH {WORKSHOP}
+SELECT doc_id, 'OKF310' AS code, 'warning' AS severity FROM filled WHERE k % 6 = 0 AND half IN (2, 4)
+UNION ALL SELECT doc_id, 'OKF007', 'info' FROM filled WHERE k % 4 = 0 AND other = 1
+"""
+l9_languages = f"""
+WITH {WORKSHOP}, l AS (
+  SELECT doc_id, ['', 'json', 'json', 'python', 'bash'][half + 1] AS language FROM filled WHERE k % 6 = 0 UNION ALL SELECT doc_id, ['javascript', 'yaml', 'bash', 'mermaid'][other + 1] FROM filled WHERE k % 4 = 0
+)
+SELECT language, count(*) AS blocks, count(DISTINCT doc_id) AS concepts, language IN ('json', 'yaml', 'bash') AS checkable FROM l GROUP BY language
+"""
 k10_attested_computations = """
 WITH c AS (SELECT 'b/c' || c_custkey || '.md' AS doc_id, c_custkey AS k FROM customer)
 SELECT doc_id, 'OKF301' AS code FROM c WHERE k % 2 = 1 UNION ALL SELECT doc_id, 'OKF304' FROM c WHERE k % 3 = 2 UNION ALL SELECT doc_id, 'OKF305' FROM c WHERE k % 3 = 1 UNION ALL SELECT doc_id, 'OKF306' FROM c WHERE k % 5 = 0

@@ -7,7 +7,7 @@ import shlex
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,24 @@ KEY_ORDER = ("type", "resource", "title", "description", "tags", "status", "stal
 ACTOR = r"^(human:\S+|process:\S+|[^\s/:]+/[^\s/]+)$"
 PORTABLE = r"^(?!(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$))[A-Za-z0-9][A-Za-z0-9._-]*$"
 COMPUTATION = r"^ {0,3}#+\s+Computation\s*$"
-#: Names of languages that can be checked here.
-LANGUAGES = {"json": "json", "yaml": "yaml", "yml": "yaml", "sh": "shell", "bash": "shell", "shell": "shell", "zsh": "shell"}
+#: What code blocks call a language, and its name.
+LANGUAGES = {
+    "python": "py python python3",
+    "javascript": "js javascript node nodejs mjs cjs",
+    "typescript": "ts typescript deno bun mts cts tsx jsx",
+    "rust": "rs rust",
+    "sql": "sql",
+    "json": "json",
+    "yaml": "yaml yml",
+    "bash": "sh bash zsh shell",
+}
+#: Languages that can be checked here.
+CHECKABLE = ("json", "yaml", "bash")
+
+
+def language_name(tag: Column) -> Column:
+    """The language that a tag means, whatever its case; null for other tags."""
+    return F.coalesce(*(F.when(F.lower(F.trim(tag)).isin(tags.split()), F.lit(name)) for name, tags in LANGUAGES.items()))
 
 
 def heading_structure(concepts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -60,11 +76,18 @@ def actor_convention(concepts: DataFrame) -> DataFrame:
     return found(sources(concepts).where(F.col("author").isNotNull() & ~F.col("author").rlike(ACTOR)), "OKFL06", "info", F.concat(F.lit("author "), "author"), F.col("at"))
 
 
+def under_computation(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """``blocks`` whose last heading before them is ``Computation``."""
+    heads = lines.where("level > 0").select("bundle", "concept_id", F.col("line").alias("start_line"), F.col("text").rlike(COMPUTATION).alias("_own"))
+    before = Window.partitionBy("bundle", "concept_id").orderBy("start_line")
+    both = blocks.withColumn("_own", F.lit(None).cast("boolean")).unionByName(heads, allowMissingColumns=True)
+    return both.withColumn("_under", F.last("_own", ignorenulls=True).over(before)).where("_under and _own is null").select(*blocks.columns)
+
+
 def untagged_computation(concepts: DataFrame, blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """OKFL07: a fenced block without a language under the ``Computation`` heading."""
-    heads = lines.where("level > 0").select("bundle", "concept_id", F.col("line").alias("head_line"), F.col("text").rlike(COMPUTATION).alias("own"))
-    under = blocks.join(heads, ["bundle", "concept_id"]).where("head_line < start_line").groupBy("bundle", "concept_id", "start_line", "language").agg(F.max_by("own", "head_line").alias("own"))
-    return found(under.where("own and language = ''").join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"]), "OKFL07", "warning", "the computation names no language", F.col("start_line"))
+    bare = under_computation(blocks, lines).where("language = ''")
+    return found(bare.join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"]), "OKFL07", "warning", "the computation names no language", F.col("start_line"))
 
 
 def trailing_whitespace(concepts: DataFrame) -> DataFrame:
@@ -87,7 +110,7 @@ def unverified_and_draft(concepts: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def _parses(language: pd.Series, code: pd.Series) -> pd.Series:
-    checks = {"json": json.loads, "yaml": lambda c: list(yaml.load_all(c, Loader=yaml.CSafeLoader)), "shell": lambda c: shlex.split(c, comments=True)}
+    checks = {"json": json.loads, "yaml": lambda c: list(yaml.load_all(c, Loader=yaml.CSafeLoader)), "bash": lambda c: shlex.split(c, comments=True)}
 
     def ok(kind: str, text: str) -> bool:
         try:
@@ -101,11 +124,9 @@ def _parses(language: pd.Series, code: pd.Series) -> pd.Series:
 
 def computation_blocks(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
     """bundle, concept_id, start_line, code: the first block under a concept's ``Computation`` heading, if it names a language."""
-    own = F.col("text").rlike(COMPUTATION)
     some = concepts.where(F.col("body").rlike(f"(?m){COMPUTATION}"))
-    heads = text_lines(some, blocks).where("level > 0").select("bundle", "concept_id", F.col("line").alias("head_line"), own.alias("own"))
-    under = blocks.join(heads, ["bundle", "concept_id"]).where("head_line < start_line").groupBy("bundle", "concept_id", "start_line").agg(F.max_by("own", "head_line").alias("own"), F.any_value("language").alias("language"), F.any_value("code").alias("code"))
-    first = under.where("own").groupBy("bundle", "concept_id").agg(F.min(F.struct("start_line", "language", "code")).alias("b"))
+    under = under_computation(blocks, text_lines(some, blocks))
+    first = under.groupBy("bundle", "concept_id").agg(F.min(F.struct("start_line", "language", "code")).alias("b"))
     return first.select("bundle", "concept_id", "b.*").where("language <> ''").drop("language")
 
 
@@ -115,10 +136,9 @@ def code_block_syntax(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
     The ``Computation`` block is OKF310 [warning], and blocks with its code are not
     reported again; all others are OKF007 [info].
     """
-    kind = F.coalesce(*(F.when(F.lower("language") == k, F.lit(v)) for k, v in LANGUAGES.items()))
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     computed = computation_blocks(concepts, blocks).select("bundle", "concept_id", F.col("start_line").alias("own_line"), trimmed("code").alias("own_code"))
-    rows = blocks.withColumn("kind", kind).where(F.col("kind").isNotNull() & F.col("code").rlike(r"\S"))
+    rows = blocks.withColumn("kind", language_name(F.col("language"))).where(F.col("kind").isin(list(CHECKABLE)) & F.col("code").rlike(r"\S"))
     rows = rows.join(computed, ["bundle", "concept_id"], "left").withColumn("own", F.coalesce(F.col("start_line") == F.col("own_line"), F.lit(False)))
     rows = rows.where(F.col("own") | F.col("own_code").isNull() | (trimmed("code") != F.col("own_code")))
     rows = rows.where(~_parses("kind", "code")).join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"])
@@ -127,6 +147,6 @@ def code_block_syntax(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def language_coverage(blocks: DataFrame) -> DataFrame:
-    """language, checkable, blocks, concepts."""
-    name = F.coalesce(*(F.when(F.lower("language") == k, F.lit(v)) for k, v in LANGUAGES.items()), F.lower("language"))
-    return blocks.groupBy(name.alias("language")).agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("bundle", "concept_id").alias("concepts")).withColumn("checkable", F.col("language").isin(sorted(set(LANGUAGES.values()))))
+    """language (its name, else the tag in lower case), checkable, blocks, concepts."""
+    name = F.coalesce(language_name(F.col("language")), F.lower("language"))
+    return blocks.groupBy(name.alias("language")).agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("bundle", "concept_id").alias("concepts")).withColumn("checkable", F.col("language").isin(list(CHECKABLE)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.functions.groups import MOST_NAMES, others_named, sharing, smallest_of
 from corpusward.functions.lineage import cut
 from corpusward.functions.severity import findings
 from corpusward.functions.text import bundle_relative, concept_id, link_targets
@@ -41,6 +42,11 @@ def parse_problems(concepts: DataFrame) -> DataFrame:
     return found(concepts.where("problem is not null"), "OKF001", "error", F.concat(F.lit("frontmatter does not parse: "), "problem"))
 
 
+def bundle_problems(unreadable: DataFrame) -> DataFrame:
+    """OKF900 for each bundle (``unreadable``: bundle, files) that could not be read whole."""
+    return findings(unreadable, doc_id="bundle", spec_id="okf", severity="error", code="OKF900", message=F.concat("files", F.lit(" files cannot be read")))
+
+
 def concept_type(concepts: DataFrame) -> DataFrame:
     """OKF002 [error] without a type, OKF003 [info] for white space around it."""
     t = front("type")
@@ -167,9 +173,10 @@ def reserved_filenames(concepts: DataFrame, reserved: tuple[str, ...] = RESERVED
 
 
 def declared_versions(index: DataFrame, version: str = VERSION) -> DataFrame:
-    """OKF405 [info]: an index that declares another version."""
-    declared = F.regexp_extract("body", r"(?m)^okf_version:\s*['\"]?([^'\"\s]+)", 1)
-    rows = index.where((declared != "") & (declared != version)).withColumn("concept_id", F.lit(None).cast("string"))
+    """OKF405 [info]: a bundle whose own index.md declares another version in its frontmatter."""
+    head = F.regexp_extract("body", r"(?sm)\A\ufeff?---[ \t]*\r?\n(.*?)^---[ \t]*\r?$", 1)
+    declared = F.regexp_extract(head, r"(?m)^okf_version:[ \t]*['\"]?([^'\"\s#]+)", 1)
+    rows = index.where((F.col("path") == "index.md") & (declared != "") & (declared != version)).withColumn("concept_id", F.lit(None).cast("string"))
     return found(rows, "OKF405", "info", F.concat(F.lit("declares version "), declared))
 
 
@@ -178,15 +185,11 @@ def display_title() -> Column:
     return F.coalesce(F.when(~_blank(front("title")), F.trim(front("title"))), F.regexp_extract("concept_id", "[^/]+$", 0))
 
 
-def duplicate_titles(concepts: DataFrame) -> DataFrame:
-    """OKF406 on each concept whose title others of its bundle have, naming them.
-
-    Groups are built once and joined back.
-    """
+def duplicate_titles(concepts: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """OKF406 on each concept whose title others of its bundle have, naming up to ``most_names`` of them and counting the rest."""
     own = concepts.select("bundle", "concept_id", "path", display_title().alias("title"))
-    groups = own.groupBy("bundle", "title").agg(F.array_sort(F.collect_list("concept_id")).alias("all")).where(F.size("all") > 1)
-    others = F.filter("all", lambda c: c != F.col("concept_id"))
-    return found(own.join(groups, ["bundle", "title"]), "OKF406", "warning", F.concat(F.lit("shares its title with "), F.array_join(others, ", ")))
+    shared = own.join(sharing(own, ["bundle", "title"], "concept_id", most_names), ["bundle", "title"])
+    return found(shared, "OKF406", "warning", F.concat(F.lit("shares its title with "), others_named(F.col("concept_id"), most_names)))
 
 
 def derivation_edges(concepts: DataFrame) -> DataFrame:
@@ -195,14 +198,8 @@ def derivation_edges(concepts: DataFrame) -> DataFrame:
     return named.join(concepts.select("bundle", F.col("concept_id").alias("b")), ["bundle", "b"], "left_semi").select("bundle", "a", "b")
 
 
-def circular_derivation(concepts: DataFrame) -> DataFrame:
-    """OKF112 for each ring of derivation, located at its smallest concept and naming all members.
-
-    Concepts without a way in or out are peeled off until none is left to peel; what
-    remains is closed by joins.  One finding for each set of mutually reachable concepts;
-    a bundle has an error exactly if it has a cycle.
-    """
-    edges = cut(derivation_edges(concepts))
+def _peeled(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``edges`` without concepts that have no way in or no way out, taken off until none is left, and their number."""
     n = edges.count()
     while n:
         inner = edges.join(edges.select("bundle", F.col("a").alias("b")).distinct(), ["bundle", "b"], "left_semi").join(edges.select("bundle", F.col("b").alias("a")).distinct(), ["bundle", "a"], "left_semi")
@@ -210,17 +207,59 @@ def circular_derivation(concepts: DataFrame) -> DataFrame:
         n, before = edges.count(), n
         if n == before:
             break
-    reach, size = edges, edges.count()
-    while size:
-        step = reach.join(reach.select("bundle", F.col("a").alias("b"), F.col("b").alias("c")), ["bundle", "b"]).select("bundle", "a", F.col("c").alias("b"))
-        reach = cut(reach.union(step).distinct())
-        size, before = reach.count(), size
-        if size == before:
-            break
-    mutual = reach.join(reach.select("bundle", F.col("a").alias("b"), F.col("b").alias("a")), ["bundle", "a", "b"], "left_semi")
-    rings = mutual.groupBy("bundle", "a").agg(F.array_sort(F.collect_set("b")).alias("members")).where(F.col("members")[0] == F.col("a"))
-    rows = rings.select("bundle", F.col("a").alias("concept_id"), "members").join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"])
-    return found(rows, "OKF112", "error", F.concat(F.lit("derives from itself: "), F.array_join("members", " -> ")))
+    return edges, n
+
+
+def _smallest_before(edges: DataFrame, name: str) -> DataFrame:
+    """bundle, v and, as ``name``, the smallest concept from which v is reached (itself included).
+
+    Labels also take over the label of their label, which lies before them too, so long
+    ways take few rounds.
+    """
+    labels = cut(edges.select("bundle", F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("label", F.col("v")))
+    while True:
+        along = edges.select("bundle", F.col("a").alias("v"), F.col("b").alias("to")).join(labels, ["bundle", "v"]).select("bundle", F.col("to").alias("v"), "label", F.lit(None).cast("string").alias("own"))
+        jumped = labels.select("bundle", F.col("label").alias("via"), "v").join(labels.select("bundle", F.col("v").alias("via"), "label"), ["bundle", "via"]).select("bundle", "v", "label", F.lit(None).cast("string").alias("own"))
+        new = labels.withColumn("own", F.col("label")).unionByName(along).unionByName(jumped).groupBy("bundle", "v").agg(F.min("label").alias("label"), F.min("own").alias("own"))
+        new = cut(new)
+        labels = new.drop("own")
+        if new.where("label < own").isEmpty():
+            return labels.withColumnRenamed("label", name)
+
+
+def derivation_rings(edges: DataFrame) -> DataFrame:
+    """bundle, v, ring: each concept that derives from itself, and the smallest concept of its ring.
+
+    A ring is a set of concepts that all reach each other.  A concept whose smallest
+    concept before it and after it (``edges``: bundle, a, b) are the same lies in that one's
+    ring; edges between concepts that differ in either lie in no ring.  What is left goes
+    round again, each time without at least the smallest concept of each part.
+    """
+    edges, n = _peeled(cut(edges.select("bundle", "a", "b")))
+    rings = edges.select("bundle", F.col("a").alias("v"), F.col("a").alias("ring")).limit(0)
+    while n:
+        marks = _smallest_before(edges, "before").join(_smallest_before(edges.select("bundle", F.col("b").alias("a"), F.col("a").alias("b")), "after"), ["bundle", "v"])
+        marks = cut(marks)
+        both = edges.join(marks.toDF("bundle", "a", "a1", "a2"), ["bundle", "a"]).join(marks.toDF("bundle", "b", "b1", "b2"), ["bundle", "b"]).where("a1 = b1 and a2 = b2")
+        both = cut(both.select("bundle", "a", "b", "a1", "a2"))
+        # A concept between two rings is alone and has no edge inside.
+        rings = rings.unionByName(both.where("a1 = a2").select("bundle", F.explode(F.array("a", "b")).alias("v"), F.col("a1").alias("ring")).distinct())
+        edges, n = _peeled(cut(both.where("a1 <> a2").select("bundle", "a", "b")))
+    return rings
+
+
+def circular_derivation(concepts: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """OKF112 for each ring of derivation, located at its smallest concept and naming up to ``most_names`` members, then their number.
+
+    One finding for each set of mutually reachable concepts; a bundle has an error exactly
+    if it has a cycle.  ``derivation_rings`` lists all members.
+    """
+    rings = derivation_rings(derivation_edges(concepts))
+    sizes = rings.groupBy("bundle", "ring").agg(F.count(F.lit(1)).alias("n"))
+    named = smallest_of(rings, ["bundle", "ring"], "v", most_names).join(sizes, ["bundle", "ring"])
+    rows = named.withColumnRenamed("ring", "concept_id").join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"])
+    more = F.when(F.col("n") > most_names, F.concat(F.lit(" -> "), (F.col("n") - most_names).cast("string"), F.lit(" more"))).otherwise("")
+    return found(rows, "OKF112", "error", F.concat(F.lit("derives from itself: "), F.array_join("names", " -> "), more))
 
 
 def index_listings(index: DataFrame, concepts: DataFrame, files: DataFrame) -> DataFrame:

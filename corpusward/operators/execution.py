@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,29 +42,89 @@ def evaluate_metric_view(tables: dict[str, DataFrame], view: dict, dims: list[st
     return df.groupBy(*_expressions(view["dimensions"], dims)).agg(*_expressions(view["measures"], measures))
 
 
+#: Aggregates that a windowed measure may use: each is merged from states of its groups.
+_MERGEABLE = re.compile(r"\b(sum|count|min|max|avg|mean)\s*\(", re.IGNORECASE)
+
+
+def _aggregates(expr: str) -> tuple[str, list[tuple[str, str]]]:
+    """``expr`` with ``{i}`` for each outermost aggregate call, and the calls as (function, argument)."""
+    out, calls, at = "", [], 0
+    while m := _MERGEABLE.search(expr, at):
+        end, depth = m.end(), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(expr[end], 0)
+            end += 1
+        out += f"{expr[at : m.start()]}{{{len(calls)}}}"
+        calls.append((m[1].lower().replace("mean", "avg"), expr[m.end() : end - 1].strip()))
+        at = end
+    return out + expr[at:], calls
+
+
+_DISTINCT = re.compile(r"^distinct\b", re.IGNORECASE)
+
+
 def windowed_measures(tables: dict[str, DataFrame], view: dict, dims: list[str], measures: list[str]) -> DataFrame:
-    """Measures with a window: ``order`` (a dimension), ``range`` cumulative or unbounded, ``semiadditive`` first or last.
+    """Measures with a window: ``order`` (a dimension), ``range`` cumulative (also if absent) or unbounded, ``semiadditive`` last (also if absent) or first.
 
     The view is aggregated to the dimensions and the order first, so the window runs over
-    few rows.  Where the order is not among ``dims`` the semiadditive row's value is taken.
+    few rows, and merges states: sums and counts add up, extremes are compared, means are
+    sums and counts, and a distinct value counts where it first appears.  Expressions over
+    several aggregates are evaluated on the merged ones; other aggregates are refused by
+    Spark.  Where the order is not among ``dims`` the semiadditive row's value is taken.
     cumulative windows run to the current row, unbounded ones over all rows of a group.
+    Measures without a window cover the rows of their own group.
     """
     spec = {m["name"]: (m.get("window") or [None])[0] for m in view["measures"]}
+    exprs = {m["name"]: m["expr"] for m in view["measures"]}
     orders = {w["order"] for m in measures if (w := spec[m])}
     if len(orders) > 1:
         raise ValueError("windowed measures of one query share their order")
+    if any(w and w.get("range", "cumulative") not in ("cumulative", "unbounded") for w in map(spec.get, measures)):
+        raise ValueError("a window is cumulative or unbounded")
     order = orders.pop()
-    grain = [*dict.fromkeys([*dims, order])]
-    base = _joined(tables, view).groupBy(*_expressions(view["dimensions"], grain)).agg(*_expressions(view["measures"], measures))
-    others = [d for d in dims if d != order]
+    grain, others = [*dict.fromkeys([*dims, order])], [d for d in dims if d != order]
+    rows, dimensions = _joined(tables, view), view["dimensions"]
+    finals, states, distinct = {}, {}, {}
+    for m in measures:
+        text, calls = _aggregates(exprs[m])
+        names = []
+        for function, argument in calls:
+            name = f"_s{len(states)}_{len(distinct)}"
+            if function == "count" and _DISTINCT.match(argument):
+                distinct[name] = _DISTINCT.sub("", argument)
+                names.append([(name, "sum")])
+            elif function == "avg":
+                states[f"{name}s"], states[f"{name}n"] = F.expr(f"sum({argument})"), F.expr(f"count({argument})")
+                names.append([(f"{name}s", "sum"), (f"{name}n", "sum")])
+            else:
+                states[name] = F.expr(f"{function}({argument})")
+                names.append([(name, "sum" if function == "count" else function)])
+        finals[m] = text, names
+    base = rows.groupBy(*_expressions(dimensions, grain)).agg(F.count(F.lit(1)).alias("_rows"), *(c.alias(n) for n, c in states.items()))
+    for name, argument in distinct.items():
+        # As in SQL, a value with a null among its parts does not count.
+        at = {d["name"]: d["expr"] for d in dimensions}[order]
+        seen = rows.groupBy(*_expressions(dimensions, others), F.expr(f"struct({argument})").alias("_v")).agg(F.min(F.expr(at)).alias(order), F.expr(f"count({argument})").alias("_n")).where("_n > 0")
+        firsts = seen.groupBy(*(F.col(g).alias(f"_{g}") for g in grain)).agg(F.count(F.lit(1)).alias(name))
+        base = base.join(firsts, reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in grain)), "left").drop(*(f"_{g}" for g in grain)).withColumn(name, F.coalesce(name, F.lit(0)))
+
+    def final(m: str, merged) -> Column:
+        text, names = finals[m]
+        return F.expr(text.format(*(f"`{merged(m, parts[0])}`" if len(parts) == 1 else f"(`{merged(m, parts[0])}` / `{merged(m, parts[1])}`)" for parts in names))).alias(m)
+
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
     up_to_here = Window.partitionBy(*others).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*others)
-    columns = [F.sum(m).over(up_to_here if spec[m]["range"] == "cumulative" else whole).alias(m) if spec[m] else F.col(m) for m in measures]
-    out = base.select(*grain, *columns)
+    frames = {"cumulative": up_to_here, "unbounded": Window.partitionBy(*others)}
+    merged = {f"{n}_{r}": merge[how](n).over(frames[r]) for m in measures if spec[m] for r in (spec[m].get("range", "cumulative"),) for parts in finals[m][1] for n, how in parts}
+    out = base.select("*", *(c.alias(n) for n, c in merged.items()))
+    own = lambda m, part: f"{part[0]}_{spec[m].get('range', 'cumulative')}" if spec[m] else part[0]
+    out = out.select(*grain, *(final(m, own) for m in measures), *(F.col(n).alias(f"{n}_own") for n in (*states, *distinct)))
     if order in dims:
-        return out
+        return out.select(*dims, *measures)
     pick = {"last": F.max_by, "first": F.min_by}
-    return out.groupBy(*others).agg(*(pick[(spec[m] or {}).get("semiadditive", "last")](m, order).alias(m) if spec[m] else F.sum(m).alias(m) for m in measures))
+    how = {n: h for m in measures for parts in finals[m][1] for n, h in parts}
+    out = out.groupBy(*others).agg(*(pick[spec[m].get("semiadditive", "last")](m, order).alias(m) for m in measures if spec[m]), *(merge[h](f"{n}_own").alias(n) for n, h in how.items()))
+    return out.select(*others, *(F.col(m) if spec[m] else final(m, lambda m, part: part[0]) for m in measures))
 
 
 def materialize_views(tables: dict[str, DataFrame], view: dict) -> dict[str, DataFrame]:
@@ -170,7 +231,9 @@ def check_relationships(tables: dict[str, DataFrame], relationships: list[dict],
         from_ = tables[t1].select(*(F.col(c).alias(k) for c, k in zip(a, keys, strict=True))).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         to = tables[t2].select(*(F.col(c).alias(k) for c, k in zip(b, keys, strict=True)))
         orphans = from_.join(to, keys, "left_anti")
-        # One partial row from each task; the sample is sorted where the tasks' smallest keys meet.
-        top = orphans.orderBy(*keys).limit(samples).agg(F.array_join(F.sort_array(F.collect_list(F.struct(*keys).cast("string"))), ";").alias("sample"))
-        out.append(orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphans")).join(top, F.lit(True)).select(F.lit(f"{','.join(left)} -> {','.join(right)}").alias("relationship"), "orphans", "sample"))
+        # Keys are distinct here, so buckets are even; each hands on its sum and its smallest keys.
+        bucket = Window.partitionBy(F.pmod(F.xxhash64(*keys), F.lit(int(tables[t1].sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+        few = orphans.select(F.struct(*keys).alias("k"), F.row_number().over(bucket.orderBy(*keys)).alias("r"), F.sum("_n").over(bucket).alias("n")).where(F.col("r") <= max(samples, 1))
+        smallest = F.slice(F.array_sort(F.collect_list("k")), 1, samples)
+        out.append(few.agg(F.coalesce(F.sum(F.when(F.col("r") == 1, F.col("n"))), F.lit(0)).alias("orphans"), F.array_join(F.transform(smallest, lambda k: k.cast("string")), ";").alias("sample")).select(F.lit(f"{','.join(left)} -> {','.join(right)}").alias("relationship"), "orphans", "sample"))
     return reduce(DataFrame.unionByName, out)

@@ -39,7 +39,7 @@ class Facts:
 
     version: str
     root_keys: tuple[str, ...] = ()
-    statuses: tuple[str, ...] = STATUSES
+    statuses: tuple[str, ...] | None = None  # None: STATUSES, but for odcl, whose schema has to list them
     deprecations: tuple[tuple[str, str], ...] = field(default=())  # (key, message)
     server_types: tuple[str, ...] = ()
     inert_dispatch: bool = False
@@ -70,7 +70,8 @@ def absent_sections(nodes: DataFrame, facts: Facts, standard: str) -> DataFrame:
 def unconventional_status(nodes: DataFrame, facts: Facts, standard: str) -> DataFrame:
     """A string status outside the conventional ones (205); silent if the schema names none."""
     pointer = "/info/status" if standard == "odcl" else "/status"
-    rows = nodes.where((F.col("pointer") == pointer) & (F.col("kind") == "string") & ~F.col("sval").isin(list(facts.statuses)) & F.lit(bool(facts.statuses)))
+    statuses = list(facts.statuses if facts.statuses is not None else () if standard == "odcl" else STATUSES)
+    rows = nodes.where((F.col("pointer") == pointer) & (F.col("kind") == "string") & ~F.col("sval").isin(statuses) & F.lit(bool(statuses)))
     return findings(rows, spec_id=standard, severity="warning", code=f"{standard.upper()}205", message=F.concat(F.lit("status "), "sval", F.lit(" is not conventional")), pointer=F.col("pointer"), seq=F.col("seq"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.functions.groups import MOST_NAMES, others_named, sharing
 from corpusward.functions.pointers import pointer_escape, pointer_unescape
 from corpusward.functions.severity import findings
 from corpusward.operators.hygiene import field_nodes
@@ -125,17 +126,11 @@ def contract_findings(resolved: DataFrame) -> DataFrame:
     )
 
 
-def contract_id_collisions(contracts: DataFrame, most_names: int | None = None) -> DataFrame:
-    """CLI203 for each contract whose id another document declares too, naming the others.
+def contract_id_collisions(contracts: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """CLI203 for each contract whose id another document declares too, naming up to ``most_names`` of the others and counting the rest.
 
-    Groups are built once for each id and joined back; ``most_names`` shortens the lists
-    in messages, never the findings.
+    Every document of a group has its finding, whatever the group's size.
     """
     own = contracts.where(F.col("contract_id").isNotNull()).select("doc_id", "contract_id").distinct()
-    groups = own.groupBy("contract_id").agg(F.array_sort(F.collect_list("doc_id")).alias("all")).where(F.size("all") > 1)
-    rows = own.join(groups, "contract_id")
-    others = F.filter("all", lambda d: d != F.col("doc_id"))
-    others = F.slice(others, 1, most_names) if most_names else others
-    n = F.size(others)
-    text = F.when(n == 1, others[0]).otherwise(F.concat(F.array_join(F.slice(others, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(others, -1)))
-    return findings(rows, spec_id="odcs", severity="warning", code="CLI203", message=F.concat(F.lit("id "), "contract_id", F.lit(" is also declared by "), text), pointer="/id")
+    rows = own.join(sharing(own, ["contract_id"], "doc_id", most_names), "contract_id")
+    return findings(rows, spec_id="odcs", severity="warning", code="CLI203", message=F.concat(F.lit("id "), "contract_id", F.lit(" is also declared by "), others_named(F.col("doc_id"), most_names, " and ")), pointer="/id")

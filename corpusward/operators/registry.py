@@ -114,19 +114,19 @@ def verdict_agreement(recorded: DataFrame, computed: DataFrame, known: DataFrame
     """doc_id and status of recorded verdicts against ours.
 
     ``recorded`` has doc_id, sha256, verdict (ok or err); ``computed`` doc_id, digest,
-    verdict; ``known`` the doc_ids of listed divergences.  uncovered: nothing recorded;
-    orphan: nothing computed; stale: another digest; then agree, converged-but-listed,
+    verdict; ``known`` the doc_ids of listed divergences.  A null verdict is as none.
+    uncovered: nothing recorded; orphan: recorded, nothing computed; stale: another digest; then agree, converged-but-listed,
     known-divergence or unexpected-divergence.
     """
-    r = recorded.select("doc_id", F.col("sha256").alias("recorded_digest"), F.col("verdict").alias("recorded_verdict"), F.lit(True).alias("was"))
-    c = computed.select("doc_id", "digest", "verdict", F.lit(True).alias("is"))
+    r = recorded.select("doc_id", F.col("sha256").alias("recorded_digest"), F.col("verdict").alias("recorded_verdict"))
+    c = computed.select("doc_id", "digest", "verdict")
     k = known.select("doc_id").distinct().withColumn("listed", F.lit(True))
     rows = c.join(r, "doc_id", "full_outer").join(k, "doc_id", "left")
     same = F.col("verdict") == F.col("recorded_verdict")
     listed = F.coalesce("listed", F.lit(False))
     status = (
-        F.when(F.col("was").isNull(), "uncovered")
-        .when(F.col("is").isNull(), "orphan")
+        F.when(F.col("recorded_verdict").isNull(), "uncovered")
+        .when(F.col("verdict").isNull(), "orphan")
         .when(F.col("digest") != F.col("recorded_digest"), "stale")
         .when(same & listed, "converged-but-listed")
         .when(same, "agree")

@@ -6,6 +6,7 @@ finding because of a policy.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -98,6 +99,38 @@ def run_summary(docs: DataFrame, found: DataFrame, policy: str = "never") -> Dat
     return both.select(outcome.alias("outcome"), "documents", "errors", "warnings", "infos", "total", name_of(F.col("rank")).alias("worst"), F.when(F.col("documents") == 0, 2).when(gated, 1).otherwise(0).alias("exit_code"))
 
 
+#: Fixed value: the version of the JSON that runs are written as.
+SCHEMA_VERSION = 1
+
+
+def run_json(docs: DataFrame, found: DataFrame, policy: str = "never", specs: list[dict] = (), command: str = "validate", tool: dict | None = None) -> DataFrame:
+    """The run as one JSON text: schema version, tool, command, summary, gate, exit code and specifications.
+
+    ``specs`` are the caller's own short list.  Documents and diagnostics, which grow with
+    the corpus, are rows of their own: ``run_envelope`` and ``diagnostic_json``.
+    """
+    run = run_summary(docs, found, policy)
+    threshold = F.lit(None).cast("string") if policy == "never" else F.lit(policy)
+    body = F.struct(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(json.dumps(tool)).alias("tool"), F.lit(command).alias("command"),
+        F.struct("outcome", F.lit(len(specs)).alias("specs"), "documents", F.col("total").alias("diagnostics"), F.col("errors").alias("error"), F.col("warnings").alias("warning"), F.col("infos").alias("info")).alias("summary"),
+        F.struct(F.lit("never" if policy == "never" else "at-or-above").alias("policy"), threshold.alias("threshold"), (F.col("outcome") == "gated").alias("gated"), F.col("worst").alias("worst_severity")).alias("gate"),
+        "exit_code", F.lit(json.dumps(list(specs))).alias("specs"),
+    )
+    text = F.to_json(body, {"ignoreNullFields": "false"})
+    # The caller's own objects go in as they are.
+    for key, value in (("tool", tool), ("specs", list(specs))):
+        text = F.replace(text, F.lit(f'"{key}":{json.dumps(json.dumps(value))}'), F.lit(f'"{key}":{json.dumps(value)}'))
+    return run.select(text.alias("json"))
+
+
+def diagnostic_json(found: DataFrame) -> DataFrame:
+    """doc_id, seq and each finding as the JSON of a diagnostic: location and spec_ref are objects, absent optionals nulls."""
+    location = F.struct(F.col("doc_id").alias("document"), "line", "column", "pointer").alias("location")
+    reference = F.when(F.col("spec_id").isNotNull(), F.struct(F.col("spec_id").alias("id"), F.col("spec_version").alias("version"), "section")).alias("spec_ref")
+    return found.select("doc_id", "seq", F.to_json(F.struct("severity", "code", "message", "help", location, reference), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def findings_for_pointer(found: DataFrame, prefix: str) -> DataFrame:
     """Findings whose pointer starts with ``prefix``."""
     return found.where(F.col("pointer").startswith(prefix))
@@ -133,8 +166,8 @@ def checked_against(docs: DataFrame, schema_status: DataFrame) -> DataFrame:
     ``*904`` [info]; any other CLI006 [error] and its causes [error].
     """
     status = schema_status.select(F.col("standard").alias("_standard"), "version", F.coalesce("causes", F.array().cast("array<struct<code:string,message:string>>")).alias("causes"))
-    # A row for each published standard.
-    rows = docs.where(F.col("standard").isNotNull()).join(F.broadcast(status), F.col("standard") == F.col("_standard"), "left")
+    # Spark broadcasts the statuses if they are as small as they should be.
+    rows = docs.where(F.col("standard").isNotNull()).join(status, F.col("standard") == F.col("_standard"), "left")
     usable = F.col("_standard").isNotNull() & (F.size("causes") == 0)
     ok = findings(rows.where(usable), spec_id=F.col("standard"), severity="info", code=F.concat(F.upper("standard"), F.lit("904")), message=F.concat(F.lit("validated against "), "standard", F.lit(" "), F.coalesce("version", F.lit("?"))), spec_version=F.col("version"))
     bad = rows.where(~usable)

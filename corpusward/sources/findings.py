@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.operators.report import diagnostic_json, run_envelope, run_json
+
 
 def write_findings(found: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
     """Findings as files, a folder for each specification; JSON keeps absent optionals as nulls."""
@@ -17,3 +19,10 @@ def write_findings(found: DataFrame, path: str, fmt: str = "parquet", mode: str
 def findings_json(found: DataFrame) -> DataFrame:
     """Each finding as one JSON text, nulls kept."""
     return found.select("doc_id", "seq", F.to_json(F.struct(*found.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_run(docs: DataFrame, found: DataFrame, path: str, policy: str = "never", mode: str = "error", **run) -> None:
+    """A whole run as folders of JSON lines under ``path``: ``run`` (one line), ``documents`` and ``diagnostics``."""
+    run_json(docs, found, policy, **run).write.mode(mode).text(f"{path}/run")
+    run_envelope(docs, found, policy).select("json").write.mode(mode).text(f"{path}/documents")
+    diagnostic_json(found).select("json").write.mode(mode).text(f"{path}/diagnostics")
