@@ -315,6 +315,37 @@ def v_schema_findings(spark, sf_dir):
     return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def v_compute_assets(spark, sf_dir):
+    """All schema findings of all compute assets."""
+    nodes = _nodes(spark, sf_dir, corpora.services)
+    return conformance.schema_findings(nodes, conformance.rule_table(spark, published.CADS), "cads").select("doc_id", "code", "pointer")
+
+
+#: A schema of our own for keywords that take schemas.
+APPLICATORS = {
+    "allOf": [{"required": ["colour"]}],
+    "if": {"properties": {"id": {"type": "integer"}}},
+    "then": {"properties": {"status": {"const": "draft"}}},
+    "dependentRequired": {"colour": ["shade"]},
+    "propertyNames": {"not": {"const": "colour"}},
+    "patternProperties": {"Ports$": {"minItems": 1}},
+    "properties": {
+        "id": {"anyOf": [{"oneOf": [{"type": "string"}, {"type": "string", "minLength": 5}]}, {"type": "integer", "maximum": 700}]},
+        "outputPorts": {"items": {"patternProperties": {"^ver": {"type": "integer"}}, "additionalProperties": {"anyOf": [{"type": "string"}, {"type": "array"}]}}},
+        "team": {"additionalProperties": False, "patternProperties": {"^member": {"contains": {"required": ["role"]}, "minContains": 1}}},
+    },
+    "unevaluatedProperties": False,
+}
+
+
+@query
+def v_applicators(spark, sf_dir):
+    """Schema findings under conditions, alternatives in alternatives, patterns and names; a keyword that is not checked is one of them."""
+    nodes = _nodes(spark, sf_dir, corpora.products)
+    return conformance.schema_findings(nodes, conformance.rule_table(spark, APPLICATORS), "odps").select("doc_id", "code", "pointer")
+
+
 # Older contracts: references inside a document, and their hygiene.
 
 ODCL = hygiene.Facts(version="1.2.1", root_keys=("dataContractSpecification", "id", "info", "servers", "models", "definitions"), deprecations=(("pii", "use classification"),), server_types=("kafka",), inert_dispatch=True, statuses=hygiene.STATUSES)

@@ -221,3 +221,23 @@ def registries(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("m")
     text = F.concat(F.lit("schema_version = "), F.when(m % 5 == 3, "2").otherwise("1"), F.lit("\n"), F.when(m % 7 == 4, "name = \n").otherwise(""), F.array_join(F.transform("e", lambda x: x["t"]), ""))
     return rows.select(F.concat(F.lit("registries/"), m.cast("string")).alias("doc_id"), F.when(m % 11 == 5, F.lit(None)).otherwise(text).alias("text"))
+
+
+def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of a whole compute asset for each part; faults against its schema by the part's key."""
+    k = F.col("p_partkey")
+    own = F.when(k % 2 == 0, F.concat(F.lit('{"role":"r","name":"n"}'))).otherwise('{"role":"r"}')
+    body = _json(
+        apiVersion=F.when(k % 5 == 0, _text("1.0")).otherwise(_text("v1.0")),
+        kind=F.when(k % 7 == 0, _text("Robot")).otherwise(_text("AIModel")),
+        id=_text(F.concat(F.lit("s-"), k.cast("string"))),
+        name=F.when(k % 11 == 0, _text("ab")).otherwise(_text("name")),
+        version=F.when(k % 3 != 0, _text("1")),
+        status=_text("draft"),
+        domainId=F.when(k % 13 == 0, _text("no uuid")).otherwise(_text("01234567-89ab-cdef-0123-456789abcdef")),
+        sla=F.concat(F.lit('{"properties":[{"element":"e","unit":"u","value":'), F.when(k % 17 == 0, "true").when(k % 2 == 0, "1.5").otherwise('"x"'), F.lit("}]}")),
+        team=F.concat(F.lit("["), own, F.lit("]")),
+        createdAt=F.when(k % 19 == 0, _text("2024-02-30T00:00:00Z")).otherwise(_text("2024-02-28T00:00:00Z")),
+        customProperties=F.lit('{"any":[1,{}]}'),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("services/"), k.cast("string")).alias("doc_id"), F.concat(F.lit("{"), body, F.lit("}")).alias("text"))

@@ -220,6 +220,29 @@ SELECT 'ODPS' || code AS code, 'error' AS severity, n FROM (
 )
 """
 
+v_compute_assets = """
+WITH s AS (SELECT p_partkey AS k, 'services/' || p_partkey AS doc_id FROM part)
+SELECT doc_id, 'CADS105' AS code, '/apiVersion' AS pointer FROM s WHERE k % 5 = 0
+UNION ALL SELECT doc_id, 'CADS103', '/kind' FROM s WHERE k % 7 = 0
+UNION ALL SELECT doc_id, 'CADS107', '/name' FROM s WHERE k % 11 = 0
+UNION ALL SELECT doc_id, 'CADS101', '' FROM s WHERE k % 3 = 0
+UNION ALL SELECT doc_id, 'CADS105', '/domainId' FROM s WHERE k % 13 = 0
+UNION ALL SELECT doc_id, 'CADS104', '/sla/properties/0/value' FROM s WHERE k % 17 = 0
+UNION ALL SELECT doc_id, 'CADS101', '/team/0' FROM s WHERE k % 2 = 1
+UNION ALL SELECT doc_id, 'CADS105', '/createdAt' FROM s WHERE k % 19 = 0
+"""
+v_applicators = f"""
+WITH {PRODUCTS}
+SELECT doc_id, 'ODPS101' AS code, '' AS pointer FROM p
+UNION ALL SELECT doc_id, 'ODPS103', '/status' FROM p WHERE k % 13 = 0
+UNION ALL SELECT doc_id, 'ODPS102', '' FROM p WHERE k % 7 = 0
+UNION ALL SELECT doc_id, 'ODPS106', '/inputPorts' FROM p WHERE n = 0
+UNION ALL SELECT doc_id, 'ODPS104', '/outputPorts/0/version' FROM p WHERE k % 6 <> 0
+UNION ALL SELECT doc_id, 'ODPS108', '/id' FROM p WHERE CASE WHEN k % 13 = 0 THEN k > 700 ELSE length(id) >= 5 END
+UNION ALL SELECT doc_id, 'ODPS106', '/team/members' FROM p
+UNION ALL SELECT 'schema', 'ODPS100', ''
+"""
+
 LEXICON = """
 x AS (SELECT c_custkey AS k, 'lexicon/' || c_custkey AS doc_id FROM customer)"""
 

@@ -3,23 +3,32 @@
 A schema is flattened on the driver to rows (rule_path, keyword, argument); a rule table
 has a few hundred rows, bounded by the schema, and is broadcast.  All violations of a
 document are reported, not the first alone.
+
+Each operator named after a class of violations judges the rules outside of alternatives;
+``schema_findings`` judges all of them: alternatives (oneOf, anyOf, not), conditions (if,
+dependentSchemas, dependentRequired), contains and propertyNames, nested in any way.
+A keyword that is not checked is a row ``unsupported`` of the rule table, and a finding.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce, wraps
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusward.functions.lineage import cut, stored
 from corpusward.functions.severity import findings
+from corpusward.sources.documents import MAPS
 
 RULES = "rule_path string, keyword string, text string, num double, kinds array<string>, branch string"
 
 #: What a keyword's violation is numbered.
 CODES = {
-    "required": "101",
+    "required": "101",  # dependentRequired too
     "additionalProperties": "102",
     "propertyNames": "102",
     "enum": "103",
@@ -43,8 +52,17 @@ CODES = {
     "oneOf": "108",
     "anyOf": "108",
     "not": "108",
+    "false": "108",
 }
 _NUMBERS = [k for k, c in CODES.items() if c in ("106", "107") and k not in ("uniqueItems", "contains")]
+#: Keywords that say nothing of a value, or are read along with another one.
+SILENT = frozenset(
+    "$schema $id $anchor $comment $defs $vocabulary definitions title description default examples deprecated deprecationMessage readOnly writeOnly minContains maxContains then else properties".split()
+)
+#: Keywords whose branches are judged before they are.
+CHOICES = ("oneOf", "anyOf", "not", "contains", "if", "propertyNames")
+#: Segments of rule paths that no key has: names of an object, keys of a pattern, other keys.
+_NAME, _PATTERN, _OTHER = "\x01", "\x02", "\x03"
 
 
 def _typed(value) -> tuple[str, str]:
@@ -56,12 +74,17 @@ def _typed(value) -> tuple[str, str]:
     return "string", str(value)
 
 
+def _token(key: str) -> str:
+    return key.replace("~", "~0").replace("/", "~1")
+
+
 def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> list[tuple]:
     """Rows of RULES for a schema; local ``$ref`` are followed.
 
     Where a ``$ref`` recurs below itself, a row ``again`` holds it and the schema;
-    ``unrolled`` puts rules in its place.  Branches of oneOf, anyOf and not, and contains,
-    are rules of their own, told apart by ``branch``.  ``starts`` has (path, ref, branch) to begin at.
+    ``unrolled`` puts rules in its place.  Branches of alternatives are rules of their own,
+    told apart by ``branch``: how many branches it lies in, a colon, and a name.  ``starts``
+    has (path, ref, branch) to begin at.
     """
     out: list[tuple] = []
 
@@ -71,30 +94,49 @@ def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> l
             s = s[int(t)] if isinstance(s, list) else s[t.replace("~1", "/").replace("~0", "~")]
         return s
 
-    def walk(s: dict, path: str, branch: str | None, refs: dict[str, str]) -> None:
+    def walk(s, path: str, branch: str | None, refs: dict[str, str]) -> None:
+        add = lambda keyword, text=None, num=None, kinds=None: out.append((path, keyword, text, num, kinds, branch))
+        if s is False:
+            add("false")
         if not isinstance(s, dict):
             return
-        while "$ref" in s:
-            ref = s["$ref"]
-            if ref in refs:
-                if refs[ref] != path:  # at the same path it says nothing more
-                    out.append((path, "again", json.dumps([ref, schema]), None, None, branch))
-                return
-            refs, s = refs | {ref: path}, target(ref)
-            if not isinstance(s, dict):
-                return
-        add = lambda keyword, text=None, num=None, kinds=None: out.append((path, keyword, text, num, kinds, branch))
+        if "$ref" in s:
+            ref, beside = s["$ref"], {k: v for k, v in s.items() if k != "$ref"}
+            if not ref.startswith("#"):
+                add("unsupported", f"$ref {ref}")
+            elif ref not in refs:
+                walk(target(ref), path, branch, refs | {ref: path})
+            elif refs[ref] != path:  # at the same path it says nothing more
+                add("again", json.dumps([ref, schema]))
+            walk(beside, path, branch, refs)
+            return
+        level = int(branch.partition(":")[0]) if branch else 0
+
+        def choice(keyword: str, parts: dict, at: str = path, num: float | None = None, kinds: list | None = None) -> None:
+            """A rule that is judged by its branches; its text is what their names start with."""
+            own = f"{level + 1}:{branch or ''} {path} {keyword} "
+            while any(row[1] == keyword and row[2] == own for row in out):
+                own += "+"
+            add(keyword, own, float(len(parts)) if num is None else num, kinds)
+            for name, part in parts.items():
+                walk(part, at, f"{own}{name}", refs)
+
         for key in s.get("required", ()):
             add("required", key)
-        if s.get("additionalProperties") is False:
-            add("closed")
-            for key in s.get("properties", {}):
+        named, patterns, others = s.get("properties", {}), s.get("patternProperties", {}), s.get("additionalProperties", True)
+        if others is False:
+            add("closed", "|".join(f"(?:{p})" for p in patterns) or None)
+            for key in named:
                 add("allowed", key)
         if "const" in s or "enum" in s:
-            add("values")
-            for v in s.get("enum", [s.get("const")]):
-                kind, text = _typed(v)
-                add("value", text, None, [kind])
+            values = s.get("enum", [s.get("const")])
+            if any(isinstance(v, (dict, list)) for v in values):
+                add("unsupported", "enum of arrays or objects")
+            else:
+                add("values")
+                for v in values:
+                    kind, text = _typed(v)
+                    add("value", text, None, [kind])
         if "type" in s:
             add("type", None, None, [s["type"]] if isinstance(s["type"], str) else list(s["type"]))
         for k in ("pattern", "format"):
@@ -105,22 +147,42 @@ def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> l
                 add(k, None, float(s[k]))
         if s.get("uniqueItems"):
             add("uniqueItems")
-        for k in ("oneOf", "anyOf", "not"):
+        for part in s.get("allOf", ()):
+            walk(part, path, branch, refs)
+        for k in ("oneOf", "anyOf"):
             if k in s:
-                parts = s[k] if isinstance(s[k], list) else [s[k]]
-                add(k, f"{path} {k} ", float(len(parts)))
-                for i, part in enumerate(parts):
-                    walk(part, path, f"{path} {k} {i}", refs)
+                choice(k, dict(enumerate(s[k])))
+        if "not" in s:
+            choice("not", {0: s["not"]})
+        if "if" in s:
+            choice("if", {"if": s["if"], "then": s.get("then", True), "else": s.get("else", True)})
+        for key, part in (*s.get("dependentSchemas", {}).items(), *((k, {"required": needed}) for k, needed in s.get("dependentRequired", {}).items())):
+            choice("if", {"if": {"type": "object", "required": [key]}, "then": part, "else": True})
         if "contains" in s:
-            own = f"{path} contains" if branch is None else f"{branch} {path} contains"
-            add("contains", own, float(s.get("minContains", 1)), [str(s["maxContains"])] if "maxContains" in s else None)
-            if s["contains"] is False:
-                out.append((f"{path}/*", "type", None, None, [], own))
-            walk(s["contains"], f"{path}/*", own, refs)
-        for key, child in s.get("properties", {}).items():
-            walk(child, f"{path}/{key.replace('~', '~0').replace('/', '~1')}", branch, refs)
+            choice("contains", {0: s["contains"]}, f"{path}/*", float(s.get("minContains", 1)), [str(s["maxContains"])] if "maxContains" in s else None)
+        if "propertyNames" in s:
+            choice("propertyNames", {0: s["propertyNames"]}, f"{path}/{_NAME}")
+        for key, child in named.items():
+            walk(child, f"{path}/{_token(key)}", branch, refs)
+            for p, part in patterns.items():
+                if re.search(p, key):
+                    walk(part, f"{path}/{_token(key)}", branch, refs)
+        if patterns or isinstance(others, dict):
+            if len(patterns) > 4:
+                add("unsupported", "more than four patternProperties")
+            add("patterned", json.dumps([sorted(named), list(patterns), isinstance(others, dict)]))
+            for mask in range(1, 1 << len(patterns)):
+                for i, part in enumerate(patterns.values()):
+                    if mask >> i & 1:
+                        walk(part, f"{path}/{_PATTERN}{mask}", branch, refs)
+            walk(others, f"{path}/{_OTHER}", branch, refs)
+            if isinstance(others, dict) and not patterns and path.rpartition("/")[2] in MAPS:
+                walk(others, f"{path}/*", branch, refs)  # nodes say ``*`` for the names of such maps
         if "items" in s:
             walk(s["items"], f"{path}/*", branch, refs)
+        for k in s:
+            if k not in CODES and k not in SILENT and k not in ("if", "items", "allOf", "patternProperties", "dependentSchemas", "dependentRequired") and not k.startswith("x-"):
+                add("unsupported", k)
 
     for path, ref, branch in starts:
         walk(schema if ref is None else {"$ref": ref}, path, branch, {"#": path} if ref is None else {})
@@ -131,32 +193,81 @@ def rule_table(spark: SparkSession, schema: dict) -> DataFrame:
     return spark.createDataFrame(flatten_schema(schema), RULES)
 
 
-def unrolled(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rules`` of a recursive schema as deep as ``nodes`` go; others as they are.
+def unsupported_keywords(rules: DataFrame, standard: str) -> DataFrame:
+    """What of a schema is not checked: ``*100`` [warning] for each place, with the schema as the document."""
+    rows = rules.where("keyword = 'unsupported'").distinct()
+    return findings(rows, doc_id=F.lit("schema"), spec_id=standard, severity="warning", code=f"{standard.upper()}100", message=F.concat(F.lit("not checked: "), "text"), pointer=F.col("rule_path"))
+
+
+def _generalised(nodes: DataFrame, patterned: list[tuple]) -> DataFrame:
+    """``nodes`` whose paths say which patterns of an object, or none, their keys match; ``patterned`` has (path, text) of such rules."""
+    if not patterned:
+        return nodes
+    rules = [(path, *json.loads(text)) for path, text in sorted(set(patterned), key=lambda r: r[0].count("/"))]
+
+    def moved(path: str) -> str:
+        for above, named, patterns, others in rules:
+            if path.startswith(f"{above}/"):
+                token, slash, below = path[len(above) + 1 :].partition("/")
+                key = token.replace("~1", "/").replace("~0", "~")
+                if key not in named and token not in ("*", _NAME):
+                    mask = sum(1 << i for i, p in enumerate(patterns) if re.search(p, key))
+                    path = f"{above}/{_PATTERN + str(mask) if mask else _OTHER if others else token}{slash}{below}"
+        return path
+
+    @F.pandas_udf("string")
+    def rewrite(paths: pd.Series) -> pd.Series:
+        # Paths repeat: each is worked out once in a batch.
+        return paths.map({p: moved(p) for p in paths.unique()})
+
+    return nodes.withColumn("rule_path", rewrite("rule_path"))
+
+
+def _names(nodes: DataFrame, rules: list[tuple]) -> DataFrame:
+    """``nodes`` and, for objects whose names have rules (``rules``: path), each name as a string below them."""
+    paths = sorted({r[0] for r in rules})
+    if not paths:
+        return nodes
+    above = F.regexp_replace("rule_path", "/[^/]*$", "")
+    names = nodes.where(F.col("key").isNotNull() & above.isin(paths))
+    token = F.element_at(F.split("pointer", "/"), -1)
+    made = {"pointer": F.concat("parent", F.lit(f"/{_NAME}"), token), "parent": F.lit(None), "key": F.lit(None), "kind": F.lit("string"), "sval": F.col("key"), "nval": F.lit(None), "n_children": F.lit(0), "rule_path": F.concat(above, F.lit(f"/{_NAME}"))}
+    return nodes.unionByName(names.select(*((made[c].cast(t) if c in made else F.col(c)).alias(c) for c, t in nodes.dtypes)))
+
+
+def unrolled(nodes: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with the paths that ``rules`` speak of, and ``rules`` of a recursive schema as deep as they go.
 
     Rules meet nodes of their path only, so recursion ends at paths without a node.
     Rules are chosen by branch after this, since recursion can add branches.
     """
-    todo = rules.where("keyword = 'again'").collect()
-    if not todo:
-        return rules
+    special = rules.where(F.col("keyword").isin("again", "patterned", "propertyNames")).collect()
+    pick = lambda keyword: [(r["rule_path"], r["text"]) for r in special if r["keyword"] == keyword]
+    patterned, named = pick("patterned"), pick("propertyNames")
+    todo = [(r["rule_path"], *json.loads(r["text"]), r["branch"]) for r in special if r["keyword"] == "again"]
     spark, more = nodes.sparkSession, []
-    todo = [(r["rule_path"], *json.loads(r["text"]), r["branch"]) for r in todo]
     while todo:
         asked = spark.createDataFrame(sorted({(path,) for path, *_ in todo}), "rule_path string")
-        there = {r[0] for r in nodes.select("rule_path").join(F.broadcast(asked), "rule_path", "left_semi").distinct().collect()}
+        there = {r[0] for r in _names(_generalised(nodes, patterned), named).select("rule_path").join(F.broadcast(asked), "rule_path", "left_semi").distinct().collect()}
         rows = [row for path, ref, schema, branch in todo if path in there for row in flatten_schema(schema, [(path, ref, branch)])]
         more += [row for row in rows if row[1] != "again"]
+        patterned += [row[0::2][:2] for row in rows if row[1] == "patterned"]
+        named += [row[0::2][:2] for row in rows if row[1] == "propertyNames"]
         todo = [(row[0], *json.loads(row[2]), row[5]) for row in rows if row[1] == "again"]
-    return rules.where("keyword <> 'again'").unionByName(spark.createDataFrame(more, RULES))
+    if any(r["keyword"] == "again" for r in special):
+        rules = rules.where("keyword <> 'again'").unionByName(spark.createDataFrame(more, RULES))
+    if patterned or named:
+        nodes = stored(_names(_generalised(nodes, patterned), named))
+    return nodes, rules
 
 
 def _unrolling(op):
-    """``op`` on rules that go as deep as its nodes."""
+    """``op`` on rules outside of alternatives that go as deep as its nodes."""
 
     @wraps(op)
-    def whole(nodes: DataFrame, rules: DataFrame, *more) -> DataFrame:
-        return op(nodes, unrolled(nodes, rules), *more)
+    def whole(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+        nodes, rules = unrolled(nodes, rules)
+        return op(nodes, rules.where("branch is null"))
 
     return whole
 
@@ -171,6 +282,11 @@ def _violation(rows: DataFrame, pointer: str, code, message) -> DataFrame:
     return rows.select("doc_id", F.col(pointer).alias("pointer"), "seq", code.alias("code"), message.alias("message"), "branch")
 
 
+def _upto(level: Column, pointer: str = "pointer") -> Column:
+    """The first ``level`` segments of a pointer."""
+    return F.array_join(F.slice(F.split(pointer, "/"), F.lit(1), level), "/")
+
+
 @_unrolling
 def required_missing(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """An object lacks a required key: one row for each key, at the object."""
@@ -183,10 +299,10 @@ def required_missing(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 def unknown_property(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """A closed object has keys that are not listed: one row for each object, naming them in order."""
     parents = nodes.where("kind = 'object'").select("doc_id", F.col("pointer").alias("parent"), "rule_path", F.col("seq").alias("object_seq"))
-    closed = _met(parents, rules, "closed").select("doc_id", "parent", "rule_path", "object_seq", "branch")
+    closed = _met(parents, rules, "closed").select("doc_id", "parent", "rule_path", "object_seq", "branch", F.col("text").alias("patterns"))
     children = nodes.where("key is not null").select("doc_id", "parent", "key", "seq")
     allowed = rules.where("keyword = 'allowed'").select("rule_path", F.col("text").alias("key"), F.col("branch").alias("_branch"))
-    open_ = children.join(closed, ["doc_id", "parent"])
+    open_ = children.join(closed, ["doc_id", "parent"]).where(F.col("patterns").isNull() | ~F.regexp("key", "patterns"))
     bad = open_.join(F.broadcast(allowed), (open_["rule_path"] == allowed["rule_path"]) & (open_["key"] == allowed["key"]) & open_["branch"].eqNullSafe(allowed["_branch"]), "left_anti")
     keys = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "key"))), lambda x: x["key"]), ", ")
     grouped = bad.groupBy("doc_id", "parent", "branch").agg(keys.alias("keys"), F.min("object_seq").alias("seq"))
@@ -234,26 +350,12 @@ def malformed_value(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return _violation(rows.where(~ok), "pointer", "105", F.concat("sval", F.lit(" does not match "), "text"))
 
 
-@_unrolling
 def bad_cardinality(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Too few or too many members, also of those that contains asks for, or members of an array that are equal as JSON values."""
-    return _counted(nodes, rules).unionByName(_contained(nodes, rules))
-
-
-def _contained(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Arrays with too few or too many members that meet ``contains``: those with no violation at them or below."""
-    asked = _met(nodes.where("kind = 'array'").select("doc_id", "pointer", "seq", "rule_path", "n_children"), rules, "contains")
+    nodes, rules = unrolled(nodes, rules)
     if rules.where("keyword = 'contains'").isEmpty():
-        return _violation(asked, "pointer", "106", F.col("text"))
-    own = rules.where("keyword = 'contains'").select(F.col("text").alias("own"), F.size(F.split("rule_path", "/")).alias("level"))
-    broken = _simple(nodes, rules.join(F.broadcast(own.select(F.col("own").alias("branch"))), "branch", "left_semi")).join(F.broadcast(own), F.col("branch") == F.col("own"))
-    parts = F.split("pointer", "/")
-    upto = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
-    others = broken.select("doc_id", F.col("own").alias("text"), upto(F.col("level")).alias("pointer"), upto(F.col("level") + 1).alias("member")).groupBy("doc_id", "text", "pointer").agg(F.count_distinct("member").alias("others"))
-    n = F.col("n_children") - F.coalesce("others", F.lit(0))
-    most = F.get("kinds", F.lit(0)).cast("double")
-    few, many = n < F.col("num"), F.coalesce(n > most, F.lit(False))
-    return _violation(asked.join(others, ["doc_id", "text", "pointer"], "left").where(few | many), "pointer", "106", F.when(few, "contains is not met").otherwise("maxContains is not met"))
+        return _counted(nodes, rules.where("branch is null"))
+    return _all(nodes, rules).where("branch is null and code = '106'")
 
 
 def _counted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -262,16 +364,19 @@ def _counted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     fits = (F.col("kind") == "array") == k.endswith("Items")
     bad = fits & F.when(k.startswith("min"), n < F.col("num")).otherwise(n > F.col("num"))
     counted = _violation(rows.where(bad), "pointer", "106", F.concat("keyword", F.lit(" is not met")))
-    arrays = _met(nodes.where("kind = 'array'"), rules, "uniqueItems").select("doc_id", F.col("pointer").alias("array"), F.col("seq").alias("array_seq"), "branch", (F.size(F.split("pointer", "/")) + 1).alias("level"))
     # The value of a member is all that lies below it.
-    below = nodes.select("doc_id", "pointer", "kind", "sval", "nval").join(arrays.select("doc_id", "array", "array_seq", "branch", "level"), "doc_id").where(F.startswith("pointer", F.concat("array", F.lit("/"))))
+    unique = rules.where("keyword = 'uniqueItems'").select(F.col("rule_path").alias("above"), "branch", F.size(F.split("rule_path", "/")).alias("level")).distinct()
+    if unique.isEmpty():
+        return counted
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("rule_path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("rule_path", "/"), F.lit(1), i), "/"))
+    below = nodes.where("depth > 0").select("doc_id", "pointer", "kind", "sval", "nval", F.explode(prefixes).alias("above")).join(F.broadcast(unique), "above")
     parts = F.split("pointer", "/")
-    member = F.array_join(F.slice(parts, F.lit(1), F.col("level")), "/")
-    inner = F.array_join(F.slice(parts, F.col("level") + 1, F.greatest(F.size(parts) - F.col("level"), F.lit(0))), "/")
+    inner = F.array_join(F.slice(parts, F.col("level") + 2, F.greatest(F.size(parts) - F.col("level") - 1, F.lit(0))), "/")
     value = F.struct(inner.alias("p"), F.when(F.col("kind") == "integer", "number").otherwise(F.col("kind")).alias("k"), F.coalesce(F.col("nval").cast("string"), "sval").alias("v"))
-    members = below.groupBy("doc_id", "array", "array_seq", "branch", member.alias("member")).agg(F.sort_array(F.collect_list(value)).alias("value"))
-    twice = members.groupBy("doc_id", "array", "array_seq", "branch", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("doc_id", "array", "branch").agg(F.min("array_seq").alias("seq"))
-    return counted.unionByName(_violation(twice, "array", "106", F.lit("members are equal")))
+    members = below.groupBy("doc_id", _upto(F.col("level")).alias("pointer"), "branch", _upto(F.col("level") + 1).alias("member")).agg(F.sort_array(F.collect_list(value)).alias("value"))
+    twice = members.groupBy("doc_id", "pointer", "branch", F.xxhash64("value"), F.sha2(F.col("value").cast("string"), 256)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "pointer", "branch").distinct()
+    equal = nodes.where("kind = 'array'").select("doc_id", "pointer", "seq").join(twice, ["doc_id", "pointer"])
+    return counted.unionByName(_violation(equal, "pointer", "106", F.lit("members are equal")))
 
 
 @_unrolling
@@ -292,32 +397,73 @@ def out_of_range(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return _violation(rows.where(bad), "pointer", "107", F.concat("keyword", F.lit(" is not met")))
 
 
+def _false(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    return _violation(_met(nodes, rules, "false"), "pointer", "108", F.lit("nothing is permitted here"))
+
+
 def _simple(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [op.__wrapped__(nodes, rules) for op in (required_missing, unknown_property, value_not_permitted, wrong_type, malformed_value, out_of_range)], _counted(nodes, rules))
+    """Violations that need no other rule's judgement, of all branches."""
+    ops = (required_missing, unknown_property, value_not_permitted, wrong_type, malformed_value, out_of_range)
+    return reduce(DataFrame.unionByName, [op.__wrapped__(nodes, rules) for op in ops], _counted(nodes, rules).unionByName(_false(nodes, rules)))
 
 
-@_unrolling
-def no_matching_alternative(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """oneOf without exactly one, anyOf without one, not with a branch that has no violation.
+def _judged(nodes: DataFrame, choices: DataFrame, found: DataFrame) -> DataFrame:
+    """Violations of the rules ``choices`` of one level, whose branches' violations are among ``found``.
 
-    A branch's violations lie at the node or below it.  Alternatives inside branches
-    count with their own branch only.
+    A branch's violations lie at the rule's node or below it; the first segments of their
+    pointers tell at which one, so everything meets by equal keys.
     """
-    places = _met(nodes.select("doc_id", "pointer", "seq", "rule_path", "depth"), rules.where("branch is null"), "oneOf", "anyOf", "not")
-    each = places.select("doc_id", "pointer", "seq", "keyword", "num", "depth", F.explode(F.transform(F.sequence(F.lit(0), F.col("num").cast("int") - 1), lambda i: F.concat("text", i.cast("string")))).alias("branch"))
-    inside = _simple(nodes, rules.where("branch is not null")).unionByName(_contained(nodes, rules).where("branch is not null"))
-    broken = inside.select("doc_id", "branch", F.split("pointer", "/").alias("parts")).distinct()
-    met = each.join(broken.withColumn("broken", F.lit(True)), ["doc_id", "branch"], "left")
-    here = F.col("broken") & (F.array_join(F.slice("parts", F.lit(1), F.col("depth") + 1), "/") == F.col("pointer"))
-    branches = met.groupBy("doc_id", "pointer", "seq", "keyword", "branch").agg(F.coalesce(F.max(here), F.lit(False)).alias("broken"))
-    held = branches.groupBy("doc_id", "pointer", "seq", "keyword").agg(F.count_if(~F.col("broken")).alias("held"))
-    bad = F.when(F.col("keyword") == "oneOf", F.col("held") != 1).when(F.col("keyword") == "anyOf", F.col("held") == 0).otherwise(F.col("held") > 0)
-    rows = held.where(bad).withColumn("branch", F.lit(None).cast("string"))
-    return _violation(rows, "pointer", "108", F.concat("keyword", F.lit(": branches that match: "), F.col("held").cast("string")))
+    kinds = {r["keyword"] for r in choices.select("keyword").distinct().collect()}
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.col("num").cast("int"), F.lit(1)) - 1), lambda i: i.cast("string"))
+    names = F.when(F.col("keyword") == "if", F.array(F.lit("if"), F.lit("then"), F.lit("else"))).when(F.col("keyword") == "contains", F.array(F.lit("0"))).otherwise(parts)
+    branches = choices.select("text", F.size(F.split("rule_path", "/")).alias("level"), F.col("branch").alias("_around"), F.explode(names).alias("part")).withColumn("branch", F.concat("text", "part")).distinct()
+    inside = found.join(F.broadcast(branches), "branch").withColumn("place", _upto(F.col("level")))
+    broken = inside.groupBy("doc_id", "text", "part", F.col("place").alias("pointer")).agg(F.count_distinct(_upto(F.col("level") + 1)).alias("members"))
+    places = _met(nodes.select("doc_id", "pointer", "seq", "kind", "n_children", "rule_path"), choices, *CHOICES)
+    out = []
+    if kinds & {"oneOf", "anyOf", "not", "propertyNames"}:
+        n = broken.groupBy("doc_id", "text", "pointer").agg(F.count(F.lit(1)).alias("broken"))
+        asked = places.where(F.col("keyword").isin("oneOf", "anyOf", "not") | ((F.col("keyword") == "propertyNames") & (F.col("kind") == "object")))
+        held = F.col("num").cast("int") - F.coalesce("broken", F.lit(0))
+        k = F.col("keyword")
+        bad = F.when(k == "oneOf", held != 1).when(k == "anyOf", held == 0).when(k == "not", held > 0).otherwise(held == 0)
+        message = F.when(k == "propertyNames", "a name is not permitted").otherwise(F.concat("keyword", F.lit(": branches that match: "), held.cast("string")))
+        out.append(_violation(asked.join(n, ["doc_id", "text", "pointer"], "left").where(bad), "pointer", F.when(k == "propertyNames", "102").otherwise("108"), message))
+    if "contains" in kinds:
+        asked = places.where("keyword = 'contains' and kind = 'array'").join(broken.select("doc_id", "text", "pointer", "members"), ["doc_id", "text", "pointer"], "left")
+        n = F.col("n_children") - F.coalesce("members", F.lit(0))
+        few, many = n < F.col("num"), F.coalesce(n > F.get("kinds", F.lit(0)).cast("double"), F.lit(False))
+        out.append(_violation(asked.where(few | many), "pointer", "106", F.when(few, "contains is not met").otherwise("maxContains is not met")))
+    if "if" in kinds:
+        unmet = broken.where("part = 'if'").select("doc_id", "text", F.col("pointer").alias("place")).withColumn("unmet", F.lit(True))
+        rows = inside.where("part in ('then', 'else')").join(unmet, ["doc_id", "text", "place"], "left")
+        rows = rows.where(F.coalesce("unmet", F.lit(False)) == (F.col("part") == "else")).withColumn("branch", F.col("_around"))
+        out.append(rows.select("doc_id", "pointer", "seq", "code", "message", "branch"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _all(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """All violations, those in branches too: the innermost alternatives are judged first."""
+    found = _simple(nodes, rules)
+    level = F.coalesce(F.split("branch", ":")[0].cast("int"), F.lit(0)).alias("level")
+    levels = sorted((r["level"] for r in rules.where(F.col("keyword").isin(list(CHOICES))).select(level).distinct().collect()), reverse=True)
+    for at in levels:
+        judged = _judged(nodes, rules.where(F.col("keyword").isin(list(CHOICES)) & (level == at)), found)
+        found = found.unionByName(judged)
+        if at:
+            found = cut(found)  # used twice on the next level
+    return found
+
+
+def no_matching_alternative(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """oneOf without exactly one, anyOf without one, not with a branch that has no violation, or a value where nothing is permitted."""
+    return _all(*unrolled(nodes, rules)).where("branch is null and code = '108'")
 
 
-@_unrolling
 def schema_findings(nodes: DataFrame, rules: DataFrame, standard: str) -> DataFrame:
-    """All schema violations of one standard's documents, as errors."""
-    found = _simple(nodes, rules.where("branch is null")).unionByName(_contained(nodes, rules).where("branch is null")).unionByName(no_matching_alternative.__wrapped__(nodes, rules))
-    return findings(found, spec_id=standard, severity="error", code=F.concat(F.lit(standard.upper()), "code"), message=F.col("message"), pointer=F.col("pointer"), seq=F.col("seq"))
+    """All schema violations of one standard's documents, as errors, and the keywords that are not checked."""
+    found = _all(*unrolled(nodes, rules)).where("branch is null")
+    # Fixed value: the older contracts count a name that is not permitted as malformed.
+    code = F.when((F.col("message") == "a name is not permitted") & F.lit(standard == "odcl"), "105").otherwise(F.col("code"))
+    errors = findings(found, spec_id=standard, severity="error", code=F.concat(F.lit(standard.upper()), code), message=F.col("message"), pointer=F.col("pointer"), seq=F.col("seq"))
+    return errors.unionByName(unsupported_keywords(rules, standard))
