@@ -340,6 +340,14 @@ def blocks(texts: list[str], most: int = 250_000) -> Iterator[tuple[int, list[st
         yield start, texts[start:]
 
 
+def text_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """The ids of each text."""
+    v = vocabulary(path)
+    for _, block in blocks(texts):
+        for coded, _ in v.encode(block):
+            yield np.frombuffer(b"".join(coded), np.int32)
+
+
 def coded_texts(texts: list[str], path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each text: ids, number of ids of each slice, start of each slice (code points)."""
     v = vocabulary(path)

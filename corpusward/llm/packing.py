@@ -27,8 +27,9 @@ def token_pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int, doc_i
     """Pieces of every document's ids (with ``end_id`` last), of at most ``max_tokens`` ids.
 
     Returns doc_id, start, length, ids_crc32 (of the ids as unsigned little-endian
-    32-bit numbers), doc_tokens.  A null or empty text has the end id alone; repeated
-    rows have pieces of their own; an empty table gives no rows.
+    32-bit numbers), doc_tokens; other columns are dropped.  A null or empty text has the
+    end id alone, a very long one as many pieces as it needs; repeated rows have pieces of
+    their own; null ids stay null; an empty table gives no rows.
     """
 
     def task(batches):
@@ -36,7 +37,7 @@ def token_pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int, doc_i
             names = batch.column(0)
             for first, block in bytepairs.blocks(batch.column(1).to_pylist()):
                 rows = []
-                for i, (ids, _, _) in enumerate(bytepairs.coded_texts(block, path)):
+                for i, ids in enumerate(bytepairs.text_ids(block, path)):
                     ids = np.append(ids, end_id).astype("<u4")
                     rows += [(first + i, s, min(max_tokens, len(ids) - s), zlib.crc32(ids[s : s + max_tokens]), len(ids)) for s in range(0, len(ids), max_tokens)]
                 at, *rest = zip(*rows, strict=True)
@@ -46,18 +47,22 @@ def token_pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int, doc_i
     return rows.mapInArrow(task, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[list[int], int]]:
-    """Packing patterns (lengths, longest first) and how many sequences follow each.
+def patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Packing patterns and how many sequences follow each; a pattern is runs of (length, times), longest first.
 
-    Lengths are taken longest first; each joins the shortest open packs that have room
-    for it, all copies at once, and opens new packs when none has.  There are at most a
-    few patterns for each distinct length, whatever the counts.
+    Lengths are taken longest first.  A piece joins the shortest open pack if that has
+    room for it, and opens a new pack else; so all copies of a pattern take pieces of a
+    length together, one after the other for as long as they are the shortest, and new
+    packs are filled with the length that opens them.  There are a few patterns for each
+    distinct length, whatever the counts.
     """
     room: list[int] = []  # distinct amounts of room, ascending
-    packs: dict[int, list[tuple[list[int], int]]] = {}
-    done: list[tuple[list[int], int]] = []
+    packs: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
+    done: list[tuple[list[tuple[int, int]], int]] = []
 
-    def put(left: int, pattern: list[int], n: int) -> None:
+    def put(left: int, pattern: list[tuple[int, int]], n: int) -> None:
+        if not n:
+            return
         if not left:
             done.append((pattern, n))
             return
@@ -70,33 +75,37 @@ def patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[list[int]
         n = histogram[length]
         while n:
             if not room or room[-1] < length:
-                put(max_tokens - length, [length], n)
+                each = max_tokens // length
+                full, rest = divmod(n, each)
+                put(max_tokens - each * length, [(length, each)], full)
+                put(max_tokens - rest * length, [(length, rest)], 1 if rest else 0)
                 break
             left = room[-1]
             pattern, copies = packs[left].pop()
             if not packs[left]:
                 del packs[left]
                 room.pop()
-            taken = min(n, copies)
-            if copies > taken:
-                put(left, pattern, copies - taken)
-            put(left - length, [*pattern, length], taken)
-            n -= taken
+            # So many pieces a pack takes until another one is shorter.
+            each = min(left // length, max(1, -(-(left - (room[-1] if room else 0)) // length)))
+            full, rest = min(copies, n // each), 0
+            if full < copies:
+                rest = n - full * each
+            put(left, pattern, copies - full - (1 if rest else 0))
+            put(left - each * length, [*pattern, (length, each)], full)
+            put(left - rest * length, [*pattern, (length, rest)], 1 if rest else 0)
+            n -= full * each + rest
     return done + [p for left in room for p in packs[left]]
 
 
-def ranked(pieces: DataFrame, by: str = "length") -> DataFrame:
-    """``pieces`` with ``_rank``, from 0 within each value of ``by``, in the order of all columns.
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with _part and _local: their partition, and their number within it among those of their length, in the order of all columns.
 
-    Rows are dealt by range, so that a very common length is spread over partitions;
-    each partition numbers its own rows and the numbers of earlier partitions are
-    added from one row for each partition and length.
+    Rows are dealt by range, so that a very common length is spread over partitions.
     """
-    names = pieces.columns
-    order = [by, *(c for c in names if c != by)]
+    order = ["length", *(c for c in pieces.columns if c != "length")]
+    at = pieces.columns.index("length")
     # Dealing by range reads its input twice, the first time for a sample of the keys.
     rows = cut(pieces).repartitionByRange(*order).sortWithinPartitions(*order)
-    at = names.index(by)
 
     def number(batches):
         part, counts = TaskContext.get().partitionId(), {}
@@ -111,35 +120,50 @@ def ranked(pieces: DataFrame, by: str = "length") -> DataFrame:
                 counts[key[i]] = seen + int(j - i)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(key), part, np.int32)), pa.array(local)], [*batch.schema.names, "_part", "_local"])
 
-    numbered = cut(rows.mapInArrow(number, T.StructType([*pieces.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])))
-    sizes = numbered.groupBy(by, "_part").agg((F.max("_local") + 1).alias("n")).collect()  # partitions + lengths rows: the ranges share at most their ends
-    base, total = [], {}
-    for r in sorted(sizes, key=lambda r: (r[by], r["_part"])):
-        base.append((r[by], r["_part"], total.get(r[by], 0)))
-        total[r[by]] = total.get(r[by], 0) + r["n"]
-    offsets = pieces.sparkSession.createDataFrame(base, f"{by} long, _part int, _base long")
-    return numbered.join(F.broadcast(offsets), [by, "_part"]).select(*names, (F.col("_base") + F.col("_local")).alias("_rank"))
+    return cut(rows.mapInArrow(number, T.StructType([*pieces.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])))
 
 
 def pack(pieces: DataFrame, max_tokens: int) -> DataFrame:
     """``pieces`` (with a long ``length`` from 1 to ``max_tokens``) plus sequence_id and offset.
 
     Every piece has one place; places in a sequence follow each other without a gap
-    from offset 0.
+    from offset 0.  A piece's rank among those of its length is its number in its
+    partition and the numbers of earlier partitions; the runs of patterns that hold the
+    length are found by rank with a binary search.
     """
-    spark = pieces.sparkSession
-    rows = ranked(pieces)
-    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_tokens rows at most
-    slots, first, used = [], 0, {}
+    numbered = _numbered(pieces)
+    # A row for each partition and length: partitions hold ranges, so they share lengths at their ends only.
+    sizes = numbered.groupBy("length", "_part").agg((F.max("_local") + 1).alias("n")).toPandas().sort_values(["length", "_part"])
+    histogram = {int(k): int(n) for k, n in sizes.groupby("length").n.sum().items()}  # max_tokens entries at most
+    base = (sizes.groupby("length").n.cumsum() - sizes.n).to_numpy(np.int64)
+    parts = (sizes.length.to_numpy(np.int64) << 32) + sizes._part.to_numpy(np.int64)
+    runs, first, used = [], 0, {}
     for pattern, n in patterns(histogram, max_tokens):
         offset = 0
-        for length in pattern:
+        for length, times in pattern:
             low = used.get(length, 0)
-            slots.append((length, low, low + n, first, offset))
-            used[length] = low + n
-            offset += length
+            runs.append((length, low, times, first, offset))
+            used[length] = low + n * times
+            offset += length * times
         first += n
-    # A few patterns for each of max_tokens lengths, of at most max_tokens places.
-    places = spark.createDataFrame(slots, "length long, low long, high long, first long, offset long")
-    met = rows.join(F.broadcast(places), (rows["length"] == places["length"]) & (rows["_rank"] >= places["low"]) & (rows["_rank"] < places["high"]))
-    return met.select(*(rows[c] for c in pieces.columns), (places["first"] + rows["_rank"] - places["low"]).alias("sequence_id"), places["offset"])
+    # A few runs for each of max_tokens lengths.
+    runs = np.array(sorted(runs), np.int64).reshape(-1, 5)
+    starts = np.searchsorted(runs[:, 0], np.arange(max_tokens + 2))
+    shared = pieces.sparkSession.sparkContext.broadcast((parts, base, runs, starts))
+    names, schema = pieces.columns, pieces.schema
+
+    def place(batches):
+        parts, base, runs, starts = shared.value
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            length, part, local = column("length"), column("_part"), column("_local")
+            rank = base[np.searchsorted(parts, (length << 32) + part)] + local
+            at = np.empty(len(rank), np.int64)
+            for k in np.unique(length):  # ranges hold few lengths, but for the first ones
+                own = length == k
+                at[own] = starts[k] - 1 + np.searchsorted(runs[starts[k] : starts[k + 1], 1], rank[own], "right")
+            _, low, times, first, offset = runs[at].T
+            inside = rank - low
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(first + inside // times), pa.array(offset + inside % times * length)], [*names, "sequence_id", "offset"])
+
+    return numbered.mapInArrow(place, T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))

@@ -2,12 +2,14 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpusward.llm import bytepairs, chat, licenses, maxent, neardup, packing, quality, substrings, topk, urlfilter
 
@@ -262,36 +264,62 @@ def test_quality_counts_and_host_verdicts(spark):
 # ---------------------------------------------------------------- packing
 
 
-def test_patterns_place_every_length_once():
-    rng = np.random.default_rng(4)
-    histogram = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 65), 40, False), rng.integers(1, 10**9, 40), strict=True)}
-    patterns = packing.patterns(histogram, 64)
+@pytest.mark.parametrize(
+    ("histogram", "sequences"),
+    [
+        ({100: 1000}, 50),  # twenty in each
+        ({600: 3000}, 1000),
+        ({1000: 1, 10: 1000}, 6),
+        ({1: 1_000_000}, 489),
+        ({2048: 5, 3: 1}, 6),
+        ({1500: 10, 548: 10}, 10),
+        ({900: 4, 500: 2, 300: 4}, 4),
+        ({n: 2048 // n for n in range(1, 2049)}, None),
+        ({}, 0),
+    ],
+)
+def test_patterns_place_every_length_once_with_little_padding(histogram, sequences):
+    found = packing.patterns(histogram, 2048)
     placed = {}
-    for pattern, n in patterns:
-        assert sum(pattern) <= 64
-        for k in pattern:
-            placed[k] = placed.get(k, 0) + n
+    for pattern, n in found:
+        assert n > 0 and 0 < sum(length * times for length, times in pattern) <= 2048
+        assert [length for length, _ in pattern] == sorted((length for length, _ in pattern), reverse=True)
+        for length, times in pattern:
+            placed[length] = placed.get(length, 0) + n * times
     assert placed == histogram
-    assert len(patterns) < 1000
+    total = sum(n for _, n in found)
+    assert total == sequences if sequences is not None else total * 2048 < 1.02 * sum(k * n for k, n in histogram.items())
 
 
-def test_pack_gives_each_piece_one_gapless_place(spark):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(i, "word " * (7 * i % 90), "s") for i in range(80)] + [(1, None, "s"), (2, "", "s")]
-    out = packing.pack(packing.token_pieces(docs(spark, rows), path, 32, 1), 32).collect()
+def _one_place_each(out, max_tokens):
+    """The places of packed pieces follow each other from 0 in numbered sequences."""
     seen = {}
     for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == seen.get(r.sequence_id, 0)
         seen[r.sequence_id] = r.offset + r.length
-    assert max(seen.values()) <= 32 and sorted(seen) == list(range(len(seen)))
-    v = bytepairs.vocabulary(path)
-    by = {i: [*np.frombuffer(b"".join(next(v.encode([t]))[0]), np.int32).tolist(), 1] for i, t, _ in rows if i > 2}
-    for r in out:
-        if r.doc_id in by:
-            ids = by[r.doc_id]
-            assert r.doc_tokens == len(ids)
-            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
-    assert packing.pack(packing.token_pieces(docs(spark, []), path, 32, 1), 32).count() == 0
+    assert max(seen.values()) <= max_tokens and sorted(seen) == list(range(len(seen)))
+    return len(seen)
+
+
+def test_pieces_hold_the_ids_of_the_library(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(i, t, "s") for i, t in enumerate([*HARD, "long text " * 20_000])] + [(1000 + i, "word " * (7 * i % 90), "s") for i in range(80)] + [(None, "no id", "s"), (5, None, "s")]
+    out = packing.pack(packing.token_pieces(docs(spark, rows), path, 32, 1), 32).collect()
+    _one_place_each(out, 32)
+    want = Counter()
+    for doc_id, text, _ in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
+        want.update((doc_id, i, len(ids[i : i + 32]), zlib.crc32(np.array(ids[i : i + 32], "<u4").tobytes()), len(ids)) for i in range(0, len(ids), 32))
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out) == want
+
+
+def test_equal_pieces_are_packed_together(spark):
+    rows = spark.range(5000, numPartitions=7).selectExpr("id as doc_id", "case when id % 5 = 0 then 600L else 7L end as length", "0L as sequence", "'x' as first")
+    out = packing.pack(rows, 2048)
+    assert out.columns == ["doc_id", "length", "sequence", "first", "sequence_id", "offset"]
+    assert _one_place_each(out.collect(), 2048) == 334 and out.select("doc_id").distinct().count() == 5000
+    assert packing.pack(rows.limit(0), 2048).count() == 0
 
 
 # ---------------------------------------------------------------- chat
