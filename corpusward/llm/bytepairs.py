@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import sys
 import unicodedata
 from array import array
@@ -340,12 +341,31 @@ def blocks(texts: list[str], most: int = 250_000) -> Iterator[tuple[int, list[st
         yield start, texts[start:]
 
 
+@cache
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """Tokens that a saved model reads whole wherever a text spells them, leftmost and longest first, and their ids."""
+    import json
+
+    if not path.endswith(".json"):
+        return None, {}
+    with open(path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+    return re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None, added
+
+
 def text_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """The ids of each text."""
+    """The ids of each text; the added tokens of a saved model stand for themselves, and what lies between them is coded apart."""
     v = vocabulary(path)
+    pattern, added = added_tokens(path)
     for _, block in blocks(texts):
-        for coded, _ in v.encode(block):
-            yield np.frombuffer(b"".join(coded), np.int32)
+        split = {i: pattern.split(t) for i, t in enumerate(block) if any(a in t for a in added)}
+        plain = [t if i not in split else "" for i, t in enumerate(block)]
+        for i, (coded, _) in enumerate(v.encode(plain)):
+            if i in split:
+                parts = [np.array([added[t]], np.int32) if k % 2 else np.frombuffer(b"".join(next(v.encode([t]))[0]), np.int32) for k, t in enumerate(split[i])]
+                yield np.concatenate(parts)
+            else:
+                yield np.frombuffer(b"".join(coded), np.int32)
 
 
 def coded_texts(texts: list[str], path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -304,7 +304,7 @@ def _one_place_each(out, max_tokens):
 def test_pieces_hold_the_ids_of_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    rows = [(i, t, "s") for i, t in enumerate([*HARD, "long text " * 20_000])] + [(1000 + i, "word " * (7 * i % 90), "s") for i in range(80)] + [(None, "no id", "s"), (5, None, "s")]
+    rows = [(i, t, "s") for i, t in enumerate([*HARD, "long text " * 20_000, "a  <|endoftext|><|endoftext|> b<|endoftext", "<|endoftext|>"])] + [(1000 + i, "word " * (7 * i % 90), "s") for i in range(80)] + [(None, "no id", "s"), (5, None, "s")]
     out = packing.pack(packing.token_pieces(docs(spark, rows), path, 32, 1), 32).collect()
     _one_place_each(out, 32)
     want = Counter()
