@@ -1,6 +1,9 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import math
+import re
+import string
 import zlib
 from collections import Counter
 
@@ -94,11 +97,46 @@ def test_lm_one_step_distribution_sums_to_one(spark):
 
 def test_lm_without_sent_counts(spark, monkeypatch):
     """Words whose counts are joined are scored as those whose counts are sent."""
-    rows = [(i, " ".join(f"w{(i * j) % 9}" for j in range(1, 8)), "s") for i in range(30)]
-    score = lambda: {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in maxent.score_texts(docs(spark, rows), F.col("doc_id") % 5 == 1).collect()}
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.2, 500) % 20_000), "s") for i in range(40)]
+    score = lambda: {r.doc_id: tuple(round(float(x), 6) for x in r) for r in maxent.score_texts(docs(spark, rows), F.col("doc_id") % 5 == 1).collect()}
     sent = score()
     monkeypatch.setattr(maxent, "SENT", 0)
     assert score() == sent
+    monkeypatch.setattr(maxent, "SENT", 2000)
+    assert score() == sent
+
+
+def test_lm_base_equals_brute_force(spark):
+    rows = [(i, "Some words  are\x0bmore common. " + "The word " * (i % 7) + f"own{i} É\u00a0x {'y' * i}", "s") for i in range(50)]
+    rows += [(50, None, "s"), (51, "", "s"), (52, " \n\t", "s"), (7, rows[7][1], "s"), (None, "no id at all", "s"), (53, "long text of words " * 30_000, "s"), (54, "a" * 100_000, "s")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    tokens = {t: [*(w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c in string.ascii_uppercase else c for c in t or "")) if w), None] for _, t, _ in rows}
+    counts = Counter(w for i, t, _ in rows if not held(i) for w in tokens[t])
+    total, types = sum(counts.values()), len(counts)
+    want = Counter((i, held(i), len(tokens[t]), sum(counts[w] > 0 for w in tokens[t]), total, round(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (types + 1))) for w in tokens[t]), 4)) for i, t, _ in rows)
+    out = maxent.score_texts(docs(spark, rows), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in out) == want
+    assert all(math.isfinite(r.score) and r.score < 0 for r in out)
+
+
+def test_lm_remembers_what_follows_contexts(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "MEMORY", 1)
+    same = "the quick brown fox jumps over the lazy dog and runs home"
+    rows = [(1, same, "s"), (2, same, "s"), (3, "nothing of this stands anywhere else at all", "s"), (4, same, "s"), (5, "one two", "s"), (6, "nothing of this", "s")]
+    out = {r.doc_id: r for r in maxent.score_texts(docs(spark, rows), F.col("doc_id") >= 4).collect()}
+    assert [(out[i].n_contexts, out[i].n_again) for i in range(1, 7)] == [(10, 10), (10, 10), (6, 0), (10, 10), (0, 0), (1, 0)]
+    assert out[4].score > out[4].base_score and out[4].score / 13 > out[3].score / 9
+
+
+def test_lm_memory_keeps_a_distribution(spark):
+    """Over all words, the probabilities after a context add up to one."""
+    p = np.array([0.5, 0.25, 0.125])  # of three output words; the rest is other words'
+    counted = [(0, 1, 0, 0.5)] * 3 + [(0, 1, 1, 0.25)] * 2
+    asked = [(10 + w, -1, w, float(p[w])) for w in range(3)] + [(13, -1, -1, 0.01)]
+    rows = spark.createDataFrame([(row, batch, [(77, word, 1, q)]) for row, batch, word, q in counted + asked], f"row long, batch int, memory {maxent._MEMORY}")
+    got = {r.row: r.memory_score for r in maxent._remembered(rows).collect()}
+    assert sum(p[w] * 10 ** got[10 + w] for w in range(3)) + 0.125 * 10 ** got[13] == pytest.approx(1)
 
 
 def test_lm_tables_do_not_depend_on_partitions(spark):
