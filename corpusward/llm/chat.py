@@ -247,13 +247,29 @@ _BINARY: dict[str, Callable] = {
 Piece = tuple[str, bool]
 
 
+def _named(scope: dict, name: str):
+    if name not in scope:
+        raise TemplateError(f"unknown name {name}")
+    return scope[name]
+
+
+def _loops(tree: tuple) -> int:
+    """How many loops can run, one after the other or in each other."""
+    kind = tree[0]
+    if kind == "block":
+        return sum(map(_loops, tree[1]))
+    if kind == "if":
+        return max(_loops(tree[2]), _loops(tree[3]))
+    return 1 + _loops(tree[2]) if kind == "for" else _loops(tree[1]) if kind == "generation" else 0
+
+
 def _value(tree: tuple) -> Callable[[dict], object]:
     """A closure that computes an expression in a scope (a dict of dotted names)."""
     kind = tree[0]
     if kind == "const":
         return lambda scope, v=tree[1]: v
     if kind == "name":
-        return lambda scope, n=tree[1]: scope.get(n)
+        return lambda scope, n=tree[1]: _named(scope, n)
     if kind == "filter":
         return lambda scope, f=FILTERS[tree[1]], x=_value(tree[2]): f(_text(x(scope)))
     if kind == "not":
@@ -294,9 +310,14 @@ def compile_template(template: str) -> Callable[[Iterable[dict]], Iterator[Piece
     """A renderer: messages (dicts with role and text) in, (text, under the loss mask) pieces out.
 
     Messages are taken one by one and pieces are yielded as they are made, so that a
-    conversation of any length needs the memory of one message.
+    conversation of any length needs the memory of one message.  Messages pass once: a
+    template in which two loops can run is refused with TemplateError, as is a name that a
+    message does not have when it is rendered.
     """
-    run = _closure(fold(parse(template)))
+    tree = fold(parse(template))
+    if _loops(tree) > 1:
+        raise TemplateError("messages pass once: one loop only")
+    run = _closure(tree)
     return lambda messages: run({}, iter(messages))
 
 

@@ -21,6 +21,8 @@ from corpusward.functions.lineage import cut
 BINS = 256
 #: Numbers in one broadcast block of queries (8 bytes each: 8 MB); a block has at least one query.
 BLOCK_NUMBERS = 1_000_000
+#: Queries in a block at most: the driver sees BINS numbers for each in a pass.
+BLOCK_QUERIES = 4096
 #: Scores that a task holds at once (8 bytes each).
 TILE = 2_000_000
 
@@ -28,8 +30,9 @@ TILE = 2_000_000
 def integer_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """vec_id and the vector as longs floor(scale * x).
 
-    Null vectors, and vectors with a null or non-finite component, are left out, as
-    are components that a long cannot hold.
+    Null vectors, and vectors with a null or non-finite component, are left out, as are
+    those with a component that a long cannot hold and rows without an id.  Scores are
+    longs: inner products beyond 2**63 do not fit and wrap.
     """
     x = F.col(vector).cast("array<double>")
     kept = df.where(x.isNotNull() & F.col(vec_id).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(2.0**62 / scale))))
@@ -147,8 +150,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_numbers: int
     candidates of their own; a repeated query (same id and vector) is asked once.
     Vectors meet only queries of their own dimension.  Empty inputs give no rows.
 
-    Queries are taken in blocks, split by hash until a block fits ``block_numbers``;
-    the driver sees one block and four numbers for each of its queries at a time.
+    Queries are dealt by hash into blocks of about ``block_numbers`` numbers and
+    BLOCK_QUERIES queries; the driver sees one block, and at most BINS counts for each of
+    its queries, at a time, as columns.
     """
     spark = vectors.sparkSession
     queries = cut(queries.distinct())
@@ -156,7 +160,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_numbers: int
     schema = "query_id long, rank int, vec_id long, score long"
     if not numbers[0]:
         return spark.createDataFrame([], schema)
-    blocks = -(-numbers[1] // block_numbers)
+    blocks = max(-(-numbers[1] // block_numbers), -(-numbers[0] // BLOCK_QUERIES))
     done = []
     for i in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == i).collect()
@@ -173,16 +177,17 @@ def _block_top(vectors: DataFrame, rows: list, k: int) -> DataFrame:
     # At most one block of queries, whose size the caller has bounded.
     block = spark.sparkContext.broadcast(_Block(rows))
     low, high, n = (np.zeros(len(rows), np.int64) for _ in range(3))
-    for q, a, b, c in _bounds(vectors, block).collect():
-        low[q], high[q], n[q] = a, b, c
+    q, *bounds = (c.to_numpy() for c in _bounds(vectors, block).toArrow().columns)
+    low[q], high[q], n[q] = bounds
     need = np.minimum(k, n)  # the rank, from above, of the value that is sought within [low, high]
     open_ = (n > 0) & (low < high)
     while open_.any():
         # Python integers: the span of two longs may not fit one.
         width = np.array([max(1, -(-(int(h) - int(lo) + 1) // BINS)) for lo, h in zip(low, high, strict=True)], np.int64)
         seen = np.zeros((len(rows), BINS + 2), np.int64)
-        for q, b, c in _histograms(vectors, block, low, high, width).where(F.col("bin").between(1, BINS)).collect():  # BINS rows a query of one block
-            seen[q, b] = c
+        # BINS rows for each query of one block at most.
+        q, b, c = (x.to_numpy() for x in _histograms(vectors, block, low, high, width).where(F.col("bin").between(1, BINS)).toArrow().columns)
+        seen[q, b] = c
         for q in np.flatnonzero(open_):
             above = np.cumsum(seen[q, ::-1])[::-1]  # scores in this bin or a higher one
             b = int(np.flatnonzero(above >= need[q]).max())

@@ -71,9 +71,15 @@ def resolve(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def url_verdicts(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule (null if none fits), verdict.
 
-    Null URLs and URLs without ``://`` have an empty host and path.  Only the id and
-    the URL are read.  Distinct addresses are resolved once; a very common address is
-    one row there, and Spark splits its partition in the join back.
+    Null URLs and URLs without ``://`` have an empty host and path; null ids stay null,
+    repeated rows are judged each, very long URLs whole.  Only the id and the URL are
+    read.  Distinct addresses are resolved once; a very common address is one row there,
+    and Spark splits its partition in the join back.  Rows without an address, however
+    many, are not shuffled: they meet the one resolved row of the empty address.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    return rows.join(resolve(rows, rules), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    empty = (F.col("host") == "") & (F.col("path") == "")
+    addressed = rows.where(~empty)
+    bare = rows.where(empty).join(F.broadcast(resolve(rows.where(empty).limit(1), rules)), ["host", "path"], "left")
+    out = addressed.join(resolve(addressed, rules), ["host", "path"], "left").unionByName(bare)
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -367,9 +367,12 @@ def test_template_language():
     run = chat.compile_template("{% if 'a' == 'a' %}x{{ 1 + 2 }}{% else %}{{ m.no }}{% endif %}{% for m in messages %}{% if not loop.first and m.role != 'b' %}-{% elif m.role == 'b' %}+{% endif %}{% generation %}{{ m.text | upper }}{% endgeneration %}{% endfor %}")
     assert list(run([{"role": "a", "text": "t"}, {"role": "b", "text": "u"}])) == [("x3", False), ("T", True), ("+", False), ("U", True)]
     assert chat.fold(chat.parse("{% if false %}a{% endif %}b{{ 'c' | upper }}")) == ("block", [("emit", ("const", "bC"))])
-    for bad in ("{% for m in range %}{% endfor %}", "{{ x | open }}", "{% if x %}", "{{ ''.__class__() }}", "{% include 'x' %}"):
+    for bad in ("{% for m in range %}{% endfor %}", "{{ x | open }}", "{% if x %}", "{{ ''.__class__() }}", "{% include 'x' %}", "{% for m in messages %}{% for n in messages %}{% endfor %}{% endfor %}", "{% for m in messages %}{% endfor %}{% for m in messages %}{% endfor %}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)
+    for unknown in ("{{ x }}", "{% for m in messages %}{{ m.name }}{% endfor %}"):
+        with pytest.raises(chat.TemplateError):
+            list(chat.compile_template(unknown)([{"role": "a", "text": "t"}]))
 
 
 @pytest.mark.parametrize("text", ["", "\\", "<\\/s>", "</s>[INST] ok [/INST]", "<", "[INST", "</s", "a\\\\b[ROLE]", "\n \n"])
@@ -434,3 +437,56 @@ def test_repeats_edges(spark):
     clean = {(r.doc_id, r.text) for r in substrings.without_repeats(docs(spark, rows)).collect()}
     assert (2, "b") in clean and (3, " keep  space\n") in clean and (2, "short") in clean
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- very long texts, links near the threshold
+
+
+def test_very_long_texts_are_whole(spark):
+    rng = np.random.default_rng(9)
+    long = [f"w{k}" for k in rng.integers(0, 5000, 120_000)]
+    passage = [f"p{i}" for i in range(55)]
+    tail = "mit license"
+    rows = [(1, " ".join([*long, *passage, tail]), "s"), (2, " ".join([*long, *passage, tail, "more"]), "s"), (3, " ".join(passage), "s"), (4, "a " * 200_000, "s"), (5, "x" * 1_000_000, "s")]
+    base = {r.doc_id: r for r in licenses.license_report(docs(spark, rows)).collect()}
+    assert (base[1].n_words, base[1].n_base, base[1].first_word, base[1].base_labels) == (120_057, 1, 120_055, "mit") and base[4].n_base == 0
+    near = {r.doc_id: r for r in neardup.near_duplicates(docs(spark, rows), size=3, percent=85).collect()}
+    assert [near[i].component_id for i in range(1, 6)] == [1, 1, 3, 4, 5] and near[5].n_shingles == 1 and near[4].n_shingles == 1
+    measured = {r.doc_id: r for r in quality.quality_report(docs(spark, rows)).collect()}
+    assert measured[1].n_words == 120_057 and measured[5].word_chars == 1_000_000 and measured[4].n_repeat_words == 200_000
+    removed = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs(spark, rows)).collect()}
+    assert removed == {1: 0, 2: 120_057, 3: 55, 4: 0, 5: 0}
+
+
+def test_links_near_the_threshold_are_found(spark):
+    """Pairs whose likeness is from 0.80 to 0.90: every one of at least 0.85 is linked and no other."""
+    rng = np.random.default_rng(12)
+    rows, linked = [], {}
+    for i in range(400):
+        n = int(rng.integers(60, 400))
+        words = [f"v{k}" for k in rng.integers(0, 100_000, n)]
+        twin = list(words)
+        for at in rng.choice(n, max(1, int(n * rng.uniform(0.02, 0.04))), replace=False):
+            twin[at] = f"u{i}-{at}"
+        a, b = ({tuple(w[j : j + 3]) for j in range(n - 2)} for w in (words, twin))
+        rows += [(2 * i, " ".join(words), "s"), (2 * i + 1, " ".join(twin), "s")]
+        linked[2 * i + 1] = 2 * i if 100 * len(a & b) >= 85 * len(a | b) else 2 * i + 1
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), size=3, percent=85).collect()}
+    assert {i: got[i] for i in linked} == linked and 50 < sum(v % 2 == 0 for v in linked.values()) < 350
+
+
+def test_urls_without_an_address_and_null_ids(spark):
+    pages = spark.createDataFrame([(i, "no address" if i % 2 else None) for i in range(50)] + [(None, "http://a.com/en/x"), (60, "http://" + "a." * 5000 + "com/en/"), (61, "://")], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("", "", "allow")], "host string, path string, verdict string")
+    out = urlfilter.url_verdicts(pages, rules, default="block").collect()
+    assert len(out) == 53 and {(r.rule, r.verdict) for r in out if r.host == ""} == {("", "allow")}
+    assert {(r.page_id, r.rule) for r in out if r.host != ""} == {(None, "com/en/"), (60, "com/en/")}
+    assert {r.verdict for r in urlfilter.url_verdicts(pages, rules.where("host <> ''"), default="block").collect()} == {"block"}
+
+
+def test_top_k_without_an_id_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    rows = spark.createDataFrame([(i if i else None, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    v = topk.integer_vectors(rows)
+    out = topk.top_k(v, v, 2).where("rank = 1").collect()
+    assert len(out) == 19 and {r.vec_id for r in out if r.query_id < 19} == {19}
