@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusward.functions.groups import MOST_NAMES, others_named, sharing, smallest_of
-from corpusward.functions.lineage import cut
+from corpusward.functions.lineage import cut, stored
 from corpusward.functions.severity import findings
 from corpusward.functions.text import bundle_relative, concept_id, link_targets
 from corpusward.operators.report import merge_reports
@@ -216,12 +216,12 @@ def _smallest_before(edges: DataFrame, name: str) -> DataFrame:
     Labels also take over the label of their label, which lies before them too, so long
     ways take few rounds.
     """
-    labels = cut(edges.select("bundle", F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("label", F.col("v")))
+    labels = stored(edges.select("bundle", F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("label", F.col("v")))
     while True:
         along = edges.select("bundle", F.col("a").alias("v"), F.col("b").alias("to")).join(labels, ["bundle", "v"]).select("bundle", F.col("to").alias("v"), "label", F.lit(None).cast("string").alias("own"))
         jumped = labels.select("bundle", F.col("label").alias("via"), "v").join(labels.select("bundle", F.col("v").alias("via"), "label"), ["bundle", "via"]).select("bundle", "v", "label", F.lit(None).cast("string").alias("own"))
         new = labels.withColumn("own", F.col("label")).unionByName(along).unionByName(jumped).groupBy("bundle", "v").agg(F.min("label").alias("label"), F.min("own").alias("own"))
-        new = cut(new)
+        new = stored(new)  # a checkpoint would carry the rounds' constraints along, which grow
         labels = new.drop("own")
         if new.where("label < own").isEmpty():
             return labels.withColumnRenamed("label", name)

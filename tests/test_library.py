@@ -1,6 +1,7 @@
 """Operators on hand-written documents, each with a clean control."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from corpusward.schemas import FINDINGS
 from corpusward.sources import documents
 from corpusward.sources.bundles import read_bundles
 from corpusward.sources.findings import write_findings
+from corpusward.sources.registries import read_registries
 
 
 def nodes_of(spark, texts: dict):
@@ -357,3 +359,42 @@ def test_constraints_and_relationships_with_nulls(spark):
     assert r.orphans == 2 and r.sample == "{1}"
     with pytest.raises(ValueError):
         execution.check_relationships({"a": df, "b": other}, [{"from": ["a.k", "a.v"], "to": "b.k"}])
+
+
+# ---------------------------------------------------------------- groups of any size
+
+
+def test_rings_equal_brute_force(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(100 + i, 100 + (i + 1) % 30) for i in range(30)] + [(5, 100), (100, 200), (200, 201), (201, 202), (202, 201), (300, 300)]
+    name = "n{:03d}".format
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for start in {v for e in edges for v in e}:
+        todo, seen = list(after.get(start, ())), set()
+        while todo:
+            if (v := todo.pop()) not in seen:
+                seen.add(v)
+                todo += after.get(v, ())
+        reach[start] = seen
+    want = {(name(v), name(min(u for u in reach[v] if v in reach[u]))) for v in reach if v in reach[v]}
+    rows = spark.createDataFrame([("b", name(a), name(b)) for a, b in edges], "bundle string, a string, b string")
+    assert {(r.v, r.ring) for r in bundles.derivation_rings(rows).collect()} == want
+    assert bundles.derivation_rings(rows.limit(0)).count() == 0
+
+
+def test_messages_name_a_few_of_many(spark):
+    contracts = spark.createDataFrame([(f"d{i:03d}", "same") for i in range(200)] + [("x", "pair"), ("y", "pair"), ("z", None)], "doc_id string, contract_id string")
+    found = {r.doc_id: r.message for r in references.contract_id_collisions(contracts, 3).collect()}
+    assert len(found) == 202 and found["x"] == "id pair is also declared by y"
+    assert found["d001"] == "id same is also declared by d000, d002, d003 and 196 more" and found["d150"] == "id same is also declared by d000, d001, d002 and 196 more"
+
+
+def test_registries(spark):
+    entry = '[[spec]]\nid = "a"\nname = "n"\nvendored_path = "p"\nsha256 = "s"\nfetched_at = "d"\n'
+    texts = {"ok": f"schema_version = 1\n{entry}poll = {{endpoint = 'e'}}\n{entry}", "none": "schema_version = 1", "old": "schema_version = 2\n" + entry, "more": "schema_version = 1\n" + entry + "x = 1", "less": 'schema_version = 1\n[[spec]]\nid = "a"', "kind": "schema_version = 1\n" + entry.replace('"a"', "1"), "toml": "schema_version = 1\na =\n", "null": None}
+    entries, found = read_registries(spark.createDataFrame(list(texts.items()), "doc_id string, text string"))
+    assert [(r.doc_id, r.idx, r.poll is None) for r in entries.orderBy("idx").collect()] == [("ok", 0, False), ("ok", 1, True)]
+    assert {(r.doc_id, r.code, r.line) for r in found.collect()} == {("old", "REG102", None), ("more", "REG101", None), ("less", "REG101", None), ("kind", "REG101", None), ("toml", "REG101", 2), ("null", "REG100", None)}
