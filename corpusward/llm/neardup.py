@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from corpusward.functions.lineage import cut
 from corpusward.llm import words as W
 from corpusward.llm.graph import components
+from corpusward.llm.skew import few, join_hot
 
 SYMBOLS, CHUNK, INDEXED = 64, 4, 32
 #: Documents, and shingles, of one centre in a tile; a task compares two tiles with each other.
 TILE, TILE_SHINGLES = 512, 1_000_000
-#: Ids up to this many (about 30 MB as a hash table) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Parts over which the documents that meet one centre are dealt.
+PARTS = 1024
 
 
 def most_apart(percent: int) -> int:
@@ -135,12 +136,6 @@ def _near(pairs: DataFrame, apart: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A checkpoint of ``ids``, broadcast where their number allows it."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """A checkpoint of (doc_id, shingles), sorted hashes, for the documents in ``ids``."""
 
@@ -152,33 +147,62 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 x = (x ^ W.U(1 << 63)).view(np.int64)  # signed numbers in the order of the unsigned ones
                 yield pa.RecordBatch.from_arrays([names.slice(first, len(block)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x))], ["doc_id", "shingles"])
 
-    return cut(docs.join(_few(ids), "doc_id", "left_semi").mapInArrow(task, "doc_id long, shingles array<long>"))
+    return cut(docs.join(few(ids), "doc_id", "left_semi").mapInArrow(task, "doc_id long, shingles array<long>"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    The documents of one b are dealt over parts; its set goes once to each part and is
+    held there while theirs stream past.
+    """
     pairs = cut(pairs.distinct())
-    full = shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), size)
-    met = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), size)
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS)))
+    centres = dealt.select("b", "part").distinct().join(sets, F.col("b") == F.col("doc_id")).withColumn("member", F.lit(False))
+    members = dealt.join(sets, F.col("a") == F.col("doc_id")).withColumn("member", F.lit(True))
+    met = centres.unionByName(members.drop("a")).repartition("b", "part").sortWithinPartitions("b", "part", "member")
 
     def compare(batches):
+        at, held = None, []  # more than one set where texts share the doc_id
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], ["a", "b"])
+            a, b = [], []
+            for key, member, node, x in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if key != at:
+                    at, held = key, []
+                x = x.values.to_numpy()
+                if not member:
+                    held.append(x.copy())
+                elif any(_alike(x, y, percent) for y in held):
+                    a.append(node)
+                    b.append(key[0])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return met.select("b", "part", "member", "doc_id", "shingles").mapInArrow(compare, "a long, b long")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct numbers."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    place = np.searchsorted(y, x)
+    both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _star_pairs(live: DataFrame) -> DataFrame:
-    """Each document with the centres of its keys: (a, b) where b is a centre; a centre is with itself."""
+    """Each document with the centres of its keys: (a, b) where b is a centre; a centre is with itself.
+
+    Keys of many documents are dealt over parts by their numbers, which ``live`` holds.
+    """
     shared = live.groupBy("node").agg(F.sum("n").alias("shared"))
     ranked = live.join(shared, "node")
-    centres = ranked.groupBy("key").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("centre"))
-    return live.join(centres, "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    centres = ranked.groupBy("key", "n").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("centre")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    dealt = live.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    return dealt.join(centres, ["key", "part"]).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def _dealt(rows: DataFrame, tiles) -> DataFrame:
@@ -274,14 +298,7 @@ def _links_in_tiles(rows: DataFrame, apart: int, percent: int) -> DataFrame:
                     p, q = root(component[i]), root(component[j])
                     if p == q:
                         continue
-                    x, y = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if 100 * len(x) < percent * len(y):
-                        continue
-                    place = np.searchsorted(y, x)
-                    both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
+                    if _alike(values[at[i] : at[i + 1]], values[at[j] : at[j + 1]], percent):
                         up[max(p, q)] = min(p, q)
                         a.append(node[i])
                         b.append(node[j])
@@ -298,13 +315,13 @@ def _residual_links(stars: DataFrame, labels: DataFrame, classes: DataFrame, doc
     apart = most_apart(percent)
     marks = classes.select("node", "signature")
     labelled = stars.where("a <> b").join(labels, stars["a"] == labels["node"], "left").select(F.col("b").alias("centre"), F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
-    several = labelled.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("centre", "n")
-    rest = cut(labelled.join(several, "centre").join(marks, "node").select("centre", "n", "node", "component", "signature"))
+    several = cut(labelled.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("centre", "n"))
+    rest = cut(join_hot(labelled, several, ["centre"], [F.col("node")], TILE).join(marks, "node").select("centre", "n", "node", "component", "signature"))
     hot = cut(_with_near_partner(rest, apart))
     sets = shingle_sets(docs, hot.select(F.col("node").alias("doc_id")).distinct(), size)
     # Tiles hold a bounded number of documents and of shingles.
-    weight = hot.join(sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("k")), "node").groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("k") / TILE_SHINGLES)).alias("tiles"))
-    full = hot.join(weight, "centre").join(rest.select("centre", "node", "component", "signature"), ["centre", "node"]).join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    weight = cut(hot.join(sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("k")), "node").groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("k") / TILE_SHINGLES)).alias("tiles")))
+    full = join_hot(hot, weight, ["centre"], [F.col("node")], TILE).join(rest.select("centre", "node", "component", "signature"), ["centre", "node"]).join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
     return _links_in_tiles(full.select("centre", "tiles", "node", "component", "signature", "shingles"), apart, percent)
 
 
@@ -326,7 +343,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     seen = cut(signatures(rows, size))
     classes = cut(seen.where(F.col("signature").isNotNull() & F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")))
     index = index_keys(classes)
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # so that Spark can split the join's large partitions
     live = cut(index.join(sizes, "key").select("key", "n", "node"))
     stars = cut(_star_pairs(live))
     marks = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
@@ -348,4 +365,4 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     be broadcast.
     """
     gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
