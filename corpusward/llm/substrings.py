@@ -19,13 +19,14 @@ from pyspark.sql import types as T
 
 from corpusward.functions.lineage import cut
 from corpusward.llm import words as W
+from corpusward.llm.skew import few, join_hot
 
 WINDOW = 50
 SHINGLE = 8
 #: Cells of the sketch for each counted minimum, and its rows.
 CELLS, DEPTH = 16, 2
-#: Ids up to this many (about 30 MB as a hash table) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of one cell, or of one window, that stay in one part of a join.
+PART = 10_000
 SECOND = 0xC2B2AE3D27D4EB4F | 1
 
 
@@ -86,18 +87,12 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
 def _repeated(minima: DataFrame, cells: int, depth: int) -> DataFrame:
     """The rows (doc_id, d1, m) whose count, as the sketch has it, is over one."""
     for row in range(depth):
-        cell = F.pmod(F.xxhash64(F.lit(row), "m"), F.lit(cells))
-        hot = minima.groupBy(cell.alias("hot")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        minima = minima.join(hot, cell == hot["hot"], "left_semi")
+        minima = minima.withColumn("cell", F.pmod(F.xxhash64(F.lit(row), "m"), F.lit(cells)))
+        full = cut(minima.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        minima = join_hot(minima, full, ["cell"], [F.col("doc_id"), F.col("d1")], PART).select("doc_id", "d1", "m")
     return minima
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A checkpoint of ``ids``, broadcast where their number allows it."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def _windows(texts: DataFrame, window: int) -> DataFrame:
     """128-bit hashes of the windows whose minimum is among the document's repeated ones.
 
@@ -144,11 +139,11 @@ def covered(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, depth: in
     minima = firsts.select("doc_id", "d1", F.explode("minima").alias("m"))
     n = firsts.agg(F.sum(F.size("minima"))).first()[0] or 0
     hot = cut(_repeated(minima, max(1024, cells * n), depth).groupBy("doc_id", "d1").agg(F.collect_list("m").alias("hot")))  # of one text at most
-    ids = _few(hot.select("doc_id").distinct())
+    ids = few(hot.select("doc_id").distinct())
     texts = cut(docs.join(ids, "doc_id", "left_semi").join(hot.groupBy("doc_id").agg(F.flatten(F.collect_list("hot")).alias("hot")), "doc_id").select("doc_id", "text", "hot"))
     windows = _windows(texts, window)
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
-    later = windows.join(first, ["h1", "h2"]).where(F.col("doc_id") > F.col("least"))
+    first = cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("h1", "h2", "least", "n"))
+    later = join_hot(windows, first, ["h1", "h2"], [F.col("doc_id"), F.col("place")], PART).where(F.col("doc_id") > F.col("least"))
     starts = later.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.collect_set(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
     return starts, flagged.select("doc_id", "n_words", "d1", "copy")
 
@@ -169,7 +164,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     starts = cut(starts)
     copies = seen.where("copy").select("doc_id", F.col("d1").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"), F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")).distinct()
     changes = cut(starts.withColumn("copy", F.lit(False)).unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts", "copy")).alias("changes")))
-    ids = _few(changes.select("doc_id"))
+    ids = few(changes.select("doc_id"))
     same = rows.join(ids, "doc_id", "left_anti").select("doc_id", "text", "rest").withColumn("changes", F.lit(None).cast(changes.schema["changes"].dataType))
     changed = rows.join(ids, "doc_id", "left_semi").join(changes, "doc_id").select("doc_id", "text", "changes", "rest")
 
