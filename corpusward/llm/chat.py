@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -370,18 +372,33 @@ def _turns(held: str) -> tuple[str, list[tuple[str, str]]]:
 # ---------------------------------------------------------------- Spark
 
 _SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_RUNS = "conv_id long, part long, seq long, done boolean, n_turns long, turns binary, loss_chars long, loss binary, formatted_chars long"
+#: Bytes of content up to which a conversation is finished where it is formatted, and bytes of it in one row otherwise.
+WHOLE, CHUNK = 1 << 20, 8192
+
+
+def _turn_rows(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _sorted_turns(conversations: DataFrame) -> DataFrame:
     """The turns of each conversation next to each other and in order, in one partition by key."""
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    return _turn_rows(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+
+
+def _dealt_turns(conversations: DataFrame) -> DataFrame:
+    """All turns in one order over the partitions; a long conversation lies in several.
+
+    Partitions are cut by the first characters of role and text, so that bounds are short;
+    the text counts only where the whole role does.
+    """
+    rows = _turn_rows(conversations)
+    text = F.when(F.char_length("role") < 32, F.substring("text", 1, 32)).otherwise(F.lit(""))
+    return rows.repartitionByRange("conv_id", "turn", F.substring("role", 1, 32), text).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
 
 def _conversations(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[dict]]]:
     """(conv_id, messages) of sorted rows; messages must be used up before the next."""
-    from itertools import groupby
-
     rows = ((c, {"role": r, "text": t}) for b in batches for c, r, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
     for key, group in groupby(rows, lambda x: x[0]):
         yield key, (m for _, m in group)
@@ -408,7 +425,7 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     return _sorted_turns(conversations).mapInArrow(task, "conv_id long, piece long, text string, in_loss boolean")
 
 
-def format_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
+def format_digests(conversations: DataFrame, template: str = TEMPLATE, whole: int = WHOLE) -> DataFrame:
     """What is read back from each conversation's formatted text, as digests.
 
     One row for each conv_id (null is one of its own): n_turns, turns_sha256 (role,
@@ -417,9 +434,16 @@ def format_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFr
     numbers are ordered by role, then text; repeated rows are turns of their own.  An
     empty table gives no rows; other columns are ignored.
 
-    A conversation's rows are sorted by Spark, which spills, and streamed: one turn is
-    held at a time, whatever a conversation's length.
+    Where the template formats each message alone (one outer loop, no ``loop.`` names, no
+    turn open outside it), turns are dealt over tasks in order, whatever conversation they
+    are of, and formatted and read back there; each message's output must read back by
+    itself.  What was read back of conversations of more than ``whole`` bytes, and of those
+    at the ends of a partition, goes in rows of CHUNK bytes to the task that computes the
+    conversation's digests, which no other way gives.  Under other templates a conversation
+    is formatted by one task, a turn at a time.
     """
+    if (parts := _message_wise(template)) is not None:
+        return _joined(_runs(_dealt_turns(conversations), parts[1], whole), parts[0], parts[2])
 
     def task(batches):
         render = compile_template(template)
@@ -441,14 +465,136 @@ def format_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFr
                 counts[0] += 1
             out.append((key, counts[0], turns.hexdigest(), counts[2], loss.hexdigest(), counts[1]))
             if len(out) >= 1000:
-                yield _batch(out)
+                yield _batch(out, _SCHEMA)
                 out = []
-        yield _batch(out)
+        yield _batch(out, _SCHEMA)
 
     return _sorted_turns(conversations).mapInArrow(task, _SCHEMA)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
+def _names(tree) -> Iterator[str]:
+    if isinstance(tree, tuple) and tree[0] == "name":
+        yield tree[1]
+    elif isinstance(tree, tuple | list):
+        for x in tree:
+            yield from _names(x)
+
+
+#: What a stretch of output holds: its characters, and the unescaped text under the loss mask.
+Stretch = tuple[int, str]
+
+
+def _message_wise(template: str) -> tuple[Stretch, tuple, Stretch] | None:
+    """What stands before the loop, the loop and what stands after it, if messages are formatted alone."""
+    compile_template(template)
+    parts = fold(parse(template))[1]
+    loops = [i for i, x in enumerate(parts) if _loops(x)]
+    if len(loops) != 1 or parts[loops[0]][0] != "for" or any(n.startswith("loop.") for n in _names(parts)):
+        return None
+    ends = [list(_closure(("block", x))({}, ())) for x in (parts[: loops[0]], parts[loops[0] + 1 :])]
+    try:
+        if any(list(read_back(x)) or _turns("".join(p for p, _ in x))[0] for x in ends):
+            return None
+    except ValueError:
+        return None
+    before, after = (_stretch(x) for x in ends)
+    return before, parts[loops[0]], after
+
+
+def _stretch(pieces: list[Piece]) -> Stretch:
+    return sum(len(x) for x, _ in pieces), "".join(unescape(x) for x, masked in pieces if masked)
+
+
+class _Run:
+    """What was read back of one conversation's turns in one partition."""
+
+    def __init__(self, key: int | None, part: int):
+        self.key, self.part, self.seq = key, part, 0
+        self._empty()
+
+    def _empty(self) -> None:
+        self.turns, self.loss = bytearray(), bytearray()
+        self.n_turns = self.loss_chars = self.chars = 0
+
+    def add(self, pieces: list[Piece]) -> None:
+        chars, plain = _stretch(pieces)
+        for role, text in read_back(pieces):
+            self.turns += f"{role}\n{text}\n".encode()
+            self.n_turns += 1
+        self.loss += plain.encode()
+        self.loss_chars += len(plain)
+        self.chars += chars
+
+    def content(self) -> Iterator[tuple]:
+        """Rows of what is held, which is then let go; the counts stand in the first."""
+        counts = self.n_turns, self.loss_chars, self.chars
+        for at in range(0, max(len(self.turns), len(self.loss), 1), CHUNK):
+            n, loss_chars, chars = counts if at == 0 else (0, 0, 0)
+            yield self.key, self.part, self.seq, False, n, bytes(self.turns[at : at + CHUNK]), loss_chars, bytes(self.loss[at : at + CHUNK]), chars
+            self.seq += 1
+        self._empty()
+
+
+def _runs(turns: DataFrame, loop: tuple, whole: int) -> DataFrame:
+    """One ``done`` row for each small conversation that lies inside a partition, rows of content of the others."""
+
+    def rows(batches):
+        each, part = _closure(loop), TaskContext.get().partitionId()
+        last, number = None, 0
+        for key, messages in _conversations(batches):
+            if last is not None:
+                # The first of a partition may have turns in the one before.
+                if number > 1 and not last.seq:
+                    yield last.key, part, 0, True, last.n_turns, bytes(last.turns), last.loss_chars, bytes(last.loss), last.chars
+                else:
+                    yield from last.content()
+            last, number = _Run(key, part), number + 1
+            for message in messages:
+                last.add(list(each({}, (message,))))
+                if len(last.turns) + len(last.loss) > whole:
+                    yield from last.content()
+        if last is not None:
+            yield from last.content()
+
+    def task(batches):
+        out, size = [], 0
+        for key, part, seq, done, n, seen, loss_chars, loss, chars in rows(batches):
+            out.append((key, part, seq, done, n, seen, loss_chars, loss, chars))
+            size += len(seen) + len(loss) + 100
+            if size > 1 << 22:
+                yield _batch(out, _RUNS)
+                out, size = [], 0
+        yield _batch(out, _RUNS)
+
+    return turns.mapInArrow(task, _RUNS)
+
+
+def _joined(runs: DataFrame, before: Stretch, after: Stretch) -> DataFrame:
+    """The digests of each conversation from its rows of ``_runs``."""
+
+    def task(batches):
+        out = []
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
+        for key, group in groupby(rows, lambda r: r[0]):
+            turns, loss, n, loss_chars, chars = hashlib.sha256(), hashlib.sha256(before[1].encode()), 0, len(before[1]) + len(after[1]), before[0] + after[0]
+            for _, more, seen, more_loss, plain, more_chars in group:
+                n, loss_chars, chars = n + more, loss_chars + more_loss, chars + more_chars
+                turns.update(seen), loss.update(plain)
+            loss.update(after[1].encode())
+            out.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+            if len(out) >= 1000:
+                yield _batch(out, _SCHEMA)
+                out = []
+        yield _batch(out, _SCHEMA)
+
+    columns = "conv_id", "n_turns", "turns", "loss_chars", "loss", "formatted_chars"
+    return runs.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").select(*columns).mapInArrow(task, _SCHEMA)
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds, strict=True)], list(names))

@@ -398,6 +398,42 @@ def test_conversations(spark):
     assert chat.format_digests(c.limit(0)).count() == 0
 
 
+def test_long_conversations_are_dealt_over_tasks(spark):
+    long_ = "y" * 40
+    rows = [(1, i, ["user", "assistant", "tool", long_][i % 4], f"t{i} </s>\\" + "x" * (i % 90) + "\u00e9") for i in range(600)]
+    rows += [(None, None, None, None), (None, None, "user", long_ + "b"), (None, 3, long_ + "a", "z"), (None, 3, long_, "a"), (None, 3, long_[:32], "b")]
+    rows += [(k, t, "assistant", f"{k} {t}") for k in range(2, 60) for t in range(k % 4)] + [(70, 1, "user", "same")] * 5
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    at_once = chat.TEMPLATE.replace("{% for m in messages %}", "{% for m in messages %}{% if loop.first %}{% endif %}")
+    assert chat._message_wise(at_once) is None and chat._message_wise("{{ '[INST]' }}{% for m in messages %}{% endfor %}") is None
+    wanted = sorted(map(str, chat.format_digests(c, at_once).collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it puts small partitions together
+    try:
+        for whole in (1 << 20, 50):
+            assert sorted(map(str, chat.format_digests(c, whole=whole).collect())) == wanted
+        assert chat._dealt_turns(c).where("conv_id = 1").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_join_hot_equals_a_join(spark):
+    from corpusward.llm.skew import join_hot
+
+    rows = spark.range(500).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 11).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("k <> 3")
+    got = join_hot(rows, facts, ["k"], [F.col("id")], 40).select("k", "id", "n", "least")
+    wanted = rows.join(facts, "k").select("k", "id", "n", "least")
+    assert sorted(got.collect()) == sorted(wanted.collect())
+
+
+def test_frequent_windows_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PART", 3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"a{i} {passage} b{i}", "s") for i in range(40)] + [(50, "x " * 90, "s"), (51, "x " * 60, "s")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs(spark, rows)).collect()}
+    assert got == brute_repeats(rows, 50)
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
