@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusward.functions.lineage import cut
+from corpusward.functions.lineage import cut, stored
 from corpusward.llm import words as W
 from corpusward.llm.skew import few, join_hot
 
@@ -140,7 +140,7 @@ def covered(docs: DataFrame, window: int = WINDOW, cells: int = CELLS, depth: in
     n = firsts.agg(F.sum(F.size("minima"))).first()[0] or 0
     hot = cut(_repeated(minima, max(1024, cells * n), depth).groupBy("doc_id", "d1").agg(F.collect_list("m").alias("hot")))  # of one text at most
     ids = few(hot.select("doc_id").distinct())
-    texts = cut(docs.join(ids, "doc_id", "left_semi").join(hot.groupBy("doc_id").agg(F.flatten(F.collect_list("hot")).alias("hot")), "doc_id").select("doc_id", "text", "hot"))
+    texts = stored(docs.join(ids, "doc_id", "left_semi").join(hot.groupBy("doc_id").agg(F.flatten(F.collect_list("hot")).alias("hot")), "doc_id").select("doc_id", "text", "hot"))
     windows = _windows(texts, window)
     first = cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("h1", "h2", "least", "n"))
     later = join_hot(windows, first, ["h1", "h2"], [F.col("doc_id"), F.col("place")], PART).where(F.col("doc_id") > F.col("least"))
