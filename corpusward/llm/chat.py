@@ -443,7 +443,7 @@ def format_digests(conversations: DataFrame, template: str = TEMPLATE, whole: in
     is formatted by one task, a turn at a time.
     """
     if (parts := _message_wise(template)) is not None:
-        return _joined(_runs(_dealt_turns(conversations), parts[1], whole), parts[0], parts[2])
+        return _joined(_runs(_dealt_turns(conversations), *parts, whole), parts[0], parts[2])
 
     def task(batches):
         render = compile_template(template)
@@ -535,8 +535,8 @@ class _Run:
         self._empty()
 
 
-def _runs(turns: DataFrame, loop: tuple, whole: int) -> DataFrame:
-    """One ``done`` row for each small conversation that lies inside a partition, rows of content of the others."""
+def _runs(turns: DataFrame, before: Stretch, loop: tuple, after: Stretch, whole: int) -> DataFrame:
+    """One ``done`` row, of digests, for each small conversation that lies inside a partition, rows of content of the others."""
 
     def rows(batches):
         each, part = _closure(loop), TaskContext.get().partitionId()
@@ -545,7 +545,8 @@ def _runs(turns: DataFrame, loop: tuple, whole: int) -> DataFrame:
             if last is not None:
                 # The first of a partition may have turns in the one before.
                 if number > 1 and not last.seq:
-                    yield last.key, part, 0, True, last.n_turns, bytes(last.turns), last.loss_chars, bytes(last.loss), last.chars
+                    loss = hashlib.sha256(before[1].encode() + last.loss + after[1].encode())
+                    yield last.key, part, 0, True, last.n_turns, hashlib.sha256(last.turns).digest(), last.loss_chars, loss.digest(), last.chars
                 else:
                     yield from last.content()
             last, number = _Run(key, part), number + 1
@@ -574,20 +575,25 @@ def _joined(runs: DataFrame, before: Stretch, after: Stretch) -> DataFrame:
 
     def task(batches):
         out = []
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True))
         for key, group in groupby(rows, lambda r: r[0]):
             turns, loss, n, loss_chars, chars = hashlib.sha256(), hashlib.sha256(before[1].encode()), 0, len(before[1]) + len(after[1]), before[0] + after[0]
-            for _, more, seen, more_loss, plain, more_chars in group:
+            whole = None
+            for _, done, more, seen, more_loss, plain, more_chars in group:
                 n, loss_chars, chars = n + more, loss_chars + more_loss, chars + more_chars
-                turns.update(seen), loss.update(plain)
+                if done:
+                    whole = seen.hex(), plain.hex()
+                else:
+                    turns.update(seen), loss.update(plain)
             loss.update(after[1].encode())
-            out.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+            seen, plain = whole or (turns.hexdigest(), loss.hexdigest())
+            out.append((key, n, seen, loss_chars, plain, chars))
             if len(out) >= 1000:
                 yield _batch(out, _SCHEMA)
                 out = []
         yield _batch(out, _SCHEMA)
 
-    columns = "conv_id", "n_turns", "turns", "loss_chars", "loss", "formatted_chars"
+    columns = "conv_id", "done", "n_turns", "turns", "loss_chars", "loss", "formatted_chars"
     return runs.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").select(*columns).mapInArrow(task, _SCHEMA)
 
 
