@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import bytepairs, chat, licenses, maxent, neardup, oracles, packing, quality, substrings, topk, urlfilter
+from corpusward.functions.lineage import scratch
+from corpusward.llm import bytepairs, chat, licenses, maxent, neardup, oracles, packing, quality, substrings, tokenfiles, topk, urlfilter
 from corpusward.sources.tables import table
 
 #: Fixed values: (host, path, verdict).
@@ -72,7 +73,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-_QUERIES = [op1_top_k, op2_lm_scoring, op3_license_scan, op4_minhash_near_dedup, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup]
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, f"{scratch(spark)}/tokens")
+
+
+_QUERIES = [op1_top_k, op2_lm_scoring, op3_license_scan, op4_minhash_near_dedup, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup, op13_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
