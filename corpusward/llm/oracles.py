@@ -169,3 +169,34 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_b
        CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(more.c, 0.0::DOUBLE) END AS score
 FROM d LEFT JOIN base ON base.k = d.k LEFT JOIN more ON more.k = d.k
 """
+
+#: CRC-32 of decimal ids, a byte at a time, from a table made by its polynomial.
+op11_prefix_trie = """
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({'d': d, 'n': n} ORDER BY turn NULLS FIRST, role, d, n) AS turns FROM (
+        SELECT conv_id, turn, role, md5(length(role) || ':' || role || text) AS d, length(text) AS n FROM turns) GROUP BY conv_id
+), heads AS (
+    SELECT conv_id, turns, xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 6 AS h FROM own, crc_table
+), rebuilt AS (
+    SELECT a.conv_id, coalesce(b.turns[1:a.h], []) || a.turns[a.h + 1:] AS turns FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+), members AS (
+    SELECT conv_id, d, len(turns) AS size, array_to_string(list_transform(turns[1:d], lambda x: x.d), '') AS key, array_to_string(list_transform(turns[1:d - 1], lambda x: x.d), '') AS above,
+        CASE WHEN d = 0 THEN 0 ELSE turns[d].n END AS n
+    FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT d, key, any_value(above) AS above, min(conv_id) AS low, count(*) AS n_convs, any_value(n) AS n, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE size = d) AS ends FROM members GROUP BY d, key
+), kids AS (
+    SELECT d - 1 AS d, above AS key, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY 1, 2
+), counted AS (
+    SELECT a.*, coalesce(k.kids, 0) AS kids FROM nodes a LEFT JOIN kids k USING (d, key)
+), sums AS (
+    SELECT m.d, m.key, sum(CASE WHEN w.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((w.n_convs - 1) * w.n) AS saved FROM counted w JOIN members m ON m.conv_id = w.low AND m.d <= w.d GROUP BY 1, 2
+)
+SELECT a.low AS conv_id, a.d AS depth, p.low AS parent_conv_id, a.n_convs, a.kids AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM counted a JOIN sums s USING (d, key) LEFT JOIN nodes p ON p.d = a.d - 1 AND p.key = a.above AND a.d > 0
+"""
