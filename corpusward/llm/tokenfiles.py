@@ -195,6 +195,7 @@ class _Cached:
         if not all(t.content.startswith("<|") for t in self.library.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that do not start with <|")
         self.known: dict[str, bytes] = {"": b""}
+        self.signs: dict[str, bytes] = {}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -213,22 +214,33 @@ class _Cached:
                 out += self._each(part)
         return out
 
+    def sign(self, x: str) -> bytes:
+        if x not in self.signs:
+            self.signs[x] = self._each([x])[0]
+        return self.signs[x]
+
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of words that are not known; a sign after letters is a token of its own, so words with and without one share theirs."""
-        stems, plain, tails = {}, [], {}
+        stems: dict[str, list[str]] = {}
+        plain, signed = [], []
         for x in new:
-            stem = x[:-1] if x[-1] in ".,;:!?" else x
-            if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
-                stems.setdefault(stem, []).append(x)
-                if stem is not x:
-                    tails[x[-1]] = b""
-            else:
+            if not _LATIN.fullmatch(x):
                 plain.append(x)
-        out = dict(zip(plain, self._each(plain), strict=True)) if plain else {}
-        tails = dict(zip(tails, self._each(list(tails)), strict=True)) if tails else {}
-        for (stem, whole), ids in zip(stems.items(), self._together(list(stems)), strict=True):
-            for x in whole:
-                out[x] = ids if len(x) == len(stem) else ids + tails[x[-1]]
+            elif x[-1] not in _SIGNS:
+                stems[x] = []
+            else:
+                signed.append(x)
+        out = {}
+        for x in signed:
+            if (ids := self.known.get(x[:-1])) is not None:
+                out[x] = ids + self.sign(x[-1])
+            else:
+                stems.setdefault(x[:-1], []).append(x)
+        out.update(zip(plain, self._each(plain), strict=True))
+        for (stem, more), ids in zip(stems.items(), self._together(list(stems)), strict=True):
+            out[stem] = ids
+            for x in more:
+                out[x] = ids + self.sign(x[-1])
         return out
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -245,24 +257,21 @@ class _Cached:
             split.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         if len(self.known) > self.MOST:
             self.known = {"": b""}
-        get = self.known.get
-        coded = [list(map(get, parts)) for parts in split]
-        holes = [i for i, found in enumerate(coded) if None in found]
-        long = []
-        if holes:
-            learnt = self.learn(list({x for i in holes for x, c in zip(split[i], coded[i], strict=True) if c is None}))
-            self.known.update(learnt)
-            for i in holes:
-                coded[i] = map(get, split[i])
-            long = [x for x in learnt if len(x) > self.LONG]
-        for found in coded:
-            yield np.frombuffer(b"".join(found), "<u4")
-        for x in long:
-            del self.known[x]
+        new = set().union(*split).difference(self.known)
+        learnt = self.learn(list(new)) if new else {}
+        self.known.update(learnt)
+        for parts in split:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
+        for x in learnt:
+            if len(x) > self.LONG:
+                del self.known[x]
 
 
 #: Marks that compose with ASCII letters.
 _MARKS = re.compile("[\u0300-\u036f]")
+_SIGNS = frozenset(".,;:!?")
+#: Letters that are themselves when composed and one letter in lower case, and a sign that is a token of its own after them.
+_LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,;:!?]?")
 
 
 @cache
@@ -270,34 +279,43 @@ def _cached(path: str) -> _Cached:
     return _Cached(path)
 
 
+#: Characters of the texts that a task codes at once.
+_AT_ONCE = 1_000_000
+
+
+def width(path: str, end_id: int) -> int:
+    """Bytes of an id: 2 where all ids of the model fit, else 4."""
+    return 2 if max(end_id, len(_cached(path).ends) - 1) < 1 << 16 else 4
+
+
 def token_rows(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ``ids`` (unsigned little-endian 32-bit numbers, ``end_id`` last) of each row.
+    """doc_id and ``ids`` (unsigned little-endian numbers of ``width`` bytes, ``end_id`` last) of each row.
 
     A null text is empty and has the end id alone; ids may be of any type and null;
     other columns are dropped.
     """
 
     def task(batches):
-        coder, end = _cached(path), np.array([end_id], "<u4").tobytes()
+        coder, kind = _cached(path), f"<u{width(path, end_id)}"
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for first, block in text_blocks(batch.column(1).to_pylist()):
-                ids = [x.tobytes() + end for x in coder.encode(block)]
+            for first, block in text_blocks(batch.column(1).to_pylist(), _AT_ONCE):
+                ids = [x.astype(kind).tobytes() + end for x in coder.encode(block)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(task, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())]))
 
 
-def frequencies(tokens: DataFrame) -> Frequencies:
-    """Counts of all ids, at most one number for each id of the vocabulary on the driver, scaled."""
+def frequencies(tokens: DataFrame, each: int = 4) -> Frequencies:
+    """Counts of all ids of ``each`` bytes, at most one number for each id of the vocabulary on the driver, scaled."""
 
     def task(batches):
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                new = np.bincount(np.frombuffer(x, "<u4"), minlength=len(counts))
-                new[: len(counts)] += counts
-                counts = new
+            new = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{each}"), minlength=len(counts))
+            new[: len(counts)] += counts
+            counts = new
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["id", "n"])
 
@@ -317,8 +335,8 @@ def _block_schema(kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, k) for n, k in plain + lists + coded])
 
 
-def write(tokens: DataFrame, folder: str) -> None:
-    """``tokens`` (doc_id, ids) as a folder of token files in ascending order of doc_id.
+def write(tokens: DataFrame, folder: str, each: int = 4) -> None:
+    """``tokens`` (doc_id, ids of ``each`` bytes) as a folder of token files in ascending order of doc_id.
 
     Equal doc_ids lie next to each other, in the order of their ids' hashes.  Rows are
     dealt by range with a number of their own last, so that very many rows of one
@@ -326,7 +344,7 @@ def write(tokens: DataFrame, folder: str) -> None:
     """
     spark = tokens.sparkSession
     kept = stored(tokens.withColumn("row", F.monotonically_increasing_id()))
-    table = frequencies(kept)
+    table = frequencies(kept, each)
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(table.scaled) if n], "id int, frequency int").coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(table)
     order = ["doc_id", "hash", "row"]
@@ -353,7 +371,7 @@ def write(tokens: DataFrame, folder: str) -> None:
         coded.blocks = 0
         for batch in batches:
             for part, name, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):  # noqa: B007
-                ids, at = np.frombuffer(raw, "<u4"), 0
+                ids, at = np.frombuffer(raw, f"<u{each}"), 0
                 while at < len(ids):
                     piece = ids[at : at + left]
                     open_.append((number, name, piece))
@@ -445,5 +463,5 @@ def round_trip(docs: DataFrame, path: str, end_id: int, folder: str, doc_id: str
 
     One row for each row of ``docs``; an empty table gives an empty folder and no rows.
     """
-    write(token_rows(docs, path, end_id, doc_id, text), folder)
+    write(token_rows(docs, path, end_id, doc_id, text), folder, width(path, end_id))
     return document_digests(read(docs.sparkSession, folder, with_ids=False))
