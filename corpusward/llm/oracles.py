@@ -200,3 +200,37 @@ WITH RECURSIVE crc_table AS (
 SELECT a.low AS conv_id, a.d AS depth, p.low AS parent_conv_id, a.n_convs, a.kids AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
 FROM counted a JOIN sums s USING (d, key) LEFT JOIN nodes p ON p.d = a.d - 1 AND p.key = a.above AND a.d > 0
 """
+
+op12_phrase_mining = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), f AS MATERIALIZED (
+    SELECT lang, words, phrase, count(*)::HUGEINT AS n FROM (
+        SELECT lang, 1 AS words, unnest(w) AS phrase FROM w
+        UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+        UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w)
+    GROUP BY 1, 2, 3
+), totals AS (
+    SELECT lang, sum(n)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang
+), c AS (
+    SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= 10
+), cuts AS (
+    SELECT lang, words, phrase, a, w, unnest(range(1, words)) AS k FROM c
+), heads AS MATERIALIZED (
+    SELECT t.*, f.n AS l FROM cuts t JOIN f ON f.lang = t.lang AND f.phrase = array_to_string(t.w[1:t.k], ' ')
+), scored AS MATERIALIZED (
+    SELECT t.lang, t.words, t.phrase, t.a, t.k, t.l, f.n AS r, (1000000 * t.a * t.a) // (t.l * f.n) AS score FROM heads t JOIN f ON f.lang = t.lang AND f.phrase = array_to_string(t.w[t.k + 1:], ' ')
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covers AS (
+    SELECT lang, phrase, max(a) AS more FROM (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE words = 3) GROUP BY 1, 2
+), kept AS (
+    SELECT b.* FROM best b LEFT JOIN covers v USING (lang, phrase) WHERE v.more IS NULL OR 100 * v.more < 50 * b.a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, totals.n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

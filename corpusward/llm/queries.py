@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusward.functions.lineage import scratch
-from corpusward.llm import bytepairs, chat, licenses, maxent, neardup, oracles, packing, quality, substrings, tokenfiles, topk, trie, urlfilter
+from corpusward.llm import bytepairs, chat, licenses, maxent, neardup, oracles, packing, phrases, quality, substrings, tokenfiles, topk, trie, urlfilter
 from corpusward.sources.tables import table
 
 #: Fixed values: (host, path, verdict).
@@ -77,11 +77,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), threshold=10, top=2000, covered=50)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, f"{scratch(spark)}/tokens")
 
 
-_QUERIES = [op1_top_k, op2_lm_scoring, op3_license_scan, op4_minhash_near_dedup, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup, op11_prefix_trie, op13_token_files]
+_QUERIES = [op1_top_k, op2_lm_scoring, op3_license_scan, op4_minhash_near_dedup, op5_url_filters, op6_byte_bpe, op7_quality_rules, op8_packing, op9_chat_format, op10_substring_dedup, op11_prefix_trie, op12_phrase_mining, op13_token_files]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
