@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -504,6 +505,59 @@ def e2_semiadditive_states(spark, sf_dir):
     return execution.windowed_measures(_star(spark, sf_dir), WINDOWED, ["segment"], ["largest", "first_largest", "mean", "buyers", "own_mean"])
 
 
+DISTINCT = VIEW | {
+    "measures": [
+        {"name": "buyers_so_far", "expr": "count(DISTINCT o_custkey)", "window": [{"order": "month"}]},
+        {"name": "keys_so_far", "expr": "sum(DISTINCT o_custkey % 7) + 0", "window": [{"order": "month"}]},
+        {"name": "mean_key_so_far", "expr": "round(avg(DISTINCT o_custkey % 7), 4)", "window": [{"order": "month"}]},
+        {"name": "pairs_in_all", "expr": "count(DISTINCT o_custkey % 7, o_orderpriority)", "window": [{"order": "month", "range": "unbounded"}]},
+        {"name": "urgent_so_far", "expr": "count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND ')' <> '(')", "window": [{"order": "month"}]},
+        {"name": "own_buyers", "expr": "count(DISTINCT o_custkey)"},
+        {"name": "own_keys", "expr": "sum(DISTINCT o_custkey % 7) FILTER (WHERE o_custkey % 7 > 2)"},
+    ]
+}
+_DISTINCT = [m["name"] for m in DISTINCT["measures"]]
+
+
+@query
+def e2_distinct_measures(spark, sf_dir):
+    """Distinct values of running windows, of whole groups, and of each group itself."""
+    return execution.windowed_measures(_star(spark, sf_dir), DISTINCT, ["segment", "month"], _DISTINCT)
+
+
+@query
+def e2_semiadditive_distinct(spark, sf_dir):
+    """The same without the month."""
+    return execution.windowed_measures(_star(spark, sf_dir), DISTINCT, ["segment"], _DISTINCT)
+
+
+LATTICE = VIEW | {
+    "measures": [
+        {"name": "orders", "expr": "count(1)"},
+        {"name": "buyers", "expr": "count(DISTINCT o_custkey)"},
+        {"name": "largest", "expr": "max(o_totalprice)"},
+        {"name": "mean_key", "expr": "round(avg(o_custkey), 3)"},
+    ],
+    "materialization": {
+        "materialized_views": [
+            {"name": "fine", "type": "aggregated", "dimensions": ["nation", "segment"], "measures": ["orders", "buyers", "largest"]},
+            {"name": "nation", "type": "aggregated", "dimensions": ["nation"], "measures": ["orders", "buyers", "largest", "mean_key"]},
+            {"name": "month", "type": "aggregated", "dimensions": ["month"], "measures": ["orders", "buyers", "mean_key"]},
+            {"name": "all", "type": "aggregated", "dimensions": [], "measures": ["orders", "buyers", "largest", "mean_key"]},
+        ]
+    },
+}
+
+
+@query
+def e3_lattice_views(spark, sf_dir):
+    """Nested and other views written from one pass over the joined rows."""
+    views = execution.write_views(_star(spark, sf_dir), LATTICE, f"{scratch(spark)}/views")
+    names = ["nation", "segment", "month", "orders", "buyers", "largest", "mean_key"]
+    rows = [v.select(F.lit(n).alias("view"), *(F.col(c) if c in v.columns else F.lit(None).alias(c) for c in names)) for n, v in views.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def e3_materialize_views(spark, sf_dir):
     views = execution.materialize_views(_star(spark, sf_dir), VIEW)

@@ -335,6 +335,29 @@ e2_semiadditive_states = f"""
 WITH {STAR}, {_MONTHS}
 SELECT segment, max(hi) AS largest, arg_min(hi, month) AS first_largest, round(sum(s) / sum(c), 2) AS mean, sum(new)::BIGINT AS buyers, round(sum(s) / sum(c), 2) AS own_mean FROM m GROUP BY segment
 """
+_ROWS = "r AS (SELECT c_mktsegment AS segment, month, o_custkey AS c, o_custkey % 7 AS k, o_orderpriority AS p FROM v)"
+_SO_FAR = """
+    count(DISTINCT c) OVER w AS buyers_so_far, (sum(DISTINCT k) OVER w)::BIGINT AS keys_so_far, round(sum(DISTINCT k) OVER w / count(DISTINCT k) OVER w, 4) AS mean_key_so_far,
+    count(DISTINCT (k, p)) OVER (PARTITION BY segment) AS pairs_in_all, count(*) FILTER (WHERE p = '1-URGENT') OVER w AS urgent_so_far"""
+e2_distinct_measures = f"""
+WITH {STAR}, {_ROWS}, w AS (SELECT DISTINCT segment, month, {_SO_FAR} FROM r WINDOW w AS (PARTITION BY segment ORDER BY month)),
+o AS (SELECT segment, month, count(DISTINCT c) AS own_buyers, (sum(DISTINCT k) FILTER (WHERE k > 2))::BIGINT AS own_keys FROM r GROUP BY 1, 2)
+SELECT w.*, own_buyers, own_keys FROM w JOIN o ON w.segment IS NOT DISTINCT FROM o.segment AND w.month = o.month
+"""
+e2_semiadditive_distinct = f"""
+WITH {STAR}, {_ROWS}
+SELECT segment, count(DISTINCT c) AS buyers_so_far, sum(DISTINCT k)::BIGINT AS keys_so_far, round(sum(DISTINCT k) / count(DISTINCT k), 4) AS mean_key_so_far, count(DISTINCT (k, p)) AS pairs_in_all,
+       count(*) FILTER (WHERE p = '1-URGENT') AS urgent_so_far, count(DISTINCT c) AS own_buyers, (sum(DISTINCT k) FILTER (WHERE k > 2))::BIGINT AS own_keys
+FROM r GROUP BY segment
+"""
+_OF = "count(*) AS orders, count(DISTINCT o_custkey) AS buyers"
+e3_lattice_views = f"""
+WITH {STAR}
+SELECT 'fine' AS view, n_name AS nation, c_mktsegment AS segment, NULL AS month, {_OF}, max(o_totalprice) AS largest, NULL AS mean_key FROM v GROUP BY 2, 3
+UNION ALL SELECT 'nation', n_name, NULL, NULL, {_OF}, max(o_totalprice), round(avg(o_custkey), 3) FROM v GROUP BY 2
+UNION ALL SELECT 'month', NULL, NULL, month, {_OF}, NULL, round(avg(o_custkey), 3) FROM v GROUP BY 4
+UNION ALL SELECT 'all', NULL, NULL, NULL, {_OF}, max(o_totalprice), round(avg(o_custkey), 3) FROM v
+"""
 e3_materialize_views = f"WITH {STAR} SELECT c_mktsegment AS segment, count(*) AS orders FROM v GROUP BY 1 UNION ALL SELECT 'all rows', count(*) FROM v"
 
 e4_check_constraints = """

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusward.functions.lineage import stored
+from corpusward.operators.measures import Lattice, aggregates, windowed
+
 
 def _joined(tables: dict[str, DataFrame], view: dict) -> DataFrame:
     """Source, filter, then left joins, depth-first; ``on`` is an expression over names and aliases."""
@@ -42,96 +44,63 @@ def evaluate_metric_view(tables: dict[str, DataFrame], view: dict, dims: list[st
     return df.groupBy(*_expressions(view["dimensions"], dims)).agg(*_expressions(view["measures"], measures))
 
 
-#: Aggregates that a windowed measure may use: each is merged from states of its groups.
-_MERGEABLE = re.compile(r"\b(sum|count|min|max|avg|mean)\s*\(", re.IGNORECASE)
-
-
-def _aggregates(expr: str) -> tuple[str, list[tuple[str, str]]]:
-    """``expr`` with ``{i}`` for each outermost aggregate call, and the calls as (function, argument)."""
-    out, calls, at = "", [], 0
-    while m := _MERGEABLE.search(expr, at):
-        end, depth = m.end(), 1
-        while depth:
-            depth += {"(": 1, ")": -1}.get(expr[end], 0)
-            end += 1
-        out += f"{expr[at : m.start()]}{{{len(calls)}}}"
-        calls.append((m[1].lower().replace("mean", "avg"), expr[m.end() : end - 1].strip()))
-        at = end
-    return out + expr[at:], calls
-
-
-_DISTINCT = re.compile(r"^distinct\b", re.IGNORECASE)
-
-
 def windowed_measures(tables: dict[str, DataFrame], view: dict, dims: list[str], measures: list[str]) -> DataFrame:
     """Measures with a window: ``order`` (a dimension), ``range`` cumulative (also if absent) or unbounded, ``semiadditive`` last (also if absent) or first.
 
-    The view is aggregated to the dimensions and the order first, so the window runs over
-    few rows, and merges states: sums and counts add up, extremes are compared, means are
-    sums and counts, and a distinct value counts where it first appears.  Expressions over
-    several aggregates are evaluated on the merged ones; other aggregates are refused by
-    Spark.  Where the order is not among ``dims`` the semiadditive row's value is taken.
-    cumulative windows run to the current row, unbounded ones over all rows of a group.
-    Measures without a window cover the rows of their own group.
+    The rows are aggregated once, to states of the dimensions and the order, and windows
+    merge these (``measures.windowed``); measures without a window cover the rows of
+    their own group.  Aggregates that cannot be merged are refused with ValueError.
     """
     spec = {m["name"]: (m.get("window") or [None])[0] for m in view["measures"]}
     exprs = {m["name"]: m["expr"] for m in view["measures"]}
     orders = {w["order"] for m in measures if (w := spec[m])}
     if len(orders) > 1:
         raise ValueError("windowed measures of one query share their order")
-    if any(w and w.get("range", "cumulative") not in ("cumulative", "unbounded") for w in map(spec.get, measures)):
+    if any(w and (w.get("range") or "cumulative") not in ("cumulative", "unbounded") for w in map(spec.get, measures)):
         raise ValueError("a window is cumulative or unbounded")
+    if any(w and (w.get("semiadditive") or "last") not in ("last", "first") for w in map(spec.get, measures)):
+        raise ValueError("a semiadditive window takes the last or the first value")
     order = orders.pop()
-    grain, others = [*dict.fromkeys([*dims, order])], [d for d in dims if d != order]
-    rows, dimensions = _joined(tables, view), view["dimensions"]
-    finals, states, distinct = {}, {}, {}
-    for m in measures:
-        text, calls = _aggregates(exprs[m])
-        names = []
-        for function, argument in calls:
-            name = f"_s{len(states)}_{len(distinct)}"
-            if function == "count" and _DISTINCT.match(argument):
-                distinct[name] = _DISTINCT.sub("", argument)
-                names.append([(name, "sum")])
-            elif function == "avg":
-                states[f"{name}s"], states[f"{name}n"] = F.expr(f"sum({argument})"), F.expr(f"count({argument})")
-                names.append([(f"{name}s", "sum"), (f"{name}n", "sum")])
-            else:
-                states[name] = F.expr(f"{function}({argument})")
-                names.append([(name, "sum" if function == "count" else function)])
-        finals[m] = text, names
-    base = rows.groupBy(*_expressions(dimensions, grain)).agg(F.count(F.lit(1)).alias("_rows"), *(c.alias(n) for n, c in states.items()))
-    for name, argument in distinct.items():
-        # As in SQL, a value with a null among its parts does not count.
-        at = {d["name"]: d["expr"] for d in dimensions}[order]
-        seen = rows.groupBy(*_expressions(dimensions, others), F.expr(f"struct({argument})").alias("_v")).agg(F.min(F.expr(at)).alias(order), F.expr(f"count({argument})").alias("_n")).where("_n > 0")
-        firsts = seen.groupBy(*(F.col(g).alias(f"_{g}") for g in grain)).agg(F.count(F.lit(1)).alias(name))
-        base = base.join(firsts, reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in grain)), "left").drop(*(f"_{g}" for g in grain)).withColumn(name, F.coalesce(name, F.lit(0)))
-
-    def final(m: str, merged) -> Column:
-        text, names = finals[m]
-        return F.expr(text.format(*(f"`{merged(m, parts[0])}`" if len(parts) == 1 else f"(`{merged(m, parts[0])}` / `{merged(m, parts[1])}`)" for parts in names))).alias(m)
-
-    merge = {"sum": F.sum, "min": F.min, "max": F.max}
-    up_to_here = Window.partitionBy(*others).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    frames = {"cumulative": up_to_here, "unbounded": Window.partitionBy(*others)}
-    merged = {f"{n}_{r}": merge[how](n).over(frames[r]) for m in measures if spec[m] for r in (spec[m].get("range", "cumulative"),) for parts in finals[m][1] for n, how in parts}
-    out = base.select("*", *(c.alias(n) for n, c in merged.items()))
-    own = lambda m, part: f"{part[0]}_{spec[m].get('range', 'cumulative')}" if spec[m] else part[0]
-    out = out.select(*grain, *(final(m, own) for m in measures), *(F.col(n).alias(f"{n}_own") for n in (*states, *distinct)))
-    if order in dims:
-        return out.select(*dims, *measures)
-    pick = {"last": F.max_by, "first": F.min_by}
-    how = {n: h for m in measures for parts in finals[m][1] for n, h in parts}
-    out = out.groupBy(*others).agg(*(pick[spec[m].get("semiadditive", "last")](m, order).alias(m) for m in measures if spec[m]), *(merge[h](f"{n}_own").alias(n) for n, h in how.items()))
-    return out.select(*others, *(F.col(m) if spec[m] else final(m, lambda m, part: part[0]) for m in measures))
+    lattice = Lattice(_joined(tables, view), {d["name"]: d["expr"] for d in view["dimensions"]}, {m: exprs[m] for m in measures}, [(*(d for d in dims if d != order), order)])
+    return windowed(lattice, dims, measures, spec, order)
 
 
 def materialize_views(tables: dict[str, DataFrame], view: dict) -> dict[str, DataFrame]:
-    """Each declared materialisation: aggregated (dimensions and measures) or unaggregated (joined, filtered rows)."""
+    """Each declared materialisation: aggregated (dimensions and measures) or unaggregated (joined, filtered rows).
+
+    The rows are read once for all aggregated views: states of the largest grains are
+    written in the shared folder, and every view merges these.  Views with windows or with
+    aggregates that cannot be merged are computed from the rows.
+    """
+    views = view.get("materialization", {}).get("materialized_views", [])
+    exprs = {m["name"]: m["expr"] for m in view["measures"]}
+    moving = {m["name"] for m in view["measures"] if m.get("window")}
+    rows = _joined(tables, view)
+
+    def merges(m: str) -> bool:
+        try:
+            return m not in moving and bool(aggregates(rows.sparkSession, exprs[m]))
+        except ValueError:
+            return False
+
+    shared = [v for v in views if v["type"] == "aggregated" and all(map(merges, v["measures"]))]
+    out = {}
+    if shared:
+        used = dict.fromkeys(m for v in shared for m in v["measures"])
+        lattice = Lattice(rows, {d["name"]: d["expr"] for d in view["dimensions"]}, {m: exprs[m] for m in used}, [tuple(v["dimensions"]) for v in shared], stored)
+        out = {v["name"]: lattice.view(v["dimensions"], v["measures"]) for v in shared}
+    for v in views:
+        if v["name"] not in out:
+            out[v["name"]] = evaluate_metric_view(tables, view, v["dimensions"], v["measures"]) if v["type"] == "aggregated" else rows
+    return out
+
+
+def write_views(tables: dict[str, DataFrame], view: dict, folder: str, mode: str = "errorifexists") -> dict[str, DataFrame]:
+    """``materialize_views``, written as Parquet tables ``folder``/name and read back."""
     out = {}
-    for m in view.get("materialization", {}).get("materialized_views", []):
-        out[m["name"]] = evaluate_metric_view(tables, view, m["dimensions"], m["measures"]) if m["type"] == "aggregated" else _joined(tables, view)
+    for name, rows in materialize_views(tables, view).items():
+        rows.write.mode(mode).parquet(f"{folder}/{name}")
+        out[name] = rows.sparkSession.read.parquet(f"{folder}/{name}")
     return out
 
 
@@ -174,6 +143,8 @@ def check_constraints(df: DataFrame, properties: list[dict], name: str) -> DataF
         groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
         beyond = F.sum(F.when(full, F.col("_n") - 1).otherwise(F.col("_n") if rule == "primaryKey" else F.lit(0)))
         found.append(groups.agg(F.coalesce(beyond, F.lit(0)).cast("long").alias("violations")).select(F.lit(",".join(columns)).alias("property"), F.lit(rule).alias("rule"), "violations"))
+    if not found:
+        return df.sparkSession.createDataFrame([], "object string, property string, rule string, violations long")
     out = reduce(DataFrame.unionByName, found)
     return out.select(F.lit(name).alias("object"), "property", "rule", "violations")
 
@@ -201,6 +172,8 @@ def _holds(value: Column, rule: dict) -> Column:
     }
     aliases = {"mustBeGreaterThanOrEqualTo": "mustBeGreaterOrEqualTo", "mustBeLessThanOrEqualTo": "mustBeLessOrEqualTo"}
     found = [checks[aliases.get(k, k)](v) for k, v in rule.items() if aliases.get(k, k) in checks]
+    if not found:
+        raise ValueError(f"quality rule {rule.get('name')} has no comparator")
     return reduce(lambda a, b: a & b, found)
 
 
@@ -210,6 +183,8 @@ def check_quality_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
     A rule has name, metric (rowCount, nullValues, duplicateValues, sql), column or query
     (an aggregate expression), and comparators, all of which must hold.
     """
+    if not rules:
+        return df.sparkSession.createDataFrame([], "name string, metric string, value double, passed boolean")
     counts = df.agg(*(_METRICS[r["metric"]](r).cast("double").alias(f"v{i}") for i, r in enumerate(rules)))
     rows = F.array(*(F.struct(F.lit(r["name"]).alias("name"), F.lit(r["metric"]).alias("metric"), F.col(f"v{i}").alias("value"), _holds(F.col(f"v{i}"), r).alias("passed")) for i, r in enumerate(rules)))
     return counts.select(F.inline(rows))
