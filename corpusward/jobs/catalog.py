@@ -12,7 +12,7 @@ from corpusward.functions import markdown, pointers, text
 from corpusward.functions.lineage import cut, scratch, stored
 from corpusward.jobs import corpora, oracles, published
 from corpusward.operators import bundle_hygiene, bundles, conformance, execution, hygiene, models, references, registry, report
-from corpusward.sources import documents
+from corpusward.sources import documents, files
 from corpusward.sources import findings as findings_files
 from corpusward.sources.bundles import read_bundles, unreadable_bundles
 from corpusward.sources.registries import read_registries
@@ -878,6 +878,28 @@ def s1_read_documents(spark, sf_dir):
     return lines.select(F.get_json_object("line", "$.c_custkey").cast("long").alias("c_custkey"), F.get_json_object("line", "$.c_name").alias("c_name"))
 
 
+@query
+def s1_unreadable_files(spark, sf_dir):
+    """Every document a file of its own, those of every tenth id with a byte that is no UTF-8; a path to nothing besides."""
+    folder = scratch(spark)
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    k, content = F.col("doc_id"), F.col("text").cast("binary")
+    files.write_files(docs.select(F.concat(F.pmod(k, F.lit(10)).cast("string"), F.lit("/"), k.cast("string"), F.lit(".json")).alias("path"), F.when(k % 10 == 3, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content).alias("content")), folder)
+    read = documents.read_documents(spark, [folder, f"{folder}/nothing.yaml"])
+    bad = documents.path_problems(read).select("doc_id", "code", "message")
+    return read.join(bad, "doc_id", "left").select(F.regexp_extract("doc_id", r"([^/]+)$", 1).alias("file"), "bytes", F.sha2("text", 256).alias("sha256"), "code", "message")
+
+
+@query
+def p5_streamed_digests(spark, sf_dir):
+    """Artefacts that lie as files; every 43rd entry names a folder."""
+    folder = scratch(spark)
+    entries, artefacts = corpora.registry(spark, sf_dir)
+    files.write_files(artefacts, folder)
+    entries = entries.withColumn("vendored_path", F.when(F.col("idx") % 43 == 0, "docs").otherwise(F.col("vendored_path")))
+    return registry.verify_files(entries, folder).select("id", "path", "status", "bytes")
+
+
 @query
 def s5_read_registries(spark, sf_dir):
     entries, found = read_registries(corpora.registries(spark, sf_dir))

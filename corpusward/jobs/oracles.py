@@ -173,6 +173,11 @@ p4_duplicate_entry_ids = f"WITH {REGISTRY} SELECT id AS doc_id, 'REG005' AS code
 _STATUS = "CASE WHEN actual IS NULL OR k % 23 = 0 OR k % 29 = 0 THEN 'missing' WHEN k % 11 = 0 OR k % 37 = 0 THEN 'drifted' ELSE 'matched' END"
 p5_verify_digests = f"WITH {REGISTRY} SELECT id, path, {_STATUS} AS status, CASE WHEN k % 23 <> 0 AND k % 29 <> 0 THEN bytes END AS bytes FROM g"
 
+p5_streamed_digests = f"""
+WITH {REGISTRY}
+SELECT id, CASE WHEN k % 43 = 0 THEN 'docs' ELSE path END AS path, CASE WHEN k % 43 = 0 THEN 'unreadable' ELSE {_STATUS} END AS status, CASE WHEN k % 43 <> 0 AND k % 23 <> 0 AND k % 29 <> 0 THEN bytes END AS bytes FROM g
+"""
+
 p5_digest_findings = f"WITH {REGISTRY}, s AS (SELECT *, {_STATUS} AS status FROM g) SELECT id AS doc_id, CASE status WHEN 'missing' THEN 'REG020' WHEN 'drifted' THEN 'REG022' ELSE 'REG023' END AS code, place || 'sha256' AS pointer FROM s"
 
 p6_reconcile_manifest = f"""
@@ -499,6 +504,12 @@ WITH d AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id IS NOT NULL),
 )
 SELECT *, passes >= 2 AND fails >= 2 AS discriminates FROM v
 """
+s1_unreadable_files = """
+SELECT doc_id || '.json' AS file, strlen(t) + bad AS bytes, CASE WHEN bad = 0 THEN sha256(t) END AS sha256, CASE WHEN bad = 1 THEN 'CLI001' END AS code,
+       CASE WHEN bad = 1 THEN 'cannot be read: not UTF-8 at byte ' || strlen(t) END AS message
+FROM (SELECT doc_id, min(coalesce(text, '')) AS t, CASE WHEN doc_id % 10 = 3 THEN 1 ELSE 0 END AS bad FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
+UNION ALL SELECT 'nothing.yaml', NULL, NULL, 'CLI001', 'cannot be read: no such file or folder'
+"""
 s1_read_documents = "SELECT c_custkey, c_name FROM customer"
 s5_read_registries = """
 WITH m AS (SELECT p_partkey // 100 AS m, count(*) AS n, count(*) FILTER (WHERE p_partkey % 3 = 0) AS p, bool_or(p_partkey % 700 = 0) AS odd FROM part GROUP BY 1),

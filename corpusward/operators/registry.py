@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusward.functions.severity import findings
 from corpusward.operators.report import merge_reports
 from corpusward.schemas import REGISTRY
+from corpusward.sources.files import file_digests
 
 #: Refs that move.
 MOVING_REFS = ("latest", "head", "main", "master", "trunk", "default", "stable", "current", "edge", "tip", "release", "dev", "next")
@@ -89,9 +90,19 @@ def verify_digests(registry: DataFrame, artefacts: DataFrame) -> DataFrame:
     ``artefacts`` has path and content (null: unreadable).  Contents are hashed where they
     are read; only digests meet the registry.
     """
-    hashed = artefacts.select(F.col("path").alias("vendored_path"), F.sha2("content", 256).alias("actual"), F.octet_length("content").cast("long").alias("bytes"), F.lit(True).alias("there"))
-    rows = registry.join(hashed, "vendored_path", "left")
-    status = F.when(F.col("there").isNull(), "missing").when(F.col("actual").isNull(), "unreadable").when(F.trim("sha256") == F.col("actual"), "matched").otherwise("drifted")
+    hashed = artefacts.select("path", F.sha2("content", 256).alias("actual"), F.octet_length("content").cast("long").alias("bytes"), F.lit(True).alias("there"))
+    return _verified(registry, hashed)
+
+
+def verify_files(registry: DataFrame, root: str) -> DataFrame:
+    """``verify_digests`` of artefacts that lie as files under ``root``: each is hashed as it is read, whatever its size."""
+    return _verified(registry, file_digests(registry.select(F.col("vendored_path").alias("path")), root))
+
+
+def _verified(registry: DataFrame, hashed: DataFrame) -> DataFrame:
+    """``hashed`` has path, actual, bytes and there."""
+    rows = registry.join(hashed.withColumnRenamed("path", "vendored_path"), "vendored_path", "left")
+    status = F.when(~F.coalesce("there", F.lit(False)), "missing").when(F.col("actual").isNull(), "unreadable").when(F.trim("sha256") == F.col("actual"), "matched").otherwise("drifted")
     return rows.select("id", "idx", F.col("vendored_path").alias("path"), status.alias("status"), "bytes", "actual")
 
 

@@ -16,31 +16,27 @@ from pyspark.sql import functions as F
 from corpusward.functions.severity import findings
 from corpusward.operators.report import merge_reports
 from corpusward.schemas import NODES
+from corpusward.sources.files import find_files, read_files
 
-#: Fixed values.
-EXTENSIONS = r"(?i)\.(ya?ml|json)$"
 #: Keys whose object values are maps: their children's keys are names, not keywords.
 MAPS = frozenset(("models", "fields", "definitions", "servers"))
 
 
 def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """doc_id (path), text, bytes of every .yaml, .yml and .json file under ``paths``.
+    """doc_id (path), text, bytes and problem of every .yaml, .yml and .json file under ``paths``.
 
     Hidden names and ``target`` folders are skipped, as is what lies below a folder with
     an ``index.md`` (a bundle).  Folders may be nested to any depth.  A path to one file
-    is read whatever its extension.
+    is read whatever its extension.  What cannot be read (a path to nothing, a folder or
+    file without permission, bytes that are not UTF-8) is a row with a null text and a
+    problem; ``path_problems`` makes findings of these.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content", F.col("length").alias("bytes"))
-    given = [p.rstrip("/") for p in paths]
-    root = F.coalesce(*(F.when((F.col("path") == p) | F.col("path").startswith(p + "/"), F.lit(p)) for p in given), F.lit(""))
-    files = files.withColumn("root", root).withColumn("below", F.col("path").substr(F.char_length("root") + 2, F.lit(1 << 20)))
-    parts = F.split("below", "/")
-    seen = files.where(~F.exists(parts, lambda x: x.startswith(".") | (x == "target")))
-    roots = seen.where(F.regexp_extract("path", r"[^/]+$", 0) == "index.md").select(F.regexp_replace("path", r"/index\.md$", "").alias("bundle")).distinct()
-    folders = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
-    inside = seen.select("path", F.explode(folders).alias("bundle")).join(roots, "bundle", "left_semi").select("path").distinct()
-    wanted = seen.where((F.col("path") == F.col("root")) | F.col("path").rlike(EXTENSIONS)).join(inside, "path", "left_anti")
-    return wanted.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"), "bytes")
+    return read_files(find_files(spark, paths))
+
+
+def path_problems(docs: DataFrame) -> DataFrame:
+    """CLI001 [error] for each path of ``read_documents`` that could not be read."""
+    return findings(docs.where("problem is not null"), spec_id=None, severity="error", code="CLI001", message=F.concat(F.lit("cannot be read: "), "problem"))
 
 
 class _Refused(ValueError):
