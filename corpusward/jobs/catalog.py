@@ -900,6 +900,35 @@ def p5_streamed_digests(spark, sf_dir):
     return registry.verify_files(entries, folder).select("id", "path", "status", "bytes")
 
 
+#: What ``orders_as_documents`` has to keep.
+EXACT = {
+    "properties": {
+        "tag": {"enum": [{"kind": "O", "big": 9007199254740993}, {"kind": "F", "big": 9007199254740992}, {"big": 9007199254740990, "kind": "P"}]},
+        "lines": {"uniqueItems": True},
+        "huge": {"maximum": 10**321, "exclusiveMinimum": -(10**310), "multipleOf": 70},
+    }
+}
+
+
+def _exact(spark, sf_dir):
+    return documents.to_nodes(documents.dealt(corpora.orders_as_documents(spark, sf_dir))), conformance.rule_table(spark, EXACT)
+
+
+@query
+def v4_enum_of_objects(spark, sf_dir):
+    return conformance.value_not_permitted(*_exact(spark, sf_dir)).select("doc_id", "pointer", "message")
+
+
+@query
+def v7_equal_members(spark, sf_dir):
+    return conformance.bad_cardinality(*_exact(spark, sf_dir)).select("doc_id", "pointer", "message")
+
+
+@query
+def v8_exact_bounds(spark, sf_dir):
+    return conformance.out_of_range(*_exact(spark, sf_dir)).select("doc_id", "pointer", "message")
+
+
 @query
 def s5_read_registries(spark, sf_dir):
     entries, found = read_registries(corpora.registries(spark, sf_dir))

@@ -504,6 +504,20 @@ WITH d AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id IS NOT NULL),
 )
 SELECT *, passes >= 2 AND fails >= 2 AS discriminates FROM v
 """
+v4_enum_of_objects = """
+SELECT 'orders/' || o_orderkey AS doc_id, '/tag' AS pointer, 'this object is not permitted' AS message FROM orders
+WHERE NOT coalesce((o_orderstatus = 'O' AND o_orderkey % 5 = 3) OR (o_orderstatus = 'F' AND o_orderkey % 5 = 2) OR (o_orderstatus = 'P' AND o_orderkey % 5 = 0), false)
+"""
+v7_equal_members = """
+SELECT 'orders/' || o_orderkey AS doc_id, '/lines' AS pointer, 'members are equal' AS message
+FROM (SELECT l_orderkey AS o_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > count(DISTINCT (l_partkey % 2, l_suppkey % 3))) JOIN orders USING (o_orderkey)
+"""
+v8_exact_bounds = """
+WITH h AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 0 END AS unit, 301 + o_orderkey % 40 AS digits FROM orders)
+SELECT 'orders/' || k AS doc_id, '/huge' AS pointer, 'maximum is not met' AS message FROM h WHERE k % 7 <> 0 AND (digits > 321 OR (digits = 321 AND unit > 0))
+UNION ALL SELECT 'orders/' || k, '/huge', 'exclusiveMinimum is not met' FROM h WHERE k % 7 = 0 AND digits >= 310
+UNION ALL SELECT 'orders/' || k, '/huge', 'multipleOf is not met' FROM h
+"""
 s1_unreadable_files = """
 SELECT doc_id || '.json' AS file, strlen(t) + bad AS bytes, CASE WHEN bad = 0 THEN sha256(t) END AS sha256, CASE WHEN bad = 1 THEN 'CLI001' END AS code,
        CASE WHEN bad = 1 THEN 'cannot be read: not UTF-8 at byte ' || strlen(t) END AS message

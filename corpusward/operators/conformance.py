@@ -12,11 +12,16 @@ A keyword that is not checked is a row ``unsupported`` of the rule table, and a
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import re
+from decimal import MAX_EMAX, ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 from functools import reduce, wraps
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,18 +71,100 @@ _NAME, _PATTERN, _OTHER = "\x01", "\x02", "\x03"
 
 
 def _typed(value) -> tuple[str, str]:
-    """A JSON value as (class, text), equal for equal values."""
+    """A JSON value as (class, text), equal for equal values and for no others; ``subtree_digests`` and ``number_text`` say the same of nodes."""
     if isinstance(value, bool) or value is None:
         return "literal", json.dumps(value)
     if isinstance(value, (int, float)):
-        return "number", repr(float(value))
-    return "string", str(value)
+        whole = isinstance(value, int) or value.is_integer()
+        return "number", str(int(Decimal(repr(value)))) if whole else repr(value)
+    if isinstance(value, str):
+        return "string", value
+    facts, todo = [], [("", value)]
+    while todo:
+        at, v = todo.pop()
+        members = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ()
+        todo += [(f"{at}/{_token(str(k))}", x) for k, x in members]
+        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else _typed(v)[0]
+        facts.append(hashlib.sha256("\0".join((at, kind, "" if kind in ("object", "array") else _typed(v)[1])).encode()).hexdigest())
+    parts = [reduce(int.__xor__, (int(f[i : i + _HEX], 16) for f in facts)) for i in range(0, 4 * _HEX, _HEX)]
+    return ("object" if isinstance(value, dict) else "array"), ":".join(map(str, [len(facts), *parts]))
+
+
+#: Hexadecimal digits of a digest that fit a long.
+_HEX = 15
+
+
+def number_text(kind: str = "kind", text: str = "sval") -> Column:
+    """A number as a text that is equal for equal numbers: whole ones as all their digits, whatever they are written like."""
+    c = F.col(text)
+    scientific = r"^(-?)(\d)(?:\.(\d+))?e\+(\d+)$"
+    digits = F.concat(F.regexp_extract(c, scientific, 2), F.regexp_extract(c, scientific, 3))
+    spread = F.concat(F.regexp_extract(c, scientific, 1), F.rpad(digits, F.regexp_extract(c, scientific, 4).cast("int") + 1, F.lit("0")))
+    return F.when(F.col(kind) == "integer", c).when(c == "-0.0", "0").when(c.rlike(r"^-?\d+\.0$"), F.regexp_replace(c, r"\.0$", "")).when(c.rlike(scientific), spread).otherwise(c)
+
+
+def _scalar() -> tuple[Column, Column]:
+    """The class and the text of a node that has no members, as in ``_typed``."""
+    kind = F.when(F.col("kind").isin("integer", "number"), "number").when(F.col("kind").isin("null", "boolean"), "literal").otherwise(F.col("kind"))
+    return kind, F.when(kind == "number", number_text()).otherwise(F.col("sval"))
+
+
+def subtree_digests(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """doc_id, pointer and digest of the values at the rule paths ``tops`` (above).
+
+    A value is the set of what lies in it: each node's place below its top, kind and
+    value.  Their hashes are combined by exclusive or, so that sums of parts merge before the
+    shuffle and no value has to fit one row; order of keys does not count, 1 and 1.0 are
+    equal, and integers of any length differ where they differ.
+    """
+    kind, text = _scalar()
+    path = F.split("rule_path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.array_join(F.slice(path, F.lit(1), i), "/"))
+    levels = tops.select("above").distinct().withColumn("level", F.size(F.split("above", "/")))
+    below = nodes.select("doc_id", "pointer", kind.alias("class"), text.alias("value"), F.explode(prefixes).alias("above")).join(F.broadcast(levels), "above")
+    parts = F.split("pointer", "/")
+    inner = F.slice(parts, F.col("level") + 1, F.greatest(F.size(parts) - F.col("level"), F.lit(0)))
+    fact = F.sha2(F.concat_ws("\0", F.array_join(F.transform(inner, lambda x: F.concat(F.lit("/"), x)), ""), "class", F.when(F.col("class").isin("object", "array"), "").otherwise(F.coalesce("value", F.lit("")))), 256)
+    rows = below.select("doc_id", _upto(F.col("level")).alias("pointer"), "level", fact.alias("f"))
+    longs = [F.bit_xor(F.conv(F.substring("f", 1 + i * _HEX, _HEX), 16, 10).cast("long")).alias(f"x{i}") for i in range(4)]
+    one = rows.groupBy("doc_id", "pointer", "level").agg(F.count(F.lit(1)).alias("n"), *longs)
+    return one.select("doc_id", "pointer", F.concat_ws(":", *(F.col(c).cast("string") for c in ("n", "x0", "x1", "x2", "x3"))).alias("digest"))
+
+
+def _double(value) -> float:
+    try:
+        return float(value)
+    except OverflowError:
+        return math.inf if value > 0 else -math.inf
+
+
+def _whole_bound(keyword: str, value) -> str:
+    """The whole number that a whole number is to be compared with, exact at any length."""
+    exact = Decimal(repr(value))
+    with localcontext(prec=max(50, len(str(value)) + 5), Emax=MAX_EMAX):
+        return str(int(exact.to_integral_value(ROUND_CEILING if keyword in ("minimum", "exclusiveMaximum") else ROUND_FLOOR))) if keyword != "multipleOf" or exact == exact.to_integral_value() else ""
 
 
 def _token(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1")
 
 
+#: Patterns of one object whose keys are looked into.
+PATTERNS = 4
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether Python and the JVM of this session (if there is one) both read a pattern."""
+    try:
+        re.compile(pattern)
+        context = SparkContext._active_spark_context
+        if context is not None:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except (re.error, Py4JJavaError, OverflowError, RecursionError):
+        return False
+
+
 def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> list[tuple]:
     """Rows of RULES for a schema; local ``$ref`` are followed.
 
@@ -124,27 +211,28 @@ def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> l
         for key in s.get("required", ()):
             add("required", key)
         named, patterns, others = s.get("properties", {}), s.get("patternProperties", {}), s.get("additionalProperties", True)
+        for p in [p for p in patterns if not _compiles(p)]:
+            add("unsupported", f"pattern that does not compile: {p}")
+            patterns = {q: v for q, v in patterns.items() if q != p}
         if others is False:
             add("closed", "|".join(f"(?:{p})" for p in patterns) or None)
             for key in named:
                 add("allowed", key)
         if "const" in s or "enum" in s:
-            values = s.get("enum", [s.get("const")])
-            if any(isinstance(v, (dict, list)) for v in values):
-                add("unsupported", "enum of arrays or objects")
-            else:
-                add("values")
-                for v in values:
-                    kind, text = _typed(v)
-                    add("value", text, None, [kind])
+            values = s["enum"] if "enum" in s else [s["const"]]
+            add("values", "whole" if any(isinstance(v, (dict, list)) for v in values) else None)
+            for v in values:
+                kind, text = _typed(v)
+                add("value", text, None, [kind])
         if "type" in s:
             add("type", None, None, [s["type"]] if isinstance(s["type"], str) else list(s["type"]))
-        for k in ("pattern", "format"):
-            if k in s:
-                add(k, s[k])
+        if "format" in s:
+            add("format", s["format"])
+        if "pattern" in s:
+            add(*(("pattern", s["pattern"]) if _compiles(s["pattern"]) else ("unsupported", f"pattern that does not compile: {s['pattern']}")))
         for k in _NUMBERS:
             if k in s:
-                add(k, None, float(s[k]))
+                add(k, _whole_bound(k, s[k]), _double(s[k]))
         if s.get("uniqueItems"):
             add("uniqueItems")
         for part in s.get("allOf", ()):
@@ -168,8 +256,9 @@ def flatten_schema(schema: dict, starts: list[tuple] = (("", None, None),)) -> l
                 if re.search(p, key):
                     walk(part, f"{path}/{_token(key)}", branch, refs)
         if patterns or isinstance(others, dict):
-            if len(patterns) > 4:
-                add("unsupported", "more than four patternProperties")
+            if len(patterns) > PATTERNS:  # their subsets would be too many: keys that match a pattern are not looked into
+                add("unsupported", f"more than {PATTERNS} patternProperties")
+                patterns = {"|".join(f"(?:{p})" for p in patterns): True}
             add("patterned", json.dumps([sorted(named), list(patterns), isinstance(others, dict)]))
             for mask in range(1, 1 << len(patterns)):
                 for i, part in enumerate(patterns.values()):
@@ -277,6 +366,10 @@ def _met(nodes: DataFrame, rules: DataFrame, *keywords: str) -> DataFrame:
     return nodes.join(F.broadcast(rules.where(F.col("keyword").isin(list(keywords)))), "rule_path")
 
 
+def _met_at(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    return nodes.join(F.broadcast(rules), "rule_path")
+
+
 def _violation(rows: DataFrame, pointer: str, code, message) -> DataFrame:
     code = code if isinstance(code, Column) else F.lit(code)
     return rows.select("doc_id", F.col(pointer).alias("pointer"), "seq", code.alias("code"), message.alias("message"), "branch")
@@ -312,13 +405,16 @@ def unknown_property(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 @_unrolling
 def value_not_permitted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """A value is none of an enum's or not the constant; values are compared as JSON, not as text."""
-    kind = F.when(F.col("kind").isin("integer", "number"), "number").when(F.col("kind").isin("null", "boolean"), "literal").otherwise(F.col("kind"))
-    text = F.when(kind == "number", F.col("nval").cast("string")).otherwise(F.col("sval"))
+    kind, text = _scalar()
     asked = _met(nodes.select("doc_id", "pointer", "seq", "rule_path", kind.alias("class"), text.alias("value")), rules, "values").select("doc_id", "pointer", "seq", "rule_path", "class", "value", "branch")
-    value = F.when(F.col("kinds")[0] == "number", F.col("text").cast("double").cast("string")).otherwise(F.col("text"))
+    value = F.col("text")
+    whole = rules.where("keyword = 'values' and text = 'whole'").select(F.col("rule_path").alias("above"))
+    if not whole.isEmpty():
+        digests = subtree_digests(nodes, whole)
+        asked = asked.join(digests, ["doc_id", "pointer"], "left").withColumn("value", F.when(F.col("class").isin("object", "array"), F.col("digest")).otherwise(F.col("value"))).drop("digest")
     allowed = rules.where("keyword = 'value'").select(F.col("rule_path").alias("_path"), F.col("kinds")[0].alias("_class"), value.alias("_value"), F.col("branch").alias("_branch"))
     same = (F.col("rule_path") == F.col("_path")) & (F.col("class") == F.col("_class")) & (F.col("value") == F.col("_value")) & F.col("branch").eqNullSafe(F.col("_branch"))
-    return _violation(asked.join(F.broadcast(allowed), same, "left_anti"), "pointer", "103", F.concat(F.coalesce("value", F.col("class")), F.lit(" is not permitted")))
+    return _violation(asked.join(F.broadcast(allowed), same, "left_anti"), "pointer", "103", F.concat(F.when(F.col("class").isin("object", "array"), F.concat(F.lit("this "), "class")).otherwise(F.coalesce("value", F.col("class"))), F.lit(" is not permitted")))
 
 
 @_unrolling
@@ -364,33 +460,49 @@ def _counted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     fits = (F.col("kind") == "array") == k.endswith("Items")
     bad = fits & F.when(k.startswith("min"), n < F.col("num")).otherwise(n > F.col("num"))
     counted = _violation(rows.where(bad), "pointer", "106", F.concat("keyword", F.lit(" is not met")))
-    # The value of a member is all that lies below it.
-    unique = rules.where("keyword = 'uniqueItems'").select(F.col("rule_path").alias("above"), "branch", F.size(F.split("rule_path", "/")).alias("level")).distinct()
+    unique = rules.where("keyword = 'uniqueItems'").select("rule_path", "branch").distinct()
     if unique.isEmpty():
         return counted
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("rule_path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("rule_path", "/"), F.lit(1), i), "/"))
-    below = nodes.where("depth > 0").select("doc_id", "pointer", "kind", "sval", "nval", F.explode(prefixes).alias("above")).join(F.broadcast(unique), "above")
-    parts = F.split("pointer", "/")
-    inner = F.array_join(F.slice(parts, F.col("level") + 2, F.greatest(F.size(parts) - F.col("level") - 1, F.lit(0))), "/")
-    value = F.struct(inner.alias("p"), F.when(F.col("kind") == "integer", "number").otherwise(F.col("kind")).alias("k"), F.coalesce(F.col("nval").cast("string"), "sval").alias("v"))
-    members = below.groupBy("doc_id", _upto(F.col("level")).alias("pointer"), "branch", _upto(F.col("level") + 1).alias("member")).agg(F.sort_array(F.collect_list(value)).alias("value"))
-    twice = members.groupBy("doc_id", "pointer", "branch", F.xxhash64("value"), F.sha2(F.col("value").cast("string"), 256)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "pointer", "branch").distinct()
+    arrays = _met_at(nodes.where("kind = 'array'"), unique).select("doc_id", "pointer", "branch")
+    digests = subtree_digests(nodes, unique.select(F.concat("rule_path", F.lit("/*")).alias("above")))
+    members = digests.select("doc_id", F.regexp_replace("pointer", "/[^/]*$", "").alias("pointer"), "digest")
+    same = members.groupBy("doc_id", "pointer", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "pointer").distinct()
+    twice = arrays.join(same, ["doc_id", "pointer"])
     equal = nodes.where("kind = 'array'").select("doc_id", "pointer", "seq").join(twice, ["doc_id", "pointer"])
     return counted.unionByName(_violation(equal, "pointer", "106", F.lit("members are equal")))
 
 
+def _less(a: str, b: str) -> Column:
+    """Whether a whole number, as a text of any length, is less than another."""
+    size = lambda c: F.regexp_replace(F.col(c), "^-", "")
+    below = lambda x, y: (F.length(x) < F.length(y)) | ((F.length(x) == F.length(y)) & (x < y))
+    minus = lambda c: F.col(c).startswith("-")
+    return F.when(minus(a) != minus(b), minus(a)).when(minus(a), below(size(b), size(a))).otherwise(below(size(a), size(b)))
+
+
+def _remainder(a: str, b: str) -> Column:
+    """The remainder of a whole number of any length by one of up to nine digits, nine digits a step."""
+    digits = F.regexp_replace(F.col(a), "^-", "")
+    padded = F.lpad(digits, F.ceil(F.length(digits) / 9).cast("int") * 9, F.lit("0"))
+    steps = F.transform(F.sequence(F.lit(1), F.length(padded), F.lit(9)), lambda i: F.substring(padded, i, F.lit(9)).cast("long"))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda x, y: (x * 1_000_000_000 + y) % F.abs(F.col(b).cast("long")))
+
+
 @_unrolling
 def out_of_range(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """A number beyond its bounds or no multiple, or a string too short or too long (code points)."""
     rows = _met(nodes.where("kind in ('integer', 'number', 'string')"), rules, "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength")
-    v, n, k, num = F.col("nval"), F.char_length("sval"), F.col("keyword"), F.col("num")
+    rows = rows.withColumn("exact", F.when(F.col("kind") != "string", number_text()))
+    v, n, k, num, whole = F.col("nval"), F.char_length("sval"), F.col("keyword"), F.col("num"), F.col("exact").rlike(r"^-?\d+$")
     number, string = F.col("kind") != "string", F.col("kind") == "string"
+    less, more = (F.when(whole, _less(a, b)).otherwise(c) for a, b, c in (("exact", "text", v < num), ("text", "exact", v > num)))
+    multiple = F.when(whole & (F.length("text").between(1, 9)), _remainder("exact", "text") != 0).otherwise(F.abs(v / num - F.round(v / num)) > 1e-9)
     bad = (
-        F.when(k == "minimum", number & (v < num))
-        .when(k == "maximum", number & (v > num))
-        .when(k == "exclusiveMinimum", number & (v <= num))
-        .when(k == "exclusiveMaximum", number & (v >= num))
-        .when(k == "multipleOf", number & (F.abs(v / num - F.round(v / num)) > 1e-9))
+        F.when(k == "minimum", number & less)
+        .when(k == "maximum", number & more)
+        .when(k == "exclusiveMinimum", number & ~more)
+        .when(k == "exclusiveMaximum", number & ~less)
+        .when(k == "multipleOf", number & multiple)
         .when(k == "minLength", string & (n < num))
         .otherwise(string & (n > num))
     )
