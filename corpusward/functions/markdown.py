@@ -16,7 +16,7 @@ _OPEN = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 def fences(body: str) -> Iterator[tuple[str, str, int, int]]:
     """(language, code, opening line, closing line) of each closed fence; lines count from 1."""
     mark, language, start, code = "", "", 0, []
-    for number, line in enumerate(body.split("\n"), 1):
+    for number, line in enumerate(body.replace("\r\n", "\n").split("\n"), 1):
         m = _OPEN.match(line)
         if mark:
             if m and m[1][0] == mark[0] and len(m[1]) >= len(mark) and not m[2].strip():
@@ -55,7 +55,7 @@ def text_lines(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
 
     ``blocks`` comes from ``fenced_code_blocks``.
     """
-    lines = concepts.select("bundle", "concept_id", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\n")).alias("at", "text")).withColumn("line", F.col("at") + 1)
+    lines = concepts.select("bundle", "concept_id", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r?\n")).alias("at", "text")).withColumn("line", F.col("at") + 1)
     inside = blocks.select("bundle", "concept_id", F.explode(F.sequence("start_line", "end_line")).alias("line"))
     level = F.char_length(F.regexp_extract("text", r"^ {0,3}(#{1,6})(\s|$)", 1))
     return lines.join(inside, ["bundle", "concept_id", "line"], "left_anti").select("bundle", "concept_id", "line", "text", level.alias("level"))

@@ -929,6 +929,17 @@ def v8_exact_bounds(spark, sf_dir):
     return conformance.out_of_range(*_exact(spark, sf_dir)).select("doc_id", "pointer", "message")
 
 
+@query
+def k16_rings_through_one(spark, sf_dir):
+    """Customers of each hundred that derive from its first one and it from them: a ring for each."""
+    k, hub = F.col("c_custkey"), F.expr("c_custkey div 100 * 100")
+    c = table(spark, sf_dir, "customer").select(k, hub.alias("hub")).where("c_custkey is not null").distinct()
+    name = lambda x: F.format_string("c%08d", x)
+    pairs = F.array(F.struct(F.col("hub").alias("a"), k.alias("b")), F.struct(k.alias("a"), F.col("hub").alias("b")))
+    edges = c.select(F.col("hub").cast("string").alias("bundle"), F.explode(pairs).alias("e")).select("bundle", name(F.col("e.a")).alias("a"), name(F.col("e.b")).alias("b"))
+    return bundles.derivation_walks(edges).select("bundle", "start", F.array_join("walk", " -> ").alias("walk"))
+
+
 @query
 def s5_read_registries(spark, sf_dir):
     entries, found = read_registries(corpora.registries(spark, sf_dir))

@@ -518,6 +518,10 @@ SELECT 'orders/' || k AS doc_id, '/huge' AS pointer, 'maximum is not met' AS mes
 UNION ALL SELECT 'orders/' || k, '/huge', 'exclusiveMinimum is not met' FROM h WHERE k % 7 = 0 AND digits >= 310
 UNION ALL SELECT 'orders/' || k, '/huge', 'multipleOf is not met' FROM h
 """
+k16_rings_through_one = """
+WITH c AS (SELECT DISTINCT c_custkey AS k, c_custkey // 100 * 100 AS hub FROM customer WHERE c_custkey IS NOT NULL)
+SELECT hub::VARCHAR AS bundle, printf('c%08d', hub) AS start, printf('c%08d', hub) || CASE WHEN k = hub THEN '' ELSE printf(' -> c%08d', k) END AS walk FROM c
+"""
 s1_unreadable_files = """
 SELECT doc_id || '.json' AS file, strlen(t) + bad AS bytes, CASE WHEN bad = 0 THEN sha256(t) END AS sha256, CASE WHEN bad = 1 THEN 'CLI001' END AS code,
        CASE WHEN bad = 1 THEN 'cannot be read: not UTF-8 at byte ' || strlen(t) END AS message

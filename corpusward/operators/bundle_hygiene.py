@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from corpusward.functions.markdown import text_lines
 from corpusward.operators.bundles import found, sources
 from corpusward.operators.report import merge_reports
+from corpusward.sources.documents import PROBLEMS
 from corpusward.sources.bundles import front
 
 #: Order of known frontmatter keys.
@@ -91,8 +92,11 @@ def untagged_computation(concepts: DataFrame, blocks: DataFrame, lines: DataFram
 
 
 def trailing_whitespace(concepts: DataFrame) -> DataFrame:
-    """OKFL08 [info] once: how many lines end in white space, and the first."""
-    bad = F.filter(F.transform(F.split("body", "\n"), lambda x, i: F.when(x.rlike(r"\S[ \t\r]+$"), i + 1)), lambda i: i.isNotNull())
+    """OKFL08 [info] once: how many lines end in white space (blank ones that are not empty too), and the first.
+
+    A line ends at a newline, with the carriage return before it.
+    """
+    bad = F.filter(F.transform(F.split("body", r"\r?\n"), lambda x, i: F.when(x.rlike(r"(?U)\s\z"), i + 1)), lambda i: i.isNotNull())
     rows = concepts.withColumn("bad", bad).where(F.size("bad") > 0)
     return found(rows, "OKFL08", "info", F.concat(F.size("bad").cast("string"), F.lit(" lines, the first is "), F.col("bad")[0].cast("string")))
 
@@ -108,15 +112,27 @@ def unverified_and_draft(concepts: DataFrame) -> DataFrame:
     return merge_reports(found(concepts.where(none), "OKFL11", "info", "never verified"), found(concepts.where(front("status") == "draft"), "OKFL12", "warning", "is a draft"))
 
 
+def _reads_yaml(text: str) -> None:
+    """Whether ``text`` is YAML, from its events alone: values, tags and depth do not matter."""
+    anchors = set()
+    for event in yaml.parse(text, Loader=yaml.CSafeLoader):
+        if isinstance(event, yaml.AliasEvent) and event.anchor not in anchors:
+            raise ValueError("an alias of nothing")
+        if isinstance(event, yaml.DocumentStartEvent):
+            anchors.clear()
+        elif getattr(event, "anchor", None):
+            anchors.add(event.anchor)
+
+
 @F.pandas_udf(T.BooleanType())
 def _parses(language: pd.Series, code: pd.Series) -> pd.Series:
-    checks = {"json": json.loads, "yaml": lambda c: list(yaml.load_all(c, Loader=yaml.CSafeLoader)), "bash": lambda c: shlex.split(c, comments=True)}
+    checks = {"json": json.loads, "yaml": _reads_yaml, "bash": lambda c: shlex.split(c, comments=True)}
 
     def ok(kind: str, text: str) -> bool:
         try:
             checks[kind](text)
             return True
-        except (ValueError, yaml.YAMLError):
+        except PROBLEMS:
             return False
 
     return pd.Series([ok(k, c) for k, c in zip(language, code, strict=True)], dtype=bool)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.functions.groups import MOST_NAMES, others_named, sharing, smallest_of
+from corpusward.functions.groups import MOST_NAMES, others_named, sharing
 from corpusward.functions.lineage import cut, stored
 from corpusward.functions.severity import findings
 from corpusward.functions.text import bundle_relative, concept_id, link_targets
@@ -227,13 +228,77 @@ def _smallest_before(edges: DataFrame, name: str) -> DataFrame:
             return labels.withColumnRenamed("label", name)
 
 
+#: Edges of a bundle up to which its rings are found by one task, and steps of walks that one task takes.
+IN_ONE_TASK, STEPS = 200_000, 20_000_000
+
+
+def _reaching(edges: pd.DataFrame) -> pd.DataFrame:
+    """v and ring of one bundle: the sets of concepts that reach each other, by one walk in depth without recursion."""
+    after: dict[str, list[str]] = {}
+    for a, b in zip(edges["a"], edges["b"], strict=True):
+        after.setdefault(a, []).append(b)
+    order, low, stack, held, out = {}, {}, [], set(), []
+    for root in after:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        held.add(root)
+        open_ = [(root, iter(after[root]))]
+        while open_:
+            v, rest = open_[-1]
+            for w in rest:
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    stack.append(w)
+                    held.add(w)
+                    open_.append((w, iter(after.get(w, ()))))
+                    break
+                if w in held:
+                    low[v] = min(low[v], order[w])
+            else:
+                open_.pop()
+                if open_:
+                    low[open_[-1][0]] = min(low[open_[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = []
+                    while True:
+                        w = stack.pop()
+                        held.discard(w)
+                        part.append(w)
+                        if w == v:
+                            break
+                    if len(part) > 1 or v in after.get(v, ()):
+                        out += [(x, min(part)) for x in part]
+    return pd.DataFrame(out, columns=["v", "ring"])
+
+
 def derivation_rings(edges: DataFrame) -> DataFrame:
     """bundle, v, ring: each concept that derives from itself, and the smallest concept of its ring.
 
-    A ring is a set of concepts that all reach each other.  A concept whose smallest
-    concept before it and after it (``edges``: bundle, a, b) are the same lies in that one's
-    ring; edges between concepts that differ in either lie in no ring.  What is left goes
-    round again, each time without at least the smallest concept of each part.
+    A ring is a set of concepts that all reach each other.  No edge leaves a bundle, so
+    bundles of up to IN_ONE_TASK edges are a task each; larger ones are dealt over tasks.
+    """
+    edges = cut(edges.select("bundle", "a", "b"))
+    sizes = edges.groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
+    small = edges.join(sizes.where(F.col("n") <= IN_ONE_TASK), "bundle", "left_semi")
+
+    def task(key, rows: pd.DataFrame) -> pd.DataFrame:
+        found = _reaching(rows)
+        found.insert(0, "bundle", key[0])
+        return found
+
+    rings = small.groupBy("bundle").applyInPandas(task, "bundle string, v string, ring string")
+    large = sizes.where(F.col("n") > IN_ONE_TASK)
+    return rings if large.isEmpty() else rings.unionByName(_rings_over_tasks(edges.join(large, "bundle", "left_semi")))
+
+
+def _rings_over_tasks(edges: DataFrame) -> DataFrame:
+    """``derivation_rings`` of bundles of any size.
+
+    A concept whose smallest concept before it and after it (``edges``: bundle, a, b) are
+    the same lies in that one's ring; edges between concepts that differ in either lie in
+    no ring.  What is left goes round again, each time without at least the smallest concept of each part.
     """
     edges, n = _peeled(cut(edges.select("bundle", "a", "b")))
     rings = edges.select("bundle", F.col("a").alias("v"), F.col("a").alias("ring")).limit(0)
@@ -248,18 +313,72 @@ def derivation_rings(edges: DataFrame) -> DataFrame:
     return rings
 
 
+def _walks(after: dict[str, list[str]], start: str) -> list[list[str]]:
+    """Walks from ``start`` back to it, one for each concept found that ``start`` comes after.
+
+    Each concept is met once, by the walk that met it first: the concept put aside last
+    is gone on from, and its successors are taken in order.
+    """
+    came, out, open_ = {}, [], [start]
+
+    def way(v: str) -> list[str]:
+        trail = [v]
+        while v in came:
+            v = came[v]
+            trail.append(v)
+        return trail[::-1]
+
+    while open_:
+        v = open_.pop()
+        for w in after.get(v, ()):
+            if w == start:
+                out.append(way(v))
+            elif w not in came:
+                came[w] = v
+                open_.append(w)
+    return out
+
+
+def derivation_walks(edges: DataFrame) -> DataFrame:
+    """bundle, start, walk: every ring of derivation as the walk from its first concept back to it, one for each set of members.
+
+    Walks stay within a set of concepts that reach each other.  Such a set's starts are dealt
+    over tasks by STEPS; each task holds the edges of the set, and the members of one
+    start's walks.
+    """
+    edges = edges.select("bundle", "a", "b").distinct()
+    rings = cut(derivation_rings(edges))
+    inner = edges.join(rings.toDF("bundle", "a", "ring"), ["bundle", "a"]).join(rings.toDF("bundle", "b", "ring"), ["bundle", "b", "ring"])
+    sizes = inner.groupBy("bundle", "ring").agg(F.ceil(F.count(F.lit(1)) * F.count_distinct("a") / STEPS).cast("int").alias("parts"))
+    dealt = inner.join(sizes, ["bundle", "ring"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", F.pmod(F.xxhash64("a"), "parts") == F.col("part"))
+
+    def task(key, rows: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[str]] = {}
+        for a, b in sorted(zip(rows["a"], rows["b"], strict=True)):
+            after.setdefault(a, []).append(b)
+        seen, out = set(), []
+        for start in sorted(set(rows.loc[rows["own"], "a"])):
+            for walk in _walks(after, start):
+                if (members := frozenset(walk)) not in seen:
+                    seen.add(members)
+                    out.append((key[0], start, len(out), walk))
+        return pd.DataFrame(out, columns=["bundle", "start", "at", "walk"])
+
+    found = dealt.select("bundle", "ring", "part", "a", "b", "own").groupBy("bundle", "ring", "part").applyInPandas(task, "bundle string, start string, at long, walk array<string>")
+    members = F.sha2(F.to_json(F.array_sort("walk")), 256)
+    return found.groupBy("bundle", members.alias("members")).agg(F.min(F.struct("start", "at", "walk")).alias("r")).select("bundle", "r.start", "r.walk")
+
+
 def circular_derivation(concepts: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
-    """OKF112 for each ring of derivation, located at its smallest concept and naming up to ``most_names`` members, then their number.
+    """OKF112 for each ring of derivation, located at the concept its walk starts from and naming up to ``most_names`` members in the order of the walk, then their number.
 
-    One finding for each set of mutually reachable concepts; a bundle has an error exactly
-    if it has a cycle.  ``derivation_rings`` lists all members.
+    Rings with the same members are one; ``derivation_walks`` lists all members.
     """
-    rings = derivation_rings(derivation_edges(concepts))
-    sizes = rings.groupBy("bundle", "ring").agg(F.count(F.lit(1)).alias("n"))
-    named = smallest_of(rings, ["bundle", "ring"], "v", most_names).join(sizes, ["bundle", "ring"])
-    rows = named.withColumnRenamed("ring", "concept_id").join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"])
-    more = F.when(F.col("n") > most_names, F.concat(F.lit(" -> "), (F.col("n") - most_names).cast("string"), F.lit(" more"))).otherwise("")
-    return found(rows, "OKF112", "error", F.concat(F.lit("derives from itself: "), F.array_join("names", " -> "), more))
+    walks = derivation_walks(derivation_edges(concepts))
+    rows = walks.withColumnRenamed("start", "concept_id").join(concepts.select("bundle", "concept_id", "path"), ["bundle", "concept_id"])
+    n = F.size("walk")
+    more = F.when(n > most_names, F.concat(F.lit(" -> "), (n - most_names).cast("string"), F.lit(" more"))).otherwise("")
+    return found(rows, "OKF112", "error", F.concat(F.lit("derives from itself: "), F.array_join(F.slice("walk", 1, most_names), " -> "), more))
 
 
 def index_listings(index: DataFrame, concepts: DataFrame, files: DataFrame) -> DataFrame:

@@ -327,13 +327,13 @@ def test_verdicts_have_both_outcomes(spark):
     assert [r.discriminates for r in registry.verdict_balance(verdicts(""), verdicts("")).collect()] == [False, False]
 
 
-def test_overlapping_rings_are_one_finding(spark):
+def test_overlapping_rings_are_findings_of_their_own(spark):
     def concept(*targets):
         return "---\nsources: [" + ", ".join(f'{{"resource": "{t}.md"}}' for t in targets) + "]\n---\nb"
 
     files = {"k/index.md": "", "k/a.md": concept("b", "c"), "k/b.md": concept("a"), "k/c.md": concept("a"), "k/d.md": concept("a"), "k/e.md": concept("f"), "k/f.md": concept("https://x/e"), "k/g.md": concept("g")}
     found = bundles.circular_derivation(a_bundle(spark, files)[0]).collect()
-    assert {(r.pointer, r.message) for r in found} == {("a", "derives from itself: a -> b -> c"), ("g", "derives from itself: g")}
+    assert {(r.pointer, r.message) for r in found} == {("a", "derives from itself: a -> b"), ("a", "derives from itself: a -> c"), ("g", "derives from itself: g")}
 
 
 def test_paths_links_and_hostile_text(spark):
@@ -382,7 +382,34 @@ def test_rings_equal_brute_force(spark):
     want = {(name(v), name(min(u for u in reach[v] if v in reach[u]))) for v in reach if v in reach[v]}
     rows = spark.createDataFrame([("b", name(a), name(b)) for a, b in edges], "bundle string, a string, b string")
     assert {(r.v, r.ring) for r in bundles.derivation_rings(rows).collect()} == want
-    assert bundles.derivation_rings(rows.limit(0)).count() == 0
+    assert {(r.v, r.ring) for r in bundles._rings_over_tasks(rows).collect()} == want
+    assert bundles.derivation_rings(rows.limit(0)).count() == 0 and bundles.derivation_walks(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("steps", [1, 20_000_000])
+def test_walks_of_rings(spark, steps, monkeypatch):
+    monkeypatch.setattr(bundles, "STEPS", steps)
+    rng = random.Random(11)
+    edges = sorted({(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(30)})
+    got = {(r.start, tuple(r.walk)) for r in bundles.derivation_walks(spark.createDataFrame([("b", *e) for e in edges], "bundle string, a string, b string")).collect()}
+    # every walk is one, starts at its smallest-found concept, and no two have the same members
+    for start, walk in got:
+        assert walk[0] == start and all(e in edges for e in zip(walk, [*walk[1:], start], strict=True)) and len(set(walk)) == len(walk)
+    assert len({frozenset(w) for _, w in got}) == len(got)
+    want, seen = set(), set()
+    for start in sorted({a for a, _ in edges}):
+        stack, met = [(start, (start,))], set()
+        while stack:
+            node, trail = stack.pop()
+            for b in [y for x, y in edges if x == node]:
+                if b == start:
+                    if frozenset(trail) not in seen:
+                        seen.add(frozenset(trail))
+                        want.add((start, trail))
+                elif b not in met:
+                    met.add(b)
+                    stack.append((b, (*trail, b)))
+    assert got == want and len(want) > 5
 
 
 def test_messages_name_a_few_of_many(spark):
