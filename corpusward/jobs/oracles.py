@@ -481,7 +481,7 @@ UNION ALL SELECT doc_id, 'OKFL03', 'warning' FROM n WHERE NOT blank AND k % 8 <>
 """
 l2_key_order = f"WITH {BUNDLE} SELECT doc_id, 'OKFL02' AS code, 'info' AS severity FROM n WHERE k % 29 = 0"
 l3_actor_convention = f"WITH {BUNDLE} SELECT doc_id, 'OKFL06' AS code, 'info' AS severity FROM n WHERE k % 6 = 0 AND k % 10 <> 9"
-l5_trailing_whitespace = f"WITH {BUNDLE} SELECT doc_id, 'OKFL08' AS code, '2' AS n FROM n WHERE NOT blank AND k % 6 = 1"
+l5_trailing_whitespace = f"WITH {BUNDLE} SELECT doc_id, 'OKFL08' AS code, CASE WHEN blank THEN '1' ELSE '2' END AS n FROM n WHERE blank OR k % 6 = 1"
 l6_portable_ids = f"WITH {BUNDLE} SELECT doc_id, 'OKFR01' AS code, 'warning' AS severity FROM n WHERE k % 25 = 24"
 l7_unverified_and_draft = f"WITH {BUNDLE} SELECT doc_id, 'OKFL11' AS code, 'info' AS severity FROM n WHERE k % 14 <> 1 UNION ALL SELECT doc_id, 'OKFL12', 'warning' FROM n WHERE status = 'draft'"
 l8_code_block_syntax = f"WITH {BUNDLE} SELECT doc_id, 'OKF007' AS code, 'info' AS severity FROM n WHERE NOT blank AND k % 5 = 3"
