@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from corpusward.functions.lineage import stored
 from corpusward.llm.bytepairs import blocks as text_blocks
 
-LANES, STEPS, BLOCK = 128, 128, 65_536
+LANES, STEPS, BLOCK = 128, 256, 65_536
 #: Blocks that a task codes side by side.
 TOGETHER = 32
 _U = np.uint64
