@@ -156,18 +156,18 @@ def _digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def template_matches(scanned: DataFrame, plan: _Plan, rank: np.ndarray, templates) -> DataFrame:
-    """doc_id, digest, block, name, label and containment of every block that meets a template."""
+    """doc_id, digest, block, name, label and containment of every block that meets a template; templates may share a name."""
     spark = scanned.sparkSession
     rows = []
-    for (name, label, _), words, need, step in zip(templates, plan.templates, plan.need, plan.steps, strict=True):
+    for number, ((name, label, _), words, need, step) in enumerate(zip(templates, plan.templates, plan.need, plan.steps, strict=True)):
         ordered = np.sort(rank[words]).tolist()
-        rows += [(step, w, i, len(ordered), need, name, label, ordered) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "step long, word int, i int, t int, need int, name string, label string, template array<int>")
+        rows += [(step, w, i, len(ordered), need, number, name, label, ordered) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+    prefixes = spark.createDataFrame(rows, "step long, word int, i int, t int, need int, number int, name string, label string, template array<int>")
     blocks = scanned.select("doc_id", "digest", F.explode("blocks").alias("b")).select("doc_id", "digest", F.col("b.step").alias("step"), F.col("b.block").alias("block"), F.col("b.words").alias("words"), F.size("b.words").alias("size"))
     probes = blocks.select("*", F.posexplode("words").alias("j", "word"))
     # The templates are the caller's own list: a row for each of their words at most.
     met = probes.join(F.broadcast(prefixes), ["step", "word"]).where((F.col("size") >= F.col("need")) & (F.col("t") - F.col("i") >= F.col("need")) & (F.col("size") - F.col("j") >= F.col("need")))
-    pairs = met.groupBy("doc_id", "digest", "step", "block", "name").agg(F.any_value("label").alias("label"), F.any_value("words").alias("words"), F.any_value("template").alias("template"), F.any_value("need").alias("need"), F.any_value("t").alias("t"))
+    pairs = met.groupBy("doc_id", "digest", "step", "block", "number").agg(F.any_value("name").alias("name"), F.any_value("label").alias("label"), F.any_value("words").alias("words"), F.any_value("template").alias("template"), F.any_value("need").alias("need"), F.any_value("t").alias("t"))
     both = F.size(F.array_intersect("words", "template"))
     return pairs.where(both >= F.col("need")).select("doc_id", "digest", "block", "name", "label", (both / F.col("t")).alias("containment"))
 

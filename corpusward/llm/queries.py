@@ -60,8 +60,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, end_id=1)
-    return packing.pack(pieces, 2048)
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, end_id=1)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

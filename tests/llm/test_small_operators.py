@@ -163,6 +163,13 @@ def test_license_labels_places_and_edges(spark):
     assert licenses.license_report(docs(spark, [])).count() == 0
 
 
+def test_templates_of_one_name_are_told_apart(spark):
+    words = " ".join(f"alpha{i}" for i in range(12)), " ".join(f"beta{i}" for i in range(12))
+    templates = [("same", "A1", words[0]), ("same", "B1", words[1])]
+    out = licenses.license_report(docs(spark, [(1, " ".join(words), "s"), (2, words[1], "s")]), templates, {}).collect()
+    assert {r.doc_id: r.labels for r in out} == {1: "A1,B1", 2: "B1"}
+
+
 def test_license_templates_of_any_length_at_any_place(spark):
     long = [(f"t{n}", f"l{n}", " ".join(f"w{n}x{i}" for i in range(n))) for n in (32, 33, 64, 65, 700, 5000)]
     rows = [(1000 * n + shift, "pad " * shift + notice, "s") for (_, _, notice), n in zip(long, (32, 33, 64, 65, 700, 5000)) for shift in (0, 1, 31, 33, 63, 700)]
@@ -330,33 +337,64 @@ def test_patterns_place_every_length_once_with_little_padding(histogram, sequenc
 
 
 def _one_place_each(out, max_tokens):
-    """The places of packed pieces follow each other from 0 in numbered sequences."""
+    """The places of packed pieces follow each other from 0 in numbered sequences, of which all but one are full."""
     seen = {}
-    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
-        assert r.offset == seen.get(r.sequence_id, 0)
-        seen[r.sequence_id] = r.offset + r.length
+    for sequence_id, offset, length in sorted(out):
+        assert offset == seen.get(sequence_id, 0)
+        seen[sequence_id] = offset + length
     assert max(seen.values()) <= max_tokens and sorted(seen) == list(range(len(seen)))
+    assert sum(max_tokens - n for n in seen.values()) < max_tokens
     return len(seen)
 
 
+def _places(out):
+    return [(r.sequence_id, r.offset, r.length) for r in out]
+
+
 def test_pieces_hold_the_ids_of_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    rows = [(i, t, "s") for i, t in enumerate([*HARD, "long text " * 20_000, "a  <|endoftext|><|endoftext|> b<|endoftext", "<|endoftext|>"])] + [(1000 + i, "word " * (7 * i % 90), "s") for i in range(80)] + [(None, "no id", "s"), (5, None, "s")]
-    out = packing.pack(packing.token_pieces(docs(spark, rows), path, 32, 1), 32).collect()
-    _one_place_each(out, 32)
-    want = Counter()
-    for doc_id, text, _ in rows:
-        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
-        want.update((doc_id, i, len(ids[i : i + 32]), zlib.crc32(np.array(ids[i : i + 32], "<u4").tobytes()), len(ids)) for i in range(0, len(ids), 32))
-    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out) == want
+    rows = [(i, t, "s") for i, t in enumerate([*HARD, "long text " * 20_000, "a  <|endoftext|><|endoftext|> b<|endoftext", "<|endoftext|>"])] + [(1000 + i, "word " * (7 * i % 90), "s") for i in range(80)] + [(None, "no id", "s"), (2000, None, "s")]
+    ids = {doc_id: np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4") for doc_id, text, _ in rows}
+    extra = docs(spark, rows).withColumn("row", F.lit("r")).withColumn("skip", F.lit("s")).withColumn("_part", F.lit(1))
+    out = packing.packed_documents(extra, path, 32, 1).collect()
+    _one_place_each(_places(out), 32)
+    at = Counter()
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        at[r.doc_id] += r.length
+    assert at == {k: len(v) for k, v in ids.items()}
+
+
+def test_pieces_of_repeated_rows_and_of_string_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    frame = spark.createDataFrame([("a", "word " * 20), ("a", "word " * 20), ("b", None)], "doc_id string, text string")
+    out = packing.packed_documents(frame, path, 8, 1).collect()
+    _one_place_each(_places(out), 8)
+    n = {r.doc_id: r.doc_tokens for r in out}
+    assert sum(r.length for r in out if r.doc_id == "a") == 2 * n["a"] and n["b"] == 1
+    assert packing.packed_documents(frame.limit(0), path, 8, 1).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [{1025: 1000}, {700: 999}, {2047: 1500}, {1030: 400, 1200: 600}, {1025: 700, 1000: 5, 2048: 3}, {1: 3}, {700: 10, 1025: 10, 2047: 10}, {2048: 4}])
+def test_one_length_and_mixes_leave_less_than_a_sequence_of_padding(spark, lengths):
+    rows = spark.createDataFrame([(i, n) for n, times in lengths.items() for i in range(times)], "doc_id long, length long").repartition(5)
+    out = packing.pack(rows, 2048).collect()
+    total = sum(n * times for n, times in lengths.items())
+    assert _one_place_each([(r.sequence_id, r.offset, r.taken) for r in out], 2048) == -(-total // 2048)
+    parts = {}
+    for r in sorted(out, key=lambda r: r.skip):
+        assert r.skip == parts.get((r.doc_id, r.length), 0)
+        parts[r.doc_id, r.length] = r.skip + r.taken
+    assert len(parts) == sum(lengths.values()) and all(length == n for (_, length), n in parts.items())
 
 
 def test_equal_pieces_are_packed_together(spark):
     rows = spark.range(5000, numPartitions=7).selectExpr("id as doc_id", "case when id % 5 = 0 then 600L else 7L end as length", "0L as sequence", "'x' as first")
     out = packing.pack(rows, 2048)
-    assert out.columns == ["doc_id", "length", "sequence", "first", "sequence_id", "offset"]
-    assert _one_place_each(out.collect(), 2048) == 334 and out.select("doc_id").distinct().count() == 5000
+    assert out.columns == ["doc_id", "length", "sequence", "first", "sequence_id", "offset", "skip", "taken"]
+    assert _one_place_each([(r.sequence_id, r.offset, r.taken) for r in out.collect()], 2048) == 307 and out.select("doc_id").distinct().count() == 5000
     assert packing.pack(rows.limit(0), 2048).count() == 0
 
 
