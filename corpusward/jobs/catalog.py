@@ -940,6 +940,52 @@ def k16_rings_through_one(spark, sf_dir):
     return bundles.derivation_walks(edges).select("bundle", "start", F.array_join("walk", " -> ").alias("walk"))
 
 
+def _reports(spark, sf_dir) -> list[DataFrame]:
+    """Three reports, each finding of errors in two of them."""
+    f = corpora.event_findings(spark, sf_dir)
+    return [report.by_severity(f, "error"), f.where("spec_id = 'odcs'"), f]
+
+
+@query
+def r5_merged_order(spark, sf_dir):
+    return report.merge_in_order(*_reports(spark, sf_dir)).select("doc_id", "seq", "severity", "position")
+
+
+@query
+def r6_sorted_merge(spark, sf_dir):
+    return report.sort_by_severity(report.merge_in_order(*_reports(spark, sf_dir))).select("doc_id", "seq", "severity", "position", "rank")
+
+
+@query
+def s6_published_runs(spark, sf_dir):
+    """Two runs published and read back; a third one that ended before its mark, which nobody sees."""
+    f, folder = corpora.event_findings(spark, sf_dir), scratch(spark)
+    for run, rows in (("first", f), ("second", report.by_severity(f, "error"))):
+        findings_files.publish_run(f.select("doc_id"), rows, folder, "error", run)
+    findings_files.write_run(f.select("doc_id"), f, f"{folder}/runs/third", "error")
+    read = findings_files.read_runs(spark, folder, "diagnostics")
+    place = F.get_json_object("json", "$.location.document")
+    return read.groupBy("run", F.get_json_object("json", "$.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(place).alias("documents"))
+
+
+@query
+def p7_own_verdicts(spark, sf_dir):
+    """Every compute asset validated, then again after every third one changed; recorded are the published schema's verdicts by the asset's key."""
+    path = f"{scratch(spark)}/verdicts"
+    assets = corpora.services(spark, sf_dir).withColumn("k", F.element_at(F.split("doc_id", "/"), -1).cast("long"))
+    before = assets.withColumn("text", F.when(F.col("k") % 3 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    rules = conformance.rule_table(spark, published.CADS)
+
+    def validate(docs):
+        return conformance.schema_findings(documents.to_nodes(documents.dealt(docs)), rules, "cads")
+
+    registry.own_verdicts(before, validate, "cads 1", path)
+    ours = registry.own_verdicts(assets, validate, "cads 1", path)
+    recorded = ours.select("doc_id", F.col("digest").alias("sha256"), F.when(F.element_at(F.split("doc_id", "/"), -1).cast("long") % 2 == 0, "ok").otherwise("err").alias("verdict"))
+    agreed = registry.verdict_agreement(recorded, ours, ours.select("doc_id").limit(0))
+    return ours.select("doc_id", "verdict", "validated").join(agreed, "doc_id")
+
+
 @query
 def s5_read_registries(spark, sf_dir):
     entries, found = read_registries(corpora.registries(spark, sf_dir))

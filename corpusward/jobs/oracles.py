@@ -98,7 +98,7 @@ SELECT r.doc_id, r.pointer, r.contract_id,
        array_to_string(t.target, ',') AS targets
 FROM r LEFT JOIN t ON t.contract_id = r.contract_id
 """
-_TARGETS = "t AS (SELECT contract_id, list_sort(list(doc_id)) AS target FROM c WHERE contract_id IS NOT NULL GROUP BY contract_id)"
+_TARGETS = "t AS (SELECT contract_id, list_sort(list(doc_id))[1:10] AS target FROM c WHERE contract_id IS NOT NULL GROUP BY contract_id)"
 
 x4_resolve_contracts = f"WITH {CONTRACTS}, {REFS}, {_TARGETS}" + _RESOLVED.format(examined="1", unreadable="0")
 x4_incomplete_corpus = f"WITH {CONTRACTS}, {REFS}, {_TARGETS}" + _RESOLVED.format(examined="1", unreadable="(SELECT count(*) FROM c WHERE contract_id IS NULL AND NOT broken)")
@@ -522,6 +522,18 @@ k16_rings_through_one = """
 WITH c AS (SELECT DISTINCT c_custkey AS k, c_custkey // 100 * 100 AS hub FROM customer WHERE c_custkey IS NOT NULL)
 SELECT hub::VARCHAR AS bundle, printf('c%08d', hub) AS start, printf('c%08d', hub) || CASE WHEN k = hub THEN '' ELSE printf(' -> c%08d', k) END AS walk FROM c
 """
+_MERGED = "m AS (SELECT 0 AS r, * FROM f WHERE severity_rank = 2 UNION ALL SELECT 1, * FROM f WHERE spec_id = 'odcs' UNION ALL SELECT 2, * FROM f), p AS (SELECT *, row_number() OVER (ORDER BY r, doc_id NULLS FIRST, seq) - 1 AS position FROM m)"
+r5_merged_order = f"WITH {FINDINGS}, {_MERGED} SELECT doc_id, seq, severity, position FROM p"
+r6_sorted_merge = f"WITH {FINDINGS}, {_MERGED} SELECT doc_id, seq, severity, position, row_number() OVER (ORDER BY severity_rank DESC, position) - 1 AS rank FROM p"
+s6_published_runs = f"""
+WITH {FINDINGS}
+SELECT 'first' AS run, severity, count(*) AS n, count(DISTINCT doc_id) AS documents FROM f GROUP BY severity
+UNION ALL SELECT 'second', severity, count(*), count(DISTINCT doc_id) FROM f WHERE severity_rank = 2 GROUP BY severity
+"""
+p7_own_verdicts = """
+WITH s AS (SELECT p_partkey AS k, CASE WHEN k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0 OR k % 3 = 0 OR k % 13 = 0 OR k % 17 = 0 OR k % 2 = 1 OR k % 19 = 0 THEN 'err' ELSE 'ok' END AS verdict FROM part)
+SELECT 'services/' || k AS doc_id, verdict, k % 3 = 0 AS validated, CASE WHEN (verdict = 'ok') = (k % 2 = 0) THEN 'agree' ELSE 'unexpected-divergence' END AS status FROM s
+"""
 s1_unreadable_files = """
 SELECT doc_id || '.json' AS file, strlen(t) + bad AS bytes, CASE WHEN bad = 0 THEN sha256(t) END AS sha256, CASE WHEN bad = 1 THEN 'CLI001' END AS code,
        CASE WHEN bad = 1 THEN 'cannot be read: not UTF-8 at byte ' || strlen(t) END AS message

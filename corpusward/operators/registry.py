@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusward.functions.lineage import cut, stored
 from corpusward.functions.severity import findings
-from corpusward.operators.report import merge_reports
+from corpusward.operators.report import gate, merge_reports
 from corpusward.schemas import REGISTRY
 from corpusward.sources.files import file_digests
 
@@ -147,6 +150,29 @@ def verdict_agreement(recorded: DataFrame, computed: DataFrame, known: DataFrame
     return rows.select("doc_id", status.alias("status"))
 
 
+def own_verdicts(docs: DataFrame, validate: Callable[[DataFrame], DataFrame], rules: str, path: str, policy: str = "error") -> DataFrame:
+    """doc_id, digest, verdict (ok or err) and validated of ``docs`` (doc_id, text), by a table at ``path`` of verdicts by digest.
+
+    ``validate`` gives the findings of documents whose doc_id is their digest; a document
+    whose findings ``policy`` gates is err.  ``rules`` names what they are validated
+    against: verdicts on the same text under other rules are others.  Only texts without a
+    verdict are validated, each once however many documents have it, and added to
+    the table; validated says which documents had to wait for that.  A null text is an empty one.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    schema = "digest string, verdict string, rules string"
+    # A folder of this name keeps the table readable before its first verdict.
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    known = cut(spark.read.schema(schema).parquet(path).where(F.col("rules") == rules).select("digest", "verdict").distinct())
+    new = stored(rows.join(known, "digest", "left_anti").select(F.col("digest").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    gated = gate(validate(new), policy, ["doc_id"]).select("doc_id", "gated")
+    fresh = cut(new.select("doc_id").join(gated, "doc_id", "left").select(F.col("doc_id").alias("digest"), F.when(F.coalesce("gated", F.lit(False)), "err").otherwise("ok").alias("verdict")))
+    fresh.withColumn("rules", F.lit(rules)).write.mode("append").parquet(path)
+    all_ = known.withColumn("validated", F.lit(False)).unionByName(fresh.withColumn("validated", F.lit(True)))
+    return rows.drop("text").join(all_, "digest").select("doc_id", "digest", "verdict", "validated")
+
+
 def verdict_balance(recorded: DataFrame, computed: DataFrame, least: int = 2) -> DataFrame:
     """side (recorded, computed), passes, fails and whether each is at least ``least``: agreement means little otherwise."""
     verdicts = recorded.select(F.lit("recorded").alias("side"), "verdict").unionByName(computed.select(F.lit("computed").alias("side"), "verdict"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.functions.order import positions
 from corpusward.functions.severity import SEVERITIES, findings, name_of
 
 #: What a policy may be.
@@ -70,6 +71,21 @@ def merge_reports(*reports: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+def merge_in_order(*reports: DataFrame) -> DataFrame:
+    """All findings of all reports with ``position``, from 0: the first report's, then the next one's; within a report by document and ``seq``.
+
+    Duplicates stay.  Findings that a report has twice at one place follow each other.
+    """
+    both = reduce(DataFrame.unionByName, (r.withColumn("_report", F.lit(i)) for i, r in enumerate(reports)))
+    others = [c for c in reports[0].columns if c not in ("doc_id", "seq")]
+    return positions(both, [F.col(c) for c in ("_report", "doc_id", "seq", *others)]).drop("_report")
+
+
+def sort_by_severity(found: DataFrame) -> DataFrame:
+    """``merge_in_order``'s findings with ``rank``, from 0: the most severe first, else in the order that they have."""
+    return positions(found, [F.col("severity_rank").desc(), F.col("position")], "rank")
+
+
 def sort_findings(found: DataFrame) -> DataFrame:
     """By document, most severe first, else in the order found (``seq``)."""
     return found.orderBy("doc_id", F.desc("severity_rank"), "seq", "code", "pointer")
