@@ -16,7 +16,7 @@ from corpusward.sources import documents, files
 from corpusward.sources import findings as findings_files
 from corpusward.sources.bundles import read_bundles, unreadable_bundles
 from corpusward.sources.registries import read_registries
-from corpusward.sources.tables import table
+from corpusward.sources.tables import state, table
 
 FLAGSHIP = "missing_contracts_gate"
 ODCS = hygiene.Facts(version="3.1.0")
@@ -104,8 +104,8 @@ _PARSED: dict[tuple, DataFrame] = {}
 
 
 def _nodes(spark, sf_dir, corpus) -> DataFrame:
-    """The nodes of a corpus, parsed and written once in a session: each rule reads the columns and rows that it needs."""
-    key = (spark.sparkContext.applicationId, sf_dir, corpus.__name__)
+    """The nodes of a corpus, parsed and written once in a session, as long as the tables stay as they are: each rule reads the columns and rows that it needs."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir), corpus.__name__)
     if key not in _PARSED:
         _PARSED[key] = stored(documents.to_nodes(documents.dealt(corpus(spark, sf_dir))))
     return _PARSED[key]
@@ -651,8 +651,9 @@ def t3_neutralise_whole_for_html(spark, sf_dir):
 
 @query
 def t6_bundle_relative(spark, sf_dir):
-    path = F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("a/../"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", text.bundle_relative(path).alias("path"))
+    """The path of every page's address, the same below a folder that it leaves, and the address as it is."""
+    own = F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", text.bundle_relative(own).alias("path"), text.bundle_relative(F.concat(F.lit("a/.."), own)).alias("leaving"), text.bundle_relative(F.col("url")).alias("whole"))
 
 
 # Knowledge bundles.

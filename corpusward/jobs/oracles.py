@@ -407,7 +407,7 @@ t3_neutralise_for_html = f"SELECT conv_id, turn, {_EACH.format('x', '&lt;U+', '&
 t2_neutralise_whole_for_terminal = f"SELECT conv_id, turn, {_EACH.format('x', '<U+', '>', _CODES)} AS shown FROM (SELECT conv_id, turn, {_PLANTED} AS x FROM conversations)"
 t3_neutralise_whole_for_html = f"SELECT conv_id, turn, {_EACH.format('x', '&lt;U+', '&gt;', f'unicode(c) NOT IN (9, 10, 13) AND ({_CODES})')} AS shown FROM (SELECT conv_id, turn, {_HTML.format(_PLANTED)} AS x FROM conversations)"
 t6_bundle_relative = r"""
-SELECT page_id, CASE WHEN page_id % 3 = 0 AND ltrim(p, '/') <> '' AND NOT regexp_matches(ltrim(p, '/'), '(^|/)(|\.|\.\.)(/|$)') THEN ltrim(p, '/') END AS path
+SELECT page_id, CASE WHEN ltrim(p, '/') <> '' AND NOT regexp_matches(ltrim(p, '/'), '(^|/)(|\.|\.\.)(/|$)') THEN ltrim(p, '/') END AS path, NULL::VARCHAR AS leaving, NULL::VARCHAR AS whole
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS p FROM pages)
 """
 
