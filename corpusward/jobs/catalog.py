@@ -12,7 +12,7 @@ from corpusward.functions import markdown, pointers, text
 from corpusward.functions.lineage import cut, scratch, stored
 from corpusward.jobs import corpora, oracles, published
 from corpusward.operators import bundle_hygiene, bundles, conformance, execution, hygiene, models, references, registry, report
-from corpusward.sources import documents, files
+from corpusward.sources import documents, files, variants
 from corpusward.sources import findings as findings_files
 from corpusward.sources.bundles import read_bundles, unreadable_bundles
 from corpusward.sources.registries import read_registries
@@ -941,6 +941,13 @@ def k16_rings_through_one(spark, sf_dir):
     return bundles.derivation_walks(edges).select("bundle", "start", F.array_join("walk", " -> ").alias("walk"))
 
 
+@query
+def s3_json_nodes(spark, sf_dir):
+    """The nodes of every event's JSON, without Python."""
+    nodes, _ = variants.json_nodes(corpora.events_as_documents(spark, sf_dir))
+    return nodes.select("doc_id", "pointer", "parent", "key", "idx", "depth", "kind", "sval", "nval", "n_children", "rule_path")
+
+
 def _reports(spark, sf_dir) -> list[DataFrame]:
     """Three reports, each finding of errors in two of them."""
     f = corpora.event_findings(spark, sf_dir)

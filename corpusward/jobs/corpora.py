@@ -252,3 +252,12 @@ def orders_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(k % 2 == 0, F.format_string('{"big": %d, "kind": "%s"}', big, F.col("o_orderstatus"))).otherwise(F.format_string('{"kind": "%s", "big": %d}', F.col("o_orderstatus"), big))
     huge = F.concat(F.when(k % 7 == 0, "-").otherwise(""), F.lit("1"), F.repeat(F.lit("0"), F.lit(300) + (k % 40).cast("int")), F.when(k % 3 == 0, "7").otherwise("0"))
     return o.join(lines, "o_orderkey", "left").select(F.concat(F.lit("orders/"), k.cast("string")).alias("doc_id"), F.concat(F.lit('{"tag": '), tag, F.lit(', "lines": ['), F.coalesce("lines", F.lit("")), F.lit('], "huge": '), huge, F.lit("}")).alias("text"))
+
+
+def events_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and JSON text of every event."""
+    e = table(spark, sf_dir, "events").where("event_id is not null")
+    s = lambda c: F.col(c).cast("string")
+    user = F.concat(F.lit('"user": {"id": '), F.coalesce(s("user_id"), F.lit("null")), F.lit(', "tags/x": ["a", "'), F.coalesce("event_type", F.lit("")), F.lit('", []]}'))
+    text = F.concat(F.lit('{"id": '), s("event_id"), F.lit(", "), user, F.lit(', "value": '), (F.col("event_id") % 1000).cast("string"), F.lit('.250, "even": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(', "servers": {"s'), (F.col("event_id") % 3).cast("string"), F.lit('": 1.0}}'))
+    return e.select(F.concat(F.lit("events/"), s("event_id")).alias("doc_id"), text.alias("text"))

@@ -534,6 +534,22 @@ p7_own_verdicts = """
 WITH s AS (SELECT p_partkey AS k, CASE WHEN k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0 OR k % 3 = 0 OR k % 13 = 0 OR k % 17 = 0 OR k % 2 = 1 OR k % 19 = 0 THEN 'err' ELSE 'ok' END AS verdict FROM part)
 SELECT 'services/' || k AS doc_id, verdict, k % 3 = 0 AS validated, CASE WHEN (verdict = 'ok') = (k % 2 = 0) THEN 'agree' ELSE 'unexpected-divergence' END AS status FROM s
 """
+_EVENT = "SELECT 'events/' || event_id AS doc_id, {pointer} AS pointer, {parent} AS parent, {key} AS key, {idx}::INTEGER AS idx, {depth} AS depth, {kind} AS kind, {sval} AS sval, {nval}::DOUBLE AS nval, {n} AS n_children, {path} AS rule_path FROM events WHERE event_id IS NOT NULL"
+_EVENT_NODES = [
+    ("''", "NULL", "NULL", "NULL", 0, "'object'", "NULL", "NULL", 5, "''"),
+    ("'/id'", "''", "'id'", "NULL", 1, "'integer'", "event_id::VARCHAR", "event_id", 0, "'/id'"),
+    ("'/user'", "''", "'user'", "NULL", 1, "'object'", "NULL", "NULL", 2, "'/user'"),
+    ("'/user/id'", "'/user'", "'id'", "NULL", 2, "CASE WHEN user_id IS NULL THEN 'null' ELSE 'integer' END", "coalesce(user_id::VARCHAR, 'null')", "user_id", 0, "'/user/id'"),
+    ("'/user/tags~1x'", "'/user'", "'tags/x'", "NULL", 2, "'array'", "NULL", "NULL", 3, "'/user/tags~1x'"),
+    ("'/user/tags~1x/0'", "'/user/tags~1x'", "NULL", "0", 3, "'string'", "'a'", "NULL", 0, "'/user/tags~1x/*'"),
+    ("'/user/tags~1x/1'", "'/user/tags~1x'", "NULL", "1", 3, "'string'", "coalesce(event_type, '')", "NULL", 0, "'/user/tags~1x/*'"),
+    ("'/user/tags~1x/2'", "'/user/tags~1x'", "NULL", "2", 3, "'array'", "NULL", "NULL", 0, "'/user/tags~1x/*'"),
+    ("'/value'", "''", "'value'", "NULL", 1, "'number'", "(event_id % 1000) || '.25'", "event_id % 1000 + 0.25", 0, "'/value'"),
+    ("'/even'", "''", "'even'", "NULL", 1, "'boolean'", "CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END", "NULL", 0, "'/even'"),
+    ("'/servers'", "''", "'servers'", "NULL", 1, "'object'", "NULL", "NULL", 1, "'/servers'"),
+    ("'/servers/s' || event_id % 3", "'/servers'", "'s' || event_id % 3", "NULL", 2, "'number'", "'1.0'", "1.0", 0, "'/servers/*'"),
+]
+s3_json_nodes = " UNION ALL ".join(_EVENT.format(**dict(zip(("pointer", "parent", "key", "idx", "depth", "kind", "sval", "nval", "n", "path"), row, strict=True))) for row in _EVENT_NODES)
 s1_unreadable_files = """
 SELECT doc_id || '.json' AS file, strlen(t) + bad AS bytes, CASE WHEN bad = 0 THEN sha256(t) END AS sha256, CASE WHEN bad = 1 THEN 'CLI001' END AS code,
        CASE WHEN bad = 1 THEN 'cannot be read: not UTF-8 at byte ' || strlen(t) END AS message
