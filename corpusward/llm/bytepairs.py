@@ -72,6 +72,14 @@ def _machine() -> tuple[np.ndarray, bytes, bytes, bytes, bytes]:
             kinds[c] = _LETTER
         elif k == "N":
             kinds[c] = _DIGIT
+    # The libraries' Unicode is a later one: they are asked for what is unassigned here, on the planes that have letters.
+    from tokenizers import Regex, pre_tokenizers
+
+    points = np.array([c for c in range(0x40000) if unicodedata.category(chr(c)) == "Cn"])
+    whole = "".join(map(chr, points.tolist()))
+    for k, kind in ((_LETTER, "L"), (_DIGIT, "N")):
+        for _, (start, end) in pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(whole):
+            kinds[points[start:end]] = k
     kinds[_WHITE] = _BLANK
     kinds[0x20] = _SPACE
     states = range(8)

@@ -72,14 +72,15 @@ def packed_documents(docs: DataFrame, path: str, max_tokens: int, end_id: int, d
     both = ids.join(F.broadcast(parts) if parts.limit(MOST_PARTS + 1).count() <= MOST_PARTS else parts, ["row", "start"])
     each = id_bytes(path, end_id)
 
-    @F.pandas_udf("long")
-    def checksum(raw):
-        import pandas as pd
-
-        return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{each}").astype("<u4")) for x in raw], dtype="int64")
+    def checksums(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("ids_crc32")
+            sums = pa.array([zlib.crc32(np.frombuffer(x.as_buffer(), f"<u{each}").astype("<u4")) for x in batch.column(at)], pa.int64())
+            yield batch.set_column(at, "ids_crc32", sums)
 
     own = F.expr(f"substring(ids, cast(skip * {each} + 1 AS int), cast(taken * {each} AS int))")
-    again = both.select("doc_id", (F.col("start") + F.col("skip")).alias("start"), F.col("taken").alias("length"), checksum(own).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    cut_ = both.select("doc_id", (F.col("start") + F.col("skip")).alias("start"), F.col("taken").alias("length"), own.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    again = cut_.mapInArrow(checksums, T.StructType([T.StructField("ids_crc32", T.LongType()) if f.name == "ids_crc32" else f for f in cut_.schema]))
     return whole.select(*again.columns).unionByName(again)
 
 

@@ -282,6 +282,17 @@ def test_bpe_equals_the_library(spark):
         assert len(r.starts) == len(r.ids) and r.starts == sorted(r.starts)
 
 
+def test_bpe_equals_the_library_on_the_code_points_of_two_planes_and_some_of_the_others():
+    v = bytepairs.vocabulary(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    points = [chr(i) for i in [*range(0x20000), *range(0x20000, 0x110000, 97)] if not 0xD800 <= i < 0xE000]
+    texts = [f"a{c}b {c} 1{c}{c}\n{c}'s" for c in points]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        for (ids, _, _), text in zip(bytepairs.coded_texts(part, RANKS), part, strict=True):
+            assert ids.tolist() == library.encode_ordinary(text), text
+
+
 def test_bpe_null_and_empty_table(spark):
     out = bytepairs.encode(docs(spark, [(1, None, None), (None, "x", None)]), RANKS).collect()
     assert {r.doc_id: len(r.ids) for r in out} == {1: 0, None: 1}
@@ -532,20 +543,21 @@ def test_very_long_texts_are_whole(spark):
     assert removed == {1: 0, 2: 120_057, 3: 55, 4: 0, 5: 0}
 
 
-def test_links_near_the_threshold_are_found(spark):
-    """Pairs whose likeness is from 0.80 to 0.90: every one of at least 0.85 is linked and no other."""
+@pytest.mark.parametrize(("size", "percent", "changes"), [(3, 85, (0.02, 0.04)), (5, 80, (0.012, 0.03))])
+def test_links_near_the_threshold_are_found(spark, size, percent, changes):
+    """Pairs whose likeness lies around the threshold: every one at or above it is linked and no other."""
     rng = np.random.default_rng(12)
     rows, linked = [], {}
     for i in range(400):
         n = int(rng.integers(60, 400))
         words = [f"v{k}" for k in rng.integers(0, 100_000, n)]
         twin = list(words)
-        for at in rng.choice(n, max(1, int(n * rng.uniform(0.02, 0.04))), replace=False):
+        for at in rng.choice(n, max(1, int(n * rng.uniform(*changes))), replace=False):
             twin[at] = f"u{i}-{at}"
-        a, b = ({tuple(w[j : j + 3]) for j in range(n - 2)} for w in (words, twin))
+        a, b = ({tuple(w[j : j + size]) for j in range(n - size + 1)} for w in (words, twin))
         rows += [(2 * i, " ".join(words), "s"), (2 * i + 1, " ".join(twin), "s")]
-        linked[2 * i + 1] = 2 * i if 100 * len(a & b) >= 85 * len(a | b) else 2 * i + 1
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), size=3, percent=85).collect()}
+        linked[2 * i + 1] = 2 * i if 100 * len(a & b) >= percent * len(a | b) else 2 * i + 1
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), size=size, percent=percent).collect()}
     assert {i: got[i] for i in linked} == linked and 50 < sum(v % 2 == 0 for v in linked.values()) < 350
 
 
