@@ -152,7 +152,7 @@ def _scan(rows: DataFrame, plan: _Plan, rank: np.ndarray) -> DataFrame:
 
 def _digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """64 bits for each text's words: keeps rows apart that share an id."""
-    return W.mix(W.rolling(h, bounds[:-1], bounds[1:]) + np.diff(bounds).astype(W.U)).view(np.int64)
+    return W.mix(W.sequences(h, bounds, 1) + np.diff(bounds).astype(W.U)).view(np.int64)
 
 
 def template_matches(scanned: DataFrame, plan: _Plan, rank: np.ndarray, templates) -> DataFrame:

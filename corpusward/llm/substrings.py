@@ -47,7 +47,7 @@ def _minima(h: np.ndarray, window: int) -> np.ndarray:
 def _digests(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits for each text's sequence of word hashes."""
     n = np.diff(bounds).astype(W.U)
-    return tuple(W.mix(W.rolling(v, bounds[:-1], bounds[1:], b) + n).view(np.int64) for v, b in ((h, SECOND), (W.mix(h), SECOND + 2)))
+    return tuple(W.mix(W.sequences(v, bounds, b) + n).view(np.int64) for v, b in ((h, SECOND), (W.mix(h), SECOND + 2)))
 
 
 def _all_windows(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusward.llm import bytepairs, chat, licenses, maxent, neardup, packing, quality, substrings, topk, urlfilter
+from corpusward.llm.words import split
 
 DOCS = "doc_id long, text string, source string, starts int, signature string, h long, length long, _q int"
 
@@ -576,3 +577,11 @@ def test_top_k_without_an_id_and_many_blocks(spark, monkeypatch):
     v = topk.integer_vectors(rows)
     out = topk.top_k(v, v, 2).where("rank = 1").collect()
     assert len(out) == 19 and {r.vec_id for r in out if r.query_id < 19} == {19}
+
+
+def test_texts_of_two_words_that_every_polynomial_takes_for_one():
+    bits = [bin(i).count("1") & 1 for i in range(1024)]  # Thue-Morse
+    texts = [" ".join("ab"[x ^ y] for x in bits).encode() for y in (0, 1, 0)]
+    found = split(texts)
+    d1, d2 = substrings._digests(found.hashes(), found.bounds)
+    assert d1[0] == d1[2] != d1[1] and d2[0] == d2[2] != d2[1]
