@@ -366,6 +366,11 @@ def _met(nodes: DataFrame, rules: DataFrame, *keywords: str) -> DataFrame:
     return nodes.join(F.broadcast(rules.where(F.col("keyword").isin(list(keywords)))), "rule_path")
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """``rows`` of documents, for a join: never broadcast, however small they seem once compressed; the driver would hold them."""
+    return rows.hint("merge")
+
+
 def _met_at(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(rules), "rule_path")
 
@@ -385,7 +390,7 @@ def required_missing(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """An object lacks a required key: one row for each key, at the object."""
     asked = _met(nodes.where("kind = 'object'").select("doc_id", "pointer", "seq", "rule_path"), rules, "required")
     there = nodes.where("key is not null").select("doc_id", F.col("parent").alias("pointer"), F.col("key").alias("text"))
-    return _violation(asked.join(there, ["doc_id", "pointer", "text"], "left_anti"), "pointer", "101", F.concat(F.lit("lacks "), "text"))
+    return _violation(asked.join(_apart(there), ["doc_id", "pointer", "text"], "left_anti"), "pointer", "101", F.concat(F.lit("lacks "), "text"))
 
 
 @_unrolling
@@ -395,7 +400,7 @@ def unknown_property(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     closed = _met(parents, rules, "closed").select("doc_id", "parent", "rule_path", "object_seq", "branch", F.col("text").alias("patterns"))
     children = nodes.where("key is not null").select("doc_id", "parent", "key", "seq")
     allowed = rules.where("keyword = 'allowed'").select("rule_path", F.col("text").alias("key"), F.col("branch").alias("_branch"))
-    open_ = children.join(closed, ["doc_id", "parent"]).where(F.col("patterns").isNull() | ~F.regexp("key", "patterns"))
+    open_ = children.join(_apart(closed), ["doc_id", "parent"]).where(F.col("patterns").isNull() | ~F.regexp("key", "patterns"))
     bad = open_.join(F.broadcast(allowed), (open_["rule_path"] == allowed["rule_path"]) & (open_["key"] == allowed["key"]) & open_["branch"].eqNullSafe(allowed["_branch"]), "left_anti")
     keys = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "key"))), lambda x: x["key"]), ", ")
     grouped = bad.groupBy("doc_id", "parent", "branch").agg(keys.alias("keys"), F.min("object_seq").alias("seq"))
@@ -411,7 +416,7 @@ def value_not_permitted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     whole = rules.where("keyword = 'values' and text = 'whole'").select(F.col("rule_path").alias("above"))
     if not whole.isEmpty():
         digests = subtree_digests(nodes, whole)
-        asked = asked.join(digests, ["doc_id", "pointer"], "left").withColumn("value", F.when(F.col("class").isin("object", "array"), F.col("digest")).otherwise(F.col("value"))).drop("digest")
+        asked = asked.join(_apart(digests), ["doc_id", "pointer"], "left").withColumn("value", F.when(F.col("class").isin("object", "array"), F.col("digest")).otherwise(F.col("value"))).drop("digest")
     allowed = rules.where("keyword = 'value'").select(F.col("rule_path").alias("_path"), F.col("kinds")[0].alias("_class"), value.alias("_value"), F.col("branch").alias("_branch"))
     same = (F.col("rule_path") == F.col("_path")) & (F.col("class") == F.col("_class")) & (F.col("value") == F.col("_value")) & F.col("branch").eqNullSafe(F.col("_branch"))
     return _violation(asked.join(F.broadcast(allowed), same, "left_anti"), "pointer", "103", F.concat(F.when(F.col("class").isin("object", "array"), F.concat(F.lit("this "), "class")).otherwise(F.coalesce("value", F.col("class"))), F.lit(" is not permitted")))
@@ -467,8 +472,8 @@ def _counted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     digests = subtree_digests(nodes, unique.select(F.concat("rule_path", F.lit("/*")).alias("above")))
     members = digests.select("doc_id", F.regexp_replace("pointer", "/[^/]*$", "").alias("pointer"), "digest")
     same = members.groupBy("doc_id", "pointer", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "pointer").distinct()
-    twice = arrays.join(same, ["doc_id", "pointer"])
-    equal = nodes.where("kind = 'array'").select("doc_id", "pointer", "seq").join(twice, ["doc_id", "pointer"])
+    twice = arrays.join(_apart(same), ["doc_id", "pointer"])
+    equal = nodes.where("kind = 'array'").select("doc_id", "pointer", "seq").join(_apart(twice), ["doc_id", "pointer"])
     return counted.unionByName(_violation(equal, "pointer", "106", F.lit("members are equal")))
 
 
@@ -540,15 +545,15 @@ def _judged(nodes: DataFrame, choices: DataFrame, found: DataFrame) -> DataFrame
         k = F.col("keyword")
         bad = F.when(k == "oneOf", held != 1).when(k == "anyOf", held == 0).when(k == "not", held > 0).otherwise(held == 0)
         message = F.when(k == "propertyNames", "a name is not permitted").otherwise(F.concat("keyword", F.lit(": branches that match: "), held.cast("string")))
-        out.append(_violation(asked.join(n, ["doc_id", "text", "pointer"], "left").where(bad), "pointer", F.when(k == "propertyNames", "102").otherwise("108"), message))
+        out.append(_violation(asked.join(_apart(n), ["doc_id", "text", "pointer"], "left").where(bad), "pointer", F.when(k == "propertyNames", "102").otherwise("108"), message))
     if "contains" in kinds:
-        asked = places.where("keyword = 'contains' and kind = 'array'").join(broken.select("doc_id", "text", "pointer", "members"), ["doc_id", "text", "pointer"], "left")
+        asked = places.where("keyword = 'contains' and kind = 'array'").join(_apart(broken.select("doc_id", "text", "pointer", "members")), ["doc_id", "text", "pointer"], "left")
         n = F.col("n_children") - F.coalesce("members", F.lit(0))
         few, many = n < F.col("num"), F.coalesce(n > F.get("kinds", F.lit(0)).cast("double"), F.lit(False))
         out.append(_violation(asked.where(few | many), "pointer", "106", F.when(few, "contains is not met").otherwise("maxContains is not met")))
     if "if" in kinds:
         unmet = broken.where("part = 'if'").select("doc_id", "text", F.col("pointer").alias("place")).withColumn("unmet", F.lit(True))
-        rows = inside.where("part in ('then', 'else')").join(unmet, ["doc_id", "text", "place"], "left")
+        rows = inside.where("part in ('then', 'else')").join(_apart(unmet), ["doc_id", "text", "place"], "left")
         rows = rows.where(F.coalesce("unmet", F.lit(False)) == (F.col("part") == "else")).withColumn("branch", F.col("_around"))
         out.append(rows.select("doc_id", "pointer", "seq", "code", "message", "branch"))
     return reduce(DataFrame.unionByName, out)
