@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusward.functions.batches import in_blocks
+
 _OPEN = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 
 
@@ -32,10 +34,10 @@ def fences(body: str) -> Iterator[tuple[str, str, int, int]]:
 def fenced_code_blocks(rows: DataFrame, text: str = "body") -> DataFrame:
     """``rows`` without ``text``, one row for each closed fenced block, plus language, code, start_line, end_line, seq."""
     keep = [f for f in rows.schema.fields if f.name != text]
-    names = [f.name for f in keep]
+    names, texts = [f.name for f in keep], rows.columns.index(text)
 
     def task(batches):
-        for batch in batches:
+        for batch in in_blocks(batches, texts):
             at, found = [], []
             for i, body in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
                 for seq, block in enumerate(fences(body or "")):

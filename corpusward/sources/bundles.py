@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.functions.batches import in_blocks
 from corpusward.sources.documents import PROBLEMS, parse
 
 #: Names that concepts may not have (a parameter of the format).
@@ -52,7 +53,7 @@ _FRONT = re.compile(r"\A\ufeff?---[ \t]*\r?\n(.*?)^---[ \t]*(?:\r?\n|\Z)", re.DO
 
 
 def _split(batches):
-    for batch in batches:
+    for batch in in_blocks(batches, 2):
         out = []
         for bundle, path, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             front, keys, body, problem = "{}", [], text or "", None
