@@ -11,11 +11,14 @@ each, every task sums the gradient over its documents of one batch, tables are a
 up by blocks through a shuffle, and the driver applies one step to the model, whose
 size is fixed by the parameters below.  Every training document is in one batch.
 
-Besides the features there is a memory that grows with the corpus: for contexts of three
-words, those whose hash is divisible by MEMORY, the counts of the output words that
-followed them in all training texts.  It is a table of Spark's, keyed by context, that is
-summed and joined by shuffles.  After such a context the probability is
-(count of the word + PRIOR * the model's) / (count of the context + PRIOR).
+Besides the features there is a memory that grows with the corpus.  Texts are cut into
+passages by their content: one begins at the fourth word, where the hash of the three words
+before is divisible by MEMORY, and after LONGEST words.  So every word from the fourth on
+is in one passage, and the memory counts the passages of all training texts by the
+three words before them.  It is keyed by these and counted where a shuffle brings them
+together.  A passage (of symbols) has the probability
+(its count + k * the model's) / (count of the context + k), k = PRIOR * distinct passages
+after the context.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +48,12 @@ PAIRS = 1 << 13
 ROWS = 3 * CONTEXT + PAIRS
 #: Words whose counts are sent to every task (16 bytes each); counts of others are joined.
 SENT = 1 << 20
-#: Contexts of three words have a memory if their hash is divisible by this.
-MEMORY = 16
-#: How many counts of a context the model's own probability is worth.
+#: A passage begins after three words whose hash is divisible by this, and after so many words at most.
+MEMORY, LONGEST = 16, 32
+#: How many counts the model's own probability is worth, for each distinct passage after a context.
 PRIOR = 2.0
+#: The smallest probability of a passage that a count is divided by.
+LEAST = 1e-300
 #: Gradient updates; each takes its share of the training documents.
 UPDATES = 2
 #: Tokens that a task scores at once.
@@ -143,11 +148,19 @@ class Statistics:
         return np.log10((c + 0.5) / (self.rare_tokens[r] + 0.5 * (self.rare_types[r] + 1)))
 
 
+def _begins(own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where passages begin: at ``own`` places, and every LONGEST tokens after one while its text (``bounds``) goes on."""
+    at = np.flatnonzero(own)
+    text = np.searchsorted(bounds, at, "right")
+    n = -(-(np.minimum(np.r_[at[1:], len(own)], bounds[text]) - at) // LONGEST)
+    return np.repeat(at, n) + LONGEST * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+
+
 def _encode(docs: DataFrame, stats: Statistics) -> DataFrame:
     """Each text as symbols (outputs, then rare classes), with sums over words whose counts were sent.
 
     ``tail`` holds the other words: hash, rare class and how often the text has them;
-    ``contexts`` the contexts with a memory, and ``places`` the tokens that follow them.
+    ``places`` where its passages begin, and ``contexts`` the three words before each.
     """
     shared = docs.sparkSession.sparkContext.broadcast((stats.hashes, stats.counts))
 
@@ -175,7 +188,7 @@ def _encode(docs: DataFrame, stats: Statistics) -> DataFrame:
                 context = np.zeros(len(h), W.U)
                 context[3:] = W.mix(W.mix(W.mix(h[:-3]) + h[1:-2]) + h[2:-1])
                 place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
-                chosen = np.flatnonzero((context % W.U(MEMORY) == 0) & (place >= 3))
+                chosen = _begins((context % W.U(MEMORY) == 0) & (place > 3) | (place == 3), bounds)
                 edges = pa.array(np.searchsorted(chosen, bounds).astype(np.int32))
                 memory = [pa.ListArray.from_arrays(edges, pa.array(context[chosen].view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(place[chosen].astype(np.int32)))]
                 own = [batch.column(i).slice(first, len(block)) for i in range(2)]
@@ -337,14 +350,14 @@ def train(encoded: DataFrame, stats: Statistics, updates: int = UPDATES, rate: f
     return model
 
 
-_MEMORY = "array<struct<context:long,word:int,m:int,p:double>>"
+_MEMORY = "array<struct<context:long,passage:long,m:int,p:double>>"
 
 
 def _scored(encoded: DataFrame, model: Model) -> DataFrame:
     """``encoded`` with ``lm``, the log10 of classes and output words, and ``memory`` in place of its texts.
 
-    memory has each context of the text that has one, the output word after it (-1: another
-    word), how often the text has both, and the model's probability of the word there.
+    memory has each passage of the text: the context before it, the hash of its symbols, how
+    often the text has both, and the model's probability of the symbols there.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     rest = encoded.drop("symbols", "tail", "contexts", "places").schema
@@ -370,36 +383,43 @@ def _scored(encoded: DataFrame, model: Model) -> DataFrame:
                 part_c, part_p = contexts.slice(i, len(some)), places.slice(i, len(some))
                 n = np.diff(part_c.offsets.to_numpy())
                 text = np.repeat(np.arange(len(some)), n)
-                at = part_p.flatten().to_numpy() + np.cumsum([0, *(len(t) // 2 for t in some)])[text]
-                context, follows = part_c.flatten().to_numpy(), np.where(word[at] < OUTPUTS, word[at], -1).astype(np.int32)
-                order = np.lexsort((follows, context, text))
-                new = np.r_[True, (np.diff(text[order]) != 0) | (np.diff(context[order]) != 0) | (np.diff(follows[order]) != 0)][: len(order)]
+                bounds = np.cumsum([0, *(len(t) // 2 for t in some)])
+                at = part_p.flatten().to_numpy() + bounds[text]
+                ends = np.minimum(np.r_[at[1:], len(word)][: len(at)], bounds[text + 1])
+                context = part_c.flatten().to_numpy()
+                passage = (W.mix(W.rolling(W.mix(word.astype(W.U)), at, ends) + (ends - at).astype(W.U)) >> W.U(1)).view(np.int64)
+                upto = np.r_[0, np.cumsum(each, dtype=np.float64)]
+                order = np.lexsort((passage, context, text))
+                new = np.r_[True, (np.diff(text[order]) != 0) | (np.diff(context[order]) != 0) | (np.diff(passage[order]) != 0)][: len(order)]
                 run = np.cumsum(new) - 1
                 times = np.empty(len(order), np.int32)
                 times[order] = np.bincount(run, minlength=1)[run] if len(run) else 0
                 sizes.append(n)
-                memory.append((context, follows, times, np.exp(each[at])))
+                memory.append((context, passage, times, np.exp(upto[ends] - upto[at])))
             edges = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
-            fields = [pa.array(np.concatenate([x[k] for x in memory]) if memory else [], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.float64()))]
-            listed = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(fields, ["context", "word", "m", "p"]))
+            fields = [pa.array(np.concatenate([x[k] for x in memory]) if memory else [], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.float64()))]
+            listed = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(fields, ["context", "passage", "m", "p"]))
             yield pa.RecordBatch.from_arrays([*(column(c) for c in names), pa.array(total / np.log(10)), listed], [*names, "lm", "memory"])
 
     return encoded.drop("tail").mapInArrow(task, rest.add("lm", "double").add("memory", T.DataType.fromDDL(_MEMORY)))
 
 
 def _remembered(scored: DataFrame) -> DataFrame:
-    """For each row: contexts, those of them whose word other training texts have after them too, and what the memory adds to the score.
+    """For each row: passages, those of them that other training texts have after the same words too, and what the memory adds to the score.
 
-    Counts are combined before their shuffle; a context has at most as many counts as
-    there are output words, and is one row where the texts meet it.
+    A context's passages meet once, by a shuffle; what they are counted in spills.  A
+    passage below 0 is none that is counted.
     """
-    places = scored.select("row", "batch", F.inline("memory"))
-    followed = places.where("batch >= 0 and word >= 0").groupBy("context", "word").agg(F.count(F.lit(1)).alias("n"))
-    table = followed.groupBy("context").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("by"))
-    n, total = F.coalesce(F.try_element_at("by", "word"), F.lit(0)), F.coalesce("all", F.lit(0))
-    met = places.join(table, "context", "left").select("row", "p", "word", n.alias("n"), total.alias("all"), (n - F.when((F.col("batch") >= 0) & (F.col("word") >= 0), F.col("m")).otherwise(0) > 0).alias("again"))
-    factor = F.when(F.col("word") >= 0, F.col("n") / F.col("p") + PRIOR).otherwise(PRIOR) / (F.col("all") + PRIOR)
-    return met.groupBy("row").agg(F.count(F.lit(1)).alias("n_contexts"), F.count_if("again").alias("n_again"), F.sum(F.log10(factor)).alias("memory_score"))
+    places = scored.select("row", "batch", F.inline("memory")).repartition("context")
+    counted = (F.col("batch") >= 0) & (F.col("passage") >= 0)
+    places = places.withColumn("n", F.count_if(counted).over(Window.partitionBy("context", "passage")))
+    after = Window.partitionBy("context")
+    places = places.withColumn("all", F.count_if(counted).over(after)).withColumn("distinct", F.round(F.sum(F.when(counted, 1 / F.col("n")).otherwise(F.lit(0.0))).over(after)))
+    k = PRIOR * F.col("distinct")
+    factor = F.when(F.col("all") > 0, F.when(F.col("passage") >= 0, F.col("n") / F.greatest("p", F.lit(LEAST)) + k).otherwise(k) / (F.col("all") + k)).otherwise(1.0)
+    again = F.col("n") - F.when(counted, F.col("m")).otherwise(0) > 0
+    met = places.select("row", (again & (F.col("passage") >= 0)).alias("again"), factor.alias("factor"))
+    return met.groupBy("row").agg(F.count(F.lit(1)).alias("n_contexts"), F.count_if("again").alias("n_again"), F.sum(F.log10("factor")).alias("memory_score"))
 
 
 def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", updates: int = UPDATES) -> DataFrame:
@@ -411,8 +431,8 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     rows count and are scored each, null ids are training rows, extra columns are ignored;
     of words with equal counts those with smaller hashes become outputs first.  Without
     training rows every word is unknown.  Scores are log10 probabilities.  n_contexts is
-    how many contexts of the text have a memory, n_again after how many of them training
-    texts hold the same word elsewhere.
+    how many passages the text is cut into, n_again how many of them training texts hold
+    elsewhere after the same three words.
     """
     batch = F.when(F.coalesce(held_out, F.lit(False)), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(max(1, updates))).cast("int"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), batch.alias("batch"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -130,6 +130,26 @@ def test_lm_remembers_what_follows_contexts(spark, monkeypatch):
     assert out[4].score > out[4].base_score and out[4].score / 13 > out[3].score / 9
 
 
+def test_lm_passages_hold_every_word(spark):
+    """From the fourth word on, every token of every text is in one passage, at most LONGEST long."""
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (0, 1, 3, 4, 40, 200, 900)] + ["a " * 500]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, batch int, text string")
+    stats = maxent.Statistics(maxent._word_counts(rows))
+    for r in maxent._encode(rows, stats).collect():
+        n = r.n_tokens
+        assert r.places[:1] == ([3] if n > 3 else []) and len(r.places) == len(r.contexts)
+        assert all(0 < b - a <= maxent.LONGEST for a, b in zip(r.places, [*r.places, n][1:], strict=True))
+
+
+def test_lm_every_repeated_text_is_remembered(spark):
+    """Short texts that occur twice are seen again, whatever their words hash to."""
+    texts = [f"a{i} b{i} c{i} d{i} e{i}" for i in range(100)]
+    rows = [(k, t, "s") for k, t in enumerate(texts + texts[:50])]
+    out = {r.doc_id: r for r in maxent.score_texts(docs(spark, rows), F.lit(False)).collect()}
+    assert all((out[k].n_again == out[k].n_contexts > 0) if k % 100 < 50 else out[k].n_again == 0 for k in out)
+
+
 def test_lm_memory_keeps_a_distribution(spark):
     """Over all words, the probabilities after a context add up to one."""
     p = np.array([0.5, 0.25, 0.125])  # of three output words; the rest is other words'
