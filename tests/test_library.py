@@ -430,6 +430,26 @@ def test_registries(spark):
     assert {(r.doc_id, r.code, r.line) for r in found.collect()} == {("old", "REG102", None), ("more", "REG101", None), ("less", "REG101", None), ("kind", "REG101", None), ("toml", "REG101", 2), ("null", "REG100", None)}
 
 
+def test_places_are_asked_once_for_each_path():
+    """Not once for each node: what is known of a collection's members is kept, and of no more than MOST of them."""
+
+    class Counted(documents.Places):
+        asked, MOST = 0, 50
+
+        def __getitem__(self, path):
+            self.asked += 1
+            return super().__getitem__(path)
+
+    places = Counted(r"/a/\*/(b|x~1y)", r"|/a|/a/\*|/names(/.*)?")
+    value = {"a": [{"b": v, "c": 1, "x/y": [v]} for v in (None, True, 0, -1.5, 10**30, "s") * 100], "names": {f"n{k}": k for k in range(500)}}
+    out = documents._Columns()
+    assert list(out.chosen("d", {"a": value["a"]}, places)) == [] and places.asked == 6
+    rows = out.batch().to_pylist()
+    assert [r["sval"] for r in rows[:12:2]] == [v if isinstance(v, str) else json.dumps(v) for v in (None, True, 0, -1.5, 10**30, "s")]
+    assert rows[3]["pointer"] == "/a/1/x~1y" and rows[3]["n_children"] == 1 and [r["seq"] for r in rows] == list(range(1200))
+    assert list(out.chosen("d", value, places)) == [] and out.batch().to_pylist() == rows and sum(map(len, places.tables.values())) <= 50
+
+
 def test_nodes_at_some_places_are_those_among_all(spark):
     texts = ['{"a": [{"id": 1, "x": [1, 2.5]}, {"id": "s"}], "fields": {"a/b": {"id": null}, "id": {"fields": {}}}, "id": {"z": true}}', "[1, [2]]", "{", "", "7", '{"~/": {"id": ""}, "e": {}}']
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
