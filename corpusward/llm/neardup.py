@@ -8,6 +8,11 @@ chunk has at most one error with probability 0.89, and all eight fail with 2e-8
 0.8); 64 symbols in all then drop pairs that differ in more symbols than pairs at the
 threshold do but once in a million.  What is left is confirmed on the full shingle sets.
 
+The links that signatures miss are found by an exact join of the sets' prefixes: in any
+order of shingles that is the same for all sets, two sets at the threshold share one of
+their first n - ceil(t * n) + 1.  Rare shingles come first, by a bounded sample, which
+decides the cost and not the result.  Only pairs of different components are made.
+
 Only links that can change the components are looked for.  Documents of equal sets are
 one node.  Each key's documents first meet its centre, the one that shares most keys
 with others.  Documents with a common centre that are still apart meet each other in
@@ -35,6 +40,8 @@ SYMBOLS, CHUNK, INDEXED = 64, 4, 32
 TILE, TILE_SHINGLES = 512, 1_000_000
 #: Parts over which the documents that meet one centre are dealt.
 PARTS = 1024
+#: Documents, about, and shingles of the sample that says which shingles are common.
+SAMPLE, COMMON = 8_192, 1 << 18
 
 
 def most_apart(percent: int) -> int:
@@ -206,15 +213,23 @@ def _star_pairs(live: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, tiles) -> DataFrame:
-    """``rows`` (centre, node, ...) with (low, high): pairs of tiles, each next to its like and in one task.
+    """``rows`` (centre, node, ...) as ``_tiled``, each next to its like and in one task."""
+    return _together(_tiled(rows, tiles))
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high")
+
+
+def _tiled(rows: DataFrame, tiles) -> DataFrame:
+    """``rows`` (centre, node, ...) with (low, high): pairs of tiles.
 
     The documents of a centre are dealt over tiles by hash and each pair of tiles meets
     once, in a group that does not grow with the number of documents.
     """
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int"))))
-    out = out.select("centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *(c for c in rows.columns if c not in ("centre", "tiles")))
-    return out.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high")
+    return out.select("centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *(c for c in rows.columns if c not in ("centre", "tiles")))
 
 
 def _whole_groups(batches):
@@ -325,6 +340,102 @@ def _residual_links(stars: DataFrame, labels: DataFrame, classes: DataFrame, doc
     return _links_in_tiles(full.select("centre", "tiles", "node", "component", "signature", "shingles"), apart, percent)
 
 
+def _shingle_rows(docs: DataFrame, size: int) -> DataFrame:
+    """The distinct shingles of each text, one a row."""
+
+    def task(batches):
+        for batch in batches:
+            for _, block in W.blocks(batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(block, size)[0].view(np.int64))], ["shingle"])
+
+    return docs.select("text").mapInArrow(task, "shingle long")
+
+
+def _common(docs: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur twice or more in a sample of the ``n`` documents, sorted, and how often; the most frequent ones, up to COMMON."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
+    counts = _shingle_rows(sample, size).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles = counts.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], counts.column(1).to_numpy()[order]
+
+
+def _prefixes(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, the set's size k, how many of the prefix are not common, and the prefix: the rarest shingles, by sample and then by hash."""
+    known = docs.sparkSession.sparkContext.broadcast(common)
+
+    def task(batches):
+        shingles, often = known.value
+        for batch in batches:
+            names = batch.column(0)
+            for first, block in W.blocks(batch.column(1).to_pylist()):
+                x, text, edges = _shingles(block, size)
+                k = np.diff(edges)
+                count = np.zeros(len(x), np.int64)
+                if len(shingles):
+                    place = np.minimum(np.searchsorted(shingles, x), len(shingles) - 1)
+                    count = np.where(shingles[place] == x, often[place], 0)
+                order = np.lexsort((count, text))  # stable: by hash among equals
+                take = np.where(k > 0, k - (percent * k + 99) // 100 + 1, 0)
+                kept = order[np.arange(len(x)) - edges[:-1][text] < take[text]]
+                rare = np.bincount(text[kept[count[kept] == 0]], minlength=len(block))
+                ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [names.slice(first, len(block)), pa.array(k.astype(np.int32)), pa.array(rare.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept].view(np.int64)))],
+                    ["node", "k", "rare", "keys"],
+                )
+
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(task, "node long, k int, rare int, keys array<long>").where("k > 0")
+
+
+def _pairs_of_components(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ka, kb), once for each group, of ``rows`` (centre, low, high, node, component, k) of different components and sizes that may be alike."""
+
+    def task(batches):
+        for table in _whole_groups(batches):
+            group, node, component, k = _group(table), *(table.column(i).to_numpy() for i in range(3, 6))
+            starts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)])
+            mixed = np.minimum.reduceat(component, starts) < np.maximum.reduceat(component, starts)
+            number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
+            rest = np.flatnonzero(mixed[number])
+            number, node, component, k = number[rest], node[rest], component[rest], k[rest].astype(np.int64)
+            live = np.arange(len(rest))
+            for d in range(1, len(rest)):
+                live = live[live + d < len(rest)]
+                live = live[number[live] == number[live + d]]
+                if not len(live):
+                    break
+                i = live[component[live] != component[live + d]]
+                i = i[100 * np.minimum(k[i], k[i + d]) >= percent * np.maximum(k[i], k[i + d])]
+                if len(i):
+                    ordered = node[i] <= node[i + d]
+                    a, b = np.where(ordered, i, i + d), np.where(ordered, i + d, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], k[a], k[b])], ["a", "b", "ka", "kb"])
+
+    return rows.mapInArrow(task, "a long, b long, ka long, kb long")
+
+
+def _missed_links(docs: DataFrame, classes: DataFrame, labels: DataFrame, n: int, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of ``labels``: all there are, on the full sets.
+
+    A key of many documents is common in the sample and dealt over tiles.  Of a pair's
+    shared shingles those outside both prefixes are at most the rest of one set, so
+    pairs that share too few keys are dropped before sets are compared.
+    """
+    named = classes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    marked = cut(_prefixes(docs, size, percent, _common(docs, size, n)).join(few(named), "node"))
+    keys = lambda start, length: F.explode(F.slice("keys", start, length)).alias("centre")
+    rare = marked.where("rare > 0").select(keys(F.lit(1), F.col("rare")), F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "component", "k")
+    often = marked.where("rare < size(keys)").select(keys(F.col("rare") + 1, F.size("keys") - F.col("rare")), "node", "component", "k")
+    several = cut(often.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("centre", "n"))
+    tiled = _tiled(join_hot(often, several, ["centre"], [F.col("node")], TILE).select("centre", "node", "component", "k", F.ceil(F.col("n") / TILE).alias("tiles")), F.col("tiles"))
+    met = _pairs_of_components(_together(rare.unionByName(tiled)), percent)
+    left = lambda k: F.ceil(F.col(k) * percent / 100) - 1
+    enough = (100 + percent) * (F.col("shared") + F.greatest(left("ka"), left("kb"))) >= percent * (F.col("ka") + F.col("kb"))
+    pairs = met.groupBy("a", "b", "ka", "kb").agg(F.count(F.lit(1)).alias("shared")).where(enough)
+    return confirmed(pairs.select("a", "b"), docs, size, percent)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -334,8 +445,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     Null and empty texts have an empty set and are linked with nothing.  Rows that share
     a doc_id are one document.  A null doc_id takes no part: no component, and kept.
 
-    For ``percent`` below 80 the signature distance no longer finds all but a millionth
-    of the links, so lower values are refused.
+    All links between components are found, whatever the signatures miss.  For
+    ``percent`` below 80 they would miss more than a millionth, which the exact join of
+    prefixes would have to find, so lower values are refused.
     """
     if percent < 80:
         raise ValueError("the signatures are made for a similarity of 0.8 or more")
@@ -350,7 +462,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     pairs = stars.where("a <> b").join(marks, "a").join(marks.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
     links = cut(confirmed(_near(pairs, most_apart(percent)), rows, size, percent))
     more = cut(_residual_links(stars, components(links), classes, rows, size, percent))
-    labels = components(links.union(more))
+    found = links.union(more)
+    labels = components(found)
+    missed = cut(_missed_links(rows, classes, labels, seen.count(), size, percent))
+    if not missed.isEmpty():
+        labels = components(found.union(missed))
     named = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     # The smallest doc_id is that of a class, so a component's label is the answer for its rows.
     out = seen.join(named, ["d1", "d2"], "left")

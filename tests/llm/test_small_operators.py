@@ -260,6 +260,43 @@ def test_tiles_of_a_large_group(spark, monkeypatch):
     assert {r.component for r in neardup.components(links).collect()} == {0}
 
 
+def _pair_that_signatures_miss():
+    """Forty words, and 32 of them, whose signatures differ in two symbols of every chunk of the index."""
+    pool = [f"w{i}" for i in range(100_000)]
+    found = split([w.encode() for w in pool])
+    x = neardup.W.mix(neardup.W.rolling(found.hashes(), np.arange(len(pool)), np.arange(len(pool)) + 1) + np.uint64(1))
+    values = {k: x * neardup._FACTORS[k] + neardup._TERMS[k] for k in range(neardup.INDEXED) if k % neardup.CHUNK < 2}
+    low = np.uint64((1 << 64) // 50)
+    gone = [int(np.flatnonzero((values[c] < low) & (values[c + 1] < low))[0]) for c in range(0, neardup.INDEXED, neardup.CHUNK)]
+    kept = [i for i in np.flatnonzero(np.all([v >= low for v in values.values()], axis=0)) if i not in gone][:32]
+    return " ".join(pool[i] for i in gone + kept), " ".join(pool[i] for i in kept)
+
+
+@pytest.mark.parametrize("common", [True, False])
+def test_links_that_signatures_miss_are_found(spark, common, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 2)
+    if not common:
+        monkeypatch.setattr(neardup, "SAMPLE", 0.001)
+    whole, part = _pair_that_signatures_miss()
+    marks = neardup.signatures(spark.createDataFrame([(1, whole), (2, part)], "doc_id long, text string"), 1).withColumnRenamed("doc_id", "node")
+    assert neardup.index_keys(marks).groupBy("key").count().where("count > 1").isEmpty()
+    rows = [(7, whole, "s"), (3, part, "s"), (9, part, "s"), (5, whole.rsplit(" ", 20)[0], "s")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), 1, 80).collect()}
+    assert got == {3: 3, 7: 3, 9: 3, 5: 5}
+
+
+def test_prefixes_alone_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "index_keys", lambda nodes: nodes.where("false").select(F.col("node").alias("key"), "node"))
+    rng = np.random.default_rng(5)
+    base = rng.choice(300, (4, 60))
+    rows = [(i, " ".join(f"w{w}" for w in np.where(rng.random(60) < rng.choice([0.01, 0.03, 0.06]), rng.integers(300, 900, 60), base[i % 4])[: rng.integers(50, 61)]), "s") for i in range(60)]
+    for size, percent in ((2, 85), (1, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows), size, percent).collect()}
+        assert got == brute_components(rows, size, percent)
+        assert 4 < len({c for _, c in got.values()}) < 60
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     out = neardup.near_duplicates(docs(spark, [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s")])).collect()
