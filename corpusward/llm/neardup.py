@@ -360,8 +360,27 @@ def _common(docs: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]
     return shingles[order], counts.column(1).to_numpy()[order]
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles by their low bits, half as many to as many bits as shingles.
+
+    Two sets differ in as many shingles, at least, as their sketches differ in bits.
+    """
+    bits = max(64, 1 << (len(shingles).bit_length() - 1))
+    odd = np.bincount((shingles & W.U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half], "little") ^ int.from_bytes(x[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _prefixes(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """node, the set's size k, how many of the prefix are not common, and the prefix: the rarest shingles, by sample and then by hash."""
+    """node, the set's size k, its sketch, how many of the prefix are not common, and the prefix: the rarest shingles, by sample and then by hash."""
     known = docs.sparkSession.sparkContext.broadcast(common)
 
     def task(batches):
@@ -381,59 +400,82 @@ def _prefixes(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray
                 rare = np.bincount(text[kept[count[kept] == 0]], minlength=len(block))
                 ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(first, len(block)), pa.array(k.astype(np.int32)), pa.array(rare.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept].view(np.int64)))],
-                    ["node", "k", "rare", "keys"],
+                    [names.slice(first, len(block)), pa.array(k.astype(np.int32)), pa.array([_sketch(x[s:e]) if e > s else None for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), pa.array(rare.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept].view(np.int64)))],
+                    ["node", "k", "sketch", "rare", "keys"],
                 )
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(task, "node long, k int, rare int, keys array<long>").where("k > 0")
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(task, "node long, k int, sketch binary, rare int, keys array<long>").where("k > 0")
 
 
-def _pairs_of_components(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, ka, kb), once for each group, of ``rows`` (centre, low, high, node, component, k) of different components and sizes that may be alike."""
+def _may_be_alike(table: pa.RecordBatch, percent: int):
+    """Pairs of rows of one group and different components whose first common shingle the group's may be, a few at a time.
+
+    Columns: centre, low, high, node, component, k and the shingle's place in the set.
+    What stands behind the first common shingle is all that a pair can share besides.
+    """
+    group, component, k, at = _group(table), *(table.column(i).to_numpy().astype(np.int64) for i in (4, 5, 6))
+    starts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)])
+    number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(k)]))
+    mixed = np.minimum.reduceat(component, starts) < np.maximum.reduceat(component, starts)
+    rest = np.flatnonzero(mixed[number])
+    live = np.arange(len(rest))
+    for d in range(1, len(rest)):
+        live = live[live + d < len(rest)]
+        live = live[number[rest[live]] == number[rest[live + d]]]
+        if not len(live):
+            return
+        i, j = rest[live], rest[live + d]
+        apart = component[i] != component[j]
+        i, j = i[apart], j[apart]
+        near = (100 + percent) * np.minimum(k[i] - at[i], k[j] - at[j]) >= percent * (k[i] + k[j])
+        if near.any():
+            yield i[near], j[near]
+
+
+def _with_partner(rows: DataFrame, percent: int) -> DataFrame:
+    """The ``rows`` (centre, low, high, node, component, k, at) that may be alike to another of their group; never pairs."""
+
+    def task(batches):
+        for table in _whole_groups(batches):
+            flag = np.zeros(table.num_rows, bool)
+            for i, j in _may_be_alike(table, percent):
+                flag[i] = flag[j] = True
+            yield table.filter(pa.array(flag))
+
+    return rows.mapInArrow(task, "centre long, low int, high int, node long, component long, k int, at int")
+
+
+def _near_by_sketch(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (centre, low, high, node, component, k, at, sketch) that may be alike by their sketches too."""
 
     def task(batches):
         for table in _whole_groups(batches):
-            group, node, component, k = _group(table), *(table.column(i).to_numpy() for i in range(3, 6))
-            starts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)])
-            mixed = np.minimum.reduceat(component, starts) < np.maximum.reduceat(component, starts)
-            number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
-            rest = np.flatnonzero(mixed[number])
-            number, node, component, k = number[rest], node[rest], component[rest], k[rest].astype(np.int64)
-            live = np.arange(len(rest))
-            for d in range(1, len(rest)):
-                live = live[live + d < len(rest)]
-                live = live[number[live] == number[live + d]]
-                if not len(live):
-                    break
-                i = live[component[live] != component[live + d]]
-                i = i[100 * np.minimum(k[i], k[i + d]) >= percent * np.maximum(k[i], k[i + d])]
-                if len(i):
-                    ordered = node[i] <= node[i + d]
-                    a, b = np.where(ordered, i, i + d), np.where(ordered, i + d, i)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], k[a], k[b])], ["a", "b", "ka", "kb"])
-
-    return rows.mapInArrow(task, "a long, b long, ka long, kb long")
+            node, k, sketch = table.column(3).to_numpy(), table.column(5).to_pylist(), table.column(7).to_pylist()
+            for left, right in _may_be_alike(table, percent):
+                near = [(i, j) for i, j in zip(left.tolist(), right.tolist(), strict=True) if (100 + percent) * _bits_apart(sketch[i], sketch[j]) <= (100 - percent) * (k[i] + k[j])]
+                if near:
+                    a, b = np.array(near).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
+
+    return rows.mapInArrow(task, "a long, b long")
 
 
 def _missed_links(docs: DataFrame, classes: DataFrame, labels: DataFrame, n: int, size: int, percent: int) -> DataFrame:
     """Links (a, b) between different components of ``labels``: all there are, on the full sets.
 
-    A key of many documents is common in the sample and dealt over tiles.  Of a pair's
-    shared shingles those outside both prefixes are at most the rest of one set, so
-    pairs that share too few keys are dropped before sets are compared.
+    Documents that share a key first meet without their sketches, which leaves those with
+    a possible partner.  A key of many documents is common in the sample and dealt over tiles.
     """
     named = classes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     marked = cut(_prefixes(docs, size, percent, _common(docs, size, n)).join(few(named), "node"))
-    keys = lambda start, length: F.explode(F.slice("keys", start, length)).alias("centre")
-    rare = marked.where("rare > 0").select(keys(F.lit(1), F.col("rare")), F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "component", "k")
-    often = marked.where("rare < size(keys)").select(keys(F.col("rare") + 1, F.size("keys") - F.col("rare")), "node", "component", "k")
+    keys = lambda start, length: F.posexplode(F.slice("keys", start, length)).alias("at", "centre")
+    rare = marked.where("rare > 0").select(keys(F.lit(1), F.col("rare")), "node", "component", "k").select("centre", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "component", "k", "at")
+    often = marked.where("rare < size(keys)").select(keys(F.col("rare") + 1, F.size("keys") - F.col("rare")), "node", "component", "k", "rare").withColumn("at", F.col("at") + F.col("rare")).drop("rare")
     several = cut(often.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("centre", "n"))
-    tiled = _tiled(join_hot(often, several, ["centre"], [F.col("node")], TILE).select("centre", "node", "component", "k", F.ceil(F.col("n") / TILE).alias("tiles")), F.col("tiles"))
-    met = _pairs_of_components(_together(rare.unionByName(tiled)), percent)
-    left = lambda k: F.ceil(F.col(k) * percent / 100) - 1
-    enough = (100 + percent) * (F.col("shared") + F.greatest(left("ka"), left("kb"))) >= percent * (F.col("ka") + F.col("kb"))
-    pairs = met.groupBy("a", "b", "ka", "kb").agg(F.count(F.lit(1)).alias("shared")).where(enough)
-    return confirmed(pairs.select("a", "b"), docs, size, percent)
+    tiled = _tiled(join_hot(often, several, ["centre"], [F.col("node")], TILE).select("centre", "node", "component", "k", "at", F.ceil(F.col("n") / TILE).alias("tiles")), F.col("tiles"))
+    left = _with_partner(_together(rare.unionByName(tiled)), percent)
+    sketched = left.join(marked.select("node", "k", "sketch"), ["node", "k"]).select("centre", "low", "high", "node", "component", "k", "at", "sketch")
+    return confirmed(_near_by_sketch(_together(sketched), percent), docs, size, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
