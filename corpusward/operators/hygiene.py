@@ -45,11 +45,6 @@ class Facts:
     inert_dispatch: bool = False
 
 
-def _objects(nodes: DataFrame) -> DataFrame:
-    """Roots that are objects: other documents have no sections."""
-    return nodes.where("depth = 0 and kind = 'object'").select("doc_id")
-
-
 def version_behind(nodes: DataFrame, facts: Facts, standard: str) -> DataFrame:
     """The declared version, where it is a string, differs from the carried one (200)."""
     key, want = ("dataContractSpecification", facts.version) if standard == "odcl" else ("apiVersion", f"v{facts.version}")
@@ -60,10 +55,11 @@ def version_behind(nodes: DataFrame, facts: Facts, standard: str) -> DataFrame:
 def absent_sections(nodes: DataFrame, facts: Facts, standard: str) -> DataFrame:
     """Sections that are absent or empty (201 to 206), each at its pointer, also if it is absent."""
     rules = [(p, c) for s, p, c in SECTIONS if s == standard]
-    wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("section_pointer"), F.lit(c).alias("code"), F.lit(i).alias("order")) for i, (p, c) in enumerate(rules))))
-    asked = _objects(nodes).select("doc_id", wanted.alias("w")).select("doc_id", "w.*")
-    there = nodes.where(F.col("pointer").isin([p for p, _ in rules])).select("doc_id", F.col("pointer").alias("section_pointer"), "kind", "sval", "n_children")
-    rows = asked.join(there, ["doc_id", "section_pointer"], "left").where(is_absent_or_empty(F.col("kind"), F.col("sval"), F.col("n_children")))
+    # One row a document from the start: its sections are columns, and nothing is joined.
+    filled = [F.max((F.col("pointer") == p) & ~F.coalesce(is_absent_or_empty(F.col("kind"), F.col("sval"), F.col("n_children")), F.lit(False))).alias(c) for p, c in rules]
+    roots = nodes.where((F.col("depth") == 0) | F.col("pointer").isin([p for p, _ in rules])).groupBy("doc_id").agg(F.max((F.col("depth") == 0) & (F.col("kind") == "object")).alias("root"), *filled).where("root")
+    lacking = F.array(*(F.when(~F.col(c), F.struct(F.lit(p).alias("section_pointer"), F.lit(c).alias("code"), F.lit(i).alias("order"))) for i, (p, c) in enumerate(rules)))
+    rows = roots.select("doc_id", F.explode(F.filter(lacking, lambda w: w.isNotNull())).alias("w")).select("doc_id", "w.*")
     return findings(rows, spec_id=standard, severity="warning", code=F.col("code"), message=F.concat("section_pointer", F.lit(" is absent or empty")), pointer=F.col("section_pointer"), seq=F.col("order"))
 
 

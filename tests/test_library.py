@@ -475,3 +475,10 @@ def test_large_concepts_are_split_a_few_at_a_time():
     out = list(bundle_files._split([batch, batch.slice(0, 0)]))
     assert [b.num_rows for b in out] == [4, 1, 1, 2, 0]
     assert [x for b in out for x in b.column(5).to_pylist()] == ["", "", texts[2], "b", *texts[4:7], ""]
+
+
+def test_absent_sections_join_nothing(spark):
+    nodes = documents.to_nodes(spark.createDataFrame([("a", '{"team": {}, "schema": [1], "servers": [2]}'), ("b", "[1]"), ("c", '{"schema": " ", "team": 0, "servers": false, "description": "x"}')], "doc_id string, text string"))
+    found = hygiene.absent_sections(nodes, hygiene.Facts("3.1.0"), "odcs")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.code, r.pointer, r.seq) for r in found.collect()) == [("a", "ODCS203", "/team", 2), ("a", "ODCS204", "/description", 3), ("c", "ODCS201", "/schema", 0)]
