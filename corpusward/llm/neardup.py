@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def task(batches):
         for batch in batches:
             names = batch.column(0)
-            for first, block in W.blocks(batch.column(1).to_pylist()):
+            for first, block in W.text_blocks(batch.column(1)):
                 x, _, edges = _shingles(block, size)
                 n = np.diff(edges)
                 full = np.flatnonzero(n)
@@ -149,7 +149,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def task(batches):
         for batch in batches:
             names = batch.column(0)
-            for first, block in W.blocks(batch.column(1).to_pylist()):
+            for first, block in W.text_blocks(batch.column(1)):
                 x, _, edges = _shingles(block, size)
                 x = (x ^ W.U(1 << 63)).view(np.int64)  # signed numbers in the order of the unsigned ones
                 yield pa.RecordBatch.from_arrays([names.slice(first, len(block)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x))], ["doc_id", "shingles"])
@@ -345,7 +345,7 @@ def _shingle_rows(docs: DataFrame, size: int) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            for _, block in W.blocks(batch.column(0).to_pylist()):
+            for _, block in W.text_blocks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingles(block, size)[0].view(np.int64))], ["shingle"])
 
     return docs.select("text").mapInArrow(task, "shingle long")
@@ -387,7 +387,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray
         shingles, often = known.value
         for batch in batches:
             names = batch.column(0)
-            for first, block in W.blocks(batch.column(1).to_pylist()):
+            for first, block in W.text_blocks(batch.column(1)):
                 x, text, edges = _shingles(block, size)
                 k = np.diff(edges)
                 count = np.zeros(len(x), np.int64)
