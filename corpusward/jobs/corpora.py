@@ -245,10 +245,10 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text: every order with a tag that holds a number beyond doubles' whole ones, its lines, and a number of 300 digits and more."""
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    """doc_id and text: every order with a tag that holds a number beyond doubles' whole ones, its lines, and a number of 300 digits and more; dealt as ``contracts`` are."""
+    o, k = dealt(table(spark, sf_dir, "orders"), "o_orderkey"), F.col("o_orderkey")
     line = F.format_string('{"b": [%d, {}], "a": %d}', F.col("l_partkey") % 2, F.col("l_suppkey") % 3)
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda x: x["x"]), ", ").alias("lines"))
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda x: x["x"]), ", ").alias("lines"))
     big = F.lit(9007199254740990) + k % 5
     tag = F.when(k % 2 == 0, F.format_string('{"big": %d, "kind": "%s"}', big, F.col("o_orderstatus"))).otherwise(F.format_string('{"kind": "%s", "big": %d}', F.col("o_orderstatus"), big))
     huge = F.concat(F.when(k % 7 == 0, "-").otherwise(""), F.lit("1"), F.repeat(F.lit("0"), F.lit(300) + (k % 40).cast("int")), F.when(k % 3 == 0, "7").otherwise("0"))
@@ -265,4 +265,4 @@ def events_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Corpora whose rows are dealt before they become texts.
-DEALT = (contracts, products, services)
+DEALT = (contracts, products, services, orders_as_documents)

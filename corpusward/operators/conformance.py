@@ -12,7 +12,6 @@ A keyword that is not checked is a row ``unsupported`` of the rule table, and a
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import re
@@ -27,6 +26,8 @@ from pyspark.sql import functions as F
 
 from corpusward.functions.lineage import cut, stored
 from corpusward.functions.severity import findings
+from corpusward.functions.values import HEX as _HEX
+from corpusward.functions.values import typed as _typed
 from corpusward.sources.documents import MAPS
 
 RULES = "rule_path string, keyword string, text string, num double, kinds array<string>, branch string"
@@ -70,30 +71,6 @@ CHOICES = ("oneOf", "anyOf", "not", "contains", "if", "propertyNames")
 _NAME, _PATTERN, _OTHER = "\x01", "\x02", "\x03"
 
 
-def _typed(value) -> tuple[str, str]:
-    """A JSON value as (class, text), equal for equal values and for no others; ``subtree_digests`` and ``number_text`` say the same of nodes."""
-    if isinstance(value, bool) or value is None:
-        return "literal", json.dumps(value)
-    if isinstance(value, (int, float)):
-        whole = isinstance(value, int) or value.is_integer()
-        return "number", str(int(Decimal(repr(value)))) if whole else repr(value)
-    if isinstance(value, str):
-        return "string", value
-    facts, todo = [], [("", value)]
-    while todo:
-        at, v = todo.pop()
-        members = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ()
-        todo += [(f"{at}/{_token(str(k))}", x) for k, x in members]
-        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else _typed(v)[0]
-        facts.append(hashlib.sha256("\0".join((at, kind, "" if kind in ("object", "array") else _typed(v)[1])).encode()).hexdigest())
-    parts = [reduce(int.__xor__, (int(f[i : i + _HEX], 16) for f in facts)) for i in range(0, 4 * _HEX, _HEX)]
-    return ("object" if isinstance(value, dict) else "array"), ":".join(map(str, [len(facts), *parts]))
-
-
-#: Hexadecimal digits of a digest that fit a long.
-_HEX = 15
-
-
 def number_text(kind: str = "kind", text: str = "sval") -> Column:
     """A number as a text that is equal for equal numbers: whole ones as all their digits, whatever they are written like."""
     c = F.col(text)
@@ -460,6 +437,7 @@ def bad_cardinality(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _counted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Arrays that say how many different members they have (``n_distinct``) need no rows of what lies in them."""
     n, k = F.col("n_children"), F.col("keyword")
     rows = _met(nodes.where("kind in ('array', 'object')"), rules, "minItems", "maxItems", "minProperties", "maxProperties")
     fits = (F.col("kind") == "array") == k.endswith("Items")
@@ -468,6 +446,8 @@ def _counted(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     unique = rules.where("keyword = 'uniqueItems'").select("rule_path", "branch").distinct()
     if unique.isEmpty():
         return counted
+    if "n_distinct" in nodes.columns:
+        return counted.unionByName(_violation(_met_at(nodes.where("kind = 'array' and n_distinct < n_children"), unique), "pointer", "106", F.lit("members are equal")))
     arrays = _met_at(nodes.where("kind = 'array'"), unique).select("doc_id", "pointer", "branch")
     digests = subtree_digests(nodes, unique.select(F.concat("rule_path", F.lit("/*")).alias("above")))
     members = digests.select("doc_id", F.regexp_replace("pointer", "/[^/]*$", "").alias("pointer"), "digest")
