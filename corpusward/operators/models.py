@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.functions.pointers import pointer_unescape
+from corpusward.sources.documents import Places
+
 #: Root keys of a contract that have a column of their own.
 CONTRACT_KEYS = ("version", "apiVersion", "kind", "id", "status", "name", "domain", "dataProduct", "tenant", "description", "schema", "servers", "team", "support", "roles", "slaProperties", "tags")
 _PROPERTY = r"^/schema/\*/(properties/\*/|items/)*(properties/\*|items)$"
+#: The nodes that ``flatten_properties`` takes.
+PROPERTIES = Places(r"/schema/\*(/properties/\*|/items)+", r"|/schema(/\*(/properties/\*|/items)*(/properties)?)?", ("way", "keys"), ("properties", "items"))
 
 
 def contract_catalogue(nodes: DataFrame) -> DataFrame:
@@ -28,20 +33,16 @@ def contract_catalogue(nodes: DataFrame) -> DataFrame:
 def flatten_properties(nodes: DataFrame) -> DataFrame:
     """Every property of every schema object, nested ones too: doc_id, pointer, path, flags.
 
-    The path starts with the schema object's name; array items are ``[]``.
+    The path starts with the schema object's name; array items are ``[]``.  ``nodes`` are
+    those at PROPERTIES: a property says what it and those above it are called, and whether
+    it has others, so nothing is joined.
     """
-    own = nodes.where((F.col("kind") == "object") & (F.col("rule_path").rlike(_PROPERTY) | (F.col("rule_path") == "/schema/*")))
-    names = nodes.where("key = 'name' and kind = 'string'").select("doc_id", F.col("parent").alias("pointer"), F.col("sval").alias("name"))
-    step = F.when(F.col("key") == "items", "[]").otherwise(F.col("name"))
-    steps = own.join(names, ["doc_id", "pointer"], "left").select("doc_id", "pointer", "rule_path", "seq", F.coalesce(step, F.lit("?")).alias("step"))
-    parts = F.split("pointer", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    asked = steps.where("rule_path <> '/schema/*'").select("doc_id", F.col("pointer").alias("own"), "seq", F.posexplode(prefixes).alias("at", "pointer"))
-    met = asked.join(steps.select("doc_id", "pointer", "step"), ["doc_id", "pointer"])
-    paths = met.groupBy("doc_id", F.col("own").alias("pointer"), "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "step"))), lambda x: x["step"]), ".").alias("path"))
-    inside = nodes.where("key in ('properties', 'items')").groupBy("doc_id", F.col("parent").alias("pointer")).agg(F.max(F.col("key") == "properties").alias("o"), F.max(F.col("key") == "items").alias("a"))
-    no = F.lit(False)
-    return paths.join(inside, ["doc_id", "pointer"], "left").select("doc_id", "pointer", "seq", "path", F.coalesce("o", no).alias("is_object"), F.coalesce("a", no).alias("is_array"), (F.coalesce("o", no) | F.coalesce("a", no)).alias("has_nested"))
+    own = nodes.where((F.col("kind") == "object") & F.col("rule_path").rlike(_PROPERTY))
+    said, rule = F.split("way", "/"), F.split("rule_path", "/")
+    step = lambda way, token: F.when(token == "*", pointer_unescape(way)).when(token == "items", "[]")
+    steps = F.filter(F.zip_with(said, rule, step), lambda s: s.isNotNull())
+    has = lambda key: F.array_contains("keys", key)
+    return own.select("doc_id", "pointer", "seq", F.array_join(steps, ".").alias("path"), has("properties").alias("is_object"), has("items").alias("is_array"), (has("properties") | has("items")).alias("has_nested"))
 
 
 def primary_keys(nodes: DataFrame) -> DataFrame:
