@@ -17,10 +17,12 @@ RESERVED = ("index.md", "log.md")
 CONCEPTS = "bundle string, concept_id string, path string, frontmatter_json string, keys array<string>, body string, problem string"
 
 
-def _owned(docs: DataFrame) -> DataFrame:
-    """bundle, path (inside it) and text of each file that lies below a folder with an index.md, the outermost one."""
-    files = docs.select(F.col("doc_id").alias("file"), "text")
-    roots = files.where(F.regexp_extract("file", "[^/]+$", 0) == "index.md").select(F.regexp_replace("file", "/?index\\.md$", "").alias("bundle")).distinct()
+def _owned(docs: DataFrame, only: str | None = None) -> DataFrame:
+    """bundle, path (inside it) and text of each file (of the name ``only``) that lies below a folder with an index.md, the outermost one."""
+    files, name = docs.select(F.col("doc_id").alias("file"), "text"), F.regexp_extract("file", "[^/]+$", 0)
+    if only:
+        files = files.where(name == only)
+    roots = docs.select(F.col("doc_id").alias("file")).where(name == "index.md").select(F.regexp_replace("file", "/?index\\.md$", "").alias("bundle")).distinct()
     parts = F.split("file", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     owners = files.select("file", F.explode(ancestors).alias("bundle")).join(roots, "bundle").groupBy("file").agg(F.min_by("bundle", F.char_length("bundle")).alias("bundle"))
@@ -39,7 +41,8 @@ def read_bundles(docs: DataFrame, reserved: tuple[str, ...] = RESERVED) -> tuple
     """
     owned = _owned(docs)
     name = F.regexp_extract("path", "[^/]+$", 0)
-    index = owned.where(name == "index.md").select("bundle", "path", F.col("text").alias("body"))
+    # Chosen before they meet their bundles: a file keeps its name there, and no text of another is made for it.
+    index = _owned(docs, only="index.md").select("bundle", "path", F.col("text").alias("body"))
     rows = owned.where(F.col("path").endswith(".md")).mapInArrow(_split, CONCEPTS)
     return rows.where(~name.isin(list(reserved)) | F.array_contains("keys", "type")), index
 

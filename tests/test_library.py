@@ -489,3 +489,20 @@ def test_rows_are_dealt_before_they_become_texts(spark):
     for corpus in corpora.DEALT:
         docs = corpus(spark, "/root/testdata/sf0.001")
         assert docs.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism  # no shuffle of texts is needed
+
+
+def test_index_files_are_read_without_the_texts_of_others(spark):
+    name, fails = F.element_at(F.split("doc_id", "/"), -1), F.raise_error(F.lit("the text of a concept was made")).cast("string")
+    docs = spark.createDataFrame([("b/index.md", "own"), ("b/c.md", ""), ("b/in/index.md", "inner"), ("d.md", "")], "doc_id string, text string")
+    _, index = read_bundles(docs.select("doc_id", F.when(name == "index.md", F.col("text")).otherwise(fails).alias("text")))
+    assert {tuple(r) for r in index.collect()} == {("b", "index.md", "own"), ("b", "in/index.md", "inner")}
+
+
+def test_bundles_hold_the_documents_words(spark, tmp_path):
+    texts = [None, "", " \n", "a", "..a-b  c9!", "é x ö", "_A_\u0000b", "\U0001f600z", "1,000.5\r\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = corpora.bundles(spark, str(tmp_path))
+    got = {r.doc_id: [line for line in r.text.split("\n") if line.startswith("> ")] for r in docs.where("doc_id not like '%index.md'").collect()}
+    words = [re.sub("[^A-Za-z0-9]+", " ", t or "").strip(" ") for t in texts]
+    assert got == {f"b0/n/{k}.md": [f"> {w}"] if w else [] for k, w in enumerate(words)}
+    assert "regexp_replace" not in docs._jdf.queryExecution().optimizedPlan().toString()  # slower than finding the words
